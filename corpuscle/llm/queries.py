@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import sharding, topk, urlfilter
+from corpuscle.llm import licenses, sharding, topk, urlfilter
 from corpuscle.session import read_table
 
 URL_PREFIXES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -47,6 +47,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -59,5 +63,5 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_sharding": op3_sharding, "op5_exact_topk": op5_exact_topk}
+QUERIES = {"op1_url_filters": op1_url_filters, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk}
 SQL = {"op1_url_filters": op1_sql(), "op5_exact_topk": OP5_SQL}
