@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import licenses, sharding, topk, urlfilter
+from corpuscle.llm import licenses, mixing, sharding, topk, urlfilter
 from corpuscle.session import read_table
 
 URL_PREFIXES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -43,6 +43,37 @@ SELECT page_id, host, path, rule, CASE rule{action} ELSE CASE WHEN blocked IS NO
   coalesce(allowed, blocked) AS pattern FROM ruled"""
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(read_table(spark, sf_dir, "documents"), mixing.MixSpec(repetition=1.25))
+
+
+def _drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, 's:' || source AS k, {_drawn("'7'", "CAST(doc_id AS VARCHAR)")} AS u,
+  CAST(greatest(1, ceil(strlen(text) / 4.0)) AS BIGINT) AS tokens, text FROM documents),
+b AS (SELECT k, CAST(u % 256 AS INTEGER) AS block, CAST(sum(tokens) AS BIGINT) AS bt FROM d GROUP BY ALL),
+s AS (SELECT k, CAST(sum(bt) AS BIGINT) AS t FROM b GROUP BY k),
+p AS (SELECT k, t, t / (SELECT CAST(sum(t) AS DOUBLE) FROM s) AS share, (SELECT CAST(sum(t) AS DOUBLE) FROM s) AS budget FROM s),
+l AS (SELECT list(share ORDER BY t, k) AS shares FROM p),
+bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, shares FROM l
+  UNION ALL SELECT i + 1, CASE WHEN good THEN lo ELSE mid END, CASE WHEN good THEN mid ELSE hi END, shares
+  FROM (SELECT *, list_max(list_transform(shares, lambda x: power(x, mid - 1))) / list_sum(list_transform(shares, lambda x: power(x, mid))) <= 1.25 AS good
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 50))),
+w AS (SELECT k, t, budget, round(power(share, hi) / list_sum(list_transform(shares, lambda x: power(x, hi))), 12) AS weight FROM p, bis WHERE i = 50),
+o AS (SELECT k, weight, CAST(floor(weight * budget + 0.5) AS BIGINT) // t AS whole, CAST(floor(weight * budget + 0.5) AS BIGINT) % t AS rest FROM w),
+r AS (SELECT b.k, b.block, bt, weight, whole, rest, {_drawn("'7'", "b.k", "CAST(b.block AS VARCHAR)", "CAST(whole AS VARCHAR)")} AS draw FROM b JOIN o USING (k)),
+n AS (SELECT *, row_number() OVER x AS rank, sum(bt) OVER x AS upto FROM r WINDOW x AS (PARTITION BY k ORDER BY draw, block)),
+plan AS (SELECT k, block, weight, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS passes, rank, CASE WHEN upto - bt < rest AND upto > rest THEN rest - (upto - bt) END AS room FROM n),
+m AS (SELECT d.*, block, weight, passes, rank, room FROM d JOIN plan ON d.k = plan.k AND d.u % 256 = plan.block),
+taken AS (SELECT doc_id, source, tokens, weight, unnest(range(1, passes + 1)) AS pass, block, rank FROM m
+  UNION ALL SELECT doc_id, source, tokens, weight, passes + 1, block, rank
+  FROM (SELECT *, sum(tokens) OVER (PARTITION BY k, block ORDER BY u, doc_id, tokens, text ROWS UNBOUNDED PRECEDING) AS upto FROM m WHERE room > 0) WHERE upto <= room)
+SELECT doc_id, source, tokens, weight, CAST(pass AS INTEGER) AS pass, block, CAST(rank AS INTEGER) AS block_rank FROM taken"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read_table(spark, sf_dir, "documents"))
 
@@ -63,5 +94,5 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk}
-SQL = {"op1_url_filters": op1_sql(), "op5_exact_topk": OP5_SQL}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_source_mixing": op2_source_mixing, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk}
+SQL = {"op1_url_filters": op1_sql(), "op2_source_mixing": OP2_SQL, "op5_exact_topk": OP5_SQL}
