@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import langid, licenses, minhash, mixing, quality, sharding, topk, urlfilter
+from corpuscle.llm import decontam, langid, licenses, minhash, mixing, quality, sharding, topk, urlfilter
 from corpuscle.session import read_table
 
 URL_PREFIXES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -104,11 +104,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     found = langid.predict_language(read_table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_source_mixing": op2_source_mixing, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk, "op6_minhash_neardup": op6_minhash_neardup, "op8_quality": op8_quality, "op10_language_id": op10_language_id}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_source_mixing": op2_source_mixing, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk, "op6_minhash_neardup": op6_minhash_neardup, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 SQL = {"op1_url_filters": op1_sql(), "op2_source_mixing": OP2_SQL, "op5_exact_topk": OP5_SQL}
