@@ -41,14 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stash/{name}-{uuid.uuid4().hex}"
+    path = path or stash_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The same as a table bucketed by ``key``, so that later joins on it move only their other side."""
+    spark = df.sparkSession
+    path = stash_path(spark, name)
+    table = "stash_" + path.rpartition("-")[2]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stash that no later step reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
