@@ -11,9 +11,12 @@ from corpuscle.functions import predicates as P
 from corpuscle.functions import signals, text, urls
 from corpuscle.operators import compare, correlate, features, graph, trends
 from corpuscle.operators import findings as fo
+from corpuscle.operators.rulesets import RuleSet
 from corpuscle.plans import bindings as b
 from corpuscle.schemas import CONFIDENCES, SEVERITIES, SURFACES, severity_rank
-from corpuscle.session import read_table
+from corpuscle.session import read_table, stash, stash_path
+from corpuscle.sources import readers, writers
+from corpuscle.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -894,4 +897,113 @@ def _(f: DataFrame) -> DataFrame:
     return trends.coverage_mismatch(external, f, mapping)
 
 
+# ---- rules, rows for sinks and streams
+
+
+def _rules() -> RuleSet:
+    size = F.octet_length("html")
+    return (
+        RuleSet().add("script", "javascript", "medium", "strong", F.contains("html", F.lit("<script")))
+        .add("long_page", "content_phishing", "low", "probable", size > 6000, "moderate")
+        .add("frame", "actions", "high", "strong", F.contains("html", F.lit("<iframe")), "expensive")
+    )
+
+
+RULES_SQL = "SELECT page_id, 'script' AS rule, 'javascript' AS surface, 'medium' AS severity, 'strong' AS confidence FROM pages WHERE contains(html, '<script') UNION ALL SELECT page_id, 'long_page', 'content_phishing', 'low', 'probable' FROM pages WHERE strlen(html) > 6000"
+
+
+@query("register_rule", RULES_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules().run(read_table(spark, sf_dir, "pages"), "page_id")
+
+
+@query("cost_tiers", "SELECT page_id, 'script' AS rule FROM pages WHERE contains(html, '<script')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules().run(read_table(spark, sf_dir, "pages"), "page_id", tier="fast").select("page_id", "rule")
+
+
+@query("rule_profile", f"SELECT rule, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM ({RULES_SQL})), 2) AS percent FROM ({RULES_SQL}) GROUP BY rule")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules().profile(read_table(spark, sf_dir, "pages"))
+
+
+@found("findings_csv_rows", "SELECT id, kind, list_aggregate(objects, 'string_agg', '|') AS objects, CAST(1 AS INTEGER) AS evidence_count, coalesce(impact, '-') AS impact FROM f")
+def _(f: DataFrame) -> DataFrame:
+    return writers.findings_csv(f).select("id", "kind", "objects", "evidence_count", F.coalesce("impact", F.lit("-")).alias("impact"))
+
+
+@found("findings_jsonl_round_trip", "SELECT doc, id, severity, off AS offset, page FROM f")
+def _(f: DataFrame) -> DataFrame:
+    good, _skipped = readers.parse_findings(writers.findings_jsonl(f.drop("ts")))
+    return good.select("doc", "id", "severity", F.get("evidence", F.lit(0))["offset"].alias("offset"), F.col("meta")["page.number"].alias("page"))
+
+
+@found("sarif_results", "SELECT kind AS rule, CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM f GROUP BY ALL")
+def _(f: DataFrame) -> DataFrame:
+    _rules_, results = writers.sarif_rows(f)
+    return results.select(F.get_json_object("value", "$.ruleId").alias("rule"), F.get_json_object("value", "$.level").alias("level")).groupBy("rule", "level").agg(F.count("*").alias("n"))
+
+
+@query("batch_result_envelope", "SELECT url AS path, CASE WHEN page_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_id % 10 = 0 THEN 'QUERY_ERROR' END AS error_code, CASE WHEN page_id % 10 = 0 THEN NULL ELSE CAST(strlen(html) AS INTEGER) END AS result FROM pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "pages").withColumn("path", F.col("url"))
+    return writers.batch_envelope(p, F.octet_length("html"), F.when(F.col("page_id") % 10 == 0, F.lit("no rows"))).select("path", "status", "error_code", "result")
+
+
+def _streamed(spark: SparkSession, source: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there and read what it wrote."""
+    out = stash_path(spark, name)
+    source.writeStream.format("parquet").option("path", out).option("checkpointLocation", stash_path(spark, f"{name}-log")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(source.schema).parquet(out)
+
+
+def _live(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream of files."""
+    path = stash_path(spark, name)
+    stash(df, name, path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events")
+    return _live(spark, e.withColumn("ts", F.col("ts").cast("timestamp")), "events")
+
+
+@query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = jobs.stream_daily_counts(_events(spark, sf_dir), "event_type", late="0 seconds")
+    return _streamed(spark, s, "daily").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("stream_new_kinds", "SELECT DISTINCT event_type FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, jobs.stream_new_kinds(_events(spark, sf_dir).select("event_type"), "event_type"), "kinds")
+
+
+@query("stream_dedupe_hash", "SELECT count(DISTINCT user_id || ':' || props) AS n FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select("ts", F.concat_ws(":", "user_id", "props").alias("hash"))
+    return _streamed(spark, jobs.stream_dedupe_hash(e, late="60 days"), "dedupe").agg(F.count("*").alias("n"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), F.encode("html", "UTF-8").alias("h"))
+    cut = F.explode(F.sequence(F.lit(0), F.floor(F.length("h") / 700).cast("int")))
+    return p.select("doc", "h", cut.alias("n")).select("doc", F.col("n").cast("long").alias("chunk_no"), F.substring("h", F.col("n") * 700 + 1, F.lit(700)).alias("bytes"))
+
+
+PAGE_MARKERS, PAGE_END = [b"<nav", b"<article", b"<iframe", b"<footer"], [b"<footer"]
+
+
+@query("indicator_scan", "SELECT CAST(page_id AS VARCHAR) AS doc, m AS marker FROM pages, (SELECT unnest(['<nav', '<article', '<iframe', '<footer']) AS m) WHERE contains(html, m) AND (strpos(html, '<footer') = 0 OR strpos(html, m) <= strpos(html, '<footer'))")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.batch_indicator_scan(_chunks(spark, sf_dir), 64, PAGE_MARKERS, PAGE_END).select("doc", "marker")
+
+
+@query("stream_indicator_scan", "SELECT CAST(page_id AS VARCHAR) AS doc, m AS marker FROM pages, (SELECT unnest(['<nav', '<article', '<iframe', '<footer']) AS m) WHERE contains(html, m) AND (strpos(html, '<footer') = 0 OR strpos(html, m) <= strpos(html, '<footer'))")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = _live(spark, _chunks(spark, sf_dir), "chunks")
+    return _streamed(spark, jobs.stream_indicator_scan(live, 64, None, PAGE_MARKERS, PAGE_END), "scan").select("doc", "marker")
+
+
 SQL = {name: whole(sql) for name, sql in SQL.items()}
