@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.bytehash import BASES, Ranges, batches
-from corpuscle.session import release, stash
+from corpuscle.session import discard, release, stash, stash_by_key, stash_path
 
 WIDTH, ANCHOR = 100, 48
 
@@ -174,20 +174,26 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     low, bits = reach["low"] or 0, max(1, (reach["longest"] or 0).bit_length())
     if ((reach["high"] or 0) - low).bit_length() + bits > 63:
         return _renumbered(rows, id_col)
+    paths = [stash_path(spark, "suffix") for _ in range(3)]
     named = rows.filter("id is not null")
     heads = stretch_rows(named, low, bits).groupBy("anchor", "whole").agg(F.min("pos").alias("pos")).select("anchor", "pos")
-    heads = stash(heads, "stretches")
+    heads = stash(heads, "stretches", paths[0])
     release(spark)
     meeting = heads.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
-    shared = stash(heads.join(meeting, "anchor", "left_semi").select("pos"), "shared")
+    shared = stash(heads.join(meeting, "anchor", "left_semi").select("pos"), "shared", paths[1])
     release(spark)
-    lists = stash(_starts(heads, low, bits, "first").join(_starts(shared, low, bits, "shared"), "id", "left"), "first")
+    lists = _starts(heads, low, bits, "first").join(_starts(shared, low, bits, "shared"), "id", "left")
+    lists = stash(lists, "first", paths[2])
+    discard(spark, paths[0])
     release(spark)
-    some = named.join(lists.filter("shared is not null").select("id", "shared"), "id")
-    alone = window_rows(some, low, bits).groupBy("anchor", "rest").agg(F.min("pos").alias("pos"))
-    alone = stash(_starts(alone, low, bits, "alone"), "windows")
+    listed = stash_by_key(rows.join(lists, "id", "left"), "listed", "id")
+    discard(spark, paths[1])
+    discard(spark, paths[2])
     release(spark)
-    return cut_rows(rows.join(lists.join(alone, "id", "left"), "id", "left").select("id", "text", "first", "shared", "alone")).withColumnRenamed("id", id_col)
+    alone = window_rows(listed.filter("shared is not null").select("id", "text", "shared"), low, bits)
+    alone = stash(_starts(alone.groupBy("anchor", "rest").agg(F.min("pos").alias("pos")), low, bits, "alone"), "windows")
+    release(spark)
+    return cut_rows(listed.join(alone, "id", "left").select("id", "text", "first", "shared", "alone")).withColumnRenamed("id", id_col)
 
 
 def _renumbered(rows: DataFrame, id_col: str) -> DataFrame:
