@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import predicates as P
 from corpuscle.functions import signals, text, urls
-from corpuscle.operators import compare, correlate, features, graph, trends
+from corpuscle.operators import compare, context, correlate, features, graph, trends
 from corpuscle.operators import findings as fo
 from corpuscle.operators.rulesets import RuleSet
 from corpuscle.plans import bindings as b
@@ -897,6 +897,108 @@ def _(f: DataFrame) -> DataFrame:
     return trends.coverage_mismatch(external, f, mapping)
 
 
+# ---- profiles, escalations and enrichments
+
+
+@found("risk_profiles", """SELECT doc, CASE WHEN uris > 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS uri_risk, round(least(1.0::DOUBLE, xref * 0.3::DOUBLE), 6) AS structural_risk, round(least(1.0::DOUBLE, fonts * 0.1::DOUBLE), 6) AS content_risk FROM (
+  SELECT doc, count_if(surface IN ('actions', 'forms') AND (contains(kind, 'uri') OR contains(kind, 'launch'))) uris, count_if(surface IN ('file_structure', 'xref_trailer', 'object_streams', 'streams_filters') AND contains(kind, 'xref')) xref,
+  count_if((surface = 'content_phishing' OR contains(kind, 'content') OR contains(kind, 'text')) AND contains(kind, 'font')) fonts FROM f GROUP BY doc)""")
+def _(f: DataFrame) -> DataFrame:
+    p = context.risk_profiles(f)
+    return p.select("doc", r6(F.col("uri_risk"), "uri_risk"), r6(F.col("structural_risk"), "structural_risk"), r6(F.col("content_risk"), "content_risk"))
+
+
+@found("meta_scalar_typing", "SELECT id, CAST(page AS DOUBLE) AS number, has_eval AS flag, hash AS text FROM f")
+def _(f: DataFrame) -> DataFrame:
+    t = context.typed_meta(f)
+    return t.select("id", F.col("typed")["page.number"]["number"].alias("number"), F.col("typed")["js.contains_eval"]["flag"].alias("flag"), F.col("typed")["hash"]["text"].alias("text"))
+
+
+@found("action_chain_malicious", """SELECT a.doc, a.id AS chain, count(DISTINCT b.id) FILTER (b.kind = 'open_action_present') AS automatic, count(DISTINCT b.id) FILTER (contains(b.kind, 'js')) AS scripts
+  FROM (SELECT doc, id, unnest(objects) o FROM f WHERE kind = 'launch_action_present') a JOIN (SELECT doc, id, kind, unnest(objects) o FROM f WHERE kind = 'open_action_present' OR contains(kind, 'js')) b ON a.doc = b.doc AND a.o = b.o AND a.id <> b.id GROUP BY a.doc, a.id
+  HAVING count(DISTINCT b.id) FILTER (b.kind = 'open_action_present') > 0 AND count(DISTINCT b.id) FILTER (contains(b.kind, 'js')) > 0""")
+def _(f: DataFrame) -> DataFrame:
+    return context.action_chain_malicious(f, ["launch_action_present"], ["open_action_present"], F.contains("kind", F.lit("js")), 0)
+
+
+@found("structure_with_hidden_path", "SELECT doc, count_if(starts_with(kind, 'image.')) AS structural, count_if(kind IN ('xref_conflict', 'ocg_present')) AS paths FROM f GROUP BY doc HAVING count_if(starts_with(kind, 'image.')) > 0 AND count_if(kind IN ('xref_conflict', 'ocg_present')) > 0")
+def _(f: DataFrame) -> DataFrame:
+    return context.structure_with(f, "image.", ["xref_conflict", "ocg_present"])
+
+
+@found("declared_filter_escalation", f"""SELECT id, {b._list(SEVERITIES)}[CASE WHEN js OR dec THEN greatest(sev, CASE WHEN js AND dec THEN 4 ELSE 3 END) ELSE sev END + 1] AS severity, {b._list(CONFIDENCES)}[CASE WHEN js OR dec THEN least(conf, CASE WHEN js AND dec THEN 0 ELSE 1 END) ELSE conf END + 1] AS confidence
+  FROM f JOIN (SELECT doc, bool_or(kind = 'js_polymorphic') js, bool_or(kind = 'decoder_risk_present') dec FROM f GROUP BY doc) USING (doc) WHERE kind = 'filter_chain_unusual'""")
+def _(f: DataFrame) -> DataFrame:
+    e = context.escalate_declared_filters(f, "filter_chain_unusual", ["js_polymorphic"], ["decoder_risk_present"])
+    return e.filter("kind = 'filter_chain_unusual'").select("id", "severity", "confidence")
+
+
+@found("orphan_payload_context", """SELECT a.doc, a.id AS orphan, string_agg(DISTINCT b.id, ',' ORDER BY b.id) AS payloads FROM (SELECT doc, id, unnest(objects) o FROM f WHERE kind = 'xref_conflict') a
+  JOIN (SELECT doc, id, unnest(objects) o FROM f WHERE kind <> 'xref_conflict' AND (surface IN ('javascript', 'actions', 'embedded_files', 'content_phishing', 'rich_media_3d') OR contains(kind, 'js_') OR contains(kind, 'uri_') OR contains(kind, 'embedded') OR contains(kind, 'launch'))) b ON a.doc = b.doc AND a.o = b.o GROUP BY a.doc, a.id""")
+def _(f: DataFrame) -> DataFrame:
+    return context.orphan_payload_context(f, ["xref_conflict"])
+
+
+SQL["chain_to_finding_enrichment"] = f"""{F_SQL}, {CHAINS_SQL}, m AS (SELECT DISTINCT ch.doc, ch.object AS chain, f.id, f.objects, f.stage, f.stage_rank FROM ch, unnest(string_split(ch.ids, ',')) u(i) JOIN f ON f.id = u.i AND f.doc = ch.doc),
+  s AS (SELECT doc, chain, string_agg(stage, ',' ORDER BY stage_rank) AS stages FROM (SELECT DISTINCT doc, chain, stage, stage_rank FROM m) GROUP BY ALL), o AS (SELECT doc, chain, coalesce(string_agg(o, ',' ORDER BY o) FILTER (n > 1), '') AS shared, count(*) AS objects FROM (SELECT doc, chain, o, count(*) AS n FROM (SELECT doc, chain, unnest(objects) o FROM m) GROUP BY ALL) GROUP BY ALL)
+  SELECT doc, chain, count(*) AS findings, any_value(stages) AS stages, any_value(shared) AS shared, any_value(o.objects) AS objects FROM m JOIN s USING (doc, chain) JOIN o USING (doc, chain) GROUP BY doc, chain"""
+
+
+@found("chain_to_finding_enrichment")
+def _(f: DataFrame) -> DataFrame:
+    return context.findings_with_chain(f, correlate.object_chains(f))
+
+
+@query("query_chain_grouping")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.transitions(spark, sf_dir)
+    c = graph.action_chains(e, F.col("edge_type") == "open", F.col("edge_type") == "next", 5)
+    return context.group_paths(c.withColumn("risk", F.size("path") * 0.1)).select("doc", "chain", "trigger", "payload", "signature", "members")
+
+
+@query("evidence_chains", f"""{BASE_SQL}, {PART_SQL}, t AS (SELECT doc, name, c FROM pt QUALIFY row_number() OVER (PARTITION BY doc ORDER BY abs(c) DESC, name) <= 2), x AS (SELECT CAST(doc_id AS VARCHAR) AS doc, count(*) AS n FROM documents WHERE contains(text, ',') GROUP BY 1)
+  SELECT t.doc, name, round(c, 6) AS contribution, CASE WHEN name LIKE 'text.%' THEN coalesce(x.n, 0) ELSE 0 END AS findings FROM t LEFT JOIN x ON t.doc = x.doc""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ft = b.features(spark, sf_dir)
+    parts = features.contributions(ft, features.baseline(ft), WEIGHTS)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    return context.evidence_chains(parts, docs, {"text": F.contains("text", F.lit(","))}, 2).withColumn("contribution", F.round("contribution", 6))
+
+
+@query("graph_features", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 4)
+  SELECT 'g' AS doc, count(*) AS edges, count_if(suspicious) AS suspicious, count_if(edge_type = 'places') AS n_places, count_if(edge_type = 'in') AS n_in, (SELECT CAST(max(d) AS INTEGER) FROM w) AS max_depth FROM ed""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.typed_edges(spark, sf_dir)
+    roots = e.filter("src = 's1'").select("doc", F.col("src").alias("node"))
+    return context.graph_features(e, roots, ["places", "in"], 4).drop("avg_depth")
+
+
+@query("path_to_outcome")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.transitions(spark, sf_dir)
+    nodes = e.select("doc", F.col("src").alias("node_id")).union(e.select("doc", "dst")).distinct()
+    nodes = nodes.withColumns({"node_kind": F.when(F.col("node_id") == "signup", "event").otherwise("outcome"), "outcome_type": F.when(F.col("node_id") == "purchase", F.lit("buy"))})
+    return graph.reaches(nodes, e, ["buy"], 5)
+
+
+SQL["path_to_outcome"] = f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, w(doc, node) AS (SELECT DISTINCT doc, 'signup' FROM te UNION SELECT w.doc, te.dst FROM w JOIN te ON w.doc = te.doc AND w.node = te.src) SELECT DISTINCT w.doc FROM w JOIN te ON w.doc = te.doc AND w.node = te.src AND te.dst = 'purchase'"""
+
+
+@query("exec_outcome_alignment")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, e = b.findings(spark, sf_dir), b.transitions(spark, sf_dir)
+    outcomes = e.filter("dst = 'purchase'").select("doc", F.col("dst").alias("node_id")).distinct()
+    return context.exec_outcome_alignment(f.filter("kind = 'stream_high_entropy'"), outcomes, e, F.col("title"), 2)
+
+
+@query("partitioned_trend_export", f"WITH {b.FINDINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, count(*) AS n FROM f WHERE CAST(ts AS DATE) < DATE '2024-01-04' GROUP BY ALL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = b.findings(spark, sf_dir).filter("ts < '2024-01-04'").withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "target": F.lit("all")})
+    path = stash_path(spark, "trend")
+    writers.trend_csv(f, path)
+    return spark.read.option("header", "true").schema("kind string, n long, date string, target string").csv(path).select("date", "kind", "n")
+
+
 # ---- rules, rows for sinks and streams
 
 
