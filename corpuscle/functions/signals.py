@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.rules import Number, Rule, all_of, any_of, count_of, has, hits, inputs, left_by, matches, octets, words_where
+from corpuscle.functions.rules import Number, Rule, all_of, any_of, count_of, has, hits, inputs, left_by, matches, octets, only_if, words_where
 
 
 
@@ -39,24 +39,42 @@ MAGNITUDE = (has("rc4") | (any_of("decrypt", "decode") & has("key"))) & has("for
 RIG = any_of("Shockwave Flash", "Flash Player", "javaEnabled()", "Java Plug-in") & all_of("if(", "else")
 BASE64 = matches(r"[A-Za-z0-9+/=]{40,}")
 AFTER_STOP = Number(
-    lambda t: F.when(t["\\"] | F.contains(t["text"], F.lit(";")) | F.contains(t["text"], F.lit("\n")), F.size(F.regexp_extract_all(t["text"], F.lit(r"(?:return|throw)[^;\n]*[;\n][\t\n\f\r ]*([^\t\n\f\r }/;])"), F.lit(1)))).otherwise(0),
+    lambda t: F.when(F.contains(t["text"], F.lit("return")) | F.contains(t["text"], F.lit("throw")), F.size(F.regexp_extract_all(t["text"], F.lit(r"(?:return|throw)[^;\n]*[;\n][\t\n\f\r ]*([^\t\n\f\r }/;])"), F.lit(1)))).otherwise(0),
     r"len(regexp_extract_all(text, '(?:return|throw)[^;\n]*[;\n][\t\n\f\r ]*([^\t\n\f\r }/;])', 1))",
 )
 DEAD = count_of("if(false)") + count_of("if (false)") + count_of("if(0)") + count_of("if (0)") + count_of("while(false)") + count_of("while (false)") + AFTER_STOP
 LIVE = count_of("if(") + count_of("if (") + count_of("for(") + count_of("while(") + count_of("function ") + count_of("=>")
 
+NAME = r"\b[A-Za-z_][A-Za-z0-9_]*"
+ODD_NAME = r"\b(?:[A-Za-z_][A-Za-z0-9_]*[0-9][A-Za-z0-9_]*|[A-Za-z_])\b"
 MANGLED_SQL = "(length(w) = 1 AND NOT regexp_matches(w, '^[ijkxyz]$')) OR contains(w, '0x') OR (length(w) > 5 AND length(regexp_replace(w, '[^0-9]', '', 'g')) > length(w) // 2)"
-NAMES = Number(lambda t: F.size(F.regexp_extract_all(t["text"], F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))), r"len(regexp_extract_all(text, '\b[A-Za-z_][A-Za-z0-9_]*'))")
+NAMES = Number(lambda t: F.size(F.regexp_extract_all(t["text"], F.lit(NAME), F.lit(0))), f"len(regexp_extract_all(text, '{NAME}'))")
 MANGLED = Number(
     lambda t: F.size(
         F.filter(
-            F.regexp_extract_all(t["text"], F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)),
+            F.regexp_extract_all(t["text"], F.lit(ODD_NAME), F.lit(0)),
             lambda w: ((F.length(w) == 1) & ~w.rlike("^[ijkxyz]$")) | F.contains(w, F.lit("0x")) | ((F.length(w) > 5) & (F.length(F.regexp_replace(w, "[^0-9]", "")) > F.floor(F.length(w) / 2))),
         )
     ),
-    rf"len(list_filter(regexp_extract_all(text, '\b[A-Za-z_][A-Za-z0-9_]*'), lambda w: {MANGLED_SQL}))",
+    f"len(list_filter(regexp_extract_all(text, '{ODD_NAME}'), lambda w: {MANGLED_SQL}))",
 )
 
+
+def multibyte(t: dict[str, Column]) -> Column:
+    return F.octet_length(t["text"]) > F.length(t["text"])
+
+
+def marked(*chars: str):
+    """Any of the characters occurs."""
+    def gate(t: dict[str, Column]) -> Column:
+        out = F.lit(False)
+        for c in chars:
+            out = out | F.contains(t["text"], F.lit(c))
+        return out
+
+    return gate
+
+
 #: Needles and thresholds are fixed values.
 SIGNALS: dict[str, Rule] = {
     "has_base64_like": BASE64,
@@ -74,10 +92,10 @@ SIGNALS: dict[str, Rule] = {
     ),
     "hex_fromcharcode_pattern": has("fromCharCode") & any_of("0x", "parseInt"),
     "environment_fingerprinting": any_of("app.plugIns.length", "app.viewerType", "app.platform", "app.viewerVersion", "this.info.title", "this.info.author") & has("if") & any_of(">", "==", "!="),
-    "jsfuck_encoding": PACKED & VISIBLE.at_least(50) & left_by(SYMBOLS).share_at_least(VISIBLE, 80),
-    "jjencode_encoding": left_by(r"[\t\n\f\r ]+", octets=True).at_least(60)
-    & (any_of("$=~[]", "$_", exact=True) | (left_by(DENSE, octets=True).share_at_least(left_by(r"[\t\n\f\r ]+", octets=True), 70) & left_by(r"[^\[\]]+").at_least(12))),
-    "aaencode_encoding": left_by("[^＀-￯]+").at_least(8) & left_by("[^＀-￯]+").share_at_least(VISIBLE, 8) & has("(function(", exact=True) & has("constructor"),
+    "jsfuck_encoding": only_if(marked("[", "]", "(", ")", "!", "+"), PACKED & VISIBLE.at_least(50) & left_by(SYMBOLS).share_at_least(VISIBLE, 80)),
+    "jjencode_encoding": only_if(marked("[", "]", "$_"), left_by(r"[\t\n\f\r ]+", octets=True).at_least(60)
+    & (any_of("$=~[]", "$_", exact=True) | (left_by(DENSE, octets=True).share_at_least(left_by(r"[\t\n\f\r ]+", octets=True), 70) & left_by(r"[^\[\]]+").at_least(12)))),
+    "aaencode_encoding": has("(function(", exact=True) & has("constructor") & left_by("[^＀-￯]+").at_least(8) & left_by("[^＀-￯]+").share_at_least(VISIBLE, 8),
     "regex_packing": all_of("/", ".replace"),
     "suspicious_apis": any_of(
         "app.launchURL", "util.printf", "this.getURL", "submitForm", "importDataObject", "exportDataObject", "app.mailMsg", "app.doc.syncAnnotScan", "app.doc.getAnnots",
@@ -117,7 +135,7 @@ SIGNALS: dict[str, Rule] = {
     "array_rotation_decode": all_of(".push(", ".shift(", exact=True)
     & ((has("(function(", exact=True) & any_of("})(", "}(", exact=True) & any_of("0x", "while(--", "while (--)", "for(;--", exact=True)) | (any_of("[_0x", "[arr[", "[0x", "[0X", exact=True) & has("0x", exact=True))),
     "opaque_predicates": hits("Math.abs(", "Math.floor(", "Math.ceil(", "Math.random()").at_least(2) & count_of("if").at_least(5),
-    "identifier_mangling": NAMES.above(10) & Rule(lambda t: MANGLED.column(t) * 2 > NAMES.column(t), f"({MANGLED.sql} * 2 > {NAMES.sql})"),
+    "identifier_mangling": MANGLED.above(5) & NAMES.above(10) & Rule(lambda t: MANGLED.column(t) * 2 > NAMES.column(t), f"({MANGLED.sql} * 2 > {NAMES.sql})"),
     "font_exploitation": hits("FontMatrix", "CIDFont", "Type1Font", "TrueType", "FontFile", "FontDescriptor").at_least(2),
     "annotation_abuse": hits("getAnnots", "syncAnnotScan", ".subject", "addAnnot", "removeAnnot").at_least(2),
     "xfa_exploitation": has("XFA"),
@@ -125,9 +143,9 @@ SIGNALS: dict[str, Rule] = {
     "beaconing_pattern": hits("launchURL", "submitForm", "mailMsg", "getURL").at_least(3),
     "cryptomining_library": any_of("coinhive", "cryptonight", "crypto-loot", "CryptoLoot", "stratum+tcp", "xmr-stak", "monero"),
     "wasm_mining": hits("WebAssembly.instantiate", "WebAssembly.Module", "new Worker(", "SharedArrayBuffer", "Atomics.").at_least(2),
-    "unicode_obfuscation": octets().above(0) & Rule(lambda t: F.octet_length(F.regexp_replace(t["text"], r"[\x00-\x7F]+", "")) * 10 > F.octet_length(t["text"]), r"(strlen(regexp_replace(text, '[\x00-\x7F]+', '', 'g')) * 10 > strlen(text))"),
+    "unicode_obfuscation": only_if(multibyte, octets().above(0)) & Rule(lambda t: F.octet_length(F.regexp_replace(t["text"], r"[\x00-\x7F]+", "")) * 10 > F.octet_length(t["text"]), r"(strlen(regexp_replace(text, '[\x00-\x7F]+', '', 'g')) * 10 > strlen(text))"),
     "rtl_override": has("‮", exact=True),
-    "homoglyph_attack": matches("[Ͱ-ӿ]"),
+    "homoglyph_attack": only_if(multibyte, matches("[Ͱ-ӿ]")),
     "custom_decoder": has("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") | all_of("function", "fromCharCode", "split(") | (has("parseInt") & any_of(", 16", ",16")),
     "function_introspection": any_of("arguments.callee", "Function.toString()", ".toString.call(", "constructor.toString()"),
     "excessive_string_allocation": (LOOP & hits("new Array(", ".substring(", ".concat(", "while(", "for(").at_least(3)) | count_of('"').at_least(10),
@@ -153,10 +171,10 @@ SIGNALS: dict[str, Rule] = {
         lambda t: F.exists(F.split(t["text"], r"\s+"), lambda w: w.rlike("^(?:[13]|bc1)[1-9A-HJ-NP-Za-km-z]+$") & F.length(w).between(26, 90)),
         r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '^(?:[13]|bc1)[1-9A-HJ-NP-Za-km-z]+$') AND length(w) BETWEEN 26 AND 90)) > 0",
     )
-    | words_where(lambda w: F.startswith(w, F.lit("4")) & (F.octet_length(w) == 95), "starts_with(w, '4') AND strlen(w) = 95").at_least(1),
+    | only_if(marked("4"), words_where(lambda w: F.startswith(w, F.lit("4")) & (F.octet_length(w) == 95), "starts_with(w, '4') AND strlen(w) = 95").at_least(1)),
     "jit_spray": count_of("0x").at_least(10) | (any_of("eval(", "Function(") & has("for(")),
     "unicode_shellcode": count_of("\\u").at_least(20) & has("unescape"),
-    "constant_spray": words_where(lambda w: F.startswith(w, F.lit("0x")) & (F.octet_length(w) > 6), "starts_with(w, '0x') AND strlen(w) > 6").at_least(15),
+    "constant_spray": only_if(marked("0x"), words_where(lambda w: F.startswith(w, F.lit("0x")) & (F.octet_length(w) > 6), "starts_with(w, '0x') AND strlen(w) > 6").at_least(15)),
     "fingerprint_check": hits("navigator.userAgent", "navigator.language", "navigator.platform", "screen.width", "screen.height", "navigator.plugins").at_least(2) & has("if("),
     "timing_evasion": any_of("performance.now()", "Date.now()", "getTime()") & has("if(") & any_of(" < ", " > "),
     "interaction_required": any_of("onclick", "onmousemove", "onkeypress", "addEventListener"),

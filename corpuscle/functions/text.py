@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,23 @@ HTML_MARKERS = ["<script", "<iframe", "javascript:", "<svg", "onerror=", "onload
 STAGING, UPDATING, PERSISTING = ["download", "fetch", "payload", "stage", "loader"], ["update", "upgrade", "patch"], ["startup", "autorun", "registry", "schedule", "cron"]
 
 
+def _entropy(text: str | None) -> float:
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(data):
+        return 0.0
+    share = np.bincount(data)
+    share = share[share > 0] / len(data)
+    return float(-(share * np.log2(share)).sum()) + 0.0
+
+
 def byte_entropy(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
-    """keys, entropy: Shannon entropy over UTF-8 bytes. One row a text goes in; bytes are counted in place, nothing is exploded."""
-    digits = F.hex(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    pairs = F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))
-    counted = df.select(*keys, F.array_sort(pairs).alias("b"))
-    # runs of a sorted array: where a value ends, its count is the distance from the last end
-    ends = F.filter(F.transform("b", lambda x, i: F.when((i + 1 == F.size("b")) | (x != F.get("b", i + 1)), i + 1)), lambda e: e.isNotNull())
-    ready = counted.select(*keys, F.size("b").alias("n"), ends.alias("e"))
-    share = lambda e, i: (e - F.when(i == 0, 0).otherwise(F.get("e", i - 1))) / F.col("n")
-    terms = F.transform("e", lambda e, i: -share(e, i) * F.log2(share(e, i)))
-    return ready.select(*keys, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("entropy"))
+    """keys, entropy: Shannon entropy over UTF-8 bytes, counted in Arrow batches; nothing is exploded."""
+
+    @F.pandas_udf("double")
+    def entropy(texts: pd.Series) -> pd.Series:
+        return pd.Series([_entropy(t) for t in texts], dtype="float64")
+
+    return df.select(*keys, entropy(F.col(text_col)).alias("entropy"))
 
 
 def byte_entropy_by_counts(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
