@@ -127,7 +127,7 @@ def signatures() -> list[Signature]:
 
 def lowered(text: Column) -> Column:
     """A-Z lower-cased. ``lower`` may touch other letters but never makes or breaks an ASCII word, save for two letters."""
-    rare = F.contains(text, F.lit("K")) | F.contains(text, F.lit("İ"))
+    rare = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
     return F.when(rare, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 

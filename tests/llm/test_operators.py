@@ -138,7 +138,7 @@ def brute_licenses(text):
 
 
 def test_licenses(spark):
-    texts = ["MIT License, mit license; MIT-License", "cc by cc by CC-BY-SA 3.0", "Licensed under the Apache License, Version 2.0", "gnu general public license version 3 or gnu general public license", "Kelvin Kit license", "İmit license", "nothing", "all rights reserved"]
+    texts = ["MIT License, mit license; MIT-License", "cc by cc by CC-BY-SA 3.0", "Licensed under the Apache License, Version 2.0", "gnu general public license version 3 or gnu general public license", "Kelvin Kit license", "İmit license", "nothing", "all rights reserved", "\u212a MIT LICENSE \u0130 CC BY"]
     docs = odd_docs(spark, [(100 + i, t, "en", "s", 1) for i, t in enumerate(texts)])
     text = {(r.doc_id): r.text for r in docs.collect()}
     out = licenses.scan_licenses(docs).collect()
