@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are maximal runs of letters and digits, lower-cased. Every passage of a text that holds an n-gram
-of a test item is cut out with room on both sides; the seeds' document counts over the whole corpus say
-which are the rarer half of each item's. A passage goes on if it holds a rare seed, or ``many`` different
-ones. Local alignment of words (match +2, mismatch -1, gap -1) over the item's best possible score then
-finds exact, edited and reordered-in-part copies; a document leaks an item at ``threshold`` or more.
+of a test item is cut out with room on both sides. A passage goes on unless the words that it shares with
+the item, all taken as matches, stay below ``threshold``: no alignment scores more, so nothing is lost, be
+its seeds few or common. Local alignment of words (match +2, mismatch -1, gap -1) over the item's best
+possible score then finds exact, edited and reordered-in-part copies; a document leaks an item at
+``threshold`` or more. Copies that keep no n-gram of the item have no seed and are not found.
 
 Test items are sent to every task in parts of at most ``max_words`` words; a larger benchmark takes more
 passes, one a part. Passages, not documents, are carried on, so texts are read once a part.
@@ -37,19 +38,19 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def passages(words: list[str], seeds: dict[tuple[str, ...], list[tuple[int, int]]], lengths: dict[int, int], n: int) -> list[tuple[int, int, int, list[int]]]:
-    """(item, from, to, seed numbers) of stretches around seeds; seeds of an item closer than its length share one."""
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+def passages(words: list[str], seeds: dict[tuple[str, ...], list[int]], lengths: dict[int, int], n: int) -> list[tuple[int, int, int]]:
+    """(item, from, to) of stretches around seeds; seeds of an item closer than its length share one."""
+    hits: dict[int, list[int]] = defaultdict(list)
     for j, gram in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
-        for item, number in seeds.get(gram, ()):
-            hits[item].append((j, number))
+        for item in seeds.get(gram, ()):
+            hits[item].append(j)
     out = []
     for item, found in hits.items():
         room = lengths[item] + lengths[item] // 2
         run = [found[0]]
         for hit in [*found[1:], None]:
-            if hit is None or hit[0] - run[-1][0] > room:
-                out.append((item, max(0, run[0][0] - room), min(len(words), run[-1][0] + n + room), sorted({s for _, s in run})))
+            if hit is None or hit - run[-1] > room:
+                out.append((item, max(0, run[0] - room), min(len(words), run[-1] + n + room)))
                 run = []
             if hit is not None:
                 run.append(hit)
@@ -86,12 +87,11 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int
     return list(zip(best.tolist(), first.tolist(), last.tolist(), strict=True))
 
 
-def _part(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, many: int, threshold: float) -> DataFrame:
-    seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-    numbers: dict[tuple[str, ...], int] = {}
+def _part(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, threshold: float) -> DataFrame:
+    seeds: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for i, (_, words) in enumerate(items):
         for gram in dict.fromkeys(zip(*(words[k:] for k in range(n)), strict=False)):
-            seeds[gram].append((i, numbers.setdefault(gram, len(numbers))))
+            seeds[gram].append(i)
     lengths = {i: len(words) for i, (_, words) in enumerate(items)}
     plain, sc = dict(seeds), docs.sparkSession.sparkContext
     held = sc.broadcast((plain, lengths))
@@ -102,30 +102,24 @@ def _part(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, many: int
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = words_of(text.as_py())
-                out += [(doc, item, lo, " ".join(words[lo:hi]), own) for item, lo, hi, own in passages(words, table, sizes, n)]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], ["id", "item", "at", "passage", "seeds"])
-
-    found = stash(docs.mapInArrow(cut, "id long, item int, at long, passage string, seeds array<int>"), "passages")
-    seen = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).collect()
-    count = {r["seed"]: r["n"] for r in seen}
-    rare: list[set[int]] = []
-    for _, words in items:
-        own = sorted({numbers[g] for g in zip(*(words[k:] for k in range(n)), strict=False)}, key=lambda s: (count.get(s, 0), s))
-        middle = count.get(own[(len(own) - 1) // 2], 0) if own else 0
-        rare.append({s for s in own if count.get(s, 0) <= middle})
-    known = sc.broadcast((rare, [words for _, words in items], [i for i, _ in items]))
+                out += [(doc, item, lo, " ".join(words[lo:hi])) for item, lo, hi in passages(words, table, sizes, n)]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["id", "item", "at", "passage"])
+
+    found = stash(docs.mapInArrow(cut, "id long, item int, at long, passage string"), "passages")
+    known = sc.broadcast(([words for _, words in items], [i for i, _ in items]))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chosen, texts, ids = known.value
+        texts, ids = known.value
         for pdf in frames:
-            keep = [len(s) >= many or any(x in chosen[i] for x in s) for i, s in zip(pdf["item"], pdf["seeds"], strict=True)]
             out = []
-            for i, group in pdf[keep].groupby("item"):
+            for i, group in pdf.groupby("item"):
                 code = {w: k for k, w in enumerate(dict.fromkeys(texts[i]))}
                 item = np.array([code[w] for w in texts[i]])
                 cells = [np.array([code.get(w, -2) for w in p.split(" ")]) for p in group["passage"]]
-                order = np.argsort([len(c) for c in cells], kind="stable")
+                own = np.bincount(item)
+                most = [np.minimum(np.bincount(c[c >= 0], minlength=len(own)), own).sum() / len(item) for c in cells]
+                order = sorted((k for k in range(len(cells)) if most[k] >= threshold), key=lambda k: len(cells[k]))
                 for lo in range(0, len(order), 256):
                     part = order[lo : lo + 256]
                     for k, (best, first, last) in zip(part, align(item, [cells[x] for x in part]), strict=True):
@@ -137,7 +131,7 @@ def _part(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, many: int
     return found.filter("id is not null").repartition("id", "item").mapInPandas(score, "id long, item_id long, score double, first_word long, last_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, many: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: each document's best passage for every item that it leaks."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
@@ -145,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, many: int = 3, thre
     parts, found = max(1, -(-size // (4 * max_words))), None
     for p in range(parts):
         own = [(r["id"], words_of(r["text"])) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).collect()]
-        some = _part(rows, sorted(x for x in own if len(x[1]) >= n), n, many, threshold)
+        some = _part(rows, sorted(x for x in own if len(x[1]) >= n), n, threshold)
         found = some if found is None else found.union(some)
     best = found.groupBy("id", "item_id").agg(F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "b.score", "b.first_word", "b.last_word")

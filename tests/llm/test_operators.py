@@ -331,6 +331,34 @@ def test_leaks(spark):
     assert decontam.leaks(no_docs(spark), bench).count() == 0 and decontam.leaks(docs, bench.filter("false")).count() == 0
 
 
+def brute_alignment(item, text):
+    """Best local score of two word lists over the item's own, by the whole table."""
+    best, above = 0, [0] * (len(text) + 1)
+    for w in item:
+        here = [0]
+        for j, x in enumerate(text):
+            here.append(max(0, above[j] + (2 if w == x else -1), above[j + 1] - 1, here[j] - 1))
+        best, above = max(best, max(here)), here
+    return best / (2 * len(item))
+
+
+def test_leaks_with_few_seeds_left(spark):
+    """Edited copies that keep one or two of an item's 3-grams, alone, in numbers and beside an intact copy."""
+    rng = random.Random(19)
+    items = [sentence(rng, 12) for _ in range(4)]
+
+    def edited(k, places):
+        return " ".join(f"edit{rng.randrange(10_000)}" if j in places else w for j, w in enumerate(items[k].split()))
+
+    one, two = (2, 5, 8), (2, 5)
+    texts = [edited(0, one), *[edited(1, one) for _ in range(5)], items[2], edited(2, one), edited(3, two), edited(3, (1, 3, 5, 7, 9))]
+    docs = spark.createDataFrame([(i, f"{sentence(rng, 15)} {t} {sentence(rng, 15)}", "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(r.doc_id, k): brute_alignment(item.split(), r.text.split()) for r in docs.collect() for k, item in enumerate(items)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5}) and got[0, 0] == pytest.approx(0.625) and len(got) == 9
+
+
 # ---- 10
 
 
