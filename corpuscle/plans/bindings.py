@@ -89,7 +89,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = read_table(spark, sf_dir, "events")
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    near = e.withColumns({"dst": after, "k": F.get_json_object("props", "$.k").cast("int")}).filter(F.col("dst").isNotNull() & (F.col("k") % 17 == 0))
+    near = e.withColumns({"dst": after, "k": F.get_json_object("props", "$.k").cast("int")}).filter(F.col("dst").isNotNull())
     return near.select(F.col("user_id").cast("string").alias("doc"), F.col("event_type").alias("src"), "dst", F.col("event_id").alias("seq"), F.when(F.col("k") % 2 == 0, "next").otherwise("open").alias("edge_type"))
 
 
