@@ -14,6 +14,7 @@ rows and null ids are kept as they are; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,15 +29,20 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: Keyword, label and name of each family (names are regular expressions over spaced words).
 FAMILIES = [
     ("gnu", "agpl", "gnu affero general public license|agpl|affero gpl"),
+    ("agpl", "agpl", "agpl"),
+    ("affero", "agpl", "affero general public license|affero gpl"),
     ("gnu", "lgpl", "gnu (?:lesser|library) general public license|lesser gpl"),
+    ("lesser", "lgpl", "lesser general public license|lesser gpl"),
     ("lgpl", "lgpl", "lgpl"),
     ("gnu", "gfdl", "gnu free documentation license|gfdl"),
+    ("gfdl", "gfdl", "gfdl"),
     ("gnu", "gpl", "gnu general public license|gnu gpl"),
     ("gpl", "gpl", "gpl"),
     ("apache", "apache", "apache software license|apache license|apache"),
     ("mit", "mit", "mit license|mit x11 license|mit"),
     ("expat", "mit", "expat license|expat"),
     ("bsd", "bsd-2-clause", "bsd 2 clause|simplified bsd|2 clause bsd|freebsd"),
+    ("freebsd", "bsd-2-clause", "freebsd"),
     ("bsd", "bsd-3-clause", "bsd 3 clause|new bsd|modified bsd|3 clause bsd"),
     ("bsd", "bsd-4-clause", "bsd 4 clause|original bsd|4 clause bsd"),
     ("bsd", "bsd", "bsd license|bsd"),
@@ -84,7 +90,10 @@ FAMILIES = [
     ("server", "sspl", "server side public license"),
     ("business", "busl", "business source license"),
 ]
-#: Form, priority, score and whether the version joins the label. {n} is the name, {v} a version.
+#: Names that mean other things too: no licence without a word that says so.
+AMBIGUOUS = {"apache", "mit", "expat", "bsd", "freebsd", "isc", "zlib", "mpl", "epl", "ofl"}
+#: Form, priority, score and whether the version joins the label. {n} is the name, {v} a version, {s} a name that
+#: doesn't end in license, {b} one that stands alone.
 VERSION = r"(?:version |v ?)?([0-9]+)(?: ([0-9]+))?"
 FORMS = [
     (r"(?:licensed|released|distributed|published|available|provided|offered|shared) under (?:the )?(?:terms of (?:the )?)?(?:{n})(?: licen[cs]e)?,? {v}", 3, 1.0, True),
@@ -93,7 +102,10 @@ FORMS = [
     (r"spdx license identifier (?:{n})", 3, 1.0, False),
     (r"(?:{n})(?: licen[cs]e)? {v}", 2, 0.9, True),
     (r"(?:subject to|governed by|under) the (?:terms of the )?(?:{n})", 2, 0.85, False),
-    (r"(?:{n}) licen[cs]e", 1, 0.8, False),
+    (r"licen[cs]e(?: is| type| name| id)?(?: the)? (?:{n}) {v}", 2, 0.9, True),
+    (r"licen[cs]e(?: is| type| name| id)?(?: the)? (?:{n})", 2, 0.85, False),
+    (r"(?:{s}) licen[cs]e", 1, 0.8, False),
+    (r"(?:{b})", 1, 0.75, False),
 ]
 #: Notices without a family: keyword, label, pattern, priority, score.
 NOTICES = [
@@ -104,6 +116,30 @@ NOTICES = [
     ("permission", "mit", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
     ("redistribution", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", 3, 1.0),
     ("copying", "copyleft", "you may copy and distribute verbatim copies", 2, 0.7),
+    ("gnu", "gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", 3, 1.0),
+    ("gnu", "lgpl", "free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 3, 1.0),
+    ("gnu", "agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license", 3, 1.0),
+    ("gnu", "gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 3, 1.0),
+    ("writing", "apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 3, 1.0),
+    ("mozilla", "mpl", "this source code form is subject to the terms of the mozilla public license", 3, 1.0),
+    ("eclipse", "epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", 3, 1.0),
+    ("common", "cddl", "the contents of this file are subject to the terms of the common development and distribution license", 3, 1.0),
+    ("common", "cpl", "the accompanying program is provided under the terms of this common public license", 3, 1.0),
+    ("permission", "isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 3, 1.0),
+    ("permission", "bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 3, 1.0),
+    ("permission", "postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 3, 1.0),
+    ("liable", "zlib", "in no event will the authors be held liable for any damages arising from the use of this software", 3, 1.0),
+    ("endorse", "bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", 3, 1.0),
+    ("advertising", "bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 3, 1.0),
+    ("unencumbered", "unlicense", "this is free and unencumbered software released into the public domain", 3, 1.0),
+    ("fuck", "wtfpl", "do what the fuck you want to public license", 3, 1.0),
+    ("deed", "cc0", "the person who associated a work with this deed has dedicated the work to the public domain", 3, 1.0),
+    ("sil", "ofl", "this font software is licensed under the sil open font license", 3, 1.0),
+    ("python", "psf", "psf is making python available to licensee on an as is basis", 3, 1.0),
+    ("php", "php", "this product includes php software freely available from", 3, 1.0),
+    ("ruby", "ruby", "ruby is copyrighted free software by yukihiro matsumoto", 3, 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 3, 1.0),
+    ("licensor", "busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 3, 1.0),
 ]
 
 
@@ -119,8 +155,13 @@ class Signature:
 
 
 def signatures() -> list[Signature]:
-    """The ordered rules: every family in every form, then the notices."""
-    made = [(k, label, form.format(n=name, v=VERSION), p, s, v) for k, label, name in FAMILIES for form, p, s, v in FORMS]
+    """The ordered rules: every family in every form that has a name for it, then the notices."""
+    made = []
+    for k, label, name in FAMILIES:
+        names = re.split(r"\|(?![^(]*\))", name)
+        short = "|".join(n for n in names if not n.endswith((" license", " licen[cs]e")))
+        bare = "|".join(n for n in names if n not in AMBIGUOUS)
+        made += [(k, label, form.format(n=name, v=VERSION, s=short, b=bare), p, s, v) for form, p, s, v in FORMS if (short or "{s}" not in form) and (bare or "{b}" not in form)]
     made += [(*notice, False) for notice in NOTICES]
     return [Signature(i, k, label, f"(?<= )(?:{pattern})(?= )", p, s, v) for i, (k, label, pattern, p, s, v) in enumerate(made)]
 

@@ -151,6 +151,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(no_docs(spark)).count() == 0
 
 
+def test_licenses_by_name_alone(spark):
+    plain = {
+        "uses the Mozilla Public License": "mpl", "see the GNU Lesser General Public License for more details": "lgpl", "Boost Software License applies": "bsl", "Creative Commons Attribution photo": "cc-by",
+        "see the Eclipse Public License text": "epl", "License: Unlicense": "unlicense", "license = WTFPL": "wtfpl", "License: MIT": "mit", "License: BSD 3-Clause": "bsd-3-clause", "License: Apache 2.0": "apache-2.0",
+        "an AGPL tool": "agpl", "covered by the Affero GPL": "agpl", "the lesser GPL": "lgpl", "GFDL text": "gfdl", "cc by-nc-sa": "cc-by,cc-by-nc-sa", "the European Union Public Licence": "eupl", "the PHP license": "php",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "you can redistribute it": "", "MIT is a school, Apache a people and BSD a system": "",
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(plain)], DOCS)
+    out = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert {t: out[i].labels for i, t in enumerate(plain)} == plain
+    assert all((out[i].score > 0) == bool(label) for i, label in enumerate(plain.values()))
+
+
+def test_license_rules_find_their_own_words():
+    """No rule asks for a name that repeats its last word, and all fit the stretch around a keyword."""
+    rules = licenses.signatures()
+    assert not [r.pattern for r in rules if re.search(r" licen(?:se|\[cs\]e)\) licen\[cs\]e", r.pattern)]
+    assert all(len(n[2].split()) <= licenses.REACH and n[0] in n[2] for n in licenses.NOTICES if n[1] != "copyleft")
+
+
 def test_license_rules_are_many_and_compile():
     rules = licenses.signatures()
     assert len(rules) > 300 and all(re.compile(r.pattern) for r in rules)
