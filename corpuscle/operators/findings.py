@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.schemas import confidence_rank, severity_name, severity_rank
+from corpuscle.session import stash
 
 #: Kinds kept at any severity, and kinds that are replaced by one row each.
 ALWAYS_KEPT = [
@@ -99,6 +100,16 @@ def order_by_severity(df: DataFrame) -> DataFrame:
     return df.orderBy(severity_rank(F.col("severity")).desc(), "kind", "id")
 
 
+def numbered_by_severity(df: DataFrame) -> DataFrame:
+    """Every row with its place in that order, from 1: a sort by range, then each partition's rows after those of the ones before."""
+    rows = stash(order_by_severity(df).withColumn("at", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    later = sizes.select(F.col("part").alias("other"), "n")
+    before = sizes.select("part").join(F.broadcast(later), F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    inside = F.col("at") - F.shiftleft("part", 33)
+    return rows.join(F.broadcast(before), "part").withColumn("place", F.col("before") + inside + 1).drop("at", "part", "before")
+
+
 def sort_findings(df: DataFrame) -> DataFrame:
     return df.orderBy("kind", F.array_join(canonical_objects(F.col("objects")), "|"))
 

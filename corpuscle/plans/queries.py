@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import predicates as P
@@ -221,8 +221,7 @@ def _(f: DataFrame) -> DataFrame:
 
 @found("severity_order", "SELECT id, row_number() OVER (ORDER BY sev DESC, kind, id) AS place FROM f QUALIFY place <= 50")
 def _(f: DataFrame) -> DataFrame:
-    top = fo.order_by_severity(f).limit(50)
-    return top.select("id", F.row_number().over(Window.orderBy(severity_rank(F.col("severity")).desc(), "kind", "id")).cast("long").alias("place"))
+    return fo.numbered_by_severity(f.select("id", "kind", "severity")).select("id", "place")
 
 
 @found("stable_id", "SELECT id, sha256(kind || '|' || surface || '|' || objects[1] || ',' || objects[2] || '|file:' || off || ':10') AS stable_id FROM f")
@@ -993,7 +992,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("partitioned_trend_export", f"WITH {b.FINDINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, count(*) AS n FROM f WHERE CAST(ts AS DATE) < DATE '2024-01-04' GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = b.findings(spark, sf_dir).filter("ts < '2024-01-04'").withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "target": F.lit("all")})
+    f = b.findings(spark, sf_dir).withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "target": F.lit("all")})
     path = stash_path(spark, "trend")
     writers.trend_csv(f, path)
     return spark.read.option("header", "true").schema("kind string, n long, date string, target string").csv(path).select("date", "kind", "n")

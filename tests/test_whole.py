@@ -13,6 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 #: What the registered SQL still filters by; taken out here.
 PARTS = {name: " AND k % 17 = 0" for name in ("find_cycles", "find_paths", "classify_cycles", "path_to_outcome", "dedup_edges", "edge_index", "graph_limit")}
+PARTS |= {"severity_order": " QUALIFY place <= 50", "partitioned_trend_export": " WHERE CAST(ts AS DATE) < DATE '2024-01-04'"}
 
 
 def test_every_transition(spark):
