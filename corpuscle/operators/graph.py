@@ -129,8 +129,11 @@ def propagate_scores(edges: DataFrame, rounds: int = 3, fade: float = 0.7, least
         sent = edges.join(score.withColumnRenamed("node", "src"), [*g, "src"]).filter(F.col("score") > least)
         got = sent.groupBy(*g, F.col("dst").alias("node")).agg((F.max("score") * fade).alias("in"))
         score = score.join(got, [*g, "node"], "left").select(*g, "node", F.greatest("score", F.coalesce("in", F.lit(0.0))).alias("score"))
-    top = F.max("score").over(Window.partitionBy(*g))
-    return score.withColumn("score", F.when(top > 1, F.col("score") / top).otherwise(F.col("score")))
+    tops = score.groupBy(*[F.col(c).alias(f"top_{c}") for c in g]).agg(F.max("score").alias("top")).filter("top > 1")
+    same = F.lit(True)
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
+    return score.join(F.broadcast(tops), same, "left").select(*g, "node", F.when(F.col("top") > 1, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))
 
 
 def suspicious_targets(edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:

@@ -670,9 +670,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(h AS INTEGER) AS hops, count(*) AS n FROM (SELECT seed, node, min(h) h FROM w GROUP BY ALL) WHERE node LIKE 'n%' GROUP BY 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.typed_edges(spark, sf_dir).filter("edge_type = 'in'")
-    a = e.filter("src like 's%'").select("doc", F.col("src").alias("a")).distinct()
-    pairs = a.join(e.filter("src like 'n%'").select("doc", F.col("src").alias("b")).distinct(), "doc")
-    return graph.hop_distance(e, pairs, 3).groupBy("hops").agg(F.count("*").alias("n"))
+    nations = e.filter("src like 'n%'").select("doc", F.col("src").alias("node"))
+    return graph.distances(e, nations, 3, undirected=True).filter("node like 's%'").groupBy("hops").agg(F.count("*").alias("n"))
 
 
 @query("induced_subgraph_hops", f"""WITH {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), near AS (SELECT 'n1' AS x UNION SELECT b FROM u WHERE a = 'n1')

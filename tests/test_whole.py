@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from corpuscle.operators import graph
 from corpuscle.plans import bindings
 from corpuscle.plans import queries as library
 
@@ -37,3 +38,11 @@ def test_whole_rows(spark, name):
     result = con.execute(library.SQL[name].replace(PARTS[name], ""))
     at = [[d[0] for d in result.description].index(c) for c in df.columns]
     assert sorted(tuple(map(str, r)) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in result.fetchall())
+
+
+def test_scores_of_one_graph_spread(spark):
+    """One graph key is no partition: its maximum comes from partial ones, and scores stay what they were."""
+    edges = spark.createDataFrame([("g", f"a{i}", "hub", True) for i in range(4)] + [("h", "x", "y", True)], "doc string, src string, dst string, suspicious boolean")
+    scores = graph.propagate_scores(edges, 1)
+    assert {(r.doc, r.node): round(r.score, 6) for r in scores.collect()} == {("g", "hub"): 1.0, **{("g", f"a{i}"): 0.15 for i in range(4)}, ("h", "x"): 0.3, ("h", "y"): 0.5}
+    assert "Window" not in scores._jdf.queryExecution().optimizedPlan().toString()
