@@ -49,12 +49,19 @@ def period_delta(rolled: DataFrame) -> DataFrame:
     return kept.select("period", "dim", "value", F.col("now").alias("n"), (F.col("now") - F.col("was")).alias("delta"))
 
 
-def regressions(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    """what, value: kinds that were there and are gone, and high findings fallen to none."""
-    kinds = lambda df: df.filter("dim = 'kind' and n > 0").select("value").distinct()
-    gone = kinds(prev).join(kinds(cur), "value", "left_anti").select(F.lit("kind_lost").alias("what"), "value")
-    high = lambda df, name: df.agg(F.coalesce(F.sum(F.when((F.col("dim") == "severity") & (F.lower("value") == "high"), F.col("n"))), F.lit(0)).alias(name))
-    fell = high(prev, "was").join(high(cur, "now")).filter("was > 0 and now = 0").select(F.lit("high_lost").alias("what"), F.col("was").cast("string").alias("value"))
+def regressions(cur: DataFrame, prev: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, what, value: kinds that were there and are gone, and high findings fallen to none.
+
+    With ``keys`` every group is compared with its own earlier self, where both have rows.
+    """
+    kinds = lambda df: df.filter("dim = 'kind' and n > 0").select(*keys, "value").distinct()
+    gone = kinds(prev).join(kinds(cur), [*keys, "value"], "left_anti").select(*keys, F.lit("kind_lost").alias("what"), "value")
+    level = F.when((F.col("dim") == "severity") & (F.lower("value") == "high"), F.col("n"))
+    high = lambda df, name: df.groupBy(*keys).agg(F.coalesce(F.sum(level), F.lit(0)).alias(name))
+    met = high(prev, "was").join(high(cur, "now"), list(keys)) if keys else high(prev, "was").join(high(cur, "now"))
+    fell = met.filter("was > 0 and now = 0").select(*keys, F.lit("high_lost").alias("what"), F.col("was").cast("string").alias("value"))
+    if keys:
+        gone = gone.join(cur.select(*keys).distinct(), list(keys), "left_semi")
     return gone.unionByName(fell)
 
 

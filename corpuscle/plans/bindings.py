@@ -94,7 +94,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRANSITIONS_SQL = """te AS (SELECT CAST(user_id AS VARCHAR) doc, event_type src, dst, event_id seq, CASE WHEN k % 2 = 0 THEN 'next' ELSE 'open' END edge_type FROM (
-  SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst, CAST(json_extract(props, '$.k') AS INTEGER) k FROM events) WHERE dst IS NOT NULL AND k % 17 = 0)"""
+  SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) dst, CAST(json_extract(props, '$.k') AS INTEGER) k FROM events) WHERE dst IS NOT NULL)"""
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ def _(f: DataFrame) -> DataFrame:
     return fo.top_pairs(f.groupBy(F.col("kind").alias("value")).agg(F.count("*").alias("n")), 7)
 
 
-@found("severity_order", "SELECT id, row_number() OVER (ORDER BY sev DESC, kind, id) AS place FROM f QUALIFY place <= 50")
+@found("severity_order", "SELECT id, row_number() OVER (ORDER BY sev DESC, kind, id) AS place FROM f")
 def _(f: DataFrame) -> DataFrame:
     return fo.numbered_by_severity(f.select("id", "kind", "severity")).select("id", "place")
 
@@ -262,9 +262,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.reconcile(c, o, "k").withColumn("ids", joined(F.transform("ids", lambda x: x.cast("string"))))
 
 
-@found("hash_link_join", """SELECT a.doc, a.hash, a.id AS launch, b.id AS program FROM f a JOIN f b ON a.doc = b.doc AND a.hash = b.hash AND a.kind = 'launch_embedded_file' AND b.kind = 'embedded_executable_present' AND b.entropy >= 2""")
+@found("hash_link_join", """, h AS (SELECT doc, id, kind, entropy, 'h' || (n % 5) AS hash FROM f) SELECT a.doc, a.hash, a.id AS launch, b.id AS program FROM h a JOIN h b ON a.doc = b.doc AND a.hash = b.hash AND a.kind = 'launch_embedded_file' AND b.kind = 'embedded_executable_present' AND b.entropy >= 2""")
 def _(f: DataFrame) -> DataFrame:
-    return correlate.launch_obfuscated_executable(f, 2.0)
+    hashed = F.map_concat(F.map_filter("meta", lambda k, v: k != "hash"), F.create_map(F.lit("hash"), F.concat(F.lit("h"), F.col("seq") % 5)))
+    return correlate.launch_obfuscated_executable(f.withColumn("meta", hashed), 2.0)
 
 
 @found("shares_object_join", """SELECT a.doc, a.id AS a, b.id AS b, string_agg(DISTINCT a.o, ',' ORDER BY a.o) AS shared FROM (SELECT doc, id, unnest(objects) o FROM f WHERE kind = 'js_present') a
@@ -832,10 +833,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.period_delta(trends.period_rollup(b.daily_counts(spark, sf_dir), "week"))
 
 
-@query("regression_check", D_SQL + "SELECT 'kind_lost' AS what, value FROM dc WHERE dim = 'kind' AND date = DATE '2024-01-01' AND value NOT IN (SELECT value FROM dc WHERE dim = 'kind' AND date = DATE '2024-01-02')")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.daily_counts(spark, sf_dir)
-    return trends.regressions(d.filter("date = date'2024-01-02'"), d.filter("date = date'2024-01-01'"))
+@found("regression_check", """, d AS (SELECT DISTINCT doc, CAST(ts AS DATE) AS date, kind FROM f), h AS (SELECT doc, CAST(ts AS DATE) AS date, count_if(severity = 'high') AS n FROM f GROUP BY ALL)
+  SELECT a.doc, a.date + 1 AS date, 'kind_lost' AS what, a.kind AS value FROM d a SEMI JOIN d c ON c.doc = a.doc AND c.date = a.date + 1 ANTI JOIN d e ON e.doc = a.doc AND e.date = a.date + 1 AND e.kind = a.kind
+  UNION ALL SELECT c.doc, c.date, 'high_lost', CAST(a.n AS VARCHAR) FROM h c JOIN h a ON a.doc = c.doc AND c.date = a.date + 1 WHERE a.n > 0 AND c.n = 0""")
+def _(f: DataFrame) -> DataFrame:
+    days = f.withColumn("date", F.col("ts").cast("date"))
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in ("kind", "severity")]))
+    daily = days.select("doc", "date", cells.alias("c")).groupBy("doc", "date", "c.dim", "c.value").agg(F.count("*").alias("n"))
+    return trends.regressions(daily, daily.withColumn("date", F.date_add("date", 1)), ("doc", "date"))
 
 
 @found("new_kind_history", "SELECT kind, CAST(min(ts) AS DATE) AS first_seen FROM f GROUP BY kind")
@@ -979,7 +984,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reaches(nodes, e, ["buy"], 5)
 
 
-SQL["path_to_outcome"] = f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, w(doc, node) AS (SELECT DISTINCT doc, 'signup' FROM te UNION SELECT w.doc, te.dst FROM w JOIN te ON w.doc = te.doc AND w.node = te.src) SELECT DISTINCT w.doc FROM w JOIN te ON w.doc = te.doc AND w.node = te.src AND te.dst = 'purchase'"""
+SQL["path_to_outcome"] = f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM te), w(doc, node) AS (SELECT DISTINCT doc, 'signup' FROM s UNION SELECT w.doc, s.dst FROM w JOIN s ON w.doc = s.doc AND w.node = s.src) SELECT DISTINCT w.doc FROM w JOIN s ON w.doc = s.doc AND w.node = s.src AND s.dst = 'purchase'"""
 
 
 @query("exec_outcome_alignment")
@@ -989,7 +994,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.exec_outcome_alignment(f.filter("kind = 'stream_high_entropy'"), outcomes, e, F.col("title"), 2)
 
 
-@query("partitioned_trend_export", f"WITH {b.FINDINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, count(*) AS n FROM f WHERE CAST(ts AS DATE) < DATE '2024-01-04' GROUP BY ALL")
+@query("partitioned_trend_export", f"WITH {b.FINDINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, count(*) AS n FROM f GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.findings(spark, sf_dir).withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "target": F.lit("all")})
     path = stash_path(spark, "trend")

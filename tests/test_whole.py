@@ -1,21 +1,15 @@
-"""Queries that once saw or returned a part of their rows, against the whole: SQL without its row filter, and plain Python."""
+"""Bindings and graph work over whole tables, against plain Python."""
 
 import os
 
-import duckdb
 import pytest
 
 from corpuscle.operators import graph
 from corpuscle.plans import bindings
-from corpuscle.plans import queries as library
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
-#: What the registered SQL still filters by; taken out here.
-PARTS = {name: " AND k % 17 = 0" for name in ("find_cycles", "find_paths", "classify_cycles", "path_to_outcome", "dedup_edges", "edge_index", "graph_limit")}
-PARTS |= {"severity_order": " QUALIFY place <= 50", "partitioned_trend_export": " WHERE CAST(ts AS DATE) < DATE '2024-01-04'"}
-
 
 def test_every_transition(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect()
@@ -28,18 +22,6 @@ def test_every_transition(spark):
     assert {(r.doc, r.src, r.dst, r.seq) for r in rows} == want and len(rows) == len(want) > 0
 
 
-@pytest.mark.parametrize("name", sorted(PARTS))
-def test_whole_rows(spark, name):
-    con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
-    for f in os.listdir(DATA):
-        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
-    df = library.QUERIES[name](spark, DATA)
-    result = con.execute(library.SQL[name].replace(PARTS[name], ""))
-    at = [[d[0] for d in result.description].index(c) for c in df.columns]
-    assert sorted(tuple(map(str, r)) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in result.fetchall())
-
-
 def test_scores_of_one_graph_spread(spark):
     """One graph key is no partition: its maximum comes from partial ones, and scores stay what they were."""
     edges = spark.createDataFrame([("g", f"a{i}", "hub", True) for i in range(4)] + [("h", "x", "y", True)], "doc string, src string, dst string, suspicious boolean")
