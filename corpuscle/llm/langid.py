@@ -1,17 +1,21 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled texts:
-``per_language`` documents a language in hash order, ``pieces`` stretches of each. A whole text is read
-in stretches of ``LENGTH`` bytes by both directions; every position gets language probabilities, and a
-document's are their mean over the positions of letters.
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled rows:
+of the ``max_languages`` languages with the most rows, ``per_language`` rows each in hash order, and of a
+row ``pieces`` stretches of ``LENGTH`` bytes from anywhere in its text, drawn in the tasks. Only these
+stretches reach the driver (``max_languages * per_language * pieces * LENGTH`` bytes at most). A whole
+text is read in stretches by both directions; every position gets language probabilities, and a
+document's are their mean over the positions of letters. Long texts go through in bounded parts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is everything where no
-language was learnt. One learnt language is predicted with score 1. Null languages are not learnt from.
-Ties go to the language that sorts first. Repeated rows and null ids are predicted as they are.
+language was learnt. One learnt language is predicted with score 1. Null languages are not learnt from;
+of rows with one id and text, one is. Ties go to the language that sorts first. Repeated rows and null
+ids are predicted as they are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,23 +91,35 @@ def logistic(negated: np.ndarray) -> None:
     np.reciprocal(negated, out=negated)
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts cut into rows of ``LENGTH`` bytes (padded with zero), and the text of each row."""
-    counts = np.array([-(-len(t) // LENGTH) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(t.ljust(n * LENGTH, b"\0") for t, n in zip(texts, counts, strict=True)), np.uint8)
-    return data.reshape(-1, LENGTH), np.repeat(np.arange(len(texts)), counts)
+def stretches(texts: list[bytes], at_once: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All texts cut into rows of ``LENGTH`` bytes (padded with zero) and the text of each row, ``at_once`` bytes of a text at most."""
+    rows, of, held = [], [], 0
+    for i, text in enumerate(texts):
+        for lo in range(0, len(text), at_once):
+            part = text[lo : lo + at_once]
+            n = -(-len(part) // LENGTH)
+            rows.append(part.ljust(n * LENGTH, b"\0"))
+            of.append((i, n))
+            held += n * LENGTH
+            if held >= at_once:
+                yield _laid(rows, of)
+                rows, of, held = [], [], 0
+    if rows:
+        yield _laid(rows, of)
 
 
-def pooled(net: Network, texts: list[bytes], rows: int = 1024) -> np.ndarray:
+def _laid(rows: list[bytes], of: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, LENGTH), np.repeat([i for i, _ in of], [n for _, n in of])
+
+
+def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean probabilities over the letters of each text."""
-    data, of = stretches(texts)
     total, letters = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
-    for i in range(0, len(data), rows):
-        part = data[i : i + rows]
-        mask = LETTER[part.T].astype(np.float32)
-        sums = (net.probabilities(FOLD[part]) * mask[:, None]).sum(axis=0).T
-        np.add.at(total, of[i : i + rows], sums)
-        np.add.at(letters, of[i : i + rows], mask.sum(axis=0))
+    for data, of in stretches(texts):
+        mask = LETTER[data.T].astype(np.float32)
+        sums = (net.probabilities(FOLD[data]) * mask[:, None]).sum(axis=0).T
+        np.add.at(total, of, sums)
+        np.add.at(letters, of, mask.sum(axis=0))
     return total / np.maximum(letters, 1)[:, None]
 
 
@@ -170,20 +186,13 @@ class Trainer:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**i)) / (np.sqrt(self.s[k] / (1 - 0.99**i)) + 1e-6)
 
 
-def train(texts: list[bytes], langs: list[str], hidden: int = 8, pieces: int = 6, steps: int = 160, rows: int = 256, seed: int = 5) -> Network:
-    """A network from labelled texts; every language is drawn equally often."""
+def train(data: np.ndarray, langs: list[str], hidden: int = 8, steps: int = 160, rows: int = 256, seed: int = 5) -> Network:
+    """A network from labelled stretches; every language is drawn equally often."""
     names = tuple(sorted(set(langs)))
     trainer = Trainer(max(len(names), 1), hidden, seed)
-    data, of = stretches(texts)
-    rng, chosen = np.random.default_rng(seed), []
-    for i in range(len(texts)):
-        own = np.flatnonzero(of == i)
-        chosen.append(rng.permutation(own)[:pieces])
-    chosen = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
-    label = np.array([names.index(langs[i]) for i in of[chosen]], np.int64)
-    data = data[chosen]
-    if len(names) > 1 and len(data):
-        pools = [np.flatnonzero(label == k) for k in range(len(names)) if (label == k).any()]
+    rng, label = np.random.default_rng(seed), np.array([names.index(x) for x in langs], np.int64)
+    if len(names) > 1:
+        pools = [np.flatnonzero(label == k) for k in range(len(names))]
         for i in range(1, steps + 1):
             at = np.concatenate([rng.choice(p, max(1, rows // len(pools))) for p in pools])
             trainer.step(FOLD[data[at]], label[at], LETTER[data[at]].astype(np.float32), i, 0.03 * (1 - i / (steps + 1)) + 0.001)
@@ -191,24 +200,36 @@ def train(texts: list[bytes], langs: list[str], hidden: int = 8, pieces: int = 6
     return Network(names, (p["x0"], p["x1"]), (p["u0"], p["u1"]), (p["v0"], p["v1"]), p["b"])
 
 
-def labelled_sample(docs: DataFrame, train_on: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """At most ``per_language`` texts of each language (and 200 languages), the first in hash order of their ids."""
+def drawn_stretches(text: bytes, pieces: int) -> list[bytes]:
+    """``pieces`` of the text's stretches (all, if fewer), drawn by a generator that the text seeds."""
+    n = -(-len(text) // LENGTH)
+    at = np.random.default_rng(zlib.crc32(text)).permutation(n)[:pieces]
+    return [text[i * LENGTH : (i + 1) * LENGTH].ljust(LENGTH, b"\0") for i in at.tolist()]
+
+
+def labelled_sample(docs: DataFrame, train_on: Column, per_language: int, max_languages: int, pieces: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
+    """Stretches and their languages. Ranks are taken on hashes alone; each task keeps the first of its rows before they meet."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & train_on)
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit("lang"), id_col).alias("h"))
-    ids = ids.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language).select("id").distinct()
-    if ids.count() > 200 * per_language:
-        raise ValueError("more than 200 languages")
-    texts = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id", "left_semi")
-    cut = F.when(F.length("text") > 40_000, F.concat(F.substring("text", 1, 20_000), F.expr("right(text, 20000)"))).otherwise(F.col("text"))
-    rows = texts.select("id", cut.alias("text"), "lang").collect()
-    rows.sort(key=lambda r: (r["id"], r["lang"], r["text"]))
-    return [r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["lang"] for r in rows]
-
-
-def predict_language(docs: DataFrame, train_on: Column, per_language: int = 150, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)).alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    learnt = counts.orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = known.select("lang", "h").join(F.broadcast(learnt), "lang").withColumn("rn", F.dense_rank().over(order)).filter(F.col("rn") <= per_language).select("lang", "h").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(lang, h, drawn_stretches(text.as_py().encode("utf-8", "surrogatepass"), pieces)) for lang, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.binary())))], ["lang", "h", "pieces"])
+
+    texts = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text").mapInArrow(cut, "lang string, h long, pieces array<binary>")
+    rows = texts.groupBy("lang", "h").agg(F.min("pieces").alias("pieces")).orderBy("lang", "h").collect()
+    data = np.frombuffer(b"".join(bytes(x) for r in rows for x in r["pieces"]), np.uint8).reshape(-1, LENGTH)
+    return data, [r["lang"] for r in rows for _ in r["pieces"]]
+
+
+def predict_language(docs: DataFrame, train_on: Column, per_language: int = 150, max_languages: int = 200, pieces: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang_pred and score of every row."""
-    net = train(*labelled_sample(docs, train_on, per_language, id_col, text_col, lang_col))
+    net = train(*labelled_sample(docs, train_on, per_language, max_languages, pieces, id_col, text_col, lang_col))
 
     def label(texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)

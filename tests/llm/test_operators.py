@@ -397,6 +397,41 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict_language(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """Rows of one id, of one text, and of many rare languages: what is learnt from stays within its bounds."""
+    rows = [(7, f"text number {i} of one id", "xx") for i in range(900)] + [(i, "the same text", "yy") for i in range(900)] + [(7, "rows alike", "zz")] * 900 + [(i, "rare", f"r{i:04}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    data, langs = langid.labelled_sample(docs, F.lit(True), 20, 50, 6, "doc_id", "text", "lang")
+    count = {x: langs.count(x) for x in set(langs)}
+    assert len(count) == 50 and count["xx"] == 20 and count["yy"] == 20 and count["zz"] == 1 and len(data) == len(langs)
+
+
+def test_language_sample_reaches_every_part_of_long_texts():
+    text = b"".join(b"%063d\n" % i for i in range(5000))
+    assert [int(p) for p in langid.drawn_stretches(text, 5000)] != list(range(5000)) and len({int(p) for p in langid.drawn_stretches(text, 5000)}) == 5000
+    assert len(langid.drawn_stretches(text, 6)) == 6 and langid.drawn_stretches(b"", 6) == [] and langid.drawn_stretches(b"ab", 6) == [b"ab" + b"\0" * 62]
+
+
+def test_fast_states_are_the_trainers():
+    """What prediction computes at each position is what training does, and long texts in parts give what they give at once."""
+    rng = np.random.default_rng(3)
+    trainer = langid.Trainer(3, 4, 2)
+    data = rng.integers(0, 256, (5, 9)).astype(np.uint8)
+    p = trainer.p
+    net = langid.Network(("a", "b", "c"), (p["x0"], p["x1"]), (p["u0"], p["u1"]), (p["v0"], p["v1"]), p["b"])
+    logits = np.tile(p["b"], (9, 5, 1))
+    for way in (0, 1):
+        states = net.states(np.ascontiguousarray(data.T).astype(np.intp), way)
+        for t, *_, new in trainer.forward(data, way):
+            assert states[t].T == pytest.approx(new, abs=1e-5)
+            logits[t] += new @ p[f"v{way}"]
+    plain = np.exp(logits) / np.exp(logits).sum(-1, keepdims=True)
+    assert net.probabilities(data).transpose(0, 2, 1) == pytest.approx(plain, abs=1e-5)
+    text = bytes(rng.integers(65, 91, 300_000).astype(np.uint8))
+    whole = net.probabilities(langid.FOLD[np.frombuffer(text.ljust(300_032, b"\0"), np.uint8).reshape(-1, 64)]).transpose(0, 2, 1).transpose(1, 0, 2).reshape(-1, 3)[:300_000].mean(axis=0)
+    assert langid.pooled(net, [b"x", text])[1] == pytest.approx(whole, abs=1e-4)
+
+
 def test_gradients_by_differences():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(0)
