@@ -1,12 +1,17 @@
 """License scans with ordered signature rules, in built-in functions only.
 
 A text is lower-cased (A-Z), cut into words and laid out as words with single spaces. Keywords found in
-it gate the signature rules; only gated rules run. Hits are walked in order of start (longer, then
-higher priority first): a hit that lies inside one of equal or higher priority is suppressed. What
-survives gives the method's labels and the score; phrases of the base list always keep theirs.
+it gate the signature rules: a rule runs over the stretches of ``REACH`` words on either side of its own
+keyword, stretches that meet being one. Hits are walked in order of start (longer, then higher priority
+first): a hit that lies inside one of equal or higher priority is suppressed. What survives gives the
+method's labels and the score; phrases of the base list always keep theirs.
 
-Everything is one projection: no shuffle, no row is copied. Suppression keeps one end a priority, so
-its cost is linear in the hits of a text, however long.
+Rules are of three kinds: notices, clauses and addresses written out one by one; names of licences in
+the forms in which licences are named; and names that stand alone.
+
+Everything is one projection: no shuffle, no row is copied. No word lies in two stretches of a keyword,
+places of hits are read off in one pass, and suppression keeps one end a priority, so the cost is linear
+in the words of a text, however long and however full of keywords.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0, null positions). Repeated
 rows and null ids are kept as they are; extra columns are ignored.
@@ -14,6 +19,7 @@ rows and null ids are kept as they are; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -89,6 +95,35 @@ FAMILIES = [
     ("open", "ogl", "open government licen[cs]e"),
     ("server", "sspl", "server side public license"),
     ("business", "busl", "business source license"),
+    ("academic", "afl", "academic free license"),
+    ("open", "osl", "open software license"),
+    ("open", "opl", "open publication license"),
+    ("latex", "lppl", "latex project public license"),
+    ("lppl", "lppl", "lppl"),
+    ("qt", "qpl", "q public license|qt public license"),
+    ("ibm", "ipl", "ibm public license"),
+    ("nasa", "nasa", "nasa open source agreement"),
+    ("x11", "x11", "x11 license"),
+    ("beerware", "beerware", "beerware license|beerware"),
+    ("cecill", "cecill", "cecill"),
+    ("mulan", "mulanpsl", "mulan permissive software license|mulan psl"),
+    ("elastic", "elastic", "elastic license"),
+    ("universal", "upl", "universal permissive license"),
+    ("w3c", "w3c", "w3c software (?:notice and )?license|w3c license"),
+    ("zope", "zpl", "zope public license"),
+    ("sleepycat", "sleepycat", "sleepycat license|sleepycat"),
+    ("vim", "vim", "vim license"),
+    ("ncsa", "ncsa", "university of illinois ncsa open source license|ncsa open source license"),
+    ("apple", "apsl", "apple public source license"),
+    ("attribution", "cpal", "common public attribution license"),
+    ("reciprocal", "rpl", "reciprocal public license"),
+    ("hpnd", "hpnd", "hpnd"),
+    ("historical", "hpnd", "historical permission notice and disclaimer"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("blueoak", "blueoak", "blueoak|blue oak model license"),
+    ("cern", "cern-ohl", "cern open hardware licen[cs]e|cern ohl"),
+    ("unicode", "unicode", "unicode license agreement|unicode license"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|perimeter) license"),
 ]
 #: Names that mean other things too: no licence without a word that says so.
 AMBIGUOUS = {"apache", "mit", "expat", "bsd", "freebsd", "isc", "zlib", "mpl", "epl", "ofl"}
@@ -100,6 +135,8 @@ FORMS = [
     (r"(?:licensed|released|distributed|published|available|provided|offered|shared) under (?:the )?(?:terms of (?:the )?)?(?:{n})(?: licen[cs]e)?", 3, 0.95, False),
     (r"spdx license identifier (?:{n}) {v}", 3, 1.0, True),
     (r"spdx license identifier (?:{n})", 3, 1.0, False),
+    (r"spdx license identifier(?: [^ ]+){{1,10}}? (?:or|and|with) (?:{n}) {v}", 3, 1.0, True),
+    (r"spdx license identifier(?: [^ ]+){{1,10}}? (?:or|and|with) (?:{n})", 3, 1.0, False),
     (r"(?:{n})(?: licen[cs]e)? {v}", 2, 0.9, True),
     (r"(?:subject to|governed by|under) the (?:terms of the )?(?:{n})", 2, 0.85, False),
     (r"licen[cs]e(?: is| type| name| id)?(?: the)? (?:{n}) {v}", 2, 0.9, True),
@@ -107,7 +144,7 @@ FORMS = [
     (r"(?:{s}) licen[cs]e", 1, 0.8, False),
     (r"(?:{b})", 1, 0.75, False),
 ]
-#: Notices without a family: keyword, label, pattern, priority, score.
+#: Notices, clauses and addresses, each written out: keyword, label, pattern, priority, score.
 NOTICES = [
     ("rights", "all-rights-reserved", "all rights reserved", 1, 0.6),
     ("domain", "public-domain", "(?:dedicated to|released into|in) the public domain", 2, 0.9),
@@ -115,7 +152,7 @@ NOTICES = [
     ("warranty", "warranty-disclaimer", "without warranty of any kind", 1, 0.5),
     ("permission", "mit", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
     ("redistribution", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", 3, 1.0),
-    ("copying", "copyleft", "you may copy and distribute verbatim copies", 2, 0.7),
+    ("verbatim", "copyleft", "you may copy and distribute verbatim copies", 2, 0.7),
     ("gnu", "gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", 3, 1.0),
     ("gnu", "lgpl", "free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 3, 1.0),
     ("gnu", "agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license", 3, 1.0),
@@ -140,6 +177,126 @@ NOTICES = [
     ("ruby", "ruby", "ruby is copyrighted free software by yukihiro matsumoto", 3, 1.0),
     ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 3, 1.0),
     ("licensor", "busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 3, 1.0),
+    # apache
+    ("compliance", "apache", "you may not use this file except in compliance with the license", 3, 1.0),
+    ("licensor", "apache", "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license", 3, 1.0),
+    ("contributor", "apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 3, 1.0),
+    ("patent", "apache", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license", 3, 1.0),
+    ("prominent", "apache", "you must cause any modified files to carry prominent notices stating that you changed the files", 3, 1.0),
+    ("apache", "apache", "this product includes software developed (?:by|at) the apache software foundation", 3, 0.9),
+    ("www", "apache-2.0", "www apache org licenses license 2 0", 3, 1.0),
+    # mit and its kin
+    ("substantial", "mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 3, 1.0),
+    ("sublicense", "mit", "rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 3, 1.0),
+    ("noninfringement", "mit", "warranties of merchantability fitness for a particular purpose and noninfringement", 2, 0.7),
+    ("dealings", "mit", "arising from out of or in connection with the software or the use or other dealings in the software", 3, 0.9),
+    ("except", "x11", "except as contained in this notice the name of(?: [^ ]+){1,8} shall not be used in advertising", 3, 1.0),
+    ("evil", "json", "the software shall be used for good not evil", 3, 1.0),
+    ("opensource", "mit", "opensource org licenses? mit(?: license)?", 3, 1.0),
+    ("mit", "mit", "dual licensed under (?:the )?(?:mit and|mit or)", 3, 0.9),
+    ("choosealicense", "mit", "choosealicense com licenses mit", 3, 1.0),
+    # bsd
+    ("redistributions", "bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 3, 1.0),
+    ("redistributions", "bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 3, 1.0),
+    ("neither", "bsd-3-clause", "neither the name of(?: [^ ]+){1,8} nor the names of its contributors may be used to endorse or promote", 3, 1.0),
+    ("regents", "bsd", "the regents of the university of california", 2, 0.7),
+    ("contributors", "bsd", "this software is provided by the copyright holders and contributors as is", 3, 0.9),
+    ("procurement", "bsd", "including but not limited to procurement of substitute goods or services loss of use data or profits", 3, 0.9),
+    ("negligence", "bsd", "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software", 3, 0.9),
+    ("opensource", "bsd-2-clause", "opensource org licenses? bsd 2 clause", 3, 1.0),
+    ("opensource", "bsd-3-clause", "opensource org licenses? bsd 3 clause", 3, 1.0),
+    # isc, zlib, boost
+    ("disclaims", "isc", "the author disclaims all warranties with regard to this software", 3, 1.0),
+    ("disclaims", "isc", "(?:isc|internet systems consortium(?: inc)?) disclaims all warranties with regard to this software", 3, 1.0),
+    ("opensource", "isc", "opensource org licenses? isc(?: license)?", 3, 1.0),
+    ("misrepresented", "zlib", "the origin of this software must not be misrepresented", 3, 1.0),
+    ("plainly", "zlib", "altered source versions must be plainly marked as such", 3, 1.0),
+    ("opensource", "zlib", "opensource org licenses? zlib(?: license)?", 3, 1.0),
+    ("entire", "bsl", "the copyright notices in the software and this entire statement including the above license grant", 3, 1.0),
+    ("boost", "bsl-1.0", "www boost org license 1 0 txt", 3, 1.0),
+    # gpl, lgpl, agpl
+    ("gnu", "gpl", "you should have received a copy of the gnu general public license along with", 3, 1.0),
+    ("gnu", "lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with", 3, 1.0),
+    ("gnu", "agpl", "you should have received a copy of the gnu affero general public license along with", 3, 1.0),
+    ("hope", "gnu-notice", "is distributed in the hope that it will be useful but without any warranty", 2, 0.9),
+    ("later", "or-later", "either version [0-9]+(?: [0-9]+)? of the license or at your option any later version", 2, 0.9),
+    ("freedom", "gpl", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change", 3, 1.0),
+    ("propagate", "gpl", "you may not propagate or modify a covered work except as expressly provided under this license", 3, 1.0),
+    ("convey", "gpl", "you may convey a work based on the program", 3, 0.95),
+    ("library", "lgpl", "work that uses the library", 2, 0.8),
+    ("library", "lgpl", "you may copy and distribute verbatim copies of the library s complete source code", 3, 1.0),
+    ("remotely", "agpl", "all users interacting with it remotely through a computer network", 3, 1.0),
+    ("library", "linking-exception", "as a special exception the copyright holders of this library give you permission to link this library", 3, 0.9),
+    ("classpath", "classpath-exception", "classpath exception(?: 2 0)?", 3, 0.9),
+    ("gnu", "gpl", "www gnu org licenses gpl(?: [0-9]+ [0-9]+)?", 3, 0.95),
+    ("gnu", "lgpl", "www gnu org licenses lgpl(?: [0-9]+ [0-9]+)?", 3, 0.95),
+    ("gnu", "agpl", "www gnu org licenses agpl(?: [0-9]+ [0-9]+)?", 3, 0.95),
+    ("gnu", "gfdl", "www gnu org licenses fdl(?: [0-9]+ [0-9]+)?", 3, 0.95),
+    ("gnu", "gnu", "www gnu org licenses", 1, 0.7),
+    ("invariant", "gfdl", "with no invariant sections no front cover texts and no back cover texts", 3, 1.0),
+    ("royalty", "gnu-all-permissive", "are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 3, 1.0),
+    # mpl, epl, cddl, other weak copyleft
+    ("mpl", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 3, 1.0),
+    ("mozilla", "mpl-2.0", "mozilla org mpl 2 0", 3, 1.0),
+    ("covered", "mpl", "covered software is provided under this license on an as is basis", 3, 1.0),
+    ("incompatible", "mpl", "this source code form is incompatible with secondary licenses", 3, 1.0),
+    ("eclipse", "epl-2.0", "www eclipse org legal epl 2 0", 3, 1.0),
+    ("eclipse", "epl-1.0", "www eclipse org legal epl v10", 3, 1.0),
+    ("recipient", "epl", "constitutes recipient s acceptance of this agreement", 3, 1.0),
+    ("cddl", "cddl", "you can obtain a copy of the license at(?: [^ ]+){1,12} cddl", 3, 0.9),
+    ("artistic", "artistic", "the artistic license or the gnu general public license", 3, 0.95),
+    ("perl", "artistic", "under the same terms as perl itself", 3, 0.95),
+    ("intent", "artistic", "the intent of this document is to state the conditions under which a package may be copied", 3, 1.0),
+    ("perl", "artistic", "www perlfoundation org artistic license 2 0", 3, 1.0),
+    # creative commons and data
+    ("appropriate", "cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", 3, 1.0),
+    ("adapt", "cc-by", "adapt remix transform and build upon the material for any purpose even commercially", 3, 1.0),
+    ("contributions", "cc-by-sa", "you must distribute your contributions under the same license as the original", 3, 1.0),
+    ("purposes", "cc-by-nc", "you may not use the material for commercial purposes", 3, 1.0),
+    ("modified", "cc-by-nd", "you may not distribute the modified material", 3, 1.0),
+    ("redistribute", "cc", "you are free to share copy and redistribute the material in any medium or format", 2, 0.8),
+    ("waived", "cc0", "has waived all copyright and related or neighbou?ring rights to this work", 3, 1.0),
+    ("affirmer", "cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives", 3, 1.0),
+    ("creativecommons", "cc-by", "creativecommons org licenses by", 3, 1.0),
+    ("creativecommons", "cc-by-sa", "creativecommons org licenses by sa", 3, 1.0),
+    ("creativecommons", "cc-by-nc", "creativecommons org licenses by nc", 3, 1.0),
+    ("creativecommons", "cc-by-nd", "creativecommons org licenses by nd", 3, 1.0),
+    ("creativecommons", "cc-by-nc-sa", "creativecommons org licenses by nc sa", 3, 1.0),
+    ("creativecommons", "cc-by-nc-nd", "creativecommons org licenses by nc nd", 3, 1.0),
+    ("creativecommons", "cc0", "creativecommons org publicdomain zero", 3, 1.0),
+    ("creativecommons", "public-domain", "creativecommons org publicdomain mark", 3, 1.0),
+    ("opendatacommons", "odbl", "opendatacommons org licenses odbl", 3, 1.0),
+    ("opendatacommons", "odc-by", "opendatacommons org licenses by", 3, 1.0),
+    ("opendatacommons", "pddl", "opendatacommons org licenses pddl", 3, 1.0),
+    ("nationalarchives", "ogl", "nationalarchives gov uk doc open government licen[cs]e", 3, 1.0),
+    ("etalab", "etalab", "licence ouverte|etalab open license", 3, 0.9),
+    # fonts, public domain, odd ones
+    ("reserved", "ofl", "with reserved font name", 3, 0.95),
+    ("scripts", "ofl", "scripts sil org ofl", 3, 1.0),
+    ("anyone", "unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 3, 1.0),
+    ("unlicense", "unlicense", "for more information please refer to https? unlicense org", 3, 1.0),
+    ("everyone", "wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", 3, 1.0),
+    ("verbatim", "copyleft", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 3, 0.9),
+    ("beer", "beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 3, 1.0),
+    ("stuff", "beerware", "as long as you retain this notice you can do whatever you want with this stuff", 3, 1.0),
+    ("whatsoever", "openssl", "redistributions of any form whatsoever must retain the following acknowledge?ment", 3, 1.0),
+    ("cryptographic", "openssl", "this product includes cryptographic software written by eric young", 3, 1.0),
+    ("forgiveness", "blessing", "may you find forgiveness for yourself and forgive others", 3, 1.0),
+    ("disclaim", "public-domain", "the authors of this (?:source code|software|work) disclaim copyright", 3, 0.9),
+    ("disclaims", "public-domain", "the authors? disclaims copyright to this source code", 3, 1.0),
+    ("domain", "public-domain", "placed in(?:to)? the public domain|this (?:file|work|code|software) is (?:in the )?public domain", 2, 0.9),
+    # source available and closed
+    ("commons", "commons-clause", "commons clause license condition", 3, 1.0),
+    ("noncommercial", "polyform", "polyform noncommercial license", 3, 1.0),
+    ("managed", "elastic", "you may not provide the software to third parties as a hosted or managed service", 3, 1.0),
+    ("service", "sspl", "if you make the functionality of the program or a modified version available to third parties as a service", 3, 1.0),
+    ("confidential", "proprietary", "this (?:document|software|file) is confidential|strictly confidential", 2, 0.7),
+    ("unauthorized", "proprietary", "unauthorized copying of this (?:file|software|document|program)", 3, 0.9),
+    ("eula", "proprietary", "end user licen[cs]e agreement eula|eula", 2, 0.7),
+    ("user", "proprietary", "end user licen[cs]e agreement", 2, 0.7),
+    ("reproduced", "all-rights-reserved", "no part of this (?:publication|book|work) may be reproduced", 2, 0.8),
+    ("trademarks", "trademark-notice", "(?:are|is a) (?:registered )?trademarks? of", 1, 0.4),
+    ("evaluation", "proprietary", "for evaluation purposes only", 2, 0.6),
 ]
 
 
@@ -176,36 +333,55 @@ def spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
+RULE_MAP = "map<string,array<struct<number:int,label:string,pattern:string,priority:int,score:double,versioned:boolean>>>"
+HITS = "array<struct<start:int,end:int,priority:int,number:int,label:string,score:double>>"
+MARK = "\x01"  # no word holds it
+
+
 def _rule_map(rules: list[Signature]) -> Column:
-    """Keyword to its rules."""
-    cell = lambda r: F.struct(F.lit(r.number).alias("number"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.versioned).alias("versioned"))
-    keys = dict.fromkeys(r.keyword for r in rules)
-    return F.create_map(*(x for k in keys for x in (F.lit(k), F.array(*[cell(r) for r in rules if r.keyword == k]))))
+    """Keyword to its rules, as a constant."""
+    held: dict[str, list[dict]] = {}
+    for r in rules:
+        held.setdefault(r.keyword, []).append({k: v for k, v in vars(r).items() if k != "keyword"})
+    return F.from_json(F.lit(json.dumps(held)), RULE_MAP)
+
+
+def _places(words: Column, keywords: list[str]) -> Column:
+    """Each keyword of the text with the places where it stands."""
+    found = F.filter(F.transform(words, lambda x, i: F.when(x.isin(keywords), F.struct(x.alias("k"), i.alias("i")))), lambda p: p.isNotNull())
+    each = lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda p: p["k"])), lambda k: F.struct(k.alias("keyword"), F.transform(F.filter(all_, lambda p: p["k"] == k), lambda p: p["i"]).alias("own")))
+    return F.element_at(F.transform(F.array(found), each), 1)
+
+
+def _windows(words: Column, places: Column) -> Column:
+    """Stretches of ``REACH`` words on either side of a keyword's places, one where they meet; a signature that holds it lies within."""
 
+    def of(p: Column) -> Column:
+        own, gap = p["own"], 2 * REACH
+        first = F.filter(own, lambda x, i: (i == 0) | (x - F.get(own, i - 1) > gap))
+        last = F.filter(own, lambda x, i: (i == F.size(own) - 1) | (F.get(own, i + 1) - x > gap))
+        cut = lambda a, b: F.concat(F.lit(" "), F.array_join(F.slice(words, a + 1, b - a + REACH + 1), " "), F.lit(" "))
+        stretch = lambda a, b: F.struct(p["keyword"].alias("keyword"), a.alias("at"), cut(a, b).alias("s"))
+        return F.zip_with(F.transform(first, lambda a: F.greatest(a - REACH, F.lit(0))), last, stretch)
 
-def _windows(words: Column, keywords: list[str]) -> Column:
-    """Stretches of ``REACH`` words on either side of every keyword; a signature that holds it lies within."""
-    places = F.filter(F.transform(words, lambda x, i: F.when(x.isin(keywords), i)), lambda i: i.isNotNull())
-    first = lambda i: F.greatest(i - REACH, F.lit(0))
-    near = lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, first(i) + 1, F.lit(2 * REACH + 1)), " "), F.lit(" "))
-    return F.transform(places, lambda i: F.struct(F.element_at(words, i + 1).alias("keyword"), first(i).alias("at"), near(i).alias("s")))
+    return F.flatten(F.transform(places, of))
 
 
 def _hits(window: Column, rule: Column) -> Column:
     """Each match of a rule: start, negative end, negative priority, number, label, score (positions in words)."""
-    pieces = F.split(window["s"], rule["pattern"], -1)
     found = F.regexp_extract_all(window["s"], rule["pattern"], F.lit(0))
-    passed = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda n, p: n + spaces(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, m: n + spaces(m))
+    marked = F.split(F.regexp_replace(window["s"], rule["pattern"], F.lit(MARK + "$0")), F.lit(" "))
+    starts = F.filter(F.transform(marked, lambda x, i: F.when(F.startswith(x, F.lit(MARK)), i - 1)), lambda i: i.isNotNull())
 
     def hit(m: Column, i: Column) -> Column:
-        at = window["at"] + passed(i) - 1
+        at = window["at"] + i
         number = F.regexp_extract(m, r" (?:version |v ?)?([0-9]+)(?: [0-9]+)?$", 1)
         minor = F.regexp_extract(m, r" [0-9]+ ([0-9]+)$", 1)
         version = F.when(number == "", "").when(minor == "", F.concat(F.lit("-"), number)).otherwise(F.concat(F.lit("-"), number, F.lit("."), minor))
         label = F.when(rule["versioned"], F.concat(rule["label"], version)).otherwise(rule["label"])
         return F.struct(at.alias("start"), (-(at + spaces(m) + 1)).alias("end"), (-rule["priority"]).alias("priority"), rule["number"].alias("number"), label.alias("label"), rule["score"].alias("score"))
 
-    return F.transform(found, hit)
+    return F.when(F.size(found) > 0, F.zip_with(found, starts, hit)).otherwise(F.array().cast(HITS))
 
 
 def _surviving(hits: Column, levels: int) -> Column:
@@ -233,7 +409,8 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, id_col:
         "doc_id",
         "spaced",
         F.size("words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", F.array(*map(F.lit, keywords))), _windows(F.col("words"), keywords)).alias("windows"),
+        "words",
+        F.when(F.arrays_overlap("words", F.lit(keywords)), _places(F.col("words"), keywords)).alias("places"),
         *[F.when(F.contains(w, F.lit(f" {p} ")), F.split(w, F.lit(f"(?<= ){p}(?= )"), -1)).alias(f"cut{i}") for i, p in enumerate(BASE)],
     )
     base = []
@@ -241,9 +418,10 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, id_col:
         pieces = F.col(f"cut{i}")
         last = F.substring(w, F.lit(1), F.length(w) - F.length(F.element_at(pieces, -1)) - len(phrase))
         base.append(F.when(pieces.isNotNull(), F.struct((F.size(pieces) - 1).alias("n"), (spaces(F.element_at(pieces, 1)) - 1).alias("first"), (spaces(last) - 1).alias("last"), F.lit(label).alias("label"))))
+    rows = rows.select("doc_id", "n_words", F.filter(F.array(*base), lambda b: b.isNotNull()).alias("base"), F.when(F.size("places") > 0, _windows(F.col("words"), F.col("places"))).alias("windows"))
     by_keyword = _rule_map(rules)
     hits = F.flatten(F.flatten(F.transform("windows", lambda x: F.transform(F.element_at(by_keyword, x["keyword"]), lambda r: _hits(x, r)))))
-    rows = rows.select("doc_id", "n_words", F.filter(F.array(*base), lambda b: b.isNotNull()).alias("base"), F.when(F.size("windows") > 0, hits).alias("hits"))
+    rows = rows.select("doc_id", "n_words", "base", F.when(F.size("windows") > 0, hits).alias("hits"))
     kept = F.when(F.size("hits") > 0, _surviving(F.col("hits"), max((r.priority for r in rules), default=1)))
     rows = rows.select("doc_id", "n_words", "base", kept.alias("kept"))
     named = F.transform("base", lambda b: b["label"])
