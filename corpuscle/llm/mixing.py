@@ -3,15 +3,18 @@
 Temperature mixing: source token shares are raised to an exponent between 1 (as found) and 0 (uniform)
 and normalised. The exponent is bisected to the smallest that keeps every source within a repetition
 limit, or to the largest that reaches a target entropy. Weights become token budgets; a source is
-dealt into hash blocks, and each pass over it is a permutation of its blocks. A source is gone through
-as often as its budget allows; the last pass takes a prefix of its permutation and, of the block where
-the budget ends, the first rows in hash order that still fit.
+dealt into hash blocks, and each pass over it takes them in a permutation of its own (``block_rank`` is
+the block's place in that pass). A source is gone through as often as its budget allows; the last pass
+takes a prefix of its permutation and, of the block where the budget ends, the first rows in hash order
+that still fit.
 
-Only sums a (source, block) are gathered, so a hot source is spread over its blocks; rows meet in one
-task in the one block of a source where its budget ends.
+Only sums a (source, block) are gathered. A source has ``blocks`` blocks, or more of ``block_tokens``
+tokens each, so a hot source is spread over blocks of bounded size; rows meet in one task only in the one
+block of a source where its budget ends, and are ordered there by hashes.
 
 Defined cases: a null source is a source of its own. Every row has at least one token (null and empty
-texts too). Repeated rows are taken as often as they occur. A null id hashes like an id of its own.
+texts too). Repeated rows are taken as often as they occur. A row's place hangs on
+its id and text (null counts as a value of its own).
 An empty table gives no rows. Further columns pass through ``mix_rows``; its own are prefixed.
 """
 
@@ -34,7 +37,8 @@ class MixSpec:
     repetition: float | None = 2.0
     entropy: float | None = None
     budget: int | None = None
-    blocks: int = 256
+    blocks: int = 64
+    block_tokens: int = 16_000_000
     seed: int = 7
     bytes_per_token: int = 4
     max_sources: int = 10_000
@@ -80,19 +84,17 @@ def bisected(shares: Column, scale: Column, spec: MixSpec) -> Column:
 
 
 def _keyed(docs: DataFrame, spec: MixSpec, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    u = drawn(F.lit(spec.seed), F.col(id_col))
+    text = F.col(text_col).cast("string")
     return docs.withColumns({
         "__mix_source": F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")),
-        "__mix_u": u,
-        "__mix_block": F.pmod(u, F.lit(spec.blocks)).cast("int"),
-        "__mix_tokens": tokens_of(F.col(text_col), spec.bytes_per_token),
+        "__mix_u": drawn(F.lit(spec.seed), F.col(id_col), F.md5(text)),
+        "__mix_tokens": tokens_of(text, spec.bytes_per_token),
     })
 
 
-def block_plan(keyed: DataFrame, spec: MixSpec) -> DataFrame:
-    """For each (source, block): weight, whole passes, its rank in the last pass, whether that holds it, and the tokens left where it ends."""
-    sums = stash(keyed.groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_tokens").alias("block_tokens")), "mix-blocks")
-    sources = sums.groupBy("__mix_source").agg(F.sum("block_tokens").alias("t"))
+def weights(keyed: DataFrame, spec: MixSpec) -> DataFrame:
+    """For each source: number of blocks, weight, whole passes and the tokens left for the last one."""
+    sources = stash(keyed.groupBy("__mix_source").agg(F.sum("__mix_tokens").alias("t")), "mix-sources")
     n = sources.count()
     if n > spec.max_sources:
         raise ValueError(f"{n} sources; their shares are gathered in one row, at most {spec.max_sources}")
@@ -103,39 +105,40 @@ def block_plan(keyed: DataFrame, spec: MixSpec) -> DataFrame:
     z = F.aggregate("shares", F.lit(0.0), lambda s, p: s + F.pow(p, F.col("a")))
     row = row.select("all", "budget", "a", z.alias("z"), "shares")
     cells = F.explode(F.zip_with("all", "shares", lambda x, p: F.struct(x["source"].alias("source"), x["t"].alias("t"), (F.pow(p, F.col("a")) / F.col("z")).alias("weight"))))
-    each = row.select("budget", cells.alias("c")).select(F.col("c.source").alias("__mix_source"), F.col("c.t").alias("t"), F.round("c.weight", 12).alias("weight"), "budget")
-    each = each.withColumn("own", F.floor(F.col("weight") * F.col("budget") + 0.5).cast("long"))
-    each = each.select("__mix_source", "weight", F.floor(F.expr("own div t")).cast("int").alias("whole"), (F.col("own") % F.col("t")).alias("left"))
-    ranked = sums.join(each, "__mix_source").withColumn("draw", drawn(F.lit(spec.seed), F.col("__mix_source"), F.col("__mix_block"), F.col("whole")))
-    order = Window.partitionBy("__mix_source").orderBy("draw", "__mix_block")
-    ranked = ranked.withColumns({"rank": F.row_number().over(order), "upto": F.sum("block_tokens").over(order)})
+    each = row.select("budget", cells.alias("c")).select(F.col("c.source").alias("__mix_source"), F.col("c.t").alias("t"), F.round("c.weight", 12).alias("__mix_weight"), "budget")
+    each = each.withColumn("own", F.floor(F.col("__mix_weight") * F.col("budget") + 0.5).cast("long"))
+    blocks = F.greatest(F.lit(spec.blocks), F.ceil(F.col("t") / spec.block_tokens).cast("int")).alias("blocks")
+    return stash(each.select("__mix_source", blocks, "__mix_weight", F.floor(F.expr("own div t")).cast("int").alias("whole"), (F.col("own") % F.col("t")).alias("left")), "mix-weights")
+
+
+def block_plan(keyed: DataFrame, each: DataFrame, spec: MixSpec) -> DataFrame:
+    """(source, block, pass) of every block taken: weight, its rank in that pass, and the tokens left if the budget ends in it."""
+    sums = keyed.groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_tokens").alias("block_tokens"))
+    met = sums.join(F.broadcast(each), "__mix_source")
+    passes = met.withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.col("whole") + (F.col("left") > 0).cast("int"))))
+    drawn_ = passes.filter("__mix_pass > 0").withColumn("draw", drawn(F.lit(spec.seed), F.col("__mix_source"), F.col("__mix_block"), F.col("__mix_pass")))
+    order = Window.partitionBy("__mix_source", "__mix_pass").orderBy("draw", "__mix_block")
+    ranked = drawn_.withColumns({"__mix_rank": F.row_number().over(order), "upto": F.sum("block_tokens").over(order)})
+    full = (F.col("__mix_pass") <= F.col("whole")) | (F.col("upto") <= F.col("left"))
     before = F.col("upto") - F.col("block_tokens")
-    return stash(
-        ranked.select(
-            "__mix_source",
-            "__mix_block",
-            F.col("weight").alias("__mix_weight"),
-            (F.col("whole") + (F.col("upto") <= F.col("left")).cast("int")).alias("__mix_passes"),
-            F.col("rank").alias("__mix_rank"),
-            F.when((before < F.col("left")) & (F.col("upto") > F.col("left")), F.col("left") - before).alias("__mix_rest"),
-        ),
-        "mix-plan",
-    )
+    taken = ranked.filter(full | (before < F.col("left")))
+    return stash(taken.select("__mix_source", "__mix_block", "__mix_pass", "__mix_weight", "__mix_rank", F.when(~full, F.col("left") - before).alias("__mix_rest")), "mix-plan")
 
 
 def mix_rows(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, as often as the mixture takes them, with ``__mix_`` columns (tokens, weight, pass, block, rank)."""
     keyed = _keyed(docs, spec, id_col, text_col, source_col)
-    plan = block_plan(keyed, spec)
+    each = weights(keyed, spec)
+    keyed = keyed.join(F.broadcast(each.select("__mix_source", "blocks")), "__mix_source").withColumn("__mix_block", F.pmod("__mix_u", "blocks").cast("int")).drop("blocks")
+    plan = block_plan(keyed, each, spec)
     if plan.count() <= spec.broadcast_rows:
         plan = F.broadcast(plan)
     met = keyed.join(plan, ["__mix_source", "__mix_block"])
-    passes = met.filter(F.col("__mix_passes") > 0).withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.col("__mix_passes"))))
-    order = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_u", F.col(id_col), "__mix_tokens", F.col(text_col))
-    ending = met.filter(F.col("__mix_rest") > 0).withColumn("__mix_upto", F.sum("__mix_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ending = ending.filter(F.col("__mix_upto") <= F.col("__mix_rest")).withColumn("__mix_pass", F.col("__mix_passes") + 1)
+    order = Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_u", F.col(id_col), "__mix_tokens")
+    ending = met.filter(F.col("__mix_rest").isNotNull()).withColumn("__mix_upto", F.sum("__mix_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     own = ["__mix_tokens", "__mix_weight", "__mix_pass", "__mix_block", "__mix_rank"]
-    return passes.select(*[F.col(f"`{c}`") for c in docs.columns], *own).unionByName(ending.select(*[F.col(f"`{c}`") for c in docs.columns], *own))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], *own]
+    return met.filter(F.col("__mix_rest").isNull()).select(*columns).unionByName(ending.filter(F.col("__mix_upto") <= F.col("__mix_rest")).select(*columns))
 
 
 def mix_table(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

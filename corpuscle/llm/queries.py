@@ -52,10 +52,9 @@ def _drawn(*parts: str) -> str:
 
 
 OP2_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, 's:' || source AS k, {_drawn("'7'", "CAST(doc_id AS VARCHAR)")} AS u,
-  CAST(greatest(1, ceil(strlen(text) / 4.0)) AS BIGINT) AS tokens, text FROM documents),
-b AS (SELECT k, CAST(u % 256 AS INTEGER) AS block, CAST(sum(tokens) AS BIGINT) AS bt FROM d GROUP BY ALL),
-s AS (SELECT k, CAST(sum(bt) AS BIGINT) AS t FROM b GROUP BY k),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, {_drawn("'7'", "coalesce(CAST(doc_id AS VARCHAR), '-')", "coalesce(md5(text), '-')")} AS u,
+  CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 4.0)) AS BIGINT) AS tokens FROM documents),
+s AS (SELECT k, CAST(sum(tokens) AS BIGINT) AS t FROM d GROUP BY k),
 p AS (SELECT k, t, t / (SELECT CAST(sum(t) AS DOUBLE) FROM s) AS share, (SELECT CAST(sum(t) AS DOUBLE) FROM s) AS budget FROM s),
 l AS (SELECT list(share ORDER BY t, k) AS shares FROM p),
 bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, shares FROM l
@@ -63,15 +62,15 @@ bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, shares FROM l
   FROM (SELECT *, list_max(list_transform(shares, lambda x: power(x, mid - 1))) / list_sum(list_transform(shares, lambda x: power(x, mid))) <= 1.25 AS good
         FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 50))),
 w AS (SELECT k, t, budget, round(power(share, hi) / list_sum(list_transform(shares, lambda x: power(x, hi))), 12) AS weight FROM p, bis WHERE i = 50),
-o AS (SELECT k, weight, CAST(floor(weight * budget + 0.5) AS BIGINT) // t AS whole, CAST(floor(weight * budget + 0.5) AS BIGINT) % t AS rest FROM w),
-r AS (SELECT b.k, b.block, bt, weight, whole, rest, {_drawn("'7'", "b.k", "CAST(b.block AS VARCHAR)", "CAST(whole AS VARCHAR)")} AS draw FROM b JOIN o USING (k)),
-n AS (SELECT *, row_number() OVER x AS rank, sum(bt) OVER x AS upto FROM r WINDOW x AS (PARTITION BY k ORDER BY draw, block)),
-plan AS (SELECT k, block, weight, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS passes, rank, CASE WHEN upto - bt < rest AND upto > rest THEN rest - (upto - bt) END AS room FROM n),
-m AS (SELECT d.*, block, weight, passes, rank, room FROM d JOIN plan ON d.k = plan.k AND d.u % 256 = plan.block),
-taken AS (SELECT doc_id, source, tokens, weight, unnest(range(1, passes + 1)) AS pass, block, rank FROM m
-  UNION ALL SELECT doc_id, source, tokens, weight, passes + 1, block, rank
-  FROM (SELECT *, sum(tokens) OVER (PARTITION BY k, block ORDER BY u, doc_id, tokens, text ROWS UNBOUNDED PRECEDING) AS upto FROM m WHERE room > 0) WHERE upto <= room)
-SELECT doc_id, source, tokens, weight, CAST(pass AS INTEGER) AS pass, block, CAST(rank AS INTEGER) AS block_rank FROM taken"""
+o AS (SELECT k, weight, CAST(greatest(64, ceil(t / 16000000.0)) AS BIGINT) AS blocks, CAST(floor(weight * budget + 0.5) AS BIGINT) AS own, t FROM w),
+b AS (SELECT d.*, weight, own, t, CAST(u % blocks AS INTEGER) AS block FROM d JOIN o USING (k)),
+passes AS (SELECT k, own, t, unnest(range(1, CAST(ceil(own / t) AS BIGINT) + 1)) AS pass FROM o),
+blocks AS (SELECT k, block, CAST(sum(tokens) AS BIGINT) AS bt FROM b GROUP BY ALL),
+ranked AS (SELECT k, block, pass, bt, own - (pass - 1) * t AS have, row_number() OVER x AS rank, sum(bt) OVER x AS upto
+  FROM (SELECT *, {_drawn("'7'", "k", "CAST(block AS VARCHAR)", "CAST(pass AS VARCHAR)")} AS draw FROM passes JOIN blocks USING (k)) WINDOW x AS (PARTITION BY k, pass ORDER BY draw, block)),
+rows AS (SELECT doc_id, source, tokens, weight, pass, b.block, rank, upto - bt + sum(tokens) OVER (PARTITION BY b.k, b.block, pass ORDER BY u, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS spent, have
+  FROM b JOIN ranked ON b.k = ranked.k AND b.block = ranked.block WHERE upto - bt < have)
+SELECT doc_id, source, tokens, weight, CAST(pass AS INTEGER) AS pass, block, CAST(rank AS INTEGER) AS block_rank FROM rows WHERE spent <= have"""
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

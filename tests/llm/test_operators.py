@@ -80,6 +80,19 @@ def test_mixing_weights_and_budget(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
+def test_mixing_passes_have_orders_of_their_own(spark):
+    """Every whole pass takes all blocks, in an order that is not the other passes'; a large source gets more blocks."""
+    rows = [(i, "x" * (40 + i % 7), "en", "big" if i % 10 else "small", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_table(docs, mixing.MixSpec(repetition=5.0, blocks=16, block_tokens=500)).collect()
+    order = {}
+    for r in out:
+        order.setdefault((r.source, getattr(r, "pass")), {})[r.block] = r.block_rank
+    small = [order["small", p] for p in (1, 2, 3, 4)]
+    assert all(sorted(o.values()) == list(range(1, len(o) + 1)) and set(o) == set(small[0]) for o in small) and len({tuple(sorted(o.items())) for o in small}) == 4
+    assert len(small[0]) <= 16 < len(order["big", 1]) and max(sum(r.tokens for r in out if (r.source, r.block, getattr(r, "pass")) == ("big", b, 1)) for b in order["big", 1]) < 1500
+
+
 def test_mixing_entropy_goal(spark):
     docs = spark.createDataFrame([(i, "x" * 40, "en", "a" if i % 10 else "b", 1) for i in range(200)], DOCS)
     out = mixing.mix_table(docs, mixing.MixSpec(repetition=None, entropy=0.6)).select("source", "weight").distinct().collect()
