@@ -1,14 +1,18 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Vectors become integers, ``floor(scale * x)``. Rows are packed into blocks; a block of candidates is
-kept by component (a posting for each term), a block of queries as sparse rows of non-zero weights.
-For a pair of blocks every query term adds its weighted posting to a dense array of scores; partition
-selection keeps the k best of the block, and a merge over blocks keeps the k best of all.
+Vectors become integers, ``floor(scale * x)``. Queries are sparse rows of non-zero weights; candidates
+are read where they lie, in blocks kept by component (a posting for each term). Every query term adds
+its weighted posting to a dense array of scores; partition selection keeps the k best of the block,
+which are merged into the query's best of the task, and a last merge over tasks keeps the k best of all.
+
+Candidates are never moved. Queries go to the tasks in chunks of ``query_rows`` rows, one pass over the
+candidates a chunk; a task gives back ``k`` rows a query, and takes up to ``task_rows`` candidates.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor
 do rows with a null id. Vectors of different lengths score over the components both have. Equal scores
-go to the smaller id. Repeated ids are separate candidates, but none is its own query's. Fewer than k
-candidates give fewer rows; an empty table none.
+go to the smaller id. Repeated ids are separate candidates, but none is its own query's; an id that is
+asked with several vectors has one list over all. Fewer than k candidates give fewer rows; an empty
+table none. Scores wrap around beyond 64 bits.
 """
 
 from __future__ import annotations
@@ -16,69 +20,95 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
+def quantised(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, scale: float) -> DataFrame:
+    """id, q (integer components) and asked for every vector that takes part."""
     x = F.col(vec_col).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
-
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asked"))
 
-def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """``n`` hash blocks of about ``size`` rows: block number, ids and values as bytes."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, pdf["q"]))
-        values = np.zeros((len(pdf), width), np.int64)
-        for i, q in enumerate(pdf["q"]):
-            values[i, : len(q)] = q
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "width": [width], "data": [values.tobytes()]})
+def dense(lists: pa.ListArray) -> np.ndarray:
+    """Lists of numbers as rows of one matrix; shorter ones end in zeros."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(sizes.max(initial=0))
+    if len(flat) == len(sizes) * width:
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
 
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
-    return rows.select(block, "id", "q").groupBy("block").applyInPandas(pack, "block int, ids binary, width int, data binary")
 
-
-def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k largest (score, id), smaller ids first among equals, without the query itself."""
-    keep = min(len(ids), k + 1 + int((ids == own).sum()))
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest (score, id), smaller ids first among equals."""
+    keep = min(len(ids), k)
     floor = -np.partition(-scores, keep - 1)[keep - 1]
     at = np.flatnonzero(scores >= floor)
-    at = at[ids[at] != own]
-    order = np.lexsort((ids[at], -scores[at]))[:k]
-    return [(int(scores[i]), int(ids[i])) for i in at[order]]
-
-
-def accumulate(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for pdf in pairs:
-        for q_ids, q_width, q_data, c_ids, c_width, c_data in zip(*(pdf[c] for c in ("q_ids", "q_width", "q_data", "c_ids", "c_width", "c_data")), strict=True):
-            queries = np.frombuffer(q_data, np.int64).reshape(-1, q_width)
-            postings = np.ascontiguousarray(np.frombuffer(c_data, np.int64).reshape(-1, c_width).T)
-            if max(np.abs(queries).max(initial=0), 1) * max(np.abs(postings).max(initial=0), 1) * postings.shape[0] < 2**31:
-                postings = postings.astype(np.int32)
-            own, ids, out = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64), []
-            scores, part = np.empty(len(ids), postings.dtype), np.empty(len(ids), postings.dtype)
-            for query, row in zip(own, queries, strict=True):
-                scores[:] = 0
-                for term in np.flatnonzero(row[: len(postings)]):
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+class Accumulator:
+    """The best k candidates of each query, over blocks of candidates."""
+
+    def __init__(self, own: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.own, self.queries, self.k = own, queries, k
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(own)
+        self.terms = [np.flatnonzero(row) for row in queries]
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        postings = np.ascontiguousarray(vectors.T)
+        if float(np.abs(self.queries).max(initial=1)) * float(np.abs(postings).max(initial=1)) * len(postings) < 2**31:
+            postings = postings.astype(np.int32)
+        scores, part = np.empty(len(ids), postings.dtype), np.empty(len(ids), postings.dtype)
+        for i, (own, row) in enumerate(zip(self.own, self.queries, strict=True)):
+            scores[:] = 0
+            for term in self.terms[i]:
+                if term < len(postings):
                     np.multiply(postings[term], postings.dtype.type(row[term]), out=part)
                     np.add(scores, part, out=scores)
-                out += [(int(query), i, s) for s, i in best(scores, ids, int(query), k)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            held, value = self.found[i]
+            full = len(held) == self.k
+            at = np.flatnonzero((scores >= value[-1] if full else np.ones(len(ids), bool)) & (ids != own))
+            if len(at):
+                held, value = np.concatenate([held, ids[at]]), np.concatenate([value, scores[at].astype(np.int64)])
+                top = best(value, held, self.k)
+                self.found[i] = held[top], value[top]
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(ids) for ids, _ in self.found]
+        columns = [np.repeat(self.own, sizes), *(np.concatenate([f[j] for f in self.found]) if sizes else self.own for j in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, block_rows: int = 4096, query_rows: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, block_rows: int = 4096, query_rows: int = 16_384, task_rows: int = 1_000_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row for which ``is_query`` holds."""
-    rows = quantised(vectors, id_col, vec_col, scale)
-    asked = quantised(vectors.filter(is_query), id_col, vec_col, scale)
-    n, m = vectors.count(), vectors.filter(is_query).count()
-    parts, asks = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    candidates = blocks(rows, block_rows, parts).select("block", F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("data").alias("c_data"))
-    queries = blocks(asked, query_rows, asks).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
-    pairs = queries.join(candidates, "block").repartition(max(2, min(parts * asks, 4000)))
-    found = pairs.mapInPandas(lambda it: accumulate(it, k), "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    every = quantised(vectors, is_query, id_col, vec_col, scale)
+    asked = every.filter("asked").select("id", "q").distinct()
+    n = every.count()
+    chunks = max(1, -(-asked.count() // query_rows))
+    rows = every.select("id", "q").coalesce(max(spark.sparkContext.defaultParallelism, -(-n // task_rows)))
+    found = None
+    for c in range(chunks):
+        chunk = asked.filter(F.pmod(F.xxhash64("id", "q"), F.lit(chunks)) == c).toArrow().combine_chunks()
+        own = chunk.column("id").combine_chunks().to_numpy(zero_copy_only=False)
+        held = spark.sparkContext.broadcast((own, dense(chunk.column("q").combine_chunks())))
+
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best_of = Accumulator(*held.value, k)
+            for b in batches:
+                for at in range(0, b.num_rows, block_rows):
+                    part = b.slice(at, block_rows)
+                    best_of.add(part.column(0).to_numpy(zero_copy_only=False), dense(part.column(1)))
+            yield best_of.rows()
+
+        some = rows.mapInArrow(search, "query_id long, vec_id long, score long")
+        found = some if found is None else found.unionByName(some)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

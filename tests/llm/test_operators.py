@@ -240,7 +240,7 @@ def test_topk_against_brute_force(spark):
     vectors += [(600 + i, vectors[0][1]) for i in range(12)]
     df = spark.createDataFrame([(i, v, "clash") for i, v in vectors], "vec_id long, embedding array<float>, id string")
     got: dict[int, list] = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=4).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=4, task_rows=100).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     good = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v in vectors if v is not None and None not in v and np.isfinite(v).all()}
     for q in [i for i in good if i % 50 == 0]:
@@ -251,6 +251,13 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_topk_of_uneven_and_repeated_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [1.0]), (1, [0.5, 0.5, 9.0]), (2, [-1.0, 1.0]), (2, [-1.0, 1.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    out = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=3).collect())
+    one = 256 * 256
+    assert out == [(0, 1, 1, int(1.5 * one)), (0, 2, 2, one), (0, 3, 2, one), (50, 1, 0, one), (50, 2, 0, one), (50, 3, 1, one // 2)]
+
+
 # ---- 6
 
 
