@@ -1,25 +1,28 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds joined to test items, then Smith-Waterman alignment.
 
-Words are maximal runs of letters and digits, lower-cased. Every passage of a text that holds an n-gram
-of a test item is cut out with room on both sides. A passage goes on unless the words that it shares with
-the item, all taken as matches, stay below ``threshold``: no alignment scores more, so nothing is lost, be
-its seeds few or common. Local alignment of words (match +2, mismatch -1, gap -1) over the item's best
-possible score then finds exact, edited and reordered-in-part copies; a document leaks an item at
-``threshold`` or more. Copies that keep no n-gram of the item have no seed and are not found.
+Words are maximal runs of letters and digits, lower-cased. Stretches of a text around n-grams that some
+test item holds are cut out in the tasks that read it; their n-grams are joined to those of the items,
+and each stretch meets every item that it shares one with. It goes on unless the words that it shares
+with the item, all taken as matches, stay below ``threshold``: no alignment scores more, so nothing is
+lost, be its seeds few or common. Local alignment of words (match +2, mismatch -1, gap -1) over the
+item's best possible score then finds exact, edited and reordered-in-part copies; a document leaks an
+item at ``threshold`` or more. Copies that keep no n-gram of the item have no seed and are not found.
 
-Test items are sent to every task in parts of at most ``max_words`` words; a larger benchmark takes more
-passes, one a part. Passages, not documents, are carried on, so texts are read once a part.
+A stretch has at most ``span`` words (four times the longest item there, if that is more) and overlaps
+the next by more than an alignment can cover, so memory doesn't follow the length of texts. Equal
+stretches are aligned once a task. Hashes of the items' n-grams go to the tasks as sorted arrays, 12
+bytes each and at most ``max_seeds`` at once; a larger benchmark takes one reading of the texts a part.
 
 Defined cases: null and empty texts and items leak nothing, nor do items of fewer words than a seed.
 Repeated document rows give one result each id and item; rows with a null id take no part. Repeated
-items are found under each of their ids. Ties between passages go to the first. An empty table or an
-empty benchmark gives no rows. Extra columns are ignored.
+items are found under each of their ids, items of one id as that id's best. Ties between passages go to
+the first. An empty table or an empty benchmark gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,32 +31,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.bytehash import mixed
 from corpuscle.session import stash
 
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of the padded texts that are aligned at once.
+AREA = 1 << 19
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def passages(words: list[str], seeds: dict[tuple[str, ...], list[int]], lengths: dict[int, int], n: int) -> list[tuple[int, int, int]]:
-    """(item, from, to) of stretches around seeds; seeds of an item closer than its length share one."""
-    hits: dict[int, list[int]] = defaultdict(list)
-    for j, gram in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
-        for item in seeds.get(gram, ()):
-            hits[item].append(j)
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words that come again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
+def grams_of(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the n-grams of words."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if len(h) < n:
+        return h[:0]
+    grams = h[: len(h) - n + 1].copy()
+    for j in range(1, n):
+        grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
+    return grams
+
+
+def stretches(at: np.ndarray, longest: np.ndarray, n_words: int, n: int, span: int) -> list[tuple[int, int]]:
+    """(from, to) of what lies around seeds at ``at`` of items of ``longest`` words, long stretches in overlapping parts.
+
+    An alignment that reaches half of the best score covers at most twice the item's words.
+    """
+    lo, hi = np.maximum(at - 2 * longest, 0), np.minimum(at + n + 2 * longest, n_words)
+    before = np.concatenate([[-1], np.maximum.accumulate(hi)[:-1]])
+    reach = np.minimum.accumulate(lo[::-1])[::-1]
+    begin = np.flatnonzero(reach > before)
+    end = np.concatenate([begin[1:], [len(at)]])
     out = []
-    for item, found in hits.items():
-        room = lengths[item] + lengths[item] // 2
-        run = [found[0]]
-        for hit in [*found[1:], None]:
-            if hit is None or hit - run[-1] > room:
-                out.append((item, max(0, run[0] - room), min(len(words), run[-1] + n + room)))
-                run = []
-            if hit is not None:
-                run.append(hit)
+    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+        first, last, most = int(reach[b]), int(hi[b:e].max()), int(longest[b:e].max())
+        size, overlap = max(span, 4 * most + n), 2 * most + n
+        while last - first > size:
+            out.append((first, first + size))
+            first += size - overlap
+        out.append((first, last))
     return out
 
 
@@ -87,59 +116,100 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int
     return list(zip(best.tolist(), first.tolist(), last.tolist(), strict=True))
 
 
-def _part(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, threshold: float) -> DataFrame:
-    seeds: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for i, (_, words) in enumerate(items):
-        for gram in dict.fromkeys(zip(*(words[k:] for k in range(n)), strict=False)):
-            seeds[gram].append(i)
-    lengths = {i: len(words) for i, (_, words) in enumerate(items)}
-    plain, sc = dict(seeds), docs.sparkSession.sparkContext
-    held = sc.broadcast((plain, lengths))
+def item_rows(benchmark: DataFrame, n: int, item_col: str, item_text: str) -> DataFrame:
+    """key, item_id, words (joined by blanks), n_words and grams of every item with a seed."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes = held.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            out = []
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            grams = [np.unique(grams_of(w, n, hashes)).view(np.int64).tolist() for w in words]
+            out = pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["key", "item_id", "item", "n_words", "grams"])
+            yield out.filter(pa.array([len(g) > 0 for g in grams], pa.bool_()))
+
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+    return items.withColumn("key", F.xxhash64("item_id", "text")).mapInArrow(run, "key long, item_id long, item string, n_words int, grams array<long>")
+
+
+def passage_rows(docs: DataFrame, seeds: np.ndarray, longest: np.ndarray, n: int, span: int) -> DataFrame:
+    """id, at, passage and the seeds in it, for every stretch around a seed."""
+    held = docs.sparkSession.sparkContext.broadcast((seeds, longest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sizes = held.value
+        hashes = WordHashes()
+        for b in batches:
+            out, size = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = words_of(text.as_py())
-                out += [(doc, item, lo, " ".join(words[lo:hi])) for item, lo, hi in passages(words, table, sizes, n)]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["id", "item", "at", "passage"])
+                grams = grams_of(words, n, hashes)
+                place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                at = np.flatnonzero(known[place] == grams)
+                if len(at):
+                    for lo, hi in stretches(at, sizes[place[at]].astype(np.int64), len(words), n, span):
+                        own = grams[at[np.searchsorted(at, lo) : np.searchsorted(at, hi - n + 1)]]
+                        if len(own):
+                            out.append((doc, lo, " ".join(words[lo:hi]), np.unique(own).view(np.int64).tolist()))
+                            size += hi - lo
+                if size > 500_000:
+                    yield _passages(out)
+                    out, size = [], 0
+            yield _passages(out)
+
+    return docs.mapInArrow(run, "id long, at long, passage string, grams array<long>")
+
+
+def _passages(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "at", "passage", "grams"])
+
 
-    found = stash(docs.mapInArrow(cut, "id long, item int, at long, passage string"), "passages")
-    known = sc.broadcast(([words for _, words in items], [i for i, _ in items]))
+def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
+    """id, item_id, score, first_word, last_word of pairs (id, at, passage, item_id, item) that reach the threshold."""
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, ids = known.value
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for i, group in pdf.groupby("item"):
-                code = {w: k for k, w in enumerate(dict.fromkeys(texts[i]))}
-                item = np.array([code[w] for w in texts[i]])
-                cells = [np.array([code.get(w, -2) for w in p.split(" ")]) for p in group["passage"]]
+            for text, group in pdf.groupby("item"):
+                words = text.split(" ")
+                code = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                item = np.array([code[w] for w in words])
                 own = np.bincount(item)
-                most = [np.minimum(np.bincount(c[c >= 0], minlength=len(own)), own).sum() / len(item) for c in cells]
-                order = sorted((k for k in range(len(cells)) if most[k] >= threshold), key=lambda k: len(cells[k]))
-                for lo in range(0, len(order), 256):
-                    part = order[lo : lo + 256]
-                    for k, (best, first, last) in zip(part, align(item, [cells[x] for x in part]), strict=True):
-                        value = best / (MATCH * len(item))
-                        if value >= threshold:
-                            out.append((int(group["id"].iloc[k]), ids[i], value, int(group["at"].iloc[k]) + first, int(group["at"].iloc[k]) + last))
+                cells = {p: np.array([code.get(w, -2) for w in p.split(" ")]) for p in group["passage"].unique()}
+                cells = {p: c for p, c in cells.items() if np.minimum(np.bincount(c[c >= 0], minlength=len(own)), own).sum() >= threshold * len(item)}
+                scored, order = {}, sorted(cells, key=lambda p: len(cells[p]))
+                while order:
+                    part = [order.pop()]
+                    while order and (len(part) + 1) * len(cells[part[0]]) <= AREA:
+                        part.append(order.pop())
+                    scored |= dict(zip(part, align(item, [cells[p] for p in part]), strict=True))
+                for doc, item_id, at, p in zip(group["id"], group["item_id"], group["at"], group["passage"], strict=True):
+                    best, first, last = scored.get(p, (0, 0, 0))
+                    if best >= threshold * MATCH * len(item) and best > 0:
+                        out.append((doc, item_id, best / (MATCH * len(item)), at + first, at + last))
             yield pd.DataFrame(out, columns=["id", "item_id", "score", "first_word", "last_word"])
 
-    return found.filter("id is not null").repartition("id", "item").mapInPandas(score, "id long, item_id long, score double, first_word long, last_word long")
+    return pairs.mapInPandas(run, "id long, item_id long, score double, first_word long, last_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word: each document's best passage for every item that it leaks."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    parts, found = max(1, -(-size // (4 * max_words))), None
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_seeds: int = 8_000_000, span: int = 2048) -> DataFrame:
+    """doc_id, item_id, score, first_word, last_word: each document's best passage for every item that it leaks (``threshold`` 0.5 or more)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    items = stash(item_rows(benchmark, n, item_col, item_text), "items")
+    seeds = stash(items.select("key", "n_words", F.explode("grams").alias("gram")), "seeds")
+    distinct = seeds.groupBy("gram").agg(F.max("n_words").alias("longest"))
+    parts, found = max(1, -(-distinct.count() // max_seeds)), None
     for p in range(parts):
-        own = [(r["id"], words_of(r["text"])) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).collect()]
-        some = _part(rows, sorted(x for x in own if len(x[1]) >= n), n, threshold)
-        found = some if found is None else found.union(some)
-    best = found.groupBy("id", "item_id").agg(F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("b"))
+        own = distinct.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == p).toArrow()
+        grams, longest = own.column("gram").to_numpy().view(np.uint64), own.column("longest").to_numpy()
+        order = np.argsort(grams)
+        if len(grams):
+            some = stash(passage_rows(rows, grams[order], longest[order], n, span), "passages")
+            found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "id long, at long, passage string, grams array<long>")
+    keyed = found.withColumn("h", F.xxhash64("passage"))
+    met = keyed.select("id", "at", "h", F.explode("grams").alias("gram")).join(seeds.select("gram", "key"), "gram").select("id", "at", "h", "key").distinct()
+    pairs = keyed.select("id", "at", "h", "passage").join(met, ["id", "at", "h"]).join(items.select("key", "item_id", "item"), "key")
+    best = aligned(pairs.select("id", "at", "passage", "item_id", "item"), threshold).groupBy("id", "item_id").agg(F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "b.score", "b.first_word", "b.last_word")

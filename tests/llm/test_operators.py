@@ -409,7 +409,7 @@ def test_leaks(spark):
     out = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench).collect()}
     assert {k for k in out if k[0] < 200} == {(100, 0), (101, 1)} and {k for k in out if k[0] >= 200} == {(300 + i, 2) for i in range(40)}
     assert out[100, 0].score == 1.0 and (out[100, 0].first_word, out[100, 0].last_word) == (50, 69) and 0.8 < out[101, 1].score < 1
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, max_words=20).collect()} == set(out)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, max_seeds=20).collect()} == set(out)
     assert decontam.leaks(no_docs(spark), bench).count() == 0 and decontam.leaks(docs, bench.filter("false")).count() == 0
 
 
@@ -441,6 +441,37 @@ def test_leaks_with_few_seeds_left(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5}) and got[0, 0] == pytest.approx(0.625) and len(got) == 9
 
 
+def test_leaks_against_aligning_everything(spark):
+    """Every document against every item, items of many lengths in short and long texts, with random edits: share found and scores."""
+    rng = random.Random(29)
+    items = [sentence(rng, rng.choice([3, 5, 8, 12, 20, 40])) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        words = items[i % 12].split()
+        for _ in range(rng.randrange(0, 1 + len(words) * 2 // 5)):
+            at, what = rng.randrange(len(words)), rng.random()
+            words[at : at + 1] = [f"edit{rng.randrange(99)}"] if what < 0.5 else [] if what < 0.7 else [words[at], "more"]
+        texts.append(f"{sentence(rng, rng.choice([0, 3, 30]))} {' '.join(words)} {sentence(rng, rng.choice([0, 3, 30]))}")
+    texts += [" ".join(sentence(rng, 25) + " " + items[j % 12] for j in range(60)), " ".join(items[:12]) * 2, items[3]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, k): v for i, t in enumerate(texts) for k, item in enumerate(items) if (v := brute_alignment(item.split(), t.split())) >= 0.5}
+    grams = lambda t: set(zip(w := t.split(), w[1:], w[2:], strict=False))
+    seeded = {(i, k): v for (i, k), v in want.items() if grams(texts[i]) & grams(items[k])}
+    long = [k for k in want if len(items[k[1]].split()) >= 12]
+    assert sum(k in seeded for k in long) >= 0.99 * len(long) > 50
+    for span in (2048, 64):
+        assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench, span=span).collect()} == pytest.approx(seeded)
+
+
+def test_leaks_of_ties_and_long_repetitive_texts(spark):
+    item = "one two three four five six"
+    texts = [f"{item} and {item}", "one two three " * 30_000, "one two three four " * 2_000 + item]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).union(spark.createDataFrame([(0, texts[0], "en", "s", 1)], DOCS))
+    out = {r.doc_id: tuple(r)[2:] for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert out[0] == (1.0, 0, 5) and out[1][0] == 0.5 and out[2][0] == 1.0 and out[2][2] - out[2][1] == 5 and len(out) == 3
+
+
 # ---- 10
 
 
