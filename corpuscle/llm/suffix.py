@@ -1,23 +1,29 @@
-"""Suffix-array dedup of byte strings by depth-limited radix passes.
+"""Dedup of byte strings repeated over ``WIDTH`` bytes: suffixes grouped to that depth.
 
-The suffixes of all texts are ordered through their first ``WIDTH`` bytes only, by most-significant-digit
-passes over Spark shuffles; equal groups are the repeated windows. A group is known by its earliest
-suffix (smaller id, then smaller start), and every other member's bytes are removed.
+Windows are suffixes cut at depth ``WIDTH``; equal groups are the repeated windows. A group is known by
+its earliest suffix (smaller id, then smaller start), and every other member's bytes are removed.
 
-Passes. (1) Digit: the anchor of a window, its 48-byte substring of smallest hash, leftmost among
-equals. Equal windows have equal anchors, so neighbouring suffixes with one anchor travel as one
-stretch: the anchor's hash, a hash of the whole stretch and its position. (2) Digit: the stretch. Equal
-stretches are runs of equal windows; the earliest represents them, the others are done. (3) Of the
-representatives, those alone with their anchor have no equal suffix and are done. (4) Digit: what is
-left of the window. Only suffixes in stretches that share an anchor are taken singly.
+Groups are not formed by radix passes over leading bytes: the first such pass shuffles a key and a
+position for every byte of text, many times the input (README has the figures). Content-anchored hashes,
+by which neighbouring suffixes travel together, refine the groups instead.
 
-Digits are 64-bit hashes, two of them in each group key. Each pass is an aggregation to the smallest
+Passes. (1) Key: the anchor of a window, its 48-byte substring of smallest hash, leftmost among equals.
+Equal windows have equal anchors, so neighbouring suffixes with one anchor travel as one stretch: the
+anchor's hash, a hash of the whole stretch and its position. (2) Key: the stretch. Equal stretches are
+runs of equal windows; the earliest represents them, the others are done. (3) Of the representatives,
+those alone with their anchor have no equal suffix and are done. (4) Key: the window. Only suffixes in
+stretches that share an anchor are taken singly.
+
+Keys are 64-bit hashes, two of them in each group key. Each pass is an aggregation to the smallest
 position, combined before the shuffle, so a passage that every document has is one row a task. What
 comes back to a document are the positions that stayed first; all others of its windows are covered.
+Texts are gone through in pieces of ``PIECE`` bytes that overlap by ``WIDTH - 1``, so what a task holds
+beside a text doesn't grow with it, except a byte of mask for each of its bytes.
 
 Defined cases: null and empty texts have no bytes and no spans; texts shorter than ``WIDTH`` keep all.
 Rows with a null id take no part and come back whole. Rows that share an id and text are one document
-and get one result each; they do not cover each other. Extra columns are ignored.
+and get one result each; they do not cover each other. Otherwise ids are taken to be unique. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +40,7 @@ from corpuscle.llm.bytehash import BASES, Ranges, batches
 from corpuscle.session import discard, release, stash, stash_by_key, stash_path
 
 WIDTH, ANCHOR = 100, 48
+PIECE = 1_000_000
 
 
 def least_ahead(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,20 +85,42 @@ def _packed(text: np.ndarray, start: np.ndarray) -> np.ndarray:
     return text.astype(np.int64) << 32 | start
 
 
-def _listed(lists: list, start: int, n: int) -> np.ndarray:
-    """Packed (text, start) of the lists of ``n`` texts from ``start`` on."""
-    own = [np.asarray(x if x is not None else (), np.int64) for x in lists[start : start + n]]
-    return _packed(np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)) if own else np.empty(0, np.int64)
+def _listed(lists: list) -> np.ndarray:
+    """Packed (text, start) of each text's list."""
+    own = [np.asarray(x if x is not None else (), np.int64) for x in lists]
+    return _packed(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)) if own else np.empty(0, np.int64)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _slices(record_batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(record_batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and, unless it is one row, ``size`` bytes of text."""
     for b in record_batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        start, held = 0, 0
+        for i, n in enumerate(lengths):
+            if i > start and (i - start == rows or held + n > size):
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if len(lengths) > start:
+            yield b.slice(start)
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Stretches]]:
+    """For runs of pieces: the text of each, its start there, offsets in the buffer, and their stretches (of the pieces)."""
+    of, base, cut = [], [], []
+    for i, t in enumerate(texts):
+        for lo in range(0, max(len(t) - WIDTH + 1, 1), PIECE - WIDTH + 1):
+            of.append(i)
+            base.append(lo)
+            cut.append(t[lo : lo + PIECE] if len(t) > PIECE else t)
+    of_, base_ = np.array(of, np.int64), np.array(base, np.int64)
+    for start, data, offsets in batches(cut):
+        end = start + len(offsets) - 1
+        yield of_[start:end], base_[start:end], offsets, Stretches(data, offsets)
 
 
 def stretch_rows(docs: DataFrame, low: int, bits: int) -> DataFrame:
@@ -99,9 +129,8 @@ def stretch_rows(docs: DataFrame, low: int, bits: int) -> DataFrame:
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(record_batches):
             ids = np.array(b.column(0).to_pylist(), np.int64)
-            for start, data, offsets in batches(_texts(b.column(1))):
-                s = Stretches(data, offsets)
-                pos = (ids[start + s.text] - low) << bits | s.first
+            for of, base, _, s in _pieces(_texts(b.column(1))):
+                pos = (ids[of[s.text]] - low) << bits | base[s.text] + s.first
                 yield pa.RecordBatch.from_arrays([pa.array(s.anchor.view(np.int64)), pa.array(s.whole.view(np.int64)), pa.array(pos)], ["anchor", "whole", "pos"])
 
     return docs.mapInArrow(run, "anchor long, whole long, pos long")
@@ -112,15 +141,14 @@ def window_rows(listed: DataFrame, low: int, bits: int) -> DataFrame:
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(record_batches):
-            ids, shared = np.array(b.column(0).to_pylist(), np.int64), b.column(2).to_pylist()
-            for start, data, offsets in batches(_texts(b.column(1))):
-                s = Stretches(data, offsets)
-                chosen = np.flatnonzero(np.isin(_packed(s.text, s.first), _listed(shared, start, len(offsets) - 1)))
-                of, at = s.windows(chosen)
-                begin = offsets[s.text[of]] + at
+            ids, shared = np.array(b.column(0).to_pylist(), np.int64), _listed(b.column(2).to_pylist())
+            for of, base, offsets, s in _pieces(_texts(b.column(1))):
+                chosen = np.flatnonzero(np.isin(_packed(of[s.text], base[s.text] + s.first), shared))
+                stretch, at = s.windows(chosen)
+                begin = offsets[s.text[stretch]] + at
                 rest = s.hashes.of(begin, begin + WIDTH)
-                pos = (ids[start + s.text[of]] - low) << bits | at
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchor[of].view(np.int64)), pa.array(rest.view(np.int64)), pa.array(pos)], ["anchor", "rest", "pos"])
+                pos = (ids[of[s.text[stretch]]] - low) << bits | base[s.text[stretch]] + at
+                yield pa.RecordBatch.from_arrays([pa.array(s.anchor[stretch].view(np.int64)), pa.array(rest.view(np.int64)), pa.array(pos)], ["anchor", "rest", "pos"])
 
     return listed.mapInArrow(run, "anchor long, rest long, pos long")
 
@@ -131,30 +159,30 @@ def cut_rows(listed: DataFrame) -> DataFrame:
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(record_batches):
-            first, shared, alone = (b.column(i).to_pylist() for i in (2, 3, 4))
-            sizes, spans, kept = [], [], []
-            texts, known = _texts(b.column(1)), [i is not None for i in b.column(0).to_pylist()]
-            for start, data, offsets in batches(texts):
-                n = len(offsets) - 1
-                s = Stretches(data, offsets)
-                place = _packed(s.text, s.first)
-                own = np.array(known[start : start + n], bool)[s.text]
-                later = own & ~np.isin(place, _listed(first, start, n))
-                of, at = s.windows(np.flatnonzero(own & ~later & np.isin(place, _listed(shared, start, n))))
-                again = ~np.isin(_packed(s.text[of], at), _listed(alone, start, n))
-                edge = np.zeros(len(data) + 1, np.int64)
+            first, shared, alone = (_listed(b.column(i).to_pylist()) for i in (2, 3, 4))
+            texts, known = _texts(b.column(1)), np.array([i is not None for i in b.column(0).to_pylist()], bool)
+            gone = [np.zeros(len(t), bool) for t in texts]
+            for of, base, offsets, s in _pieces(texts):
+                text, place = of[s.text], _packed(of[s.text], base[s.text] + s.first)
+                own = known[text]
+                later = own & ~np.isin(place, first)
+                stretch, at = s.windows(np.flatnonzero(own & ~later & np.isin(place, shared)))
+                again = ~np.isin(_packed(text[stretch], base[s.text[stretch]] + at), alone)
+                edge = np.zeros(int(offsets[-1]) + 1, np.int32)
                 np.add.at(edge, offsets[s.text[later]] + s.first[later], 1)
                 np.add.at(edge, offsets[s.text[later]] + s.last[later] + WIDTH, -1)
-                begin = offsets[s.text[of[again]]] + at[again]
+                begin = offsets[s.text[stretch[again]]] + at[again]
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + WIDTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                    mask = gone[lo:hi]
-                    turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                    sizes.append(int(hi - lo))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
-                    kept.append(data[lo:hi][~mask].tobytes())
+                covered = np.cumsum(edge[:-1]) > 0
+                for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    gone[of[k]][base[k] : base[k] + hi - lo] |= covered[lo:hi]
+            sizes, spans, kept = [], [], []
+            for t, mask in zip(texts, gone, strict=True):
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]).astype(np.int8)))
+                sizes.append(len(t))
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
+                kept.append(np.frombuffer(t, np.uint8)[~mask].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
     return listed.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

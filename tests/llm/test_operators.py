@@ -355,6 +355,19 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffix.cut_repeats(no_docs(spark)).count() == 0
 
 
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    """Texts of many pieces, cut at other places than their copies, give what one piece gives."""
+    rng = random.Random(31)
+    shared = sentence(rng, 500)
+    texts = {i: sentence(rng, rng.randrange(0, 200)) + shared[rng.randrange(900) :] + sentence(rng, 50) + "z" * rng.randrange(300) for i in range(12)} | {20: "ab" * 3000, 21: sentence(rng, 16)[:100], 22: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_repeats(texts)
+    for piece in (250, 1001):
+        monkeypatch.setattr(suffix, "PIECE", piece)
+        out = suffix.cut_repeats(docs).collect()
+        assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out} == want
+
+
 def test_suffix_dedup_with_ids_far_apart(spark):
     text = sentence(random.Random(1), 60)
     docs = spark.createDataFrame([(-(2**62), text), (2**62, text + " more"), (5, "short")], "doc_id long, text string")
