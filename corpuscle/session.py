@@ -32,10 +32,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing is set (a local session) is a folder of this machine used.
+    Only in a local session with nothing set is a folder of this machine used; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="corpuscle-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -69,6 +71,22 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Stashes of one operator; those that no later step reads are deleted by ``clear``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(stash_path(self.spark, name))
+        return stash(df, name, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
