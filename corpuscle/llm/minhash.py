@@ -10,8 +10,9 @@ block inside tasks, which return only confirmed links), so no link between diffe
 bucket size. What remains is the chance that two similar sets share no band at all, 1.3e-7 at 0.8.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are kept. A text with fewer
-words than a shingle has one shingle, its whole sequence. Repeated rows are rows of one class. Rows with
-a null id take no part; they come back with a null component and are kept. Extra columns are ignored.
+words than a shingle has one shingle, its whole sequence. Repeated rows are rows of one class. Rows of
+one id with several texts have the size of their own text and share the links of all. Rows with a null
+id take no part; they come back with a null component and are kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.bytehash import Ranges, batches, mixed
-from corpuscle.llm.components import components
-from corpuscle.session import stash
+from corpuscle.llm.components import SALTS, components
+from corpuscle.session import Scratch, stash
 
 BANDS, ROWS, BITS = 40, 5, 2
 #: Standard errors below the threshold down to which an estimate is still confirmed.
@@ -110,6 +111,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def class_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    spread = mixed(grams)
+    return int(grams.sum(dtype=np.uint64).view(np.int64)), int((spread * spread).sum(dtype=np.uint64).view(np.int64)) ^ len(grams)
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """id, n (size of the set), two class hashes, packed bits and band keys; an empty set has neither bits nor keys."""
 
@@ -121,9 +128,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 n, one, two, bits, keys = [], [], [], [], []
                 for grams in shingle_sets(texts, words):
                     n.append(len(grams))
-                    spread = mixed(grams)
-                    one.append(int(grams.sum(dtype=np.uint64).view(np.int64)))
-                    two.append(int((spread * spread).sum(dtype=np.uint64).view(np.int64)) ^ len(grams))
+                    c1, c2 = class_of(grams)
+                    one.append(c1)
+                    two.append(c2)
                     least = minima(grams) if len(grams) else None
                     bits.append(None if least is None else packed(least))
                     keys.append(None if least is None else band_keys(least).view(np.int64).tolist())
@@ -133,16 +140,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id and the set itself as bytes."""
+    """id, the two class hashes and the set itself as bytes."""
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in record_batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in shingle_sets(texts, words)], pa.binary())], ["id", "grams"])
+                sets = list(shingle_sets(texts, words))
+                ones, twos = zip(*map(class_of, sets), strict=True) if sets else ((), ())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["id", "c1", "c2", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    return docs.mapInArrow(run, "id long, c1 long, c2 long, grams binary")
 
 
 def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -176,16 +185,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def blocks_compared(crowd: DataFrame, sets: DataFrame, signed: DataFrame, percent: int, threshold: float, block: int) -> DataFrame:
     """Links across components inside crowds (crowd, id, component), block against block.
 
-    A crowd is dealt into hash blocks. The members outside its largest component meet every block; only
-    confirmed links leave the task, at most one for two components of a pair of blocks.
+    A crowd is dealt into hash blocks. The members outside its largest component meet every block, so all
+    members go to those blocks alone that hold one; only confirmed links leave the task, at most one for
+    two components of a pair of blocks.
     """
     floor = lowest_estimate(threshold)
-    full = crowd.join(sets, "id").join(signed.select("id", "bits"), "id")
+    full = crowd.join(sets, "id").join(signed.select("id", "c1", "c2", "bits"), ["id", "c1", "c2"])
     main = crowd.groupBy("crowd", "component").agg(F.count("*").alias("k")).groupBy("crowd").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("k"))
     laid = full.join(main, "crowd").withColumn("parts", F.ceil(F.col("k") / block).cast("int"))
     laid = laid.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("side", F.col("component") != F.col("main"))
     lines = laid.filter("side").select("crowd", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", "bits", "grams", "side")
-    facing = laid.select("crowd", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("role"), "id", "component", "bits", "grams", "side")
+    asked = laid.filter("side").select("crowd", F.col("part").alias("i")).distinct()
+    facing = laid.join(asked, "crowd").select("crowd", "i", F.col("part").alias("j"), F.lit(1).alias("role"), "id", "component", "bits", "grams", "side")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         ours, theirs = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
@@ -217,23 +228,28 @@ def blocks_compared(crowd: DataFrame, sets: DataFrame, signed: DataFrame, percen
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links) and kept for every row."""
     threshold = percent / 100
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stash(signatures(rows, words), "signatures")
     real = signed.filter("id is not null and n > 0")
-    classes = stash(real.groupBy("n", "c1", "c2").agg(F.min(F.struct("id", "bits", "keys")).alias("first")).select("n", "c1", "c2", F.col("first.id").alias("id"), F.col("first.bits").alias("bits"), F.col("first.keys").alias("keys")), "classes")
-    in_band = classes.select("id", F.explode("keys").alias("key"))
+    first = F.min(F.struct("id", "bits", "keys")).alias("first")
+    classes = stash(real.groupBy("n", "c1", "c2").agg(first).select("n", "c1", "c2", F.col("first.id").alias("id"), F.col("first.bits").alias("bits"), F.col("first.keys").alias("keys")), "classes")
+    scratch = Scratch(spark)
+    in_band = classes.select("id", F.explode("keys").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     heads = in_band.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("k")).filter("k > 1")
-    buckets = stash(in_band.join(heads, "key"), "buckets")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    buckets = scratch.stash(in_band.join(heads, ["key", "salt"]).select("key", "id", "head", "k"), "buckets")
     pairs = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stash(likely(pairs, classes, threshold), "pairs")
+    pairs = scratch.stash(likely(pairs, classes, threshold), "pairs")
     crowded = buckets.filter("k > 2").select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = stash(full_sets(rows.join(crowded, "id", "left_semi").dropDuplicates(["id"]), words), "sets")
-    links = stash(confirmed(pairs, sets, percent), "confirmed")
+    once = rows.join(crowded, "id", "left_semi").withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
+    sets = scratch.stash(full_sets(once, words).join(classes.select("id", "c1", "c2"), ["id", "c1", "c2"], "left_semi"), "sets")
+    links = scratch.stash(confirmed(pairs, sets, percent), "confirmed")
     found = components(links)
     member = buckets.filter("k > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "head", "k", "id", F.coalesce("component", "id").alias("component"))
-    member = stash(member, "members")
+    member = scratch.stash(member, "members")
     split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stash(member.join(split, "key", "left_semi"), "open")
+    open_ = scratch.stash(member.join(split, "key", "left_semi"), "open")
     few = open_.filter(F.col("k") <= SMALL_BUCKET)
     a, b = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     met = a.join(b, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
@@ -241,8 +257,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     many = open_.filter(F.col("k") > SMALL_BUCKET)
     groups = components(many.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     crowd = groups.select(F.col("component").alias("crowd"), F.col("node").alias("id")).join(many.groupBy("id").agg(F.first("component").alias("component")), "id")
-    across = blocks_compared(stash(crowd, "crowds"), sets, classes, percent, threshold, block)
+    across = blocks_compared(scratch.stash(crowd, "crowds"), sets, classes, percent, threshold, block)
     final = components(links.union(more).union(across))
+    scratch.clear()
     rep = classes.select("n", "c1", "c2", F.col("id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     rep = rep.select("n", "c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "c1", "c2").join(rep, ["n", "c1", "c2"], "left")

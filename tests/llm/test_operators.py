@@ -304,6 +304,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_bucket):
     assert minhash.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Such an id is one document with the links of each of its texts, whichever row comes first."""
+    rng = random.Random(37)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    docs = spark.createDataFrame([(1, a), (5, a + " more"), (5, b), (9, b + " again"), (7, "alone")], "doc_id long, text string")
+    for rows in (docs, docs.orderBy(F.desc("text"))):
+        out = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(rows, words=2).collect()}
+        assert out == {(1, 59): 1, (5, 60): 1, (5, 59): 1, (9, 60): 1, (7, 1): 7}
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
