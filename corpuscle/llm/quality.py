@@ -1,11 +1,14 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Each text is reduced to a fixed set of transformed statistics. Class means and covariances come from
-sums of the labelled rows (one row of moments a class and task, so any number of labels fits); every
-covariance is shrunk to the pooled one and to its diagonal, and its Cholesky factor is inverted once.
+sums over labelled rows (one row of moments a class and task): all of them, or in hash order of their ids
+a share that leaves about ``max_labels``; every covariance is shrunk to the pooled one (``to_pooled``,
+0.3: the classes share most of their shape) and to its diagonal (``to_diagonal``, 0.05: enough to keep
+statistics that never vary invertible), and its Cholesky factor is inverted once.
 The score is the logistic of the difference of log densities, i.e. of Mahalanobis distances and log
-determinants, tempered by ``bytes / (bytes + SHORT)`` since ratios of short texts say little, plus the
-log odds of the classes.
+determinants, tempered by ``bytes / (bytes + SHORT)`` since ratios of short texts say little (at SHORT
+bytes, about a line, they count half), plus the log odds of the classes. Texts are scored where they are
+read: nothing but the labelled rows' statistics is moved.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score. A null id is
 scored and never learnt from. Several labels of one document count as their largest; null labels are
@@ -71,16 +74,16 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and ``x``, the array of statistics."""
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """label and ``x``, the array of statistics, of (label, text)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1)
             offsets = np.arange(0, len(x) + 1, len(STATISTICS), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))], ["label", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, "id long, x array<double>")
+    return docs.mapInArrow(measure, "label int, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -146,14 +149,27 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
     return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", to_pooled: float = 0.3, to_diagonal: float = 0.05) -> DataFrame:
-    """id and score (0 to 1) of every row; ``train`` (on the labels' id) says which labelled rows are learnt from."""
-    measured = stash(document_statistics(docs, id_col, text_col), "quality")
-    known = labels.filter(F.col(label_col).isin(0, 1) & train).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    model = fit(moments(measured.join(known, "id").select("label", "x")), to_pooled, to_diagonal)
+def learnt(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", to_pooled: float = 0.3, to_diagonal: float = 0.05, max_labels: int = 200_000) -> Discriminant:
+    """The discriminant of the labelled rows for which ``train`` (on the labels' id) holds."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = stash(known, "labels")
+    parts = max(1, -(-known.count() // max_labels))
+    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return fit(moments(document_statistics(texts.join(F.broadcast(chosen), "id").select("label", "text"))), to_pooled, to_diagonal)
+
+
+def quality_of(model: Discriminant, text: Column) -> Column:
+    """The score of a text, 0 to 1."""
 
     @F.pandas_udf("double")
-    def scored(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.vstack(x.to_numpy())) if len(x) else np.empty(0))
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else np.empty(0))
 
-    return measured.select(F.col("id").alias(id_col), scored("x").alias("score"))
+    return scored(text.cast("string"))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
+    """id and score (0 to 1) of every row; ``train`` (on the labels' id) says which labelled rows are learnt from."""
+    model = learnt(docs, labels, train, id_col, text_col, **fitting)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), quality_of(model, F.col(text_col)).alias("score"))

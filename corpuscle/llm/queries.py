@@ -9,15 +9,21 @@ from corpuscle.llm import decontam, langid, licenses, minhash, mixing, quality,
 from corpuscle.session import read_table
 
 URL_PREFIXES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+#: Names of link farms and trackers, tokens of addresses that lead to no text, and endings of files that hold none.
+FARMS = ["spam-farm", "cheap-pills", "adult-x", "casino-win", "free-bets", "ads-track", "doubleclick", "adservice", "clickbank", "popads", "payday-loans", "replica-watches", "xxx-cams", "torrent-hub", "crypto-giveaway", "seo-boost", "link-exchange", "free-ringtones", "miracle-diet", "warez"]
+ACTIONS = ["login", "signin", "signup", "register", "logout", "cart", "checkout", "wishlist", "captcha", "unsubscribe", "password-reset", "print-view", "share", "feed", "trackback", "xmlrpc", "wp-admin", "cgi-bin", "admin", "calendar"]
+ENDINGS = ["jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "tiff", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ogg", "webm", "zip", "gz", "bz2", "xz", "rar", "7z", "tar", "iso", "exe", "msi", "dmg", "apk", "deb", "rpm", "jar", "css", "js", "woff", "woff2", "ttf", "eot", "swf"]
+PARAMETERS = ["sessionid", "phpsessid", "jsessionid", "sid", "replytocom", "utm_source", "gclid", "fbclid", "affid", "add-to-cart"]
 URL_PATTERNS = [
-    ("^spam-farm^", "block"),
-    ("^cheap-pills^", "block"),
-    ("^adult-x^", "block"),
-    ("^casino-win^", "block"),
-    ("^free-bets^", "block"),
-    ("^ads-track^", "block"),
+    *[(f"^{name}^", "block") for name in FARMS],
+    *[(f"/{name}^", "block") for name in ACTIONS],
+    *[(f".{name}^", "block") for name in ENDINGS],
+    *[(f"^{name}=", "block") for name in PARAMETERS],
     ("://blog.*/fr/*^page=2^", "block"),
     ("^casino-win.*/de/*.html^", "allow"),
+    ("/robots.txt^", "allow"),
+    ("/login^*^next=", "allow"),
+    ("^calendar^*^event=", "allow"),
 ]
 
 

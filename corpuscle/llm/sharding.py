@@ -2,7 +2,7 @@
 
 Rows with equal text form a group that stays in one shard. Groups larger than ``1 / (shards * fine)``
 of all bytes are items of their own (so at most ``shards * fine`` of them exist); all others are
-gathered into a fixed number of hash bins. Differencing then works on that bounded list: it takes the
+gathered into a fixed number of hash bins. Texts are read once, for their sizes and hashes. Differencing then works on that bounded list: it takes the
 two partial partitions of largest spread again and again and joins them oppositely ordered.
 
 Defined cases: a null text has no bytes (size 1) and a null ``text_crc32``; all null texts form one
@@ -19,6 +19,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import stash
+
 
 def differencing(sizes: Iterable[int], shards: int) -> list[int]:
     """Shard of each size, by the largest differencing method for any number of shards."""
@@ -57,12 +59,13 @@ def shard_table(
     Slots come from row numbers in ``shards * slot_buckets`` hash buckets plus the buckets' offsets.
     """
     text = F.col(text_col)
-    rows = docs.select(
+    read = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("g"),
     )
+    rows = stash(read, "sizes")
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     limit = max(1, total // (shards * fine))
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))

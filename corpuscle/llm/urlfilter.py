@@ -6,13 +6,15 @@ URL's tokens fetch the candidate rules, and only those run their regular express
 
 Defined cases: a null URL or one without ``://`` has empty host and path, matches no prefix rule and
 is judged by the patterns alone (a null URL matches none). Rows are neither dropped nor merged, so
-repeated rows stay. Extra columns of the input are ignored. No rule: everything is allowed.
+repeated rows stay. Of prefix rules of one length that fit, the first counts. Extra columns of the input
+are ignored. No rule: everything is allowed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -44,7 +46,7 @@ def prefix_rule(text: str, action: str) -> Rule:
 
 def pattern_rule(text: str, action: str) -> Rule:
     """Literal text with ``*`` for anything and ``^`` for a non-alphanumeric character or an end."""
-    regex = "".join({"*": ".*", "^": r"(?:[^a-z0-9]|^|$)"}.get(c, re.escape(c)) for c in text.lower())
+    regex = "".join({"*": ".*", "^": r"(?:[^a-z0-9]|^|$)"}.get(c, re.escape(c)) for c in text.lower().strip("*"))
     literal = re.sub(r"(?:^|\*)[a-z0-9]+|[a-z0-9]+(?:\*|$)", "*", text.lower())
     return Rule(text, action, regex, tuple(WORD.findall(literal)))
 
@@ -67,35 +69,47 @@ def token_counts(urls: DataFrame, tokens: Iterable[str]) -> dict[str, int]:
     held = F.array_intersect(words, F.array(*map(F.lit, wanted))) if len(wanted) <= 200 else F.array_distinct(words)
     seen = urls.select(F.explode(held).alias("token"))
     if len(wanted) > 200:
-        seen = seen.join(F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")), "token")
+        seen = seen.join(F.broadcast(urls.sparkSession.createDataFrame(pd.DataFrame({"token": wanted}))), "token")
     return {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def build_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[int]]:
-    """Token to rule numbers; rules without a usable token are filed under the empty token and always run."""
+    """Token to rule numbers, each rule under its token that fewest URLs hold (of equal ones, fewest rules); rules without a usable token under the empty one, which always runs."""
+    shared = Counter(t for r in rules for t in set(r.tokens))
     index: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
-        key = min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default="")
+        key = min(rule.tokens, key=lambda t: (counts.get(t, 0), shared[t], t), default="")
         index.setdefault(key, []).append(i)
     return index
 
 
-def judge(url: str | None, host: str, path: str, rules: list[tuple], index: dict[str, list[int]]) -> tuple:
-    """(prefix rule or None, verdict, pattern or None). Longest prefix rule wins; an allowing pattern beats a blocking one."""
-    if url is None:
-        return None, "allow", None
-    low, place, best, found = url.translate(ASCII_LOWER), host + path, None, {}
-    numbers = {n for t in ("", *set(WORD.findall(low))) for n in index.get(t, ())}
-    for n in sorted(numbers):
-        name, action, regex, prefix = rules[n]
-        if prefix:
-            if host and regex.search(place) and (best is None or len(name) > len(best[0])):
-                best = (name, action)
-        elif regex.search(low):
-            found.setdefault(action, name)
-    pattern = found.get("allow") or found.get("block")
-    verdict = best[1] if best else "block" if "block" in found and "allow" not in found else "allow"
-    return best and best[0], verdict, pattern
+class Judge:
+    """Rules and their index in a task; a rule's regular expression is compiled when it is first fetched."""
+
+    def __init__(self, rules: list[tuple[str, str, str, bool]], index: dict[str, list[int]]) -> None:
+        self.rules, self.index, self.ready = rules, index, {}
+
+    def expression(self, n: int) -> re.Pattern:
+        if n not in self.ready:
+            self.ready[n] = re.compile(self.rules[n][2], re.S)
+        return self.ready[n]
+
+    def __call__(self, url: str | None, host: str, path: str) -> tuple:
+        """(prefix rule or None, verdict, pattern or None). Longest prefix rule wins, of equal ones the first; an allowing pattern beats a blocking one."""
+        if url is None:
+            return None, "allow", None
+        low, place, best, found = url.translate(ASCII_LOWER), host + path, None, {}
+        numbers = {n for t in ("", *set(WORD.findall(low))) for n in self.index.get(t, ())}
+        for n in sorted(numbers):
+            name, action, _, prefix = self.rules[n]
+            if prefix:
+                if host and self.expression(n).search(place) and (best is None or len(name) > len(best[0])):
+                    best = (name, action)
+            elif self.expression(n).search(low):
+                found.setdefault(action, name)
+        pattern = found.get("allow") or found.get("block")
+        verdict = best[1] if best else "block" if "block" in found and "allow" not in found else "allow"
+        return best and best[0], verdict, pattern
 
 
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -107,12 +121,13 @@ def filter_urls(urls: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are sent to the tasks")
     rows = urls.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     index = build_index(rules, token_counts(rows, (t for r in rules for t in r.tokens)))
-    plain = [(r.name, r.action, r.regex, r.prefix) for r in rules]
+    held = urls.sparkSession.sparkContext.broadcast(([(r.name, r.action, r.regex, r.prefix) for r in rules], index))
 
     @F.pandas_udf("rule string, verdict string, pattern string")
-    def judged(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        ready = [(name, action, re.compile(regex, re.S), prefix) for name, action, regex, prefix in plain]
-        return pd.DataFrame([judge(*x, ready, index) for x in zip(url, host, path, strict=True)], columns=["rule", "verdict", "pattern"])
+    def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        judge = Judge(*held.value)
+        for part in parts:
+            yield pd.DataFrame([judge(*x) for x in zip(*part, strict=True)], columns=["rule", "verdict", "pattern"])
 
     host, path = host_and_path(F.col("url"))
     out = rows.select("id", "url", host.alias("host"), path.alias("path")).withColumn("j", judged("url", "host", "path"))

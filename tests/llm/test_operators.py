@@ -49,12 +49,42 @@ def test_url_rules(spark):
 
 def test_url_index_finds_what_trying_all_finds():
     rng, index = random.Random(1), urlfilter.build_index(RULES, {})
-    plain = [(r.name, r.action, re.compile(r.regex, re.S), r.prefix) for r in RULES]
+    plain = [(r.name, r.action, r.regex, r.prefix) for r in RULES]
+    indexed, every = urlfilter.Judge(plain, index), urlfilter.Judge(plain, {"": list(range(len(RULES)))})
     for _ in range(500):
         host, path = ".".join(rng.choices(["spam", "example", "com", "x"], k=rng.randrange(1, 4))), "/" + "/".join(rng.choices(["en", "7", "71", "ok", "spam"], k=2))
-        every = {"": list(range(len(RULES)))}
         url = f"http://{host}{path}"
-        assert urlfilter.judge(url, host, path, plain, index) == urlfilter.judge(url, host, path, plain, every)
+        assert indexed(url, host, path) == every(url, host, path)
+
+
+def test_url_index_of_many_rules(spark):
+    """20,000 rules of all kinds: the same as trying every one, and only fetched rules are compiled."""
+    rng = random.Random(41)
+    rules = [urlfilter.prefix_rule(f"site{i}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', ''])}{'/' if i % 2 else ''}", rng.choice(["allow", "block"])) for i in range(12_000)]
+    rules += [urlfilter.pattern_rule(rng.choice(["^name{}^", "/dir{}/*.html^", "^q{}=", "://host{}."]).format(i), rng.choice(["allow", "block"])) for i in range(7_985)]
+    rules += [urlfilter.pattern_rule(f"*part{i}*", "block") for i in range(5)]
+    rules += [urlfilter.prefix_rule(f"{x}.com/aa/{y}", "block") for x in ("one", "two") for y in ("", "b", "c", "bb", "b")]
+    near = lambda: rng.randrange(12_000)
+    urls = [rng.choice(["http://site{}.com/en/x", "http://a.site{}.net/de/y?q{}=1", "http://name{}.org/dir{}/z.html", "http://host{}.example/part{}x", "HTTP://SITE{}.COM/"]).replace("{}", str(near())) for _ in range(40)]
+    urls += ["http://one.com/aa/bb", "http://x.two.com/aa/c", "http://two.com/aa/b" + "/long" * 5000, "http://one.com/aa/bb"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r for r in urlfilter.filter_urls(df, rules).collect()}
+    every = [(r, re.compile(r.regex, re.S)) for r in rules]
+    hits = 0
+    for i, url in enumerate(urls):
+        place, low, best, found = out[i].host + out[i].path, url.lower(), None, {}
+        for r, regex in every:
+            if r.prefix and regex.search(place) and (best is None or len(r.name) > len(best.name)):
+                best = r
+            elif not r.prefix and regex.search(low):
+                found.setdefault(r.action, r.name)
+        verdict = best.action if best else "block" if "block" in found and "allow" not in found else "allow"
+        assert (out[i].rule, out[i].verdict, out[i].pattern) == (best and best.name, verdict, found.get("allow") or found.get("block")), url[:80]
+        hits += best is not None or bool(found)
+    assert hits >= 10
+    judge = urlfilter.Judge([(r.name, r.action, r.regex, r.prefix) for r in rules], urlfilter.build_index(rules, {}))
+    judge("http://one.com/aa/bb", "one.com", "/aa/bb")
+    assert len(judge.ready) < 20
 
 
 # ---- 2
@@ -411,6 +441,33 @@ def test_quality_learns_junk(spark):
     assert {r.score for r in quality.score_quality(docs, lab.filter("false"), train).collect()} == {1.0}
 
 
+def test_quality_is_a_quadratic_discriminant(spark):
+    """Scores against densities written out: shrunk covariances, their determinants and inverses."""
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(300):
+        t = sentence(rng, rng.randrange(3, 80)) if i % 3 else " ".join(w * rng.randrange(1, 4) + rng.choice(["#", "!", "9"]) for w in sentence(rng, 30).split())
+        rows.append((i, t, "en", "s", 1))
+        labels.append((i, int(i % 3 > 0)))
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in quality.score_quality(docs, lab, F.col("doc_id") < 200).collect()}
+    x = np.array([quality.statistics(r[1]) for r in rows])
+    y = np.array([q for _, q in labels])
+    own = [x[:200][y[:200] == c] for c in (0, 1)]
+    covs = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(c * len(o) for c, o in zip(covs, own, strict=True)) / 200
+    logs = []
+    for o, c in zip(own, covs, strict=True):
+        s = 0.7 * c + 0.3 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-4 * np.eye(len(s))
+        d = x - o.mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+    size = np.expm1(x[:, 0])
+    z = np.log(len(own[1]) / len(own[0])) + size / (size + 100) * (logs[1] - logs[0])
+    assert [out[i] for i in range(300)] == pytest.approx((1 / (1 + np.exp(-z))).tolist(), abs=1e-6)
+    few = quality.score_quality(docs, lab, F.lit(True), max_labels=120).collect()
+    assert np.mean([(r.score >= 0.5) == bool(y[r.doc_id]) for r in few]) > 0.9
+
+
 # ---- 9
 
 
