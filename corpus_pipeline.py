@@ -18,27 +18,41 @@ ORACLE_SQL = None
 SHARDS = 16
 
 
+#: Ids that are sent to every task at once, at most (eight bytes each); more are joined by a shuffle.
+SENT_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``ids``; texts are moved only if there are too many ids to send."""
+    gone = stash(ids.select("doc_id").filter("doc_id is not null").distinct(), "gone")
+    if gone.count() <= SENT_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (learnt as in its query); null ids are kept."""
+    """Rows that the quality classifier does not reject (learnt as in its query), each judged by its own text."""
     train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
-    scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"), train)
-    rejected = scored.filter((F.col("score") < 0.5) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    model = quality.learnt(docs, read_table(spark, sf_dir, "labels"), train)
+    return docs.filter(quality.quality_of(model, F.col("text")) >= 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8; repeated rows keep one."""
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8.
+
+    Of rows with one id and text one is kept; rows without id are kept.
+    """
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    dropped = found.filter("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(rest.filter("doc_id is null"))
+    rest = without(docs, found.filter("not kept"))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    again = stash(repeated.select("doc_id"), "repeated")
+    copies = rest.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return without(rest, again).unionByName(copies)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark; rows without id are kept."""
+    return without(docs, decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
