@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +47,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the words that come again."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -167,8 +166,8 @@ def _passages(rows: list[tuple]) -> pa.RecordBatch:
 def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
     """id, item_id, score, first_word, last_word of pairs (id, at, passage, item_id, item) that reach the threshold."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in (b.slice(at, 500).to_pandas() for b in batches for at in range(0, b.num_rows, 500)):
             out = []
             for text, group in pdf.groupby("item"):
                 words = text.split(" ")
@@ -187,9 +186,10 @@ def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
                     best, first, last = scored.get(p, (0, 0, 0))
                     if best >= threshold * MATCH * len(item) and best > 0:
                         out.append((doc, item_id, best / (MATCH * len(item)), at + first, at + last))
-            yield pd.DataFrame(out, columns=["id", "item_id", "score", "first_word", "last_word"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "item_id", "score", "first_word", "last_word"])
 
-    return pairs.mapInPandas(run, "id long, item_id long, score double, first_word long, last_word long")
+    return pairs.mapInArrow(run, "id long, item_id long, score double, first_word long, last_word long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_seeds: int = 8_000_000, span: int = 2048) -> DataFrame:

@@ -35,40 +35,67 @@ MARGIN = 6.0
 SMALL_BUCKET = 12
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+BLANKS = (b"\t", b"\n", b"\v", b"\f", b"\r", b" ")
 BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK[[b[0] for b in BLANKS]] = True
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    for _, raw, offsets in batches(texts):
+def cut_at_blanks(text: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes that cut no word."""
+    lo = 0
+    while len(text) - lo > size:
+        hi = max(text.rfind(b, lo + 1, lo + size) for b in BLANKS)
+        if hi < 0:
+            hi = min((x for b in BLANKS if (x := text.find(b, lo + size)) >= 0), default=len(text))
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
+def word_hashes(texts: list[bytes], size: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, in order."""
+    of, pieces = [], []
+    for i, text in enumerate(texts):
+        for piece in cut_at_blanks(text, size):
+            of.append(i)
+            pieces.append(piece)
+    held: list[np.ndarray] = []
+    for first, raw, offsets in batches(pieces, size):
         data = FOLD[raw]
-        blank = BLANK[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
-        inside = ~blank
+        inside = ~BLANK[data]
         before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
         start = np.flatnonzero(inside & (~before | edge[:-1]))
         after = np.concatenate([inside[1:], [False]]) if len(data) else inside
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         h = Ranges(data).of(start, end)
-        text_of = np.searchsorted(start, offsets)
-        grams = h.copy()
-        for j in range(1, words):
-            grams[: len(h) - j] = mixed(grams[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:])
-        for lo, hi in zip(text_of[:-1], text_of[1:], strict=True):
-            if hi - lo >= words:
-                yield np.unique(grams[lo : hi - words + 1])
-            elif hi > lo:
-                whole = h[lo : lo + 1]
-                for j in range(lo + 1, hi):
-                    whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + h[j])
-                yield mixed(whole ^ np.uint64(hi - lo))
-            else:
-                yield h[:0]
+        bounds = np.searchsorted(start, offsets)
+        for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            held.append(h[lo:hi])
+            if first + k + 1 == len(of) or of[first + k + 1] != of[first + k]:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+
+
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for h in word_hashes(texts):
+        if len(h) >= words:
+            grams = h[: len(h) - words + 1].copy()
+            for j in range(1, words):
+                grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(grams) + j])
+            yield np.unique(grams)
+        elif len(h):
+            whole = h[:1]
+            for j in range(1, len(h)):
+                whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + h[j])
+            yield mixed(whole ^ np.uint64(len(h)))
+        else:
+            yield h
 
 
 def minima(grams: np.ndarray) -> np.ndarray:

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +73,6 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """label and ``x``, the array of statistics, of (label, text)."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1)
-            offsets = np.arange(0, len(x) + 1, len(STATISTICS), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))], ["label", "x"])
-
-    return docs.mapInArrow(measure, "label int, x array<double>")
-
-
 @dataclass(frozen=True)
 class Discriminant:
     """Means, inverted Cholesky factors, log determinants and log odds of the classes; without factors, a constant score."""
@@ -124,20 +111,19 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: flo
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Sums of each class over rows of (label, x); one row a class and task is shuffled, two reach the driver."""
+    """Sums of each class over the statistics of (label, text); one row a class and task is shuffled, two reach the driver."""
     d = len(STATISTICS)
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for pdf in frames:
-            x = np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.empty((0, d))
-            for c in pdf["label"].unique():
-                own = np.hstack([np.ones((int((pdf["label"] == c).sum()), 1)), x[(pdf["label"] == c).to_numpy()]])
-                held[int(c)] = held.get(int(c), 0) + own.T @ own
+        for b in batches:
+            for c, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.concatenate([[1.0], statistics(text.as_py())])
+                held[c] = held.get(c, 0) + np.outer(x, x)
         for c, m in held.items():
-            yield pd.DataFrame({"label": c, "cell": np.arange(m.size), "v": m.reshape(-1)})
+            yield pa.RecordBatch.from_arrays([pa.array([c] * m.size, pa.int32()), pa.array(range(m.size), pa.int32()), pa.array(m.reshape(-1))], ["label", "cell", "v"])
 
-    sums = labelled.mapInPandas(partial, "label int, cell int, v double").groupBy("label", "cell").agg(F.sum("v").alias("v")).collect()
+    sums = labelled.mapInArrow(partial, "label int, cell int, v double").groupBy("label", "cell").agg(F.sum("v").alias("v")).collect()
     out = {}
     for c in {r["label"] for r in sums}:
         m = np.zeros((d + 1) ** 2)
@@ -156,15 +142,15 @@ def learnt(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc
     parts = max(1, -(-known.count() // max_labels))
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return fit(moments(document_statistics(texts.join(F.broadcast(chosen), "id").select("label", "text"))), to_pooled, to_diagonal)
+    return fit(moments(texts.join(F.broadcast(chosen), "id").select("label", "text")), to_pooled, to_diagonal)
 
 
 def quality_of(model: Discriminant, text: Column) -> Column:
     """The score of a text, 0 to 1."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else np.empty(0))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array([statistics(t.as_py()) for t in texts])) if len(texts) else [], pa.float64())
 
     return scored(text.cast("string"))
 

@@ -334,6 +334,14 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_bucket):
     assert minhash.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_words_of_long_texts_in_pieces():
+    rng = random.Random(43)
+    texts = [("".join(rng.choice(["a", "bc", "def", " ", "\n", "  "]) for _ in range(rng.randrange(300)))).encode() for _ in range(30)] + [b"", b" ", b"x" * 400, b"\t" * 90]
+    for piece in (7, 50, 10_000):
+        for text, h in zip(texts, minhash.word_hashes(texts, piece), strict=True):
+            assert len(h) == len(text.split()) and [int(x) for x in h] == [int(next(minhash.word_hashes([w]))[0]) for w in text.split()]
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     """Such an id is one document with the links of each of its texts, whichever row comes first."""
     rng = random.Random(37)
