@@ -161,6 +161,12 @@ def contributions(features: DataFrame, base: DataFrame, weights: dict[str, float
     return met.select("doc", "name", (F.coalesce(F.try_element_at(w, F.col("name")), F.lit(0.0)) * (F.col("value") - F.coalesce("mean", F.lit(0.0)))).alias("contribution"))
 
 
+def permutation_importance(features: DataFrame, base: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
+    """doc, name, importance: how far the score falls when that feature alone is set to its baseline mean (0 without one); the model is not run again."""
+    moved = contributions(features, base, weights).join(linear_score(features, weights, bias).select("doc", "z"), "doc")
+    return moved.select("doc", "name", (logistic(F.col("z")) - logistic(F.col("z") - F.col("contribution"))).alias("importance"))
+
+
 def explain_top(parts: DataFrame, n: int = 10) -> DataFrame:
     """The n largest positive and negative contributions of each document."""
     side = F.when(F.col("contribution") > 0, "positive").when(F.col("contribution") < 0, "negative")

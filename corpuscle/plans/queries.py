@@ -109,6 +109,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filter_rows(p, P.all_(P.compare(F.col("u.scheme"), "==", "HTTPS"), P.compare(F.col("u.query"), "!=", ""))).select("page_id", "url")
 
 
+@query("filter_events_predicate", "SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase' AND NOT (value <= 50)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return P.filter_rows(e, P.all_(P.compare(F.col("event_type"), "==", "PURCHASE"), P.compare(F.col("value"), ">", 50, "number")))
+
+
 @found("intent_extract", """SELECT DISTINCT doc, target AS url, regexp_extract(target, '^(?:https?://)?([^/:]*)', 1) AS domain FROM f""")
 def _(f: DataFrame) -> DataFrame:
     return urls.extract_intents(f)
@@ -235,6 +241,45 @@ HALF = "CAST(ts AS DATE) < DATE '2024-01-15'"
 SIDE = """SELECT doc, kind || '::' || list_aggregate(list_sort(list_distinct(objects)), 'string_agg', '|') || '::action.target=' || regexp_extract(target, '^([^?#]*)', 1) || '::' || off fp, severity, confidence, conf, sev, seq FROM f WHERE"""
 
 
+def event_graph(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (events, the objects they execute, outcomes) and the edges that findings give."""
+    event, object_, outcome = (F.concat_ws(":", "doc", c) for c in ("title", F.element_at("objects", 1), F.element_at("meta", "action.target")))
+    node = lambda c, kind: f.select(c.alias("node_id"), F.lit(kind).alias("node_kind"), F.when(F.lit(kind == "event"), F.col("title")).alias("event_type")).distinct()
+    edge = lambda dst: f.select(event.alias("src"), dst.alias("dst"), F.col("id").alias("finding_id"))
+    return node(event, "event").unionByName(node(object_, "object")).unionByName(node(outcome, "outcome")), edge(object_).unionByName(edge(outcome))
+
+
+@found("finding_to_event_link", """SELECT node_id, string_agg(id, ',' ORDER BY id) AS findings
+  FROM (SELECT doc || ':' || unnest([title, objects[1], target]) AS node_id, id FROM f) GROUP BY node_id""")
+def _(f: DataFrame) -> DataFrame:
+    return compare.link_findings_events(*event_graph(f)).withColumn("findings", joined("findings"))
+
+
+@found("event_record_projection", """SELECT doc || ':' || title AS node_id, title AS event_type, string_agg(DISTINCT doc || ':' || objects[1], ',' ORDER BY doc || ':' || objects[1]) AS executes,
+  string_agg(DISTINCT doc || ':' || target, ',' ORDER BY doc || ':' || target) AS outcomes, string_agg(DISTINCT id, ',' ORDER BY id) AS findings FROM f GROUP BY doc, title""")
+def _(f: DataFrame) -> DataFrame:
+    return compare.event_records(*event_graph(f)).withColumns({c: joined(c) for c in ("executes", "outcomes", "findings")})
+
+
+OUTCOME_SQL = "oc AS (SELECT id, 'o' || seq AS node_id, title AS outcome_type, target, objects[1] AS source_obj, CAST(n % 6 AS INTEGER) AS confidence_score, CAST(off AS VARCHAR) AS ev FROM f)"
+
+
+def merged_outcomes(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An outcome node and an edge to it from every finding, merged."""
+    fields = [F.col("title").alias("outcome_type"), F.element_at("meta", "action.target").alias("target"), F.element_at("objects", 1).alias("source_obj")]
+    node = F.concat(F.lit("o"), "seq")
+    score = (F.col("seq") % 6).cast("int").alias("confidence_score")
+    nodes = f.select(node.alias("node_id"), F.lit("outcome").alias("node_kind"), *fields, score, F.transform("evidence", lambda e: e["offset"].cast("string")).alias("evidence"))
+    return graph.merge_outcomes(nodes, f.select(F.col("id").alias("src"), node.alias("dst")))
+
+
+QUERIES["merge_duplicate_outcomes"] = lambda spark, sf_dir: merged_outcomes(b.findings(spark, sf_dir))[0].withColumn("evidence", joined("evidence"))
+SQL["merge_duplicate_outcomes"] = f"""WITH {b.FINDINGS_SQL}, {OUTCOME_SQL} SELECT min(node_id) AS node_id, outcome_type, target, source_obj, max(confidence_score) AS confidence_score, string_agg(DISTINCT ev, ',' ORDER BY ev) AS evidence
+  FROM oc GROUP BY outcome_type, target, source_obj"""
+QUERIES["merged_outcome_edges"] = lambda spark, sf_dir: merged_outcomes(b.findings(spark, sf_dir))[1]
+SQL["merged_outcome_edges"] = f"WITH {b.FINDINGS_SQL}, {OUTCOME_SQL} SELECT id AS src, min(node_id) OVER (PARTITION BY outcome_type, target, source_obj) AS dst FROM oc"
+
+
 @found("findings_diff", f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.doc IS NULL THEN 'new' WHEN c.doc IS NULL THEN 'removed' WHEN a.severity <> c.severity OR a.confidence <> c.confidence THEN 'changed' END status
   FROM (SELECT * FROM ({SIDE} {HALF}) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) a FULL JOIN (SELECT * FROM ({SIDE} NOT ({HALF})) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) c
   ON a.doc = c.doc AND a.fp = c.fp) WHERE status IS NOT NULL GROUP BY status""")
@@ -568,6 +613,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.group_importance(features.contributions(ft, features.baseline(ft), WEIGHTS)).withColumn("importance", F.round("importance", 6))
 
 
+@query("permutation_importance", f"{BASE_SQL}, {PART_SQL}, {LOGIT_SQL} SELECT doc, name, round(1 / (1 + exp(-z)) - 1 / (1 + exp(c - z)), 6) + 0.0 AS importance FROM pt JOIN lg USING (doc)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ft = b.features(spark, sf_dir)
+    return features.permutation_importance(ft, features.baseline(ft), WEIGHTS, -0.5).withColumn("importance", F.round("importance", 6) + 0.0)
+
+
 @query("counterfactual", f"""{BASE_SQL}, {PART_SQL}, {LOGIT_SQL}, r AS (SELECT doc, name, c, z, row_number() OVER w AS rank, coalesce(sum(c) OVER (PARTITION BY doc ORDER BY c DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pt JOIN lg USING (doc) WHERE c > 0 WINDOW w AS (PARTITION BY doc ORDER BY c DESC, name))
   SELECT doc, name, round(c, 6) AS contribution, CAST(rank AS INTEGER) AS rank, round(z - before - c, 6) AS z_after FROM r WHERE z - before > 0 AND rank <= 3""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
