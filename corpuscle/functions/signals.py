@@ -212,12 +212,21 @@ def _prepared(df: DataFrame, text_col: str, keys: list[str]) -> tuple[DataFrame,
     return df.select(*keys, *[c.alias(names[n]) for n, c in cols.items()]), {n: F.col(x) for n, x in names.items()}
 
 
+def _densities(t: dict[str, Column]) -> list[Column]:
+    size = F.octet_length(t["text"])
+    return [F.when(size > 0, n.column(t) / size).otherwise(0.0).alias(name) for name, n in DENSITIES.items()]
+
+
 def signal_flags(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
     """One boolean column a signal, and the two densities."""
     ready, t = _prepared(df, text_col, list(keys))
-    size = F.octet_length(t["text"])
-    dense = [F.when(size > 0, n.column(t) / size).otherwise(0.0).alias(name) for name, n in DENSITIES.items()]
-    return ready.select(*keys, *[r.column(t).alias(name) for name, r in SIGNALS.items()], *dense)
+    return ready.select(*keys, *[r.column(t).alias(name) for name, r in SIGNALS.items()], *_densities(t))
+
+
+def text_densities(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """keys and the densities alone: marks in question for each byte of text, 0 for an empty one."""
+    ready, t = _prepared(df, text_col, list(keys))
+    return ready.select(*keys, *_densities(t))
 
 
 def text_signals(df: DataFrame, text_col: str, *keys: str) -> DataFrame:

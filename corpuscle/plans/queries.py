@@ -13,6 +13,7 @@ from corpuscle.operators import compare, context, correlate, features, graph, tr
 from corpuscle.operators import findings as fo
 from corpuscle.operators.rulesets import RuleSet
 from corpuscle.plans import bindings as b
+from corpuscle.plans import planted
 from corpuscle.schemas import CONFIDENCES, SEVERITIES, SURFACES, severity_rank
 from corpuscle.session import read_table, stash, stash_path
 from corpuscle.sources import readers, writers
@@ -843,6 +844,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.text_signals(read_table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+@query("text_signals_planted", signals.signals_sql(planted.PLANTED_SQL, "text", "conv_id, turn"))
+def text_signals_planted(spark, sf_dir):
+    return signals.text_signals(planted.planted_turns(spark, sf_dir), "text", "conv_id", "turn")
+
+
+@query("text_densities", f"""SELECT doc_id, {', '.join(f"round(CASE WHEN strlen(text) > 0 THEN {n.sql} * 1.0 / strlen(text) ELSE 0 END, 9) AS {name}" for name, n in signals.DENSITIES.items())}
+FROM (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents)""")
+def text_densities(spark, sf_dir):
+    return signals.text_densities(read_table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", *[F.round(name, 9).alias(name) for name in signals.DENSITIES])
+
+
 @query("text_signals_by_language", f"SELECT lang, signal, count(*) AS n FROM ({signals.signals_sql('documents', 'text', 'doc_id, lang')}) GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.text_signals(read_table(spark, sf_dir, "documents"), "text", "doc_id", "lang").groupBy("lang", "signal").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import predicates as P
 from corpuscle.functions import signals, text, urls
 from corpuscle.operators import compare, correlate, features, findings, graph
+from corpuscle.plans.planted import PLANTED
 from corpuscle.sources import readers, writers
 from corpuscle.streaming import jobs
 
@@ -130,6 +131,20 @@ def test_signals_fire_and_stay_quiet(spark):
     assert "null" not in shown
 
 
+def test_every_signal_has_a_text_that_shows_it_and_one_that_misses_it(spark):
+    assert set(PLANTED) == set(signals.SIGNALS)
+    data = [(f"{sign}{k}", v) for k, pair in PLANTED.items() for sign, v in zip("+-", pair, strict=True)]
+    shown = {(r.k, r.signal) for r in signals.text_signals(spark.createDataFrame(data, "k string, t string"), "t", "k").collect()}
+    assert {k for k in PLANTED if (f"+{k}", k) not in shown} == set()
+    assert {k for k in PLANTED if (f"-{k}", k) in shown} == set()
+
+
+def test_densities(spark):
+    df = spark.createDataFrame([(1, "a+b\\"), (2, ""), (3, None)], "k int, t string")
+    out = {r.k: (r.string_concat_density, r.escape_density) for r in signals.text_densities(df, "t", "k").collect()}
+    assert out == {1: (0.25, 0.25), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+
+
 def test_entropy_both_ways(spark):
     df = spark.createDataFrame([(1, "aabb"), (2, "é"), (3, "")], "k int, t string")
     one = {r.k: round(r.entropy, 9) for r in text.byte_entropy(df, "t", "k").collect()}
