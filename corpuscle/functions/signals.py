@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.rules import Number, Rule, all_of, any_of, count_of, has, hits, inputs, left_by, matches, octets, only_if, words_where
-
+from corpuscle.session import spread
 
 
 def unquoted(sink: str) -> Rule:
@@ -209,7 +209,7 @@ DENSITIES: dict[str, Number] = {"string_concat_density": count_of("+"), "escape_
 def _prepared(df: DataFrame, text_col: str, keys: list[str]) -> tuple[DataFrame, dict]:
     cols = inputs(F.col(text_col))
     names = {name: f"__in{i}" for i, name in enumerate(cols)}
-    return df.select(*keys, *[c.alias(names[n]) for n, c in cols.items()]), {n: F.col(x) for n, x in names.items()}
+    return spread(df.select(*keys, text_col)).select(*keys, *[c.alias(names[n]) for n, c in cols.items()]), {n: F.col(x) for n, x in names.items()}
 
 
 def _densities(t: dict[str, Column]) -> list[Column]:
