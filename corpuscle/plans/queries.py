@@ -281,12 +281,12 @@ QUERIES["merged_outcome_edges"] = lambda spark, sf_dir: merged_outcomes(b.findin
 SQL["merged_outcome_edges"] = f"WITH {b.FINDINGS_SQL}, {OUTCOME_SQL} SELECT id AS src, min(node_id) OVER (PARTITION BY outcome_type, target, source_obj) AS dst FROM oc"
 
 
-@found("findings_diff", f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.doc IS NULL THEN 'new' WHEN c.doc IS NULL THEN 'removed' WHEN a.severity <> c.severity OR a.confidence <> c.confidence THEN 'changed' END status
+@found("findings_diff", f"""SELECT doc, fp AS fingerprint, status FROM (SELECT coalesce(a.doc, c.doc) AS doc, coalesce(a.fp, c.fp) AS fp, CASE WHEN a.doc IS NULL THEN 'new' WHEN c.doc IS NULL THEN 'removed' WHEN a.severity <> c.severity OR a.confidence <> c.confidence THEN 'changed' END status
   FROM (SELECT * FROM ({SIDE} {HALF}) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) a FULL JOIN (SELECT * FROM ({SIDE} NOT ({HALF})) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) c
-  ON a.doc = c.doc AND a.fp = c.fp) WHERE status IS NOT NULL GROUP BY status""")
+  ON a.doc = c.doc AND a.fp = c.fp) WHERE status IS NOT NULL""")
 def _(f: DataFrame) -> DataFrame:
     early = F.col("ts") < "2024-01-15"
-    return compare.diff_findings(f.filter(early), f.filter(~early)).groupBy("status").agg(F.count("*").alias("n"))
+    return compare.diff_findings(f.filter(early), f.filter(~early)).select("doc", "fingerprint", "status")
 
 
 @found("kind_count_diff", f"SELECT kind, CAST(sum(CASE WHEN {HALF} THEN -1 ELSE 1 END) AS BIGINT) AS delta FROM f GROUP BY kind HAVING delta <> 0")
@@ -705,11 +705,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.typed_edges(spark, sf_dir)
     seeds = e.filter("edge_type = 'places' and suspicious").select("doc", F.col("src").alias("node")).distinct()
-    return graph.distances(e, seeds, 3).groupBy("hops").agg(F.count("*").alias("n"))
+    return graph.distances(e, seeds, 3).select("seed", "node", "hops")
 
 
 SQL["reachable_from"] = f"""WITH RECURSIVE {b.EDGES_SQL}, w(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed WHERE edge_type = 'places' AND suspicious UNION SELECT w.seed, ed.dst, w.hops + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.hops < 3)
-  SELECT CAST(hops AS INTEGER) AS hops, count(*) AS n FROM (SELECT seed, node, min(hops) AS hops FROM w GROUP BY ALL) GROUP BY 1"""
+  SELECT seed, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY seed, node"""
 
 
 @query("depths_from_root", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 4)
@@ -720,11 +720,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("shortest_hops_within", f"""WITH RECURSIVE {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), w(seed, node, h) AS (SELECT DISTINCT src, src, 0 FROM ed WHERE edge_type = 'in' AND src LIKE 's%' UNION SELECT w.seed, u.b, w.h + 1 FROM w JOIN u ON w.node = u.a WHERE w.h < 3)
-  SELECT CAST(h AS INTEGER) AS hops, count(*) AS n FROM (SELECT seed, node, min(h) h FROM w GROUP BY ALL) WHERE node LIKE 'n%' GROUP BY 1""")
+  SELECT seed AS supplier, node AS nation, CAST(min(h) AS INTEGER) AS hops FROM w WHERE node LIKE 'n%' GROUP BY seed, node""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.typed_edges(spark, sf_dir).filter("edge_type = 'in'")
     nations = e.filter("src like 'n%'").select("doc", F.col("src").alias("node"))
-    return graph.distances(e, nations, 3, undirected=True).filter("node like 's%'").groupBy("hops").agg(F.count("*").alias("n"))
+    return graph.distances(e, nations, 3, undirected=True).filter("node like 's%'").select(F.col("node").alias("supplier"), F.col("seed").alias("nation"), "hops")
 
 
 @query("induced_subgraph_hops", f"""WITH {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), near AS (SELECT 'n1' AS x UNION SELECT b FROM u WHERE a = 'n1')
@@ -750,17 +750,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(b.transitions(spark, sf_dir), 4).select("doc", F.array_join("cycle", ">").alias("cycle"), "length")
 
 
-@query("classify_cycles", f"""WITH {b.TRANSITIONS_SQL} SELECT doc, count(*) AS self_loops, 'high' AS severity FROM (SELECT DISTINCT doc, src FROM te WHERE src = dst) GROUP BY doc""")
+@query("classify_cycles", f"""WITH {b.TRANSITIONS_SQL}, d AS (SELECT DISTINCT doc, src, dst FROM te) SELECT doc, src AS cycle, CAST(1 AS INTEGER) AS length, 'high' AS severity FROM d WHERE src = dst
+  UNION ALL SELECT x.doc, x.src || '>' || x.dst, CAST(2 AS INTEGER), 'low' FROM d x JOIN d y ON x.doc = y.doc AND x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = graph.classify_cycles(graph.cycles(b.transitions(spark, sf_dir), 2)).filter("length = 1")
-    return c.groupBy("doc", "severity").agg(F.count("*").alias("self_loops"))
+    c = graph.classify_cycles(graph.cycles(b.transitions(spark, sf_dir), 2))
+    return c.select("doc", F.array_join("cycle", ">").alias("cycle"), "length", "severity")
 
 
-@query("propagate_scores", f"""WITH {b.EDGES_SQL}, s0 AS (SELECT node, sum(s) AS s FROM (SELECT src AS node, 0.3::DOUBLE AS s FROM ed WHERE suspicious UNION ALL SELECT dst, 0.5::DOUBLE FROM ed WHERE suspicious UNION ALL SELECT src, 0 FROM ed UNION ALL SELECT dst, 0 FROM ed) GROUP BY node),
-  s1 AS (SELECT node, greatest(s, coalesce((SELECT max(x.s) * 0.7 FROM ed JOIN s0 x ON ed.src = x.node WHERE ed.dst = s0.node AND x.s > 0.1), 0)) AS s FROM s0) SELECT CAST(count(*) AS BIGINT) AS nodes, round(max(s) / greatest(max(s), 1), 6) AS top, round(sum(s) / greatest(max(s), 1), 4) AS total FROM s1""")
+def _scores_sql(rounds: int) -> str:
+    """Scores after so many rounds, one table a round."""
+    first = """s0 AS (SELECT node, sum(s) AS s FROM (SELECT src AS node, 0.3::DOUBLE AS s FROM ed WHERE suspicious UNION ALL SELECT dst, 0.5::DOUBLE FROM ed WHERE suspicious UNION ALL SELECT src, 0 FROM ed UNION ALL SELECT dst, 0 FROM ed) GROUP BY node)"""
+    step = """s{k} AS (SELECT p.node, greatest(p.s, coalesce(m.s, 0)) AS s FROM s{j} p LEFT JOIN (SELECT ed.dst AS node, max(x.s) * 0.7 AS s FROM ed JOIN s{j} x ON ed.src = x.node WHERE x.s > 0.1 GROUP BY ed.dst) m ON m.node = p.node)"""
+    tables = ", ".join([first, *[step.format(k=k, j=k - 1) for k in range(1, rounds + 1)]])
+    return f"WITH {b.EDGES_SQL}, {tables} SELECT node, round(s / greatest((SELECT max(s) FROM s{rounds}), 1), 6) AS score FROM s{rounds}"
+
+
+@query("propagate_scores", _scores_sql(3))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = graph.propagate_scores(b.typed_edges(spark, sf_dir), 1)
-    return s.agg(F.count("*").alias("nodes"), F.round(F.max("score"), 6).alias("top"), F.round(F.sum("score"), 4).alias("total"))
+    return graph.propagate_scores(b.typed_edges(spark, sf_dir)).select("node", F.round("score", 6).alias("score"))
 
 
 @query("suspicious_targets", E_SQL + "SELECT DISTINCT dst AS node FROM ed WHERE suspicious")
@@ -1032,11 +1039,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("graph_features", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 4)
-  SELECT 'g' AS doc, count(*) AS edges, count_if(suspicious) AS suspicious, count_if(edge_type = 'places') AS n_places, count_if(edge_type = 'in') AS n_in, (SELECT CAST(max(d) AS INTEGER) FROM w) AS max_depth FROM ed""")
+  SELECT 'g' AS doc, count(*) AS edges, count_if(suspicious) AS suspicious, count_if(edge_type = 'places') AS n_places, count_if(edge_type = 'in') AS n_in, (SELECT CAST(max(d) AS INTEGER) FROM w) AS max_depth, (SELECT round(avg(d), 9) FROM (SELECT node, min(d) AS d FROM w GROUP BY node)) AS avg_depth FROM ed""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.typed_edges(spark, sf_dir)
     roots = e.filter("src = 's1'").select("doc", F.col("src").alias("node"))
-    return context.graph_features(e, roots, ["places", "in"], 4).drop("avg_depth")
+    return context.graph_features(e, roots, ["places", "in"], 4).withColumn("avg_depth", F.round("avg_depth", 9))
 
 
 @query("path_to_outcome")
@@ -1148,10 +1155,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, jobs.stream_new_kinds(_events(spark, sf_dir).select("event_type"), "event_type"), "kinds")
 
 
-@query("stream_dedupe_hash", "SELECT count(DISTINCT user_id || ':' || props) AS n FROM events")
+@query("stream_dedupe_hash", "SELECT DISTINCT user_id || ':' || props AS hash FROM events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("ts", F.concat_ws(":", "user_id", "props").alias("hash"))
-    return _streamed(spark, jobs.stream_dedupe_hash(e, late="60 days"), "dedupe").agg(F.count("*").alias("n"))
+    return _streamed(spark, jobs.stream_dedupe_hash(e, late="60 days"), "dedupe").select("hash")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1174,4 +1181,122 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, jobs.stream_indicator_scan(live, 64, None, PAGE_MARKERS, PAGE_END), "scan").select("doc", "marker")
 
 
+# ---- rows that the given tables reach only with kinds or words put in their place
+
+
+@query("graph_limit_nodes", f"WITH {b.TRANSITIONS_SQL} SELECT doc, node AS node_id FROM (SELECT doc, src AS node FROM te UNION SELECT doc, dst FROM te) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN node = 'purchase' THEN 0 ELSE 1 END, node) <= 3")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.limit_graph(_transition_nodes(spark, sf_dir), b.transitions(spark, sf_dir), 3)[0].select("doc", "node_id")
+
+
+def _transition_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.transitions(spark, sf_dir)
+    nodes = e.select("doc", F.col("src").alias("node_id")).union(e.select("doc", "dst")).distinct()
+    return nodes.withColumn("node_kind", F.when(F.col("node_id") == "purchase", "outcome").otherwise("object"))
+
+
+@query("subgraph_by_predicate", f"""WITH {b.TRANSITIONS_SQL}, near AS (SELECT doc, src AS a, dst AS b FROM te UNION SELECT doc, dst, src FROM te),
+  keep AS (SELECT doc, a AS node FROM near WHERE a = 'purchase' UNION SELECT doc, b FROM near WHERE a = 'purchase' AND b <> 'purchase')
+  SELECT doc, src, dst, seq, edge_type FROM te WHERE EXISTS (FROM keep k WHERE k.doc = te.doc AND k.node = te.src) AND EXISTS (FROM keep k WHERE k.doc = te.doc AND k.node = te.dst)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.transitions(spark, sf_dir)
+    return graph.subgraph(_transition_nodes(spark, sf_dir), e, F.col("node_kind") == "outcome").select("doc", "src", "dst", "seq", "edge_type")
+
+
+@query("reference_depth", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 2)
+  SELECT CAST(max(d) AS INTEGER) AS max_depth, count(*) AS nodes, max(d) >= 2 AS capped, 'info' AS severity FROM (SELECT node, min(d) AS d FROM w GROUP BY node)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.typed_edges(spark, sf_dir)
+    return graph.reference_depth(e, e.filter("src = 's1'").select("doc", F.col("src").alias("node")), 2).select("max_depth", "nodes", "capped", "severity")
+
+
+@query("c2_domains", "SELECT DISTINCT CASE WHEN page_id % 10 = 0 THEN 'h' || (page_id % 70) || '.onion' ELSE 'pastebin.com' END AS domain FROM pages WHERE page_id % 10 <= 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    domain = F.when(n % 10 == 0, F.concat(F.lit("h"), n % 70, F.lit(".onion"))).when(n % 10 == 1, "pastebin.com").otherwise(F.concat(F.lit("h"), n % 70, F.lit(".example.com")))
+    return urls.c2_domains(read_table(spark, sf_dir, "pages").select(domain.alias("domain")))
+
+
+PHISHING_WORDS = ["verify your account", "password", "login", "confirm your identity", "update your payment", "invoice"]
+
+
+@query("phishing_keywords", f"""SELECT conv_id, turn FROM (SELECT *, lower(concat_ws(' ', text, [{', '.join(f"'{w.title()}'" for w in PHISHING_WORDS)}, 'Out voice'][(conv_id * 5 + turn) % 7 + 1])) AS low FROM conversations) WHERE turn % 2 = 0 AND ({' OR '.join(f"contains(low, '{w}')" for w in PHISHING_WORDS)})""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(w.title()) for w in PHISHING_WORDS], F.lit("Out voice")), ((F.col("conv_id") * 5 + F.col("turn")) % 7 + 1).cast("int"))
+    c = read_table(spark, sf_dir, "conversations").withColumn("text", F.concat_ws(" ", "text", word))
+    return text.phishing(c, "text", F.col("turn") % 2 == 0).select("conv_id", "turn")
+
+
+MARKS = [*text.STAGING, *text.UPDATING, *text.PERSISTING]
+
+
+def _marks_sql(words: list[str], col: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains({col}, '{w}') THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query("supply_chain_markers", f"""SELECT conv_id, turn, {_marks_sql(text.STAGING, 't')} AS staging, {_marks_sql(text.UPDATING, 'lower(t)')} AS updating, {_marks_sql(text.PERSISTING, 't')} AS persisting
+  FROM (SELECT conv_id, turn, concat_ws(' ', text, [{', '.join(f"'{w}', '{w.upper()}'" for w in MARKS)}][(conv_id * 5 + turn) % {2 * len(MARKS)} + 1]) AS t FROM conversations)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(x) for w in MARKS for x in (w, w.upper())]), ((F.col("conv_id") * 5 + F.col("turn")) % (2 * len(MARKS)) + 1).cast("int"))
+    m = text.supply_chain(F.concat_ws(" ", "text", word))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", *[F.array_join(f"m.{k}", ",").alias(k) for k in ("staging", "updating", "persisting")])
+
+
+@query("preview", r"SELECT page_id, regexp_replace(substr(html, 1, 80), '[^\x20-\x7E]', '.', 'g') AS preview FROM pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", text.preview(F.col("html"), 80).alias("preview"))
+
+
+@query("content_hash", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN sha256(url) ELSE sha256(html) END AS hash FROM pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/in/"), F.sha2("url", 256), F.lit(".pdf"))).otherwise(F.col("url"))
+    return read_table(spark, sf_dir, "pages").select("page_id", text.content_hash(path, F.encode("html", "UTF-8")).alias("hash"))
+
+
+@found("humanize_labels", "SELECT DISTINCT kind, CASE WHEN kind = 'xref_conflict' THEN 'Cross-reference conflict' ELSE replace(replace(kind, '_', ' '), '.', ': ') END AS label FROM f")
+def _(f: DataFrame) -> DataFrame:
+    return f.select("kind").distinct().select("kind", text.humanize(F.col("kind"), {"xref_conflict": "Cross-reference conflict"}).alias("label"))
+
+
+@query("normalise_records", "SELECT page_id, '/Len int <num> ; /Next ref <ref> ; /Title str <str> ; /Kind name N' || (page_id % 9) AS record FROM pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    raw = F.concat(F.lit("/Len int "), n, F.lit(" ; /Next ref "), n + 1, F.lit(" 0 R ;  ; /Title str "), F.regexp_replace("url", " ; ", " "), F.lit(" ; /Kind name N"), n % 9)
+    return read_table(spark, sf_dir, "pages").select("page_id", text.normalise_records(raw).alias("record"))
+
+
+CUTS = [50.0, 200.0, 200.0, 900.0, 3000.0, 6000.0, 20000.0]
+
+
+def _percentile_sql(value: str) -> str:
+    steps = list(zip(features.PERCENTILES, CUTS, strict=True))
+    inner = " ".join(f"WHEN {value} <= {hi} THEN " + (f"{p} + ({value} - {lo}) / {hi - lo} * {q - p}" if hi > lo else f"{p}") for (p, lo), (q, hi) in zip(steps, steps[1:], strict=False))
+    return f"CASE WHEN {value} <= {CUTS[0]} THEN 10 {inner} ELSE 99 END"
+
+
+@query("percentile_rank_interp", f"WITH {b.FEATURES_SQL} SELECT doc, name, round(CAST({_percentile_sql('value')} AS DOUBLE), 6) AS percentile FROM ft")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.features(spark, sf_dir).select("doc", "name", F.round(features.percentile_of(F.col("value"), [F.lit(c) for c in CUTS]), 6).alias("percentile"))
+
+
+@found("xfa_data_exfiltration", """SELECT doc, string_agg(DISTINCT CASE WHEN kind = 'open_action_present' THEN target END, ',' ORDER BY CASE WHEN kind = 'open_action_present' THEN target END) AS urls, count_if(kind = 'js_present') AS fields FROM f
+  GROUP BY doc HAVING count_if(kind = 'open_action_present') > 0 AND count_if(kind = 'js_present') >= 2""")
+def _(f: DataFrame) -> DataFrame:
+    kind = F.when(F.col("kind") == "open_action_present", "xfa_submit").when(F.col("kind") == "js_present", "xfa_sensitive_field").otherwise(F.col("kind"))
+    meta = F.map_concat("meta", F.create_map(F.lit("xfa.submit.url"), F.col("meta")["action.target"], F.lit("xfa.field.name"), F.col("position")))
+    out = context.xfa_data_exfiltration(f.withColumns({"kind": kind, "meta": meta}), 2)
+    return out.select("doc", F.array_join("urls", ",").alias("urls"), "fields")
+
+
+@found("emulation_breakpoint_upgrade", """SELECT id, CASE WHEN kind = 'js_present' AND confidence = 'tentative' AND bool_or(kind = 'js_polymorphic') OVER (PARTITION BY doc) THEN 'probable' ELSE confidence END AS confidence FROM f""")
+def _(f: DataFrame) -> DataFrame:
+    kind = F.when(F.col("kind") == "js_present", "js_emulation_breakpoint").when(F.col("kind") == "js_polymorphic", "js_global_deletion_sandbox_bypass").otherwise(F.col("kind"))
+    return context.upgrade_breakpoints(f.withColumn("kind", kind)).select("id", "confidence")
+
+
+@found("font_structure_with_provenance", "SELECT doc, count_if(starts_with(kind, 'font.')) AS structural, count_if(kind IN ('js_present', 'incremental_update_chain')) AS paths FROM f GROUP BY doc HAVING count_if(starts_with(kind, 'font.')) > 0 AND count_if(kind IN ('js_present', 'incremental_update_chain')) > 0")
+def _(f: DataFrame) -> DataFrame:
+    return context.structure_with(f, "font.", ["js_present", "incremental_update_chain"])
+
+
 SQL = {name: whole(sql) for name, sql in SQL.items()}
