@@ -24,6 +24,12 @@ def unquoted(sink: str) -> Rule:
     return Rule(column, f"(strpos(text, '{sink}') > 0 AND substr(text, strpos(text, '{sink}') + {n}, 1) NOT IN ('', chr(39), chr(34)))")
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word bounds that know ASCII only, as in RE2; Java's own ``\\b`` takes accented letters in, by its version."""
+    first, last = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    return first + pattern.removeprefix(r"\b").removesuffix(r"\b") + (last if pattern.endswith(r"\b") else "")
+
+
 LOOP = any_of("for(", "while(")
 LOOP_SPACED = any_of("for(", "for (", "while(", "while (")
 ENDLESS = any_of("while(true)", "while(1)", "while (true)", "while (1)")
@@ -48,11 +54,11 @@ LIVE = count_of("if(") + count_of("if (") + count_of("for(") + count_of("while("
 NAME = r"\b[A-Za-z_][A-Za-z0-9_]*"
 ODD_NAME = r"\b(?:[A-Za-z_][A-Za-z0-9_]*[0-9][A-Za-z0-9_]*|[A-Za-z_])\b"
 MANGLED_SQL = "(length(w) = 1 AND NOT regexp_matches(w, '^[ijkxyz]$')) OR contains(w, '0x') OR (length(w) > 5 AND length(regexp_replace(w, '[^0-9]', '', 'g')) > length(w) // 2)"
-NAMES = Number(lambda t: F.size(F.regexp_extract_all(t["text"], F.lit(NAME), F.lit(0))), f"len(regexp_extract_all(text, '{NAME}'))")
+NAMES = Number(lambda t: F.size(F.regexp_extract_all(t["text"], F.lit(ascii_bounds(NAME)), F.lit(0))), f"len(regexp_extract_all(text, '{NAME}'))")
 MANGLED = Number(
     lambda t: F.size(
         F.filter(
-            F.regexp_extract_all(t["text"], F.lit(ODD_NAME), F.lit(0)),
+            F.regexp_extract_all(t["text"], F.lit(ascii_bounds(ODD_NAME)), F.lit(0)),
             lambda w: ((F.length(w) == 1) & ~w.rlike("^[ijkxyz]$")) | F.contains(w, F.lit("0x")) | ((F.length(w) > 5) & (F.length(F.regexp_replace(w, "[^0-9]", "")) > F.floor(F.length(w) / 2))),
         )
     ),

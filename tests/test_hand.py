@@ -139,6 +139,13 @@ def test_every_signal_has_a_text_that_shows_it_and_one_that_misses_it(spark):
     assert {k for k in PLANTED if (f"-{k}", k) in shown} == set()
 
 
+def test_names_end_at_accented_letters(spark):
+    """Twelve odd names among 24 are not more than half, whatever the JVM takes for a word bound."""
+    df = spark.createDataFrame([("few", "ñcoco " * 12 + "_ " * 12), ("many", "ñcoco " * 11 + "_ " * 12)], "k string, t string")
+    shown = {r.k for r in signals.text_signals(df, "t", "k").collect() if r.signal == "identifier_mangling"}
+    assert shown == {"many"}
+
+
 def test_densities(spark):
     df = spark.createDataFrame([(1, "a+b\\"), (2, ""), (3, None)], "k int, t string")
     out = {r.k: (r.string_concat_density, r.escape_density) for r in signals.text_densities(df, "t", "k").collect()}
