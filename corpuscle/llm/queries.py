@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import clusters, decontam, langid, licenses, minhash, mixing, quality, repair, sharding, suffix, topk, urlfilter
+from corpuscle.llm import clusters, decontam, langid, licenses, minhash, mixing, pii, quality, repair, sharding, suffix, topk, urlfilter
 from corpuscle.session import read_table
 
 URL_PREFIXES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -149,6 +149,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.learnt(docs))
+
+
 #: Every path of every conversation turn by turn, cheapest first, with its audit and its text; crc32 bit by bit.
 OP12_SQL = """
 WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
@@ -180,5 +185,5 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_source_mixing": op2_source_mixing, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk, "op6_minhash_neardup": op6_minhash_neardup, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id, "op11_centroids": op11_centroids, "op12_conversation_repair": op12_conversation_repair}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_source_mixing": op2_source_mixing, "op3_sharding": op3_sharding, "op4_license_scan": op4_license_scan, "op5_exact_topk": op5_exact_topk, "op6_minhash_neardup": op6_minhash_neardup, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id, "op11_centroids": op11_centroids, "op12_conversation_repair": op12_conversation_repair, "op13_pii": op13_pii}
 SQL = {"op1_url_filters": op1_sql(), "op2_source_mixing": OP2_SQL, "op5_exact_topk": OP5_SQL, "op11_centroids": op11_sql(), "op12_conversation_repair": OP12_SQL}

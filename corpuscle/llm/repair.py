@@ -6,12 +6,13 @@ turn follows; both sorts spill. ``mapInPandas`` then reads the rows as a stream:
 programme goes from one Arrow batch to the next, so a conversation may span any number of batches.
 
 The state is the least cost of each role position (start, after a system, user or assistant turn), the
-order of the four paths as strings and a sha256 of each path's repaired text. Costs relative to the
-least are few, so a step (relative costs, order, kind of row) is computed once and then looked up; its
-number is the row's back-pointer, four bytes. Every ``block`` rows of a conversation the pointers are
-traced for the four ends of the block and spilled as rows of the output, up to four short strings of
-edits, so that a giant conversation holds no more than a block of pointers and a few bytes a block; the
-chosen strings are joined to it afterwards. The audit itself is one string by contract.
+order of the four paths as strings and a sha256 of each path's repaired text. Paths that another one
+beats whatever follows are dropped, so costs relative to the least are few, and a step (relative costs,
+order, kind of row) is computed once and then looked up; its number is the row's back-pointer. Every
+``block`` rows of a conversation the pointers are traced for the up to four ends of the block and spilled
+as rows of the output, short strings of edits, so that a giant conversation holds no more than a block of
+pointers and a few bytes a block; the chosen strings are joined to it afterwards. The audit itself is one
+string by contract.
 
 Edits: Keep costs 0, Rerole (to user or assistant, whichever fits) 1, Delete 2 (the only one for blank
 and duplicate rows), Insert (an empty user or assistant turn) 5; a truncated row that stays adds 5. The
@@ -30,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +105,10 @@ class Programme:
                     way = (own[0] + n * c.insert + price, own[1], "I" * n + edit, place, roles)
                     if to not in best or way < best[to]:
                         best[to] = way
+        # Whatever follows a system turn follows an assistant's too, and at the start only a system turn more, which the other path may delete.
+        for place, spared in ((SYSTEM, 0), (START, c.delete)):
+            if ASSISTANT in best and place in best and best[place][0] > best[ASSISTANT][0] + spared:
+                del best[place]
         least = min(way[0] for way in best.values())
         order = sorted(best, key=lambda to: best[to][1:3])
         after = tuple((best[to][0] - least, order.index(to)) if to in best else None for to in range(4))
