@@ -1,15 +1,16 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled rows:
-of the ``max_languages`` languages with the most rows, ``per_language`` rows each in hash order, and of a
-row ``pieces`` stretches of ``LENGTH`` bytes from anywhere in its text, drawn in the tasks. Only these
-stretches reach the driver (``max_languages * per_language * pieces * LENGTH`` bytes at most). A whole
-text is read in stretches by both directions; every position gets language probabilities, and a
-document's are their mean over the positions of letters. Long texts go through in bounded parts.
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled text. The
+labelled unit is a stretch of ``LENGTH`` bytes: of all stretches of all rows with a language, each
+language gives about ``max_stretches`` over the number of languages (all it has, if fewer), drawn evenly
+over rows and places, so that every part of every labelled text may count. Only the drawn ones reach the
+driver. More languages than ``max_languages`` are an error. A whole text is read in stretches by both
+directions; every position gets language probabilities, and a document's are their mean over the
+positions of letters. Long texts go through in bounded parts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is everything where no
-language was learnt. One learnt language is predicted with score 1. Null languages are not learnt from;
-of rows with one id and text, one is. Ties go to the language that sorts first. Repeated rows and null
+language was learnt. One learnt language is predicted with score 1. Null languages are not learnt from; equal
+stretches of a language are learnt once. Ties go to the language that sorts first. Repeated rows and null
 ids are predicted as they are.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 64
@@ -207,29 +208,34 @@ def drawn_stretches(text: bytes, pieces: int) -> list[bytes]:
     return [text[i * LENGTH : (i + 1) * LENGTH].ljust(LENGTH, b"\0") for i in at.tolist()]
 
 
-def labelled_sample(docs: DataFrame, train_on: Column, per_language: int, max_languages: int, pieces: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Stretches and their languages. Ranks are taken on hashes alone; each task keeps the first of its rows before they meet."""
+def labelled_sample(docs: DataFrame, train_on: Column, max_stretches: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
+    """Stretches and their languages; a row gives its share of the drawn ones, rounded up or down by a hash of its id, and each language one at least."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & train_on)
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)).alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    learnt = counts.orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = known.select("lang", "h").join(F.broadcast(learnt), "lang").withColumn("rn", F.dense_rank().over(order)).filter(F.col("rn") <= per_language).select("lang", "h").distinct()
+    text = F.col(text_col).cast("string")
+    u = F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.ceil(F.octet_length(text) / LENGTH).alias("n"), u.alias("u"))
+    totals = known.groupBy("lang").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("u"))).alias("u")).filter("n > 0").orderBy("lang").limit(max_languages + 1).collect()
+    if len(totals) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
+    if not totals:
+        return np.zeros((0, LENGTH), np.uint8), []
+    rate = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, max_stretches / len(totals) / r["n"]))])
+    top = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], r["u"])])
+    draws = F.greatest(F.floor(F.element_at(rate, F.col("lang")) * F.col("n") + F.col("u")), F.when(F.col("u") == F.element_at(top, F.col("lang")), 1).otherwise(0))
+    drawn = known.filter("n > 0").withColumn("draws", draws).filter("draws > 0").select("lang", "text", "draws")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(lang, h, drawn_stretches(text.as_py().encode("utf-8", "surrogatepass"), pieces)) for lang, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.binary())))], ["lang", "h", "pieces"])
+            out = [(lang, piece) for lang, text, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) for piece in drawn_stretches(text.as_py().encode("utf-8", "surrogatepass"), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "piece"])
 
-    texts = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text").mapInArrow(cut, "lang string, h long, pieces array<binary>")
-    rows = texts.groupBy("lang", "h").agg(F.min("pieces").alias("pieces")).orderBy("lang", "h").collect()
-    data = np.frombuffer(b"".join(bytes(x) for r in rows for x in r["pieces"]), np.uint8).reshape(-1, LENGTH)
-    return data, [r["lang"] for r in rows for _ in r["pieces"]]
+    rows = drawn.mapInArrow(cut, "lang string, piece binary").distinct().orderBy("lang", "piece").collect()
+    return np.frombuffer(b"".join(bytes(r["piece"]) for r in rows), np.uint8).reshape(-1, LENGTH), [r["lang"] for r in rows]
 
 
-def predict_language(docs: DataFrame, train_on: Column, per_language: int = 150, max_languages: int = 200, pieces: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def predict_language(docs: DataFrame, train_on: Column, max_stretches: int = 20_000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang_pred and score of every row."""
-    net = train(*labelled_sample(docs, train_on, per_language, max_languages, pieces, id_col, text_col, lang_col))
+    net = train(*labelled_sample(docs, train_on, max_stretches, max_languages, id_col, text_col, lang_col))
 
     def label(texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)

@@ -5,8 +5,10 @@ are read where they lie, in blocks kept by component (a posting for each term).
 its weighted posting to a dense array of scores; partition selection keeps the k best of the block,
 which are merged into the query's best of the task, and a last merge over tasks keeps the k best of all.
 
-Candidates are never moved. Queries go to the tasks in chunks of ``query_rows`` rows, one pass over the
-candidates a chunk; a task gives back ``k`` rows a query, and takes up to ``task_rows`` candidates.
+Candidates are never moved. Queries go to the tasks in chunks of about ``query_rows`` rows, one pass over
+the candidates a chunk; a chunk's results are written out and its copy in the driver and the tasks is
+dropped before the next one is read, so no more than one chunk is held anywhere. A task gives back ``k``
+rows a query, and takes up to ``task_rows`` candidates.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor
 do rows with a null id. Vectors of different lengths score over the components both have. Equal scores
@@ -21,9 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.session import Scratch, stash_path
+
 
 def quantised(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """id, q (integer components) and asked for every vector that takes part."""
@@ -90,25 +95,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """query_id, rank, vec_id, score: the k best other rows of each row for which ``is_query`` holds."""
     spark = vectors.sparkSession
     every = quantised(vectors, is_query, id_col, vec_col, scale)
-    asked = every.filter("asked").select("id", "q").distinct()
-    n = every.count()
-    chunks = max(1, -(-asked.count() // query_rows))
+    held = Scratch(spark)
+    asked = held.stash(every.filter("asked").select("id", "q").distinct(), "asked")
+    n, chunks = every.count(), max(1, -(-asked.count() // query_rows))
     rows = every.select("id", "q").coalesce(max(spark.sparkContext.defaultParallelism, -(-n // task_rows)))
-    found = None
+    path = stash_path(spark, "top")
     for c in range(chunks):
-        chunk = asked.filter(F.pmod(F.xxhash64("id", "q"), F.lit(chunks)) == c).toArrow().combine_chunks()
-        own = chunk.column("id").combine_chunks().to_numpy(zero_copy_only=False)
-        held = spark.sparkContext.broadcast((own, dense(chunk.column("q").combine_chunks())))
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best_of = Accumulator(*held.value, k)
-            for b in batches:
-                for at in range(0, b.num_rows, block_rows):
-                    part = b.slice(at, block_rows)
-                    best_of.add(part.column(0).to_numpy(zero_copy_only=False), dense(part.column(1)))
-            yield best_of.rows()
-
-        some = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = some if found is None else found.unionByName(some)
+        part = asked.filter(F.pmod(F.xxhash64("id", "q"), F.lit(chunks)) == c).toArrow().combine_chunks()
+        queries = spark.sparkContext.broadcast((part.column("id").combine_chunks().to_numpy(zero_copy_only=False), dense(part.column("q").combine_chunks())))
+        searched(rows, queries, k, block_rows).write.mode("append").parquet(path)
+        queries.destroy()
+    held.clear()
+    return spark.read.schema(TOP).parquet(path)
+
+
+TOP = "query_id long, rank int, vec_id long, score long"
+
+
+def searched(rows: DataFrame, queries: Broadcast, k: int, block_rows: int) -> DataFrame:
+    """The k best rows of each query of a chunk."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_of = Accumulator(*queries.value, k)
+        for b in batches:
+            for at in range(0, b.num_rows, block_rows):
+                part = b.slice(at, block_rows)
+                best_of.add(part.column(0).to_numpy(zero_copy_only=False), dense(part.column(1)))
+        yield best_of.rows()
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

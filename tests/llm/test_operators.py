@@ -545,13 +545,66 @@ def test_leaks_against_aligning_everything(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(i, k): v for i, t in enumerate(texts) for k, item in enumerate(items) if (v := brute_alignment(item.split(), t.split())) >= 0.5}
     grams = lambda t: set(zip(w := t.split(), w[1:], w[2:], strict=False))
-    seeded = {(i, k): v for (i, k), v in want.items() if grams(texts[i]) & grams(items[k])}
+    seeded = {(i, k): v for (i, k), v in want.items() if len(items[k].split()) < 12 or grams(texts[i]) & grams(items[k])}
     long = [k for k in want if len(items[k[1]].split()) >= 12]
     assert sum(k in seeded for k in long) >= 0.99 * len(long) > 50
     for span in (2048, 64):
         assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench, span=span).collect()} == pytest.approx(seeded)
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 1 and 2 words only as a whole; of 3 to 11 words all that aligning everything finds, whatever the edits."""
+    rng = random.Random(37)
+    items = ["solo", "twin words", *[sentence(rng, n) for n in range(3, 12) for _ in range(3)]]
+    texts = ["a solo voice", "twin of words", "so twin words go", "words twin"]
+    for i in range(150):
+        words = items[2 + i % 27].split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 2)):
+            at, what = rng.randrange(len(words)), rng.random()
+            words[at : at + 1] = [f"edit{rng.randrange(99)}"] if what < 0.5 else [] if what < 0.7 and len(words) > 1 else [words[at], "more"]
+        texts.append(f"{sentence(rng, 6)} {' '.join(words)} {sentence(rng, 6)}")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    score = lambda item, t: brute_alignment(item.split(), t.split())
+    want = {(i, k): v for i, t in enumerate(texts) for k, item in enumerate(items) if (v := score(item, t)) >= (0.5 if len(item.split()) > 2 else 1)}
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()} == pytest.approx(want) and {(0, 0), (2, 1)} <= set(want)
+
+
+def test_common_seeds_form_no_pairs(spark):
+    """One 3-gram that all items and texts hold pairs none of them, and items all of whose seeds are common are still found."""
+    rng = random.Random(43)
+    common = "one of the"
+    items = [f"{sentence(rng, 7)} {common} {sentence(rng, 7)}" for _ in range(400)] + [" ".join([common] * 5)] * 2
+    index = decontam.build_index([(k, decontam.hashed(decontam.words_of(t), decontam.WordHashes()).view(np.int64).tolist()) for k, t in enumerate(items)], 3, 0.5, 64, 12)
+    texts = [f"{sentence(rng, 30)} {common} {sentence(rng, 30)}" for _ in range(1000)]
+    words = [decontam.hashed(decontam.words_of(t), decontam.WordHashes()) for t in texts]
+    assert sum(len(some) for w in words for _, _, some in decontam.met(index, w, 3, 2048)) < 40  # by other seeds that texts and items happen to share
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *items[:20], f"x {items[-1]} y", f"{common} {common} and {common} {common}"])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(1000 + i, i) for i in range(20)} | {(d, k) for d in (1020, 1021) for k in (400, 401)}
+
+
+def test_recall_of_edited_copies():
+    """Share of randomly edited copies at the threshold or above that have a stretch which goes on, by length of the item."""
+    rng = random.Random(47)
+    items = [sentence(rng, n) for n in range(3, 41) for _ in range(12)]
+    index = decontam.build_index([(k, decontam.hashed(t.split(), decontam.WordHashes()).view(np.int64).tolist()) for k, t in enumerate(items)], 3, 0.5, 64, 12)
+    found, every = {}, {}
+    for k, item in enumerate(items):
+        for _ in range(6):
+            words = item.split()
+            for _ in range(rng.randrange(1, 2 + len(words) * 2 // 5)):
+                at, what = rng.randrange(len(words)), rng.random()
+                words[at : at + 1] = [f"edit{rng.randrange(99)}"] if what < 0.6 else [] if what < 0.8 and len(words) > 1 else [words[at], "more"]
+            if brute_alignment(item.split(), words) >= 0.5:
+                n = len(item.split())
+                every[n] = every.get(n, 0) + 1
+                met = decontam.met(index, decontam.hashed(words, decontam.WordHashes()), 3, 2048)
+                found[n] = found.get(n, 0) + any(k in some for _, _, some in met)
+    assert all(found[n] == every[n] for n in range(3, 12)) and all(found[n] >= 0.9 * every[n] for n in range(12, 41))
+    assert sum(found[n] for n in range(12, 41)) >= 0.98 * sum(every[n] for n in range(12, 41))
+
+
 def test_leaks_of_ties_and_long_repetitive_texts(spark):
     item = "one two three four five six"
     texts = [f"{item} and {item}", "one two three " * 30_000, "one two three four " * 2_000 + item]
@@ -568,7 +621,7 @@ def test_language(spark):
     make = {"xx": lambda: " ".join(rng.choice(["the", "that", "and", "hand", "with"]) for _ in range(40)), "yy": lambda: " ".join(rng.choice(["quoi", "où", "élève", "ça", "peu"]) for _ in range(40))}
     rows = [(1000 + i, make[lang](), lang, "s", 1) for i in range(120) for lang in ("xx" if i % 2 else "yy",)]
     docs = odd_docs(spark, [*rows, (900, "12345 !!", "xx", "s", 1)]).withColumn("lang", F.when(F.col("doc_id") >= 1000, F.col("lang")))
-    out = langid.predict_language(docs, F.col("doc_id") % 5 != 0, per_language=40).collect()
+    out = langid.predict_language(docs, F.col("doc_id") % 5 != 0, max_stretches=400).collect()
     assert len(out) == docs.count()
     got = {r.doc_id: r for r in out}
     assert (got[2].lang_pred, got[3].lang_pred, got[4].lang_pred, got[900].lang_pred) == ("und",) * 4 and got[900].score == 0.0
@@ -578,12 +631,14 @@ def test_language(spark):
 
 
 def test_language_sample_is_bounded(spark):
-    """Rows of one id, of one text, and of many rare languages: what is learnt from stays within its bounds."""
-    rows = [(7, f"text number {i} of one id", "xx") for i in range(900)] + [(i, "the same text", "yy") for i in range(900)] + [(7, "rows alike", "zz")] * 900 + [(i, "rare", f"r{i:04}") for i in range(300)]
+    """Stretches are the labelled unit: every language has its share of the bound, from rows of any length, and none is left out."""
+    rows = [(i, f"text number {i} of many " + "and so on " * 40, "xx") for i in range(900)] + [(5000, " ".join(f"long{i}" for i in range(20_000)), "yy")] + [(7, "rows alike", "zz")] * 900 + [(i, "rare", f"r{i:04}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    data, langs = langid.labelled_sample(docs, F.lit(True), 20, 50, 6, "doc_id", "text", "lang")
+    data, langs = langid.labelled_sample(docs, F.lit(True), 4300, 50, "doc_id", "text", "lang")
     count = {x: langs.count(x) for x in set(langs)}
-    assert len(count) == 50 and count["xx"] == 20 and count["yy"] == 20 and count["zz"] == 1 and len(data) == len(langs)
+    assert len(count) == 43 and 60 < count["xx"] < 140 and 60 < count["yy"] < 140 and count["zz"] == 1 and len(data) == len(langs)
+    with pytest.raises(ValueError, match="max_languages"):
+        langid.labelled_sample(docs, F.lit(True), 4300, 42, "doc_id", "text", "lang")
 
 
 def test_language_sample_reaches_every_part_of_long_texts():
