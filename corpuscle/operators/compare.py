@@ -73,13 +73,6 @@ def shares_object(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.groupBy("doc", "a", "b").agg(F.array_sort(F.collect_set("object")).alias("shared"))
 
 
-def match_streams(findings: DataFrame, streams: DataFrame) -> DataFrame:
-    """Findings of a document that fall into a stream's byte range; the document key makes it a hash join with a range on top."""
-    spans = findings.select("doc", "id", F.explode("evidence").alias("e")).select("doc", "id", F.col("e.offset").alias("offset"))
-    met = spans.join(streams.select("doc", "stream", "start", "length"), "doc").filter((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.col("length")))
-    return met.select("doc", "stream", "id").distinct()
-
-
 def assign_revision(objects: DataFrame, starts: DataFrame) -> DataFrame:
     """As-of: the revision whose start is the last at or before an object's offset; one window over the union of both."""
     numbered = starts.withColumn("revision", F.row_number().over(Window.partitionBy("doc").orderBy("offset")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.operators.graph import depths, hop_distance
+from corpuscle.operators.graph import depths
 from corpuscle.schemas import confidence_name, confidence_rank, severity_name, severity_rank, stage_rank
 
 #: Kinds and name parts the rules look for.
@@ -89,13 +89,6 @@ def structure_with(findings: DataFrame, prefix: str, kinds: list[str]) -> DataFr
     return per.filter("structural > 0 and paths > 0")
 
 
-def exec_outcome_alignment(findings: DataFrame, outcomes: DataFrame, edges: DataFrame, node: Column, most: int = 3) -> DataFrame:
-    """doc, id, outcome, hops: findings whose node lies within ``most`` undirected hops of an outcome of their document."""
-    at = findings.select("doc", "id", node.alias("a"))
-    pairs = at.select("doc", "a").distinct().join(outcomes.select("doc", F.col("node_id").alias("b")), "doc")
-    return at.join(hop_distance(edges, pairs, most), ["doc", "a"]).select("doc", "id", F.col("b").alias("outcome"), "hops")
-
-
 def upgrade_breakpoints(findings: DataFrame) -> DataFrame:
     """Tentative breakpoints become probable in documents that delete globals."""
     flag = findings.groupBy("doc").agg(F.bool_or(F.col("kind") == "js_global_deletion_sandbox_bypass").alias("__deletes"))

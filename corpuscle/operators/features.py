@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.ranks import at_ranks
 from corpuscle.schemas import CONFIDENCES, SEVERITIES, SURFACES, confidence_rank, severity_rank
 
 #: Weights by severity (from critical down) and by confidence (from certain on).
@@ -83,17 +84,10 @@ def document_risk(findings: DataFrame) -> DataFrame:
 
 
 def baseline(features: DataFrame) -> DataFrame:
-    """name, n, mean, sd and seven nearest-rank percentiles at ``round(p / 100 * (n - 1))``.
-
-    Values are ranked by a window over each feature's sorted distinct values and their counts, so no list of values is gathered.
-    """
-    counts = features.groupBy("name", "value").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("name").orderBy("value")
-    upto = counts.withColumns({"to": F.sum("c").over(order), "n": F.sum("c").over(Window.partitionBy("name"))})
-    at = lambda p: F.round(F.lit(p / 100) * (F.col("n") - 1)).cast("long") + 1
-    picked = [F.min(F.when(F.col("to") >= at(p), F.col("value"))).alias(f"p{p}") for p in PERCENTILES]
-    ranks = upto.groupBy("name").agg(F.first("n").alias("n"), *picked)
-    return features.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).join(ranks, "name")
+    """name, n, mean, sd and seven nearest-rank percentiles at ``round(p / 100 * (n - 1))``, exactly; no task holds a whole feature."""
+    ranks = at_ranks(features, ("name",), "value", [p / 100 for p in PERCENTILES])
+    picked = ranks.select("name", "n", *[F.get("at", F.lit(i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
+    return features.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).join(picked, "name")
 
 
 def comparative(features: DataFrame, base: DataFrame, n: int, least: float = 1.5) -> DataFrame:

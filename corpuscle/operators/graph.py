@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.ranks import first_rows, numbered
 from corpuscle.session import stash
 
 
@@ -32,14 +33,20 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...]
     return known
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    return distances(edges, seeds, depth, g).select(*g, "seed", "node")
+def meetings(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """g, a, b, hops: starts and ends whose undirected distance is at most ``most``, with it.
+
+    Both sides search, each half of the way; pairs arise only at the nodes where their fronts meet, and the least
+    sum over these is the distance.
+    """
+    one = distances(edges, starts, most - most // 2, g, undirected=True).withColumnsRenamed({"seed": "a", "hops": "from_a"})
+    two = distances(edges, ends, most // 2, g, undirected=True).withColumnsRenamed({"seed": "b", "hops": "from_b"})
+    return one.join(two, [*g, "node"]).groupBy(*g, "a", "b").agg(F.min(F.col("from_a") + F.col("from_b")).alias("hops"))
 
 
 def hop_distance(edges: DataFrame, pairs: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Pairs (a, b) with their undirected distance where it is at most ``most``."""
-    seeds = pairs.select(*g, F.col("a").alias("node")).distinct()
-    far = distances(edges, seeds, most, g, undirected=True).select(*g, F.col("seed").alias("a"), F.col("node").alias("b"), "hops")
+    far = meetings(edges, pairs.select(*g, F.col("a").alias("node")), pairs.select(*g, F.col("b").alias("node")), most, g)
     return pairs.join(far, [*g, "a", "b"])
 
 
@@ -195,20 +202,27 @@ def dangling_chains(edges: DataFrame, nodes: DataFrame, shortest: int = 3, most:
 def edge_index(nodes: DataFrame, edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Edges over dense node numbers of each graph; missing ends count as nodes."""
     every = nodes.select(*g, F.col("node_id").alias("node")).union(edges.select(*g, "src")).union(edges.select(*g, "dst")).distinct()
-    numbered = every.withColumn("i", F.row_number().over(Window.partitionBy(*g).orderBy("node")) - 1)
-    a, b = numbered.select(*g, F.col("node").alias("src"), F.col("i").alias("src_i")), numbered.select(*g, F.col("node").alias("dst"), F.col("i").alias("dst_i"))
+    known = stash(numbered(every, g, ("node",), "i"), "node_numbers")
+    a, b = known.select(*g, F.col("node").alias("src"), F.col("i").alias("src_i")), known.select(*g, F.col("node").alias("dst"), F.col("i").alias("dst_i"))
     return edges.join(a, [*g, "src"]).join(b, [*g, "dst"]).select(*g, "src_i", "dst_i")
 
 
-def limit_graph(nodes: DataFrame, edges: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The first ``most`` nodes of each graph (events, outcomes, objects, then collapses), edges among them, and what was dropped."""
+def limit_graph(nodes: DataFrame, edges: DataFrame, most: int, most_edges: int | None = None, g: tuple[str, ...] = ("doc",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first ``most`` nodes of each graph (events, outcomes, objects, then collapses), of the edges among them the first ``most_edges``, and what was dropped.
+
+    The third table has g, nodes, edges (as many as there were), dropped_nodes, dropped_edges and label for each graph that lost something: its collapse node.
+    """
     order = F.when(F.col("node_kind") == "event", 0).when(F.col("node_kind") == "outcome", 1).when(F.col("node_kind") == "object", 2).otherwise(3)
-    ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy(order, "node_id")))
-    kept = ranked.filter(F.col("rank") <= most).drop("rank")
+    kept = stash(first_rows(nodes, g, order, ("node_id",), most), "kept_nodes")
     ids = kept.select(*g, "node_id")
     inside = edges.join(ids.withColumnRenamed("node_id", "src"), [*g, "src"], "left_semi").join(ids.withColumnRenamed("node_id", "dst"), [*g, "dst"], "left_semi")
-    dropped = ranked.groupBy(*g).agg(F.count_if(F.col("rank") > most).alias("dropped_nodes"))
-    return kept, inside, dropped
+    if most_edges is not None:
+        inside = stash(first_rows(inside, g, F.lit(0), tuple(c for c in edges.columns if c not in g), most_edges), "kept_edges")
+    count = lambda df, name: df.groupBy(*g).agg(F.count("*").alias(name))
+    totals = count(nodes, "nodes").join(count(kept, "kept_nodes"), list(g), "left").join(count(edges, "edges"), list(g), "left").join(count(inside, "kept_edges"), list(g), "left")
+    totals = totals.fillna(0, ["kept_nodes", "edges", "kept_edges"]).withColumns({"dropped_nodes": F.col("nodes") - F.col("kept_nodes"), "dropped_edges": F.col("edges") - F.col("kept_edges")})
+    label = F.concat(F.lit("Truncated graph (nodes "), "nodes", F.lit(", edges "), "edges", F.lit(")"))
+    return kept, inside, totals.filter("dropped_nodes > 0 or dropped_edges > 0").select(*g, "nodes", "edges", "dropped_nodes", "dropped_edges", label.alias("label"))
 
 
 def merge_outcomes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

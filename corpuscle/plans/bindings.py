@@ -129,3 +129,21 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = with_url_parts(read_table(spark, sf_dir, "pages").select("page_id", "url"), "url")
     return p.select(F.col("u.host").alias("doc"), "page_id", "url")
+
+
+def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one event graph a user: what happened and a number of its properties, followed by the next; each edge comes from a finding."""
+    from pyspark.sql import Window
+
+    e = read_table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = e.select(F.col("user_id").cast("string").alias("doc"), "event_id", "ts", "event_type", F.concat("event_type", F.lit("@"), F.col("k") % 10).alias("src"))
+    edges = e.withColumn("dst", F.lead("src").over(Window.partitionBy("doc").orderBy("ts", "event_id"))).filter(F.col("dst").isNotNull())
+    kind = F.when(F.col("event_type").isin("signup", "click"), "event").when(F.col("event_type").isin("purchase", "error"), "outcome").otherwise("object")
+    nodes = e.select("doc", F.col("src").alias("node_id"), kind.alias("node_kind"), F.when(F.col("event_type") == "signup", "page_open").when(F.col("event_type") == "click", "content_stream_exec").alias("event_type"), F.when(F.col("event_type") == "purchase", "network_egress").when(F.col("event_type") == "error", "parser_failure").alias("outcome_type"))
+    return nodes.distinct(), edges.select("doc", "src", "dst", F.col("event_id").alias("seq"), F.concat(F.lit("f"), F.col("event_id")).alias("finding_id"))
+
+
+EVENT_GRAPH_SQL = """ek AS (SELECT CAST(user_id AS VARCHAR) doc, event_id, ts, event_type, event_type || '@' || (CAST(json_extract(props, '$.k') AS INTEGER) % 10) node FROM events),
+en AS (SELECT DISTINCT doc, node node_id, CASE WHEN event_type IN ('signup', 'click') THEN 'event' WHEN event_type IN ('purchase', 'error') THEN 'outcome' ELSE 'object' END node_kind,
+  CASE event_type WHEN 'signup' THEN 'page_open' WHEN 'click' THEN 'content_stream_exec' END event_type, CASE event_type WHEN 'purchase' THEN 'network_egress' WHEN 'error' THEN 'parser_failure' END outcome_type FROM ek),
+ee AS (SELECT * FROM (SELECT doc, node src, lead(node) OVER (PARTITION BY doc ORDER BY ts, event_id) dst, event_id seq, 'f' || event_id finding_id FROM ek) WHERE dst IS NOT NULL)"""

@@ -320,13 +320,6 @@ def _(f: DataFrame) -> DataFrame:
     return compare.shares_object(fo.by_kind(f, "js_present"), fo.by_kind(f, "launch_action_present")).withColumn("shared", joined("shared"))
 
 
-@found("interval_evidence_match", """SELECT DISTINCT f.doc, s.stream, f.id FROM f JOIN (SELECT doc, 's' || kind AS stream, min(off) AS start, 500 AS length FROM f GROUP BY doc, kind) s ON f.doc = s.doc AND f.off >= s.start AND f.off < s.start + s.length""")
-def _(f: DataFrame) -> DataFrame:
-    off = F.get("evidence", F.lit(0))["offset"]
-    streams = f.groupBy("doc", F.concat(F.lit("s"), F.col("kind")).alias("stream")).agg(F.min(off).alias("start")).withColumn("length", F.lit(500))
-    return compare.match_streams(f, streams)
-
-
 @found("revision_assignment", """SELECT doc, id AS obj, off AS offset, CAST((SELECT max(r) FROM (SELECT 1 r, 0 s UNION ALL SELECT 2, 3000 UNION ALL SELECT 3, 7000) WHERE s <= off) AS INTEGER) AS revision FROM f""")
 def _(f: DataFrame) -> DataFrame:
     starts = f.select("doc").distinct().select("doc", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 3000, 7000)])).alias("offset"))
@@ -719,14 +712,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(e, e.filter("src = 's1'").select("doc", F.col("src").alias("node")), 4)
 
 
-@query("shortest_hops_within", f"""WITH RECURSIVE {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), w(seed, node, h) AS (SELECT DISTINCT src, src, 0 FROM ed WHERE edge_type = 'in' AND src LIKE 's%' UNION SELECT w.seed, u.b, w.h + 1 FROM w JOIN u ON w.node = u.a WHERE w.h < 3)
-  SELECT seed AS supplier, node AS nation, CAST(min(h) AS INTEGER) AS hops FROM w WHERE node LIKE 'n%' GROUP BY seed, node""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.typed_edges(spark, sf_dir).filter("edge_type = 'in'")
-    nations = e.filter("src like 'n%'").select("doc", F.col("src").alias("node"))
-    return graph.distances(e, nations, 3, undirected=True).filter("node like 's%'").select(F.col("node").alias("supplier"), F.col("seed").alias("nation"), "hops")
-
-
 @query("induced_subgraph_hops", f"""WITH {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), near AS (SELECT 'n1' AS x UNION SELECT b FROM u WHERE a = 'n1')
   SELECT src, dst FROM ed WHERE edge_type = 'in' AND src IN (SELECT x FROM near) AND dst IN (SELECT x FROM near)""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -785,19 +770,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_stats(b.typed_edges(spark, sf_dir), ()).select("edge_type", "n")
 
 
-@query("edge_index", f"WITH {b.TRANSITIONS_SQL}, n AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) - 1 AS i FROM (SELECT doc, src AS node FROM te UNION SELECT doc, dst FROM te)) SELECT te.doc, CAST(a.i AS INTEGER) AS src_i, CAST(c.i AS INTEGER) AS dst_i, count(*) AS n FROM te JOIN n a ON te.doc = a.doc AND te.src = a.node JOIN n c ON te.doc = c.doc AND te.dst = c.node GROUP BY ALL")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.transitions(spark, sf_dir)
-    return graph.edge_index(e.select("doc", F.col("src").alias("node_id")), e).groupBy("doc", "src_i", "dst_i").agg(F.count("*").alias("n"))
-
-
-@query("graph_limit", f"WITH {b.TRANSITIONS_SQL}, n AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) AS r FROM (SELECT doc, src AS node FROM te UNION SELECT doc, dst FROM te)) SELECT doc, count_if(r > 3) AS dropped_nodes FROM n GROUP BY doc")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.transitions(spark, sf_dir)
-    nodes = e.select("doc", F.col("src").alias("node_id")).union(e.select("doc", "dst")).distinct().withColumn("node_kind", F.lit("object"))
-    return graph.limit_graph(nodes, e, 3)[2]
-
-
 @query("action_chains")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.transitions(spark, sf_dir)
@@ -1057,13 +1029,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["path_to_outcome"] = f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM te), w(doc, node) AS (SELECT DISTINCT doc, 'signup' FROM s UNION SELECT w.doc, s.dst FROM w JOIN s ON w.doc = s.doc AND w.node = s.src) SELECT DISTINCT w.doc FROM w JOIN s ON w.doc = s.doc AND w.node = s.src AND s.dst = 'purchase'"""
 
 
-@query("exec_outcome_alignment")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, e = b.findings(spark, sf_dir), b.transitions(spark, sf_dir)
-    outcomes = e.filter("dst = 'purchase'").select("doc", F.col("dst").alias("node_id")).distinct()
-    return context.exec_outcome_alignment(f.filter("kind = 'stream_high_entropy'"), outcomes, e, F.col("title"), 2)
-
-
 @query("partitioned_trend_export", f"WITH {b.FINDINGS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, kind, count(*) AS n FROM f GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.findings(spark, sf_dir).withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "target": F.lit("all")})
@@ -1184,11 +1149,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rows that the given tables reach only with kinds or words put in their place
 
 
-@query("graph_limit_nodes", f"WITH {b.TRANSITIONS_SQL} SELECT doc, node AS node_id FROM (SELECT doc, src AS node FROM te UNION SELECT doc, dst FROM te) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN node = 'purchase' THEN 0 ELSE 1 END, node) <= 3")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.limit_graph(_transition_nodes(spark, sf_dir), b.transitions(spark, sf_dir), 3)[0].select("doc", "node_id")
-
-
 def _transition_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.transitions(spark, sf_dir)
     nodes = e.select("doc", F.col("src").alias("node_id")).union(e.select("doc", "dst")).distinct()
@@ -1300,3 +1260,6 @@ def _(f: DataFrame) -> DataFrame:
 
 
 SQL = {name: whole(sql) for name, sql in SQL.items()}
+
+
+from corpuscle.plans import graphs, linked  # noqa: E402, F401  (they add their queries)
