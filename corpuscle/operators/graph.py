@@ -155,29 +155,6 @@ def edge_stats(edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     return edges.groupBy(*g, "edge_type").agg(F.count("*").alias("n"))
 
 
-def cycles(edges: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """All simple cycles of at most ``most`` edges, started at their smallest node; of two directions the smaller one: g, cycle, length."""
-    step = edges.select(*g, F.col("src").cast("string").alias("node"), F.col("dst").cast("string").alias("next")).distinct()
-    loops = step.filter("node = next").select(*g, F.array("node").alias("cycle"))
-    forward = step.filter("node <> next")
-    front = forward.filter("next > node").select(*g, F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("path"))
-    found = loops
-    for _ in range(most - 1):
-        on = front.join(forward, [*g, "node"])
-        closed = on.filter("next = start").select(*g, F.col("path").alias("cycle"))
-        found = found.unionByName(closed)
-        front = on.filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select(*g, "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-    turned = F.concat(F.slice("cycle", 1, 1), F.reverse(F.slice("cycle", F.lit(2), F.size("cycle"))))
-    return found.select(*g, F.least("cycle", turned).alias("cycle")).distinct().withColumn("length", F.size("cycle"))
-
-
-def classify_cycles(found: DataFrame, page_tree: Column | None = None) -> DataFrame:
-    """Severity by length: a self reference is high, a page-tree pair information, long cycles high or critical."""
-    n, pages = F.col("length"), F.lit(False) if page_tree is None else page_tree
-    level = F.when(n == 1, "high").when((n == 2) & pages, "info").when(n > 100, "critical").when(n > 6, "high").when(n <= 3, "low").otherwise("medium")
-    return found.withColumn("severity", level)
-
-
 def reference_depth(edges: DataFrame, roots: DataFrame, most: int = 64, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     deep = depths(edges, roots, most, g)
     return deep.withColumns({"capped": F.col("max_depth") >= most, "severity": F.when(F.col("max_depth") > 50, "high").when(F.col("max_depth") > 20, "medium").otherwise("info")})

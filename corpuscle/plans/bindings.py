@@ -147,3 +147,31 @@ EVENT_GRAPH_SQL = """ek AS (SELECT CAST(user_id AS VARCHAR) doc, event_id, ts, e
 en AS (SELECT DISTINCT doc, node node_id, CASE WHEN event_type IN ('signup', 'click') THEN 'event' WHEN event_type IN ('purchase', 'error') THEN 'outcome' ELSE 'object' END node_kind,
   CASE event_type WHEN 'signup' THEN 'page_open' WHEN 'click' THEN 'content_stream_exec' END event_type, CASE event_type WHEN 'purchase' THEN 'network_egress' WHEN 'error' THEN 'parser_failure' END outcome_type FROM ek),
 ee AS (SELECT * FROM (SELECT doc, node src, lead(node) OVER (PARTITION BY doc ORDER BY ts, event_id) dst, event_id seq, 'f' || event_id finding_id FROM ek) WHERE dst IS NOT NULL)"""
+
+
+def rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and node types of many graphs of rings: a customer refers to the next one of its nation and, in another graph, of its region; suppliers
+    likewise in their nation, nations (pages) in their region; a nation and its region (page and pages) to each other; a region to itself."""
+    from pyspark.sql import Window
+
+    t = {n: read_table(spark, sf_dir, n) for n in ("customer", "supplier", "nation", "region")}
+    place = t["nation"].select("n_nationkey", "n_regionkey", "n_name")
+    members = lambda df, p, key, of, nation: df.join(place, df[nation] == place["n_nationkey"]).select(F.concat(F.lit(f"{p}:{of}:"), F.col(of)).alias("doc"), F.col(key).alias("key"), F.concat(F.lit(p[0]), F.col(key)).alias("node"), F.lit("other").alias("type"))
+    rows = members(t["customer"], "customer", "c_custkey", "n_nationkey", "c_nationkey").unionByName(members(t["customer"], "customer", "c_custkey", "n_regionkey", "c_nationkey"))
+    rows = rows.unionByName(members(t["supplier"], "supplier", "s_suppkey", "n_nationkey", "s_nationkey"))
+    nations = place.select(F.concat(F.lit("nation:n_regionkey:"), "n_regionkey").alias("doc"), F.col("n_nationkey").alias("key"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit("page").alias("type"))
+    rows = rows.unionByName(nations)
+    pairs = place.select(F.concat(F.lit("pair:"), "n_nationkey").alias("doc"), F.col("n_nationkey").cast("long").alias("key"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit("page").alias("type")).unionByName(
+        place.select(F.concat(F.lit("pair:"), "n_nationkey").alias("doc"), (F.col("n_regionkey") + 1000).cast("long").alias("key"), F.concat(F.lit("r"), "n_regionkey").alias("node"), F.lit("pages").alias("type")))
+    alone = t["region"].select(F.concat(F.lit("self:"), "r_regionkey").alias("doc"), F.col("r_regionkey").cast("long").alias("key"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit("pages").alias("type"))
+    rows = rows.withColumn("key", F.col("key").cast("long")).unionByName(pairs).unionByName(alone)
+    w = Window.partitionBy("doc").orderBy("key")
+    edges = rows.withColumn("dst", F.coalesce(F.lead("node").over(w), F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return edges.select("doc", F.col("node").alias("src"), "dst"), rows.select("doc", "node", "type")
+
+
+RINGS_SQL = """rg AS (SELECT 'customer:n_nationkey:' || c_nationkey doc, c_custkey AS key, 'c' || c_custkey node, 'other' AS type FROM customer
+  UNION ALL SELECT 'customer:n_regionkey:' || n_regionkey, c_custkey, 'c' || c_custkey, 'other' FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'supplier:n_nationkey:' || s_nationkey, s_suppkey, 's' || s_suppkey, 'other' FROM supplier UNION ALL SELECT 'nation:n_regionkey:' || n_regionkey, n_nationkey, 'n' || n_nationkey, 'page' FROM nation
+  UNION ALL SELECT 'pair:' || n_nationkey, n_nationkey, 'n' || n_nationkey, 'page' FROM nation UNION ALL SELECT 'pair:' || n_nationkey, n_regionkey + 1000, 'r' || n_regionkey, 'pages' FROM nation
+  UNION ALL SELECT 'self:' || r_regionkey, r_regionkey, 'r' || r_regionkey, 'pages' FROM region)"""

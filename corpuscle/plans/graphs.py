@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators import graph
+from corpuscle.operators import cycles, graph
 from corpuscle.plans import bindings as b
 from corpuscle.plans.queries import query
 
@@ -45,3 +45,32 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc, nodes, edges, nodes - kn AS dropped_nodes, edges - ke AS dropped_edges, 'Truncated graph (nodes ' || nodes || ', edges ' || edges || ')' AS label FROM c WHERE nodes > kn OR edges > ke""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.limit_graph(*b.event_graph(spark, sf_dir), LIMIT_NODES, LIMIT_EDGES)[2]
+
+
+@query("find_cycles", f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM te), w(doc, start, node, path) AS (SELECT doc, src, dst, [src, dst] FROM s WHERE dst > src UNION ALL SELECT w.doc, w.start, s.dst, list_append(w.path, s.dst) FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE len(w.path) < 4 AND s.dst > w.start AND NOT list_contains(w.path, s.dst)),
+  c AS (SELECT doc, [src] AS p FROM s WHERE src = dst UNION ALL SELECT w.doc, w.path FROM w JOIN s ON w.doc = s.doc AND w.node = s.src AND s.dst = w.start)
+  SELECT DISTINCT doc, list_aggregate(least(p, list_concat([p[1]], list_reverse(p[2:]))), 'string_agg', '>') AS cycle, CAST(len(p) AS INTEGER) AS length FROM c""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.find_cycles(b.transitions(spark, sf_dir), 4).select("doc", F.array_join("cycle", ">").alias("cycle"), "length")
+
+
+@query("classify_cycles", f"""WITH {b.RINGS_SQL}, l AS (SELECT doc, list(node ORDER BY key) AS l, count(*) AS n, count(*) FILTER (type = 'pages') AS pages, count(*) FILTER (type <> 'other') AS paged FROM rg GROUP BY doc),
+  c AS (SELECT *, list_position(l, list_min(l)) AS pos FROM l), r AS (SELECT *, list_concat(l[pos:], l[:pos - 1]) AS p FROM c), sorted AS (SELECT *, CASE WHEN n = 1 THEN 'self_reference' WHEN n = 2 AND paged = 2 AND pages > 0 THEN 'page_tree_parent_child'
+    WHEN n <= 6 AND paged = n THEN 'page_tree_small_cycle' WHEN n <= 6 THEN 'small_cycle' WHEN n > 100 THEN 'extremely_large_cycle' ELSE 'large_cycle' END AS sort FROM r)
+  SELECT doc, list_aggregate(least(p, list_concat([p[1]], list_reverse(p[2:]))), 'string_agg', '>') AS cycle, CAST(n AS INTEGER) AS length, sort,
+    CASE sort WHEN 'page_tree_parent_child' THEN 'info' WHEN 'page_tree_small_cycle' THEN 'low' WHEN 'small_cycle' THEN 'medium' WHEN 'extremely_large_cycle' THEN 'critical' ELSE 'high' END AS severity FROM sorted""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, types = b.rings(spark, sf_dir)
+    return cycles.classify_cycles(cycles.find_cycles(edges, 6), types).withColumn("cycle", F.array_join("cycle", ">"))
+
+
+@query("strong_components", f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM ee), w(doc, a, b) AS (SELECT doc, src, dst FROM s UNION SELECT w.doc, w.a, s.dst FROM w JOIN s ON w.doc = s.doc AND w.b = s.src),
+  c AS (SELECT x.doc, x.a AS node, x.b AS other FROM w x JOIN w y ON x.doc = y.doc AND x.a = y.b AND x.b = y.a) SELECT doc, node, min(other) AS component, count(*) AS size FROM c GROUP BY doc, node""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.strong_components(b.event_graph(spark, sf_dir)[1])
+
+
+@query("shortest_cycles", f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM ee), w(doc, a, b, h) AS (SELECT doc, src, dst, 1 FROM s UNION SELECT w.doc, w.a, s.dst, w.h + 1 FROM w JOIN s ON w.doc = s.doc AND w.b = s.src WHERE w.h < 8 AND w.b <> w.a)
+  SELECT doc, a AS node, CAST(min(h) AS INTEGER) AS length FROM w WHERE a = b GROUP BY doc, a""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.shortest_cycles(b.event_graph(spark, sf_dir)[1], 8)

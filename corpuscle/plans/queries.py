@@ -728,20 +728,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_.select("doc", F.array_join("path", ">").alias("path"))
 
 
-@query("find_cycles", f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM te), w(doc, start, node, path) AS (SELECT doc, src, dst, [src, dst] FROM s WHERE dst > src UNION ALL SELECT w.doc, w.start, s.dst, list_append(w.path, s.dst) FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE len(w.path) < 4 AND s.dst > w.start AND NOT list_contains(w.path, s.dst)),
-  c AS (SELECT doc, [src] AS p FROM s WHERE src = dst UNION ALL SELECT w.doc, w.path FROM w JOIN s ON w.doc = s.doc AND w.node = s.src AND s.dst = w.start)
-  SELECT DISTINCT doc, list_aggregate(least(p, list_concat([p[1]], list_reverse(p[2:]))), 'string_agg', '>') AS cycle, CAST(len(p) AS INTEGER) AS length FROM c""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(b.transitions(spark, sf_dir), 4).select("doc", F.array_join("cycle", ">").alias("cycle"), "length")
-
-
-@query("classify_cycles", f"""WITH {b.TRANSITIONS_SQL}, d AS (SELECT DISTINCT doc, src, dst FROM te) SELECT doc, src AS cycle, CAST(1 AS INTEGER) AS length, 'high' AS severity FROM d WHERE src = dst
-  UNION ALL SELECT x.doc, x.src || '>' || x.dst, CAST(2 AS INTEGER), 'low' FROM d x JOIN d y ON x.doc = y.doc AND x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = graph.classify_cycles(graph.cycles(b.transitions(spark, sf_dir), 2))
-    return c.select("doc", F.array_join("cycle", ">").alias("cycle"), "length", "severity")
-
-
 def _scores_sql(rounds: int) -> str:
     """Scores after so many rounds, one table a round."""
     first = """s0 AS (SELECT node, sum(s) AS s FROM (SELECT src AS node, 0.3::DOUBLE AS s FROM ed WHERE suspicious UNION ALL SELECT dst, 0.5::DOUBLE FROM ed WHERE suspicious UNION ALL SELECT src, 0 FROM ed UNION ALL SELECT dst, 0 FROM ed) GROUP BY node)"""

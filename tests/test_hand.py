@@ -170,7 +170,7 @@ def graph_edges(spark, pairs):
 
 def test_cycles_in_both_directions_and_self(spark):
     e = graph_edges(spark, [("a", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "z"), ("z", "x")])
-    assert {tuple(r.cycle) for r in graph.cycles(e, 5).collect()} == {("a",), ("b", "c"), ("x", "y", "z")}
+    assert {tuple(r.cycle) for r in cycles.find_cycles(e, 5).collect()} == {("a",), ("b", "c"), ("x", "y", "z")}
 
 
 def test_diamond_paths_and_hops(spark):
