@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.operators.ranks import first_rows, numbered
+from corpuscle.operators.ranks import first_rows, joined_on, numbered
 from corpuscle.session import stash
 
 
@@ -33,6 +33,28 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...]
     return known
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...] = ("doc",), cut_every: int = 4) -> DataFrame:
+    """g, node, hops: the fewest hops from any seed, up to ``depth``; a node is carried once, however many seeds reach it."""
+    step = edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    known = seeds.select(*g, "node").distinct().withColumn("hops", F.lit(0))
+    frontier = known
+    for hop in range(1, depth + 1):
+        ahead = frontier.select(*g, "node").join(step, [*g, "node"]).select(*g, F.col("next").alias("node")).distinct()
+        frontier = ahead.join(known, [*g, "node"], "left_anti").withColumn("hops", F.lit(hop))
+        if hop % cut_every == 0:
+            frontier = stash(frontier, "frontier")
+            if frontier.isEmpty():
+                break
+            known = stash(known.unionByName(frontier), "known")
+        else:
+            known = known.unionByName(frontier)
+    return known
+
+
+def reversed_edges(edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
+    return edges.select(*g, F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def meetings(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     """g, a, b, hops: starts and ends whose undirected distance is at most ``most``, with it.
 
@@ -51,16 +73,32 @@ def hop_distance(edges: DataFrame, pairs: DataFrame, most: int, g: tuple[str, ..
 
 
 def reachable_paths(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """g, seed, node, path: for each node the first path in order among the shortest."""
+    """g, seed, node, path: for each node the first path in order among the shortest.
+
+    A node keeps one parent and its place among the nodes of its hop (the order of their paths: the parent's
+    place, then the node), so no path is carried along; at the end pointers are doubled to put the paths together.
+    """
     step = edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    known = seeds.select(*g, F.col("node").alias("seed"), "node", F.array(F.col("node").cast("string")).alias("path")).distinct()
-    frontier = known
+    known = seeds.select(*g, F.col("node").alias("seed"), "node").distinct()
+    known = known.withColumns({"parent": F.lit(None).cast(known.schema["node"].dataType), "place": F.lit(0).cast("long")})
+    known = frontier = stash(known, "first_nodes")
+    group, cell = (*g, "seed"), F.struct(F.col("place").alias("p"), F.col("node").alias("parent"))
     for _ in range(depth):
-        ahead = frontier.join(step, [*g, "node"]).select(*g, "seed", F.col("next").alias("node"), F.concat("path", F.array(F.col("next").cast("string"))).alias("path"))
-        ahead = ahead.join(known, [*g, "seed", "node"], "left_anti")
-        frontier = ahead.groupBy(*g, "seed", "node").agg(F.min("path").alias("path"))
-        known = known.unionByName(frontier)
-    return known
+        ahead = frontier.join(step, [*g, "node"]).groupBy(*group, F.col("next").alias("next")).agg(F.min(cell).alias("from"))
+        ahead = ahead.select(*group, F.col("next").alias("node"), F.col("from.parent").alias("parent"), F.col("from.p").alias("parent_place")).join(known, [*group, "node"], "left_anti")
+        frontier = numbered(ahead, group, ("parent_place", "node"), "place").select(*group, "node", "parent", F.col("place").cast("long").alias("place"))
+        frontier = stash(frontier, "frontier")
+        if frontier.isEmpty():
+            break
+        known = stash(known.unionByName(frontier), "known")
+    text = lambda c: F.array(F.col(c).cast("string"))
+    at, made = known.select(*group, "node", F.col("parent").alias("to"), text("node").alias("path")), 1
+    while made <= depth:
+        ahead = at.select(*group, F.col("node").alias("to"), F.col("to").alias("to2"), F.col("path").alias("before"))
+        met = at.join(ahead, [*group, "to"], "left")
+        at = stash(met.select(*group, "node", F.col("to2").alias("to"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "path_pointers")
+        made *= 2
+    return at.select(*group, "node", "path")
 
 
 def induced_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
@@ -84,23 +122,27 @@ def subgraph(nodes: DataFrame, edges: DataFrame, wanted: Column, g: tuple[str, .
 def reaches(nodes: DataFrame, edges: DataFrame, outcome_types: list[str], most: int = 32, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Graphs in which some event reaches an outcome of the given types; searched backwards from the outcomes."""
     ends = nodes.filter(F.col("outcome_type").isin(outcome_types)).select(*g, F.col("node_id").alias("node"))
-    back = edges.select(*g, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seen = distances(back, ends, most, g).filter("hops > 0").select(*g, F.col("node").alias("node_id")).distinct()
+    seen = nearest(reversed_edges(edges, g), ends, most, g).filter("hops > 0").select(*g, F.col("node").alias("node_id"))
     return seen.join(nodes.filter("node_kind = 'event'").select(*g, "node_id"), [*g, "node_id"], "left_semi").select(*g).distinct()
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """All simple paths with at most ``depth`` edges from a start to an end: g, path."""
+    """All simple paths with at most ``depth`` edges from a start to the first end on the way: g, path.
+
+    Distances to the ends come first, and a path goes on only to nodes from which an end is still within its remaining hops.
+    """
     step = edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     goal = ends.select(*g, "node").distinct()
+    left = stash(nearest(reversed_edges(edges, g), goal, depth, g), "goal_distances")
+    step = stash(step.join(left.select(*g, F.col("node").alias("next"), F.col("hops").alias("left")), [*g, "next"]), "goal_steps")
     front = starts.select(*g, "node", F.array(F.col("node").cast("string")).alias("path")).distinct()
     found = None
-    for _ in range(depth):
-        front = front.join(step, [*g, "node"]).filter(~F.array_contains("path", F.col("next").cast("string")))
-        front = front.select(*g, F.col("next").alias("node"), F.concat("path", F.array(F.col("next").cast("string"))).alias("path"))
-        hit = front.join(goal, [*g, "node"], "left_semi").select(*g, "path")
+    for made in range(1, depth + 1):
+        front = front.join(step, [*g, "node"]).filter((F.col("left") <= depth - made) & ~F.array_contains("path", F.col("next").cast("string")))
+        front = stash(front.select(*g, F.col("next").alias("node"), "left", F.concat("path", F.array(F.col("next").cast("string"))).alias("path")), "path_front")
+        hit = front.filter("left = 0").select(*g, "path")
         found = hit if found is None else found.unionByName(hit)
-        front = front.join(goal, [*g, "node"], "left_anti")
+        front = front.filter("left > 0").drop("left")
     return found
 
 
@@ -113,7 +155,7 @@ def action_chains(edges: DataFrame, triggers: Column, eligible: Column, most: in
     for _ in range(most - 1):
         met = live.join(step, [*g, "node"], "left").withColumn("ok", F.col("next").isNotNull() & ~F.array_contains("path", text("next")))
         best = F.min_by(F.when(F.col("ok"), F.struct("next", "kind")), F.when(F.col("ok"), F.col("seq")))
-        went = met.groupBy(*g, "chain", "node", "path", "kinds").agg(best.alias("b"))
+        went = stash(met.groupBy(*g, "chain", "node", "path", "kinds").agg(best.alias("b")), "chain_front")
         over = went.filter("b is null").select(*g, "chain", "path", "kinds")
         done = over if done is None else done.unionByName(over)
         live = went.filter("b is not null").select(*g, "chain", F.col("b.next").alias("node"), F.concat("path", F.array(F.col("b.next").cast("string"))).alias("path"), F.concat("kinds", F.array("b.kind")).alias("kinds"))
@@ -123,7 +165,7 @@ def action_chains(edges: DataFrame, triggers: Column, eligible: Column, most: in
 
 def depths(edges: DataFrame, roots: DataFrame, most: int, g: tuple[str, ...] = ("doc",)) -> DataFrame:
     """g, max_depth, avg_depth, nodes over what a root reaches."""
-    far = distances(edges, roots, most, g).groupBy(*g, "node").agg(F.min("hops").alias("d"))
+    far = nearest(edges, roots, most, g).withColumnRenamed("hops", "d")
     return far.groupBy(*g).agg(F.max("d").alias("max_depth"), F.avg("d").alias("avg_depth"), F.count("*").alias("nodes"))
 
 
@@ -135,12 +177,9 @@ def propagate_scores(edges: DataFrame, rounds: int = 3, fade: float = 0.7, least
     for _ in range(rounds):
         sent = edges.join(score.withColumnRenamed("node", "src"), [*g, "src"]).filter(F.col("score") > least)
         got = sent.groupBy(*g, F.col("dst").alias("node")).agg((F.max("score") * fade).alias("in"))
-        score = score.join(got, [*g, "node"], "left").select(*g, "node", F.greatest("score", F.coalesce("in", F.lit(0.0))).alias("score"))
-    tops = score.groupBy(*[F.col(c).alias(f"top_{c}") for c in g]).agg(F.max("score").alias("top")).filter("top > 1")
-    same = F.lit(True)
-    for c in g:
-        same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
-    return score.join(F.broadcast(tops), same, "left").select(*g, "node", F.when(F.col("top") > 1, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))
+        score = stash(score.join(got, [*g, "node"], "left").select(*g, "node", F.greatest("score", F.coalesce("in", F.lit(0.0))).alias("score")), "scores")
+    tops = score.groupBy(*g).agg(F.max("score").alias("top")).filter("top > 1")
+    return joined_on(score, tops, g, "left").select(*g, "node", F.when(F.col("top") > 1, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))
 
 
 def suspicious_targets(edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
@@ -161,18 +200,16 @@ def reference_depth(edges: DataFrame, roots: DataFrame, most: int = 64, g: tuple
 
 
 def dangling_chains(edges: DataFrame, nodes: DataFrame, shortest: int = 3, most: int = 16, per_key: int = 4, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """Reference chains that end in a missing node, ``shortest`` to ``most`` edges long, at most four a start."""
-    step = edges.select(*g, F.col("src").cast("string").alias("node"), F.col("dst").cast("string").alias("next")).distinct()
-    there = nodes.select(*g, F.col("node_id").cast("string").alias("next")).distinct()
-    front = step.select(*g, F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("path")).distinct()
-    found = None
-    for length in range(1, most + 1):
-        if length >= shortest:
-            gone = front.join(there.withColumnRenamed("next", "node"), [*g, "node"], "left_anti").select(*g, "start", "path", F.lit(length).alias("depth"))
-            found = gone if found is None else found.unionByName(gone)
-        if length < most:
-            front = front.join(step, [*g, "node"]).filter(~F.array_contains("path", F.col("next"))).select(*g, "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*g, "start").orderBy("depth", "path"))).filter(F.col("rank") <= per_key)
+    """Reference chains that end in a missing node, ``shortest`` to ``most`` edges long, at most four a start.
+
+    A chain ends at the first missing node. Distances to missing nodes come first, and only chains that can still reach one are followed.
+    """
+    step = edges.select(*g, F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    there = nodes.select(*g, F.col("node_id").cast("string").alias("node")).distinct()
+    gone = step.select(*g, F.col("dst").alias("node")).distinct().join(there, [*g, "node"], "left_anti")
+    found = simple_paths(step, step.select(*g, F.col("src").alias("node")).join(there, [*g, "node"], "left_semi"), gone, most, g)
+    long = found.select(*g, F.element_at("path", 1).alias("start"), "path", (F.size("path") - 1).alias("depth")).filter(F.col("depth") >= shortest)
+    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy(*g, "start").orderBy("depth", "path"))).filter(F.col("rank") <= per_key)
     return ranked.withColumn("severity", F.when(F.col("depth") >= 5, "high").otherwise("medium"))
 
 

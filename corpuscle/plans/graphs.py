@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators import cycles, graph
+from corpuscle.operators import context, cycles, graph
 from corpuscle.plans import bindings as b
 from corpuscle.plans.queries import query
 
@@ -74,3 +74,85 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc, a AS node, CAST(min(h) AS INTEGER) AS length FROM w WHERE a = b GROUP BY doc, a""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cycles.shortest_cycles(b.event_graph(spark, sf_dir)[1], 8)
+
+
+@query("reachable_from", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, hops) AS (SELECT DISTINCT src, 0 FROM ed WHERE edge_type = 'places' AND suspicious UNION SELECT ed.dst, w.hops + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.hops < 3)
+  SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY node""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.typed_edges(spark, sf_dir)
+    return graph.nearest(e, e.filter("edge_type = 'places' and suspicious").select("doc", F.col("src").alias("node")), 3).select("node", "hops")
+
+
+@query("reachable_from_each", f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM ee), w(doc, seed, node, hops) AS (SELECT doc, node_id, node_id, 0 FROM en WHERE node_kind = 'event' UNION SELECT w.doc, w.seed, s.dst, w.hops + 1 FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE w.hops < 3)
+  SELECT doc, seed, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY doc, seed, node""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = b.event_graph(spark, sf_dir)
+    return graph.distances(edges, nodes.filter("node_kind = 'event'").select("doc", F.col("node_id").alias("node")), 3)
+
+
+@query("reachable_paths", f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM ee), w(doc, seed, node, path) AS (SELECT doc, node_id, node_id, [node_id] FROM en WHERE event_type = 'page_open'
+    UNION ALL SELECT w.doc, w.seed, s.dst, list_append(w.path, s.dst) FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE len(w.path) <= 4 AND NOT list_contains(w.path, s.dst))
+  SELECT doc, seed, node, array_to_string(arg_min(path, struct_pack(n := len(path), p := path)), '>') AS path FROM w GROUP BY doc, seed, node""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = b.event_graph(spark, sf_dir)
+    return graph.reachable_paths(edges, nodes.filter("event_type = 'page_open'").select("doc", F.col("node_id").alias("node")), 4).withColumn("path", F.array_join("path", ">"))
+
+
+@query("null_chain", f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, there AS (SELECT doc, node_id FROM en WHERE outcome_type IS DISTINCT FROM 'parser_failure'), s AS (SELECT DISTINCT ee.doc, src, dst, t.node_id IS NULL AS gone FROM ee LEFT JOIN there t ON t.doc = ee.doc AND t.node_id = dst),
+  w(doc, start, node, path, gone) AS (SELECT doc, node_id, node_id, [node_id], false FROM there WHERE (doc, node_id) IN (SELECT (doc, src) FROM s) UNION ALL SELECT w.doc, start, dst, list_append(path, dst), s.gone FROM w JOIN s ON s.doc = w.doc AND s.src = w.node WHERE NOT w.gone AND len(path) <= 6 AND NOT list_contains(path, dst))
+  SELECT doc, start, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS depth, CASE WHEN len(path) > 5 THEN 'high' ELSE 'medium' END AS severity FROM w WHERE gone AND len(path) > 3 QUALIFY row_number() OVER (PARTITION BY doc, start ORDER BY len(path), path) <= 4""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = b.event_graph(spark, sf_dir)
+    there = nodes.filter("outcome_type is distinct from 'parser_failure'")
+    return graph.dangling_chains(edges, there, 3, 6).select("doc", "start", F.array_join("path", ">").alias("path"), "depth", "severity")
+
+
+DEPTH_SQL = f"""WITH RECURSIVE {b.EVENT_GRAPH_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM ee), w(doc, node, d) AS (SELECT doc, node_id, 0 FROM en WHERE event_type = 'page_open' AND node_id < 'signup@3' UNION SELECT w.doc, s.dst, w.d + 1 FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE w.d < 30),
+  far AS (SELECT doc, node, min(d) d FROM w GROUP BY doc, node)"""
+
+
+def _roots(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("event_type = 'page_open' and node_id < 'signup@3'").select("doc", F.col("node_id").alias("node"))
+
+
+@query("depths_from_root", f"{DEPTH_SQL} SELECT doc, CAST(max(d) AS INTEGER) AS max_depth, round(avg(d), 6) AS avg_depth, count(*) AS nodes FROM far GROUP BY doc")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = b.event_graph(spark, sf_dir)
+    return graph.depths(edges, _roots(nodes), 30).withColumn("avg_depth", F.round("avg_depth", 6))
+
+
+#: From the first customer of each nation or region along the ring: depths below, between and above the bounds, and a capped one.
+@query("reference_depth", f"""WITH {b.RINGS_SQL}, n AS (SELECT doc, least(count(*) - 1, 64) AS d FROM rg GROUP BY doc)
+  SELECT doc, CAST(d AS INTEGER) AS max_depth, d + 1 AS nodes, d >= 64 AS capped, CASE WHEN d > 50 THEN 'high' WHEN d > 20 THEN 'medium' ELSE 'info' END AS severity FROM n""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, types = b.rings(spark, sf_dir)
+    first = types.groupBy("doc").agg(F.min("node").alias("node"))
+    return graph.reference_depth(edges, first).select("doc", "max_depth", "nodes", "capped", "severity")
+
+
+@query("induced_subgraph_hops", f"""WITH {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed UNION SELECT dst, src FROM ed), seeds AS (SELECT DISTINCT src AS x FROM ed WHERE edge_type = 'in' AND suspicious), one AS (SELECT x FROM seeds UNION SELECT b FROM u WHERE a IN (SELECT x FROM seeds)),
+  near AS (SELECT x FROM one UNION SELECT b FROM u WHERE a IN (SELECT x FROM one)) SELECT src, dst, edge_type FROM ed WHERE src IN (SELECT x FROM near) AND dst IN (SELECT x FROM near)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.typed_edges(spark, sf_dir)
+    return graph.induced_subgraph(e, e.filter("edge_type = 'in' and suspicious").select("doc", F.col("src").alias("node")), 2).select("src", "dst", "edge_type")
+
+
+CHAIN_SQL = f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, w(doc, chain, node, path, kinds) AS (SELECT doc, seq, dst, [src, dst], [edge_type] FROM te WHERE edge_type = 'open'
+    UNION ALL SELECT doc, chain, p.dst, list_append(path, p.dst), list_append(kinds, 'next') FROM (SELECT w.doc, w.chain, w.path, w.kinds, arg_min(te.dst, te.seq) AS dst FROM w JOIN te ON te.doc = w.doc AND te.src = w.node AND te.edge_type = 'next'
+      WHERE len(w.path) <= 5 AND NOT list_contains(w.path, te.dst) GROUP BY ALL) p(doc, chain, path, kinds, dst)),
+  ac AS (SELECT doc, chain, path, kinds FROM w QUALIFY row_number() OVER (PARTITION BY doc, chain ORDER BY len(path) DESC) = 1)"""
+
+
+@query("action_chains", f"{CHAIN_SQL} SELECT doc, chain, array_to_string(path, '>') AS path FROM ac")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chains(spark, sf_dir).select("doc", "chain", F.array_join("path", ">").alias("path"))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.action_chains(b.transitions(spark, sf_dir), F.col("edge_type") == "open", F.col("edge_type") == "next", 5)
+
+
+@query("query_chain_grouping", f"""{CHAIN_SQL}, x AS (SELECT *, kinds[1] AS trigger, path[-1] AS payload, array_to_string(kinds, '>') AS signature FROM ac)
+  SELECT doc, arg_min(chain, struct_pack(r := -len(path), c := chain)) AS chain, trigger, payload, signature, count(*) AS members FROM x GROUP BY doc, trigger, payload, signature""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.group_paths(_chains(spark, sf_dir).withColumn("risk", F.size("path") * 0.1)).select("doc", "chain", "trigger", "payload", "signature", "members")

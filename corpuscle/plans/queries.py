@@ -694,31 +694,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- graph
 
-@query("reachable_from")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.typed_edges(spark, sf_dir)
-    seeds = e.filter("edge_type = 'places' and suspicious").select("doc", F.col("src").alias("node")).distinct()
-    return graph.distances(e, seeds, 3).select("seed", "node", "hops")
-
-
-SQL["reachable_from"] = f"""WITH RECURSIVE {b.EDGES_SQL}, w(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM ed WHERE edge_type = 'places' AND suspicious UNION SELECT w.seed, ed.dst, w.hops + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.hops < 3)
-  SELECT seed, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY seed, node"""
-
-
-@query("depths_from_root", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 4)
-  SELECT 'g' AS doc, CAST(max(d) AS INTEGER) AS max_depth, avg(d) AS avg_depth, count(*) AS nodes FROM (SELECT node, min(d) d FROM w GROUP BY node)""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.typed_edges(spark, sf_dir)
-    return graph.depths(e, e.filter("src = 's1'").select("doc", F.col("src").alias("node")), 4)
-
-
-@query("induced_subgraph_hops", f"""WITH {b.EDGES_SQL}, u AS (SELECT src a, dst b FROM ed WHERE edge_type = 'in' UNION SELECT dst, src FROM ed WHERE edge_type = 'in'), near AS (SELECT 'n1' AS x UNION SELECT b FROM u WHERE a = 'n1')
-  SELECT src, dst FROM ed WHERE edge_type = 'in' AND src IN (SELECT x FROM near) AND dst IN (SELECT x FROM near)""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.typed_edges(spark, sf_dir).filter("edge_type = 'in'")
-    return graph.induced_subgraph(e, e.filter("src = 'n1'").select("doc", F.col("src").alias("node")), 1).select("src", "dst")
-
-
 @query("find_paths", f"""WITH RECURSIVE {b.TRANSITIONS_SQL}, s AS (SELECT DISTINCT doc, src, dst FROM te), w(doc, node, path) AS (SELECT DISTINCT doc, 'signup', ['signup'] FROM s UNION ALL SELECT w.doc, s.dst, list_append(w.path, s.dst) FROM w JOIN s ON w.doc = s.doc AND w.node = s.src WHERE len(w.path) <= 3 AND NOT list_contains(w.path, s.dst) AND w.node <> 'purchase')
   SELECT doc, list_aggregate(path, 'string_agg', '>') AS path FROM w WHERE node = 'purchase'""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -756,13 +731,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_stats(b.typed_edges(spark, sf_dir), ()).select("edge_type", "n")
 
 
-@query("action_chains")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.transitions(spark, sf_dir)
-    c = graph.action_chains(e, F.col("edge_type") == "open", F.col("edge_type") == "next", 5)
-    return c.select("doc", "chain", F.array_join("path", ">").alias("path"))
-
-
 # ---- urls and text
 
 PAGE = "SELECT page_id, url, lower(regexp_extract(url, '^([^:]*):', 1)) AS scheme, nullif(regexp_extract(url, '^[^:]*:/*([^/?]*)', 1), '') AS host, nullif(regexp_extract(url, '^[^:]*:/*[^/?]*(/[^?]*)', 1), '') AS path, regexp_extract(url, '\\?(.*)$', 1) AS query FROM pages"
@@ -980,13 +948,6 @@ def _(f: DataFrame) -> DataFrame:
     return context.findings_with_chain(f, correlate.object_chains(f))
 
 
-@query("query_chain_grouping")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.transitions(spark, sf_dir)
-    c = graph.action_chains(e, F.col("edge_type") == "open", F.col("edge_type") == "next", 5)
-    return context.group_paths(c.withColumn("risk", F.size("path") * 0.1)).select("doc", "chain", "trigger", "payload", "signature", "members")
-
-
 @query("evidence_chains", f"""{BASE_SQL}, {PART_SQL}, t AS (SELECT doc, name, c FROM pt QUALIFY row_number() OVER (PARTITION BY doc ORDER BY abs(c) DESC, name) <= 2), x AS (SELECT CAST(doc_id AS VARCHAR) AS doc, count(*) AS n FROM documents WHERE contains(text, ',') GROUP BY 1)
   SELECT t.doc, name, round(c, 6) AS contribution, CASE WHEN name LIKE 'text.%' THEN coalesce(x.n, 0) ELSE 0 END AS findings FROM t LEFT JOIN x ON t.doc = x.doc""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1149,13 +1110,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.subgraph(_transition_nodes(spark, sf_dir), e, F.col("node_kind") == "outcome").select("doc", "src", "dst", "seq", "edge_type")
 
 
-@query("reference_depth", f"""WITH RECURSIVE {b.EDGES_SQL}, w(node, d) AS (SELECT 's1', 0 UNION SELECT ed.dst, w.d + 1 FROM w JOIN ed ON w.node = ed.src WHERE w.d < 2)
-  SELECT CAST(max(d) AS INTEGER) AS max_depth, count(*) AS nodes, max(d) >= 2 AS capped, 'info' AS severity FROM (SELECT node, min(d) AS d FROM w GROUP BY node)""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.typed_edges(spark, sf_dir)
-    return graph.reference_depth(e, e.filter("src = 's1'").select("doc", F.col("src").alias("node")), 2).select("max_depth", "nodes", "capped", "severity")
-
-
 @query("c2_domains", "SELECT DISTINCT CASE WHEN page_id % 10 = 0 THEN 'h' || (page_id % 70) || '.onion' ELSE 'pastebin.com' END AS domain FROM pages WHERE page_id % 10 <= 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
