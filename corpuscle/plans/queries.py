@@ -1056,10 +1056,28 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, e.withColumn("ts", F.col("ts").cast("timestamp")), "events")
 
 
-@query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY ALL")
+@query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = jobs.stream_daily_counts(_events(spark, sf_dir), "event_type", late="0 seconds")
-    return _streamed(spark, s, "daily").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    """All days: a closing record after the last event lets the watermark pass the last window."""
+    e = read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    closing = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).withColumn("event_type", F.lit(None).cast("string"))
+    s = jobs.stream_daily_counts(_live(spark, e.unionByName(closing), "events"), "event_type", late="0 seconds")
+    return _streamed(spark, s, "daily").filter("event_type is not null").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("stream_upsert_trend", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event: a first batch, later ones as a stream, and the first put again, which changes nothing."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    table = jobs.UpsertTable(spark, stash_path(spark, "trend"), e.schema, "user_id", "at")
+    late = F.pmod("event_id", F.lit(3)) == 0
+    table.put(e.filter(late), 0)
+    live = _live(spark, e.filter(~late), "trend_events")
+    run = live.writeStream.foreachBatch(lambda batch, n: table.put(batch, n + 1)).option("checkpointLocation", stash_path(spark, "trend-log")).trigger(availableNow=True)
+    run.start().awaitTermination()
+    table.put(e.filter(late).withColumn("value", F.lit(-1.0)), 0)
+    table.vacuum()
+    return table.read().drop("at")
 
 
 @query("stream_new_kinds", "SELECT DISTINCT event_type FROM events")
@@ -1093,6 +1111,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, jobs.stream_indicator_scan(live, 64, None, PAGE_MARKERS, PAGE_END), "scan").select("doc", "marker")
 
 
+@query("stream_scan_expiry", """WITH c AS (SELECT CAST(page_id AS VARCHAR) AS doc, html FROM pages), m AS (SELECT unnest(['<nav', '<article', '<iframe']) AS m)
+  SELECT doc, m AS marker, part FROM c, m, (SELECT unnest([1, 2]) AS part) WHERE contains(html, m)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page comes whole, and comes again a day later: its state has gone by then, so its markers are told twice."""
+    p = read_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), F.encode("html", "UTF-8").alias("bytes"))
+    at = lambda day: F.timestamp_seconds(F.lit(day * 86_400))
+    days = [p.select("doc", F.lit(1).cast("long").alias("chunk_no"), "bytes", at(1).alias("ts")), spark.createDataFrame([("other", 1, b"", None)], "doc string, chunk_no long, bytes binary, ts timestamp").withColumn("ts", at(2)), p.select("doc", F.lit(2).cast("long").alias("chunk_no"), "bytes", at(3).alias("ts"))]
+    path = stash_path(spark, "days")
+    source = None
+    out, log = stash_path(spark, "expiry"), stash_path(spark, "expiry-log")
+    for day in days:
+        day.write.mode("append").parquet(path)
+        source = jobs.stream_indicator_scan(spark.readStream.schema(day.schema).parquet(path), 64, 3_600_000, PAGE_MARKERS[:3], [], "ts")
+        source.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(source.schema).parquet(out).select("doc", "marker", F.col("chunk_no").cast("int").alias("part"))
+
+
 # ---- rows that the given tables reach only with kinds or words put in their place
 
 
