@@ -175,3 +175,26 @@ RINGS_SQL = """rg AS (SELECT 'customer:n_nationkey:' || c_nationkey doc, c_custk
   UNION ALL SELECT 'supplier:n_nationkey:' || s_nationkey, s_suppkey, 's' || s_suppkey, 'other' FROM supplier UNION ALL SELECT 'nation:n_regionkey:' || n_regionkey, n_nationkey, 'n' || n_nationkey, 'page' FROM nation
   UNION ALL SELECT 'pair:' || n_nationkey, n_nationkey, 'n' || n_nationkey, 'page' FROM nation UNION ALL SELECT 'pair:' || n_nationkey, n_regionkey + 1000, 'r' || n_regionkey, 'pages' FROM nation
   UNION ALL SELECT 'self:' || r_regionkey, r_regionkey, 'r' || r_regionkey, 'pages' FROM region)"""
+
+
+#: Kinds of the composite rules, dealt over the events.
+EXPLOIT_KINDS = [
+    "form_html_injection", "pdfjs_form_injection", "pdfjs_annotation_injection", "annotation_action_chain", "js_present", "submitform_present", "action_remote_target_suspicious", "pdfjs_eval_path_risk",
+    "scattered_payload_assembly", "cross_stream_payload_assembly", "obfuscated_name_encoding", "embedded_type_mismatch", "launch_embedded_file", "launch_action_present", "gotor_present", "richmedia_present", "swf_embedded",
+    "3d_present", "ocg_present", "resource.external_reference_obfuscated", "passive_credential_leak_risk", "open_action_present", "aa_present", "aa_event_present", "action_hidden_trigger", "passive_render_pipeline_risk_composite",
+    "image.decode_too_large", "icc_profile_oversized", "font_payload_present", "resource.provenance_xref_conflict", "object_reference_cycle", "xref_conflict", "image.zero_click_jbig2", "decoder_risk_present", "parser_resource_exhaustion",
+    "embedded_archive_encrypted", "filter_order_invalid", "filter_combination_unusual", "stream_high_entropy", "uri_action_present", "content_phishing",
+]
+
+
+def exploit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings with the kinds and metadata that composite rules look at."""
+    f = findings(spark, sf_dir)
+    n, k = F.col("seq"), F.regexp_extract(F.col("meta")["hash"], r"(\d+)", 1).cast("int") + 25 * F.col("meta")["page.number"].cast("int")
+    more = F.map_from_arrays(F.array(*map(F.lit, ["field.name", "js.source", "hash.sha256", "launch.embedded_file_hash"])), F.array(F.concat(F.lit("field"), n % 3), F.when(n % 2 == 0, "annotation_action").otherwise("page"), F.concat(F.lit("h"), n % 9), F.concat(F.lit("h"), k % 9)))
+    started = F.when(n % 4 == 0, F.map_from_arrays(F.array(F.lit("action.initiation")), F.array(F.when(n % 8 == 0, "user").otherwise("automatic")))).otherwise(F.create_map().cast("map<string,string>"))
+    return f.withColumns({"kind": F.element_at(F.array(*map(F.lit, EXPLOIT_KINDS)), ((n * 7 + k) % len(EXPLOIT_KINDS) + 1).cast("int")), "meta": F.map_concat("meta", more, started)})
+
+
+EXPLOIT_SQL = f"""{FINDINGS_SQL}, xk AS (SELECT *, k % 25 + 25 * (k % 12) AS kk FROM f), xf AS (SELECT doc, seq, id, {_list(EXPLOIT_KINDS)}[(n * 7 + kk) % {len(EXPLOIT_KINDS)} + 1] kind, severity, confidence, conf, objects, stage, 'field' || (n % 3) field, CASE WHEN n % 2 = 0 THEN 'annotation_action' ELSE 'page' END source,
+  'h' || (n % 9) digest, 'h' || (kk % 9) launch_digest, CASE WHEN n % 8 = 0 THEN 'user' WHEN n % 4 = 0 THEN 'automatic' END started FROM xk)"""

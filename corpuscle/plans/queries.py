@@ -335,33 +335,6 @@ def _(f: DataFrame) -> DataFrame:
 # ---- correlation
 
 
-def _count(kinds: tuple[str, ...] | list[str]) -> str:
-    return f"count_if(kind IN ({', '.join(repr(k) for k in kinds)}))"
-
-
-GROUP_SQL = " UNION ALL ".join(
-    f"SELECT doc, '{r.kind}' AS kind, '{r.severity}' AS severity, '{r.confidence}' AS confidence, {' + '.join(map(_count, r.groups))} AS sources FROM f GROUP BY doc HAVING " + " AND ".join(f"{_count(g)} >= {r.least}" for g in r.groups)
-    for r in correlate.GROUPS
-)
-
-
-@found("document_composites", GROUP_SQL)
-def _(f: DataFrame) -> DataFrame:
-    return correlate.document_composites(f)
-
-
-BRIDGE_SQL = " UNION ALL ".join(
-    f"""SELECT a.doc, '{r.kind}' AS kind, '{r.severity}' AS severity, '{r.confidence}' AS confidence, a.id AS a, b.id AS b, string_agg(DISTINCT a.o, '|' ORDER BY a.o) AS shared
-  FROM (SELECT doc, id, unnest(objects) o FROM f WHERE kind IN ({', '.join(map(repr, r.sources))})) a JOIN (SELECT doc, id, unnest(objects) o FROM f WHERE kind IN ({', '.join(map(repr, r.targets))})) b ON a.doc = b.doc AND a.o = b.o AND a.id <> b.id GROUP BY a.doc, a.id, b.id"""
-    for r in correlate.BRIDGES
-)
-
-
-@found("bridge_composites", BRIDGE_SQL)
-def _(f: DataFrame) -> DataFrame:
-    return correlate.bridge_composites(f)
-
-
 @found("build_composite", """SELECT doc, 'page' || page AS composite, string_agg(DISTINCT o, ',' ORDER BY o) AS objects, count(DISTINCT id) AS evidence, string_agg(DISTINCT kind, ',' ORDER BY kind) AS source_kinds FROM (SELECT *, unnest(objects) o FROM f) GROUP BY doc, page""")
 def _(f: DataFrame) -> DataFrame:
     members = f.select("doc", F.concat(F.lit("page"), F.col("meta")["page.number"]).alias("composite"), "id")
@@ -1237,4 +1210,4 @@ def _(f: DataFrame) -> DataFrame:
 SQL = {name: whole(sql) for name, sql in SQL.items()}
 
 
-from corpuscle.plans import graphs, linked  # noqa: E402, F401  (they add their queries)
+from corpuscle.plans import bridges, graphs, linked  # noqa: E402, F401  (they add their queries)

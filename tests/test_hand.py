@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import predicates as P
 from corpuscle.functions import signals, text, urls
-from corpuscle.operators import compare, correlate, features, findings, graph
+from corpuscle.operators import compare, correlate, cycles, features, findings, graph
 from corpuscle.plans.planted import PLANTED
 from corpuscle.sources import readers, writers
 from corpuscle.streaming import jobs
