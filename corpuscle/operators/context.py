@@ -122,8 +122,8 @@ def orphan_payload_context(findings: DataFrame, orphan_kinds: list[str]) -> Data
 
 
 def findings_with_chain(findings: DataFrame, chains: DataFrame) -> DataFrame:
-    """Chains (doc, object, ids) with the ordered stages of their findings, objects they share and how far these scatter."""
-    members = chains.select("doc", F.col("object").alias("chain"), F.explode(F.split("ids", ",")).alias("id"))
+    """Chains (doc, object or else ids as their name) with the ordered stages of their findings, objects they share and how far these scatter."""
+    members = chains.select("doc", F.coalesce("object", "ids").alias("chain"), F.explode(F.split("ids", ",")).alias("id"))
     met = members.join(findings.select("doc", "id", "objects", F.col("meta")["chain.stage"].alias("stage")), ["doc", "id"])
     stages = met.filter("stage is not null").select("doc", "chain", "stage").distinct().withColumn("rank", stage_rank(F.col("stage")))
     ordered = stages.groupBy("doc", "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "stage"))), lambda x: x["stage"]), ",").alias("stages"))

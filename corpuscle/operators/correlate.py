@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,81 +21,10 @@ DECODE_PRESSURE = ["decoder_risk_present", "decompression_ratio_suspicious", "hu
 PAYLOADS = ["embedded_file_present", "js_present", "launch_embedded_file"]
 
 
-@dataclass(frozen=True)
-class Group:
-    """A composite for documents that have rows of every named group (at least ``least`` rows each)."""
-
-    kind: str
-    groups: tuple[tuple[str, ...], ...]
-    severity: str
-    confidence: str
-    least: int = 1
-
-
-@dataclass(frozen=True)
-class Bridge:
-    """A composite for a source and a target finding on one object."""
-
-    kind: str
-    sources: tuple[str, ...]
-    targets: tuple[str, ...]
-    severity: str
-    confidence: str
-
-
-#: Composites by co-occurrence in a document, and by a shared object.
-GROUPS = [
-    Group("composite.image_decoder_chain", (("image.jbig2_present", "image.jpx_present"), ("decoder_risk_present",), tuple(SCRIPTS)), "high", "strong"),
-    Group("composite.encrypted_payload_delivery", (("encrypted_archive_present", "crypto_weak_algo"), ("launch_action_present", "swf_embedded")), "high", "probable"),
-    Group("composite.graph_evasion_with_execute", (tuple(EVASION), (*ACTIONS, "js_present")), "high", "probable"),
-    Group("composite.resource_external_with_trigger_surface", (tuple(EXTERNAL), tuple(TRIGGERS)), "medium", "probable"),
-    Group("composite.decode_amplification", (tuple(DECODE_PRESSURE),), "medium", "probable", 2),
-    Group("composite.multi_stage_chain", (tuple(SCRIPTS), ("embedded_file_present",), ("launch_action_present", "submitform_present", "uri_content_analysis")), "high", "strong"),
-]
-BRIDGES = [
-    Bridge("composite.obfuscated_payload", ("filter_chain_unusual",), ("stream_high_entropy",), "high", "strong"),
-    Bridge("composite.hidden_layer_action", ("ocg_present",), tuple(ACTIONS), "medium", "strong"),
-    Bridge("composite.injection_to_submitform", ("form_html_injection", "pdfjs_form_injection", "pdfjs_annotation_injection"), ("submitform_present",), "medium", "probable"),
-    Bridge("composite.annotation_injection_to_action", ("pdfjs_annotation_injection",), ("annotation_action_chain",), "high", "strong"),
-    Bridge("composite.pdfjs_injection_to_eval_path", ("pdfjs_form_injection",), ("pdfjs_eval_path_risk",), "high", "strong"),
-    Bridge("composite.embedded_relationship_action", ("embedded_type_mismatch",), tuple(ACTIONS), "high", "probable"),
-    Bridge("composite.js_with_launch", ("js_present",), ("launch_action_present",), "high", "probable"),
-    Bridge("composite.richmedia_execute_path", ("richmedia_present", "swf_embedded"), (*ACTIONS, "js_present"), "medium", "probable"),
-]
-
-
 def _kinds(kinds: tuple[str, ...] | list[str]) -> Column:
     return F.col(KIND).isin(list(kinds))
 
 
-def document_composites(findings: DataFrame, rules: list[Group] = GROUPS) -> DataFrame:
-    """doc, kind, severity, confidence, sources: all co-occurrence rules from one aggregation a document."""
-    counts = [F.count_if(_kinds(g)).alias(f"c{i}_{j}") for i, r in enumerate(rules) for j, g in enumerate(r.groups)]
-    per = findings.groupBy("doc").agg(*counts)
-    cells = []
-    for i, r in enumerate(rules):
-        holds = F.lit(True)
-        total = F.lit(0)
-        for j in range(len(r.groups)):
-            holds = holds & (F.col(f"c{i}_{j}") >= r.least)
-            total = total + F.col(f"c{i}_{j}")
-        cells.append(F.when(holds, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), total.alias("sources"))))
-    return per.select("doc", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("doc", "c.kind", "c.severity", "c.confidence", "c.sources")
-
-
-def bridge_composites(findings: DataFrame, rules: list[Bridge] = BRIDGES) -> DataFrame:
-    """doc, kind, severity, confidence, a, b, shared: every rule's pairs on a shared object, from one equi-join."""
-    used = sorted({k for r in rules for k in (*r.sources, *r.targets)})
-    rows = findings.filter(_kinds(used)).select("doc", "id", "kind", "objects")
-    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.array(*map(F.lit, r.sources)).alias("from"), F.array(*map(F.lit, r.targets)).alias("to")) for i, r in enumerate(rules)]))
-    tagged = rows.select("*", ends.alias("r"))
-    one = tagged.filter(F.array_contains("r.from", F.col("kind"))).select("doc", F.col("r.rule").alias("rule"), F.col("id").alias("a"), F.explode(F.array_distinct("objects")).alias("object"))
-    two = tagged.filter(F.array_contains("r.to", F.col("kind"))).select("doc", F.col("r.rule").alias("rule"), F.col("id").alias("b"), F.explode(F.array_distinct("objects")).alias("object"))
-    met = one.join(two, ["doc", "rule", "object"]).filter("a <> b").groupBy("doc", "rule", "a", "b").agg(F.array_join(F.array_sort(F.collect_set("object")), "|").alias("shared"))
-    name = F.element_at(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")) for r in rules]), F.col("rule") + 1)
-    return met.withColumn("n", name).select("doc", "n.kind", "n.severity", "n.confidence", "a", "b", "shared")
-
-
 def launch_obfuscated_executable(findings: DataFrame, entropy: float = 7.5) -> DataFrame:
     """Launch and executable findings with one content hash, where the executable's entropy is high."""
     h = F.col("meta")["hash"]
@@ -209,32 +136,57 @@ def taint(findings: DataFrame) -> DataFrame:
     return rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"), flat(F.transform("objects", number)).alias("sources"), flat(edges).alias("edges"))
 
 
-def object_chains(findings: DataFrame) -> DataFrame:
-    """doc, object, trigger, action, payload, ids, roles for objects on which two roles or more meet; a role's first finding by seq names it."""
-    each = findings.select("doc", "id", "kind", "seq", F.explode(F.array_distinct("objects")).alias("object"))
+#: Action kinds of a chain, and flags of its findings' metadata that count for its score.
+CHAIN_ACTIONS = ["launch_action_present", "submitform_present", "uri_content_analysis", "gotor_present"]
+CHAIN_FLAGS = ["js.obfuscation_suspected", "js.regex_packing", "js.suspicious_apis"]
+CHAIN_NUMBERS = ["js.string_concat_density", "js.escape_density"]
+
+
+def _noted(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, trigger, action, payload (each the first by seq), ids and what the findings' metadata notes."""
     first = lambda kinds, name: F.min_by(F.when(_kinds(kinds), F.col("kind")), F.when(_kinds(kinds), F.col("seq"))).alias(name)
-    per = each.groupBy("doc", "object").agg(first(TRIGGERS, "trigger"), first(["launch_action_present", "submitform_present", "uri_content_analysis", "gotor_present"], "action"), first(PAYLOADS, "payload"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+    plain = lambda k: k.replace(".", "_")
+    flags = [F.coalesce(F.bool_or(F.col("meta")[k] == "true"), F.lit(False)).alias(plain(k)) for k in CHAIN_FLAGS] + [F.coalesce(F.max(F.col("meta")[k].try_cast("double")), F.lit(0.0)).alias(plain(k)) for k in CHAIN_NUMBERS]
+    return rows.groupBy(*keys).agg(first(TRIGGERS, "trigger"), first(CHAIN_ACTIONS, "action"), first(PAYLOADS, "payload"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), *flags)
+
+
+def object_chains(findings: DataFrame) -> DataFrame:
+    """doc, object, trigger, action, payload, ids and notes: objects on which two roles or more meet, and (object null) every finding by itself; a role's first finding by seq names it.
+
+    ``structural`` and ``tainted`` are the document's: its structural findings, and whether any of its kinds taints it.
+    """
+    each = findings.select("doc", "id", "kind", "seq", "meta", F.explode(F.array_distinct("objects")).alias("object")).filter(F.contains("object", F.lit("obj")))
+    per = _noted(each, "doc", "object")
     roles = sum((F.col(c).isNotNull().cast("int") for c in ("trigger", "action", "payload")), F.lit(0))
-    return per.withColumn("roles", roles).filter("roles >= 2")
+    alone = _noted(findings.withColumn("own", F.col("id")), "doc", "own").withColumn("object", F.lit(None).cast("string")).drop("own")
+    document = findings.groupBy("doc").agg(F.count_if(_kinds(STRUCTURAL)).alias("structural"), F.bool_or(_kinds(list(TAINT))).alias("tainted"))
+    return per.filter(roles >= 2).unionByName(alone).join(document, "doc")
 
 
 def score_chain(chains: DataFrame) -> DataFrame:
-    """Adds score (best rule, at least 0.2) and the number of rules that hold."""
+    """Adds score (the best rule that holds, at least 0.2) and the reasons in order."""
+    at = F.col
+    number = lambda c: F.format_string("%.3f", at(c))
     rules = [
-        (F.col("trigger").isin("open_action_present", "aa_event_present"), 0.7),
-        (F.col("action") == "launch_action_present", 0.85),
-        (F.col("action") == "submitform_present", 0.6),
-        (F.col("action") == "uri_content_analysis", 0.5),
-        (F.col("action") == "js_present", 0.75),
-        (F.contains("payload", F.lit("stream")), 0.65),
-        (F.contains("payload", F.lit("image")), 0.55),
-    ]
-    score, reasons = F.lit(0.2), F.lit(0)
-    for holds, value in rules:
-        yes = F.coalesce(holds, F.lit(False))
-        score = F.greatest(score, F.when(yes, value).otherwise(0.2))
-        reasons = reasons + yes.cast("int")
-    return chains.withColumns({"score": score, "reasons": reasons})
+        (at("trigger").isin("open_action_present", "aa_event_present"), 0.7, F.lit("Auto-trigger: document or event action")),
+        (at("action") == "launch_action_present", 0.85, F.lit("Action severity: High (Launch)")),
+        (at("action").isin("uri_javascript_scheme", "uri_file_scheme", "uri_data_html_scheme"), 0.85, F.lit("Action severity: High (Dangerous URI scheme — code execution vector)")),
+        (at("action") == "uri_command_injection", 0.8, F.lit("Action severity: High (Command injection URI pattern)")),
+        (at("action") == "js_present", 0.75, F.lit("Action severity: Medium (JavaScript)")),
+        (at("action") == "submitform_present", 0.6, F.lit("Action severity: Medium (SubmitForm)")),
+        (at("action") == "uri_content_analysis", 0.5, F.lit("Action severity: Low (URI)")),
+        (F.contains("payload", F.lit("stream")), 0.65, F.lit("Payload: stream-based data")),
+        (F.contains("payload", F.lit("image")), 0.55, F.lit("Payload: image data")),
+        (at("js_obfuscation_suspected"), 0.85, F.lit("Payload: JS obfuscation suspected")),
+        (at("js_string_concat_density") > 0.03, 0.7, F.concat(F.lit("Payload: string concat density "), number("js_string_concat_density"))),
+        (at("js_escape_density") > 0.05, 0.7, F.concat(F.lit("Payload: escape density "), number("js_escape_density"))),
+        (at("js_regex_packing"), 0.75, F.lit("Payload: regex packing patterns")),
+        (at("js_suspicious_apis"), 0.8, F.lit("Payload: suspicious JavaScript APIs")),
+        (at("structural") > 0, 0.7, F.concat(F.lit("Structure: "), at("structural"), F.lit(" suspicious finding(s)"))),
+        (at("tainted"), 0.8, F.lit("Taint: suspicious constructs present")),
+    ]
+    score = F.greatest(F.lit(0.2), *[F.when(holds, value).otherwise(0.2) for holds, value, _ in rules])
+    return chains.withColumns({"score": score, "reasons": F.array_compact(F.array(*[F.when(holds, text) for holds, _, text in rules]))})
 
 
 def chain_templates(chains: DataFrame) -> DataFrame:
@@ -246,7 +198,7 @@ def chain_templates(chains: DataFrame) -> DataFrame:
 def group_chains(chains: DataFrame) -> DataFrame:
     """Chains of a document with one signature: the best represents them, members are counted."""
     sig = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ("trigger", "action", "payload")]), 256)
-    best = Window.partitionBy("doc", "signature").orderBy(F.desc("score"), "object")
+    best = Window.partitionBy("doc", "signature").orderBy(F.desc("score"), F.asc_nulls_last("object"), "ids")
     ranked = chains.withColumn("signature", sig).withColumns({"rank": F.row_number().over(best), "members": F.count("*").over(Window.partitionBy("doc", "signature"))})
     return ranked.filter("rank = 1").drop("rank")
 
@@ -270,15 +222,23 @@ def finding_criticality(members: DataFrame, most: int = 30) -> DataFrame:
 
 
 def font_js(findings: DataFrame, most: int = 5) -> DataFrame:
-    """doc, fonts, scripts: documents with high font and high script findings, up to five ids each."""
+    """doc, fonts, scripts: documents with high font and high script findings (kinds with ``js_``), up to five ids each in order of seq."""
     high = severity_rank(F.col("severity")) >= 3
-    font, script = F.startswith("kind", F.lit("font.")) & high, (F.col("surface") == "javascript") & high
-    ranked = findings.filter(font | script).withColumn("role", F.when(font, "font").otherwise("script"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "role").orderBy("id"))).filter(F.col("rank") <= most)
-    ids = lambda role: F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("id")))), ",")
+    font, script = F.startswith("kind", F.lit("font.")) & high, F.contains("kind", F.lit("js_")) & high
+    tagged = findings.select("doc", "id", "seq", F.explode(F.array_compact(F.array(F.when(font, "font"), F.when(script, "script")))).alias("role"))
+    ranked = tagged.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "role").orderBy("seq", "id"))).filter(F.col("rank") <= most)
+    ids = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("seq", "id")))), lambda x: x["id"]), ", ")
     return ranked.groupBy("doc").agg(ids("font").alias("fonts"), ids("script").alias("scripts")).filter("fonts <> '' and scripts <> ''")
 
 
+def raise_fonts(findings: DataFrame) -> DataFrame:
+    """Medium font findings become high in documents with obfuscated or polymorphic scripts; all other rows stay."""
+    kind = F.col("kind")
+    hidden = F.contains(kind, F.lit("js_")) & (F.contains(kind, F.lit("obfusc")) | F.contains(kind, F.lit("polymorphic")))
+    medium = F.startswith("kind", F.lit("font.")) & (severity_rank(F.col("severity")) == 2)
+    return escalate(findings, medium & F.col("__hidden"), {"__hidden": hidden}, F.lit(3), "js_obfuscation_present")
+
+
 def escalate(findings: DataFrame, target: Column, flags: dict[str, Column], level: Column, reason: str) -> DataFrame:
     """Raises ``target`` rows to a severity rank computed from document flags; never lowers; says why."""
     doc = findings.groupBy("doc").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])

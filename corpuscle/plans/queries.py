@@ -384,25 +384,30 @@ def _first(kinds: list[str]) -> str:
     return f"min_by(kind, seq) FILTER ({inside})"
 
 
-CHAINS_SQL = f"""ch AS (SELECT doc, o AS object, {_first(correlate.TRIGGERS)} AS trigger, {_first(['launch_action_present', 'submitform_present', 'uri_content_analysis', 'gotor_present'])} AS action, {_first(correlate.PAYLOADS)} AS payload, string_agg(DISTINCT id, ',' ORDER BY id) AS ids
-  FROM (SELECT *, unnest(objects) o FROM f) GROUP BY doc, o HAVING CAST(trigger IS NOT NULL AS INTEGER) + CAST(action IS NOT NULL AS INTEGER) + CAST(payload IS NOT NULL AS INTEGER) >= 2),
-sc AS (SELECT *, greatest(0.2::DOUBLE, CASE WHEN trigger IN ('open_action_present', 'aa_event_present') THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END, CASE action WHEN 'launch_action_present' THEN 0.85::DOUBLE WHEN 'submitform_present' THEN 0.6::DOUBLE WHEN 'uri_content_analysis' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END) AS score,
-  CAST(coalesce(trigger IN ('open_action_present', 'aa_event_present'), false) AS INTEGER) + CAST(coalesce(action IN ('launch_action_present', 'submitform_present', 'uri_content_analysis'), false) AS INTEGER) AS reasons FROM ch)"""
+_ROLES = f"{_first(correlate.TRIGGERS)} AS trigger, {_first(correlate.CHAIN_ACTIONS)} AS action, {_first(correlate.PAYLOADS)} AS payload"
+CHAINS_SQL = f"""chx AS (SELECT doc, o AS object, {_ROLES}, string_agg(DISTINCT id, ',' ORDER BY id) AS ids
+  FROM (SELECT *, unnest(objects) o FROM f) GROUP BY doc, o HAVING CAST(trigger IS NOT NULL AS INTEGER) + CAST(action IS NOT NULL AS INTEGER) + CAST(payload IS NOT NULL AS INTEGER) >= 2
+  UNION ALL SELECT doc, NULL, {_ROLES}, id FROM f GROUP BY doc, id),
+ch AS (SELECT chx.*, structural, tainted FROM chx JOIN (SELECT doc, count_if(kind IN ({', '.join(map(repr, correlate.STRUCTURAL))})) AS structural, bool_or({TAINTED}) AS tainted FROM f GROUP BY doc) USING (doc)),
+sc AS (SELECT *, greatest(0.2::DOUBLE, CASE WHEN trigger IN ('open_action_present', 'aa_event_present') THEN 0.7::DOUBLE END, CASE action WHEN 'launch_action_present' THEN 0.85::DOUBLE WHEN 'submitform_present' THEN 0.6::DOUBLE WHEN 'uri_content_analysis' THEN 0.5::DOUBLE END,
+    CASE WHEN structural > 0 THEN 0.7::DOUBLE END, CASE WHEN tainted THEN 0.8::DOUBLE END) AS score,
+  concat_ws('; ', CASE WHEN trigger IN ('open_action_present', 'aa_event_present') THEN 'Auto-trigger: document or event action' END, CASE action WHEN 'launch_action_present' THEN 'Action severity: High (Launch)' WHEN 'submitform_present' THEN 'Action severity: Medium (SubmitForm)' WHEN 'uri_content_analysis' THEN 'Action severity: Low (URI)' END,
+    CASE WHEN structural > 0 THEN 'Structure: ' || structural || ' suspicious finding(s)' END, CASE WHEN tainted THEN 'Taint: suspicious constructs present' END) AS reasons FROM ch)"""
 SQL["object_chains"] = f"{F_SQL}, {CHAINS_SQL} SELECT doc, object, trigger, action, payload, ids FROM ch"
-SQL["chain_score"] = f"{F_SQL}, {CHAINS_SQL} SELECT doc, object, score, reasons FROM sc"
+SQL["chain_score"] = f"{F_SQL}, {CHAINS_SQL} SELECT doc, object, ids, score, reasons FROM sc"
 SQL["chain_templates"] = f"{F_SQL}, {CHAINS_SQL} SELECT coalesce(trigger, '-') AS trigger, coalesce(action, '-') AS action, coalesce(payload, '-') AS payload, count(*) AS instances FROM ch GROUP BY ALL"
-SQL["chain_group_representative"] = f"""{F_SQL}, {CHAINS_SQL} SELECT doc, object, score, count(*) OVER (PARTITION BY doc, coalesce(trigger, '-'), coalesce(action, '-'), coalesce(payload, '-')) AS members FROM sc
-  QUALIFY row_number() OVER (PARTITION BY doc, coalesce(trigger, '-'), coalesce(action, '-'), coalesce(payload, '-') ORDER BY score DESC, object) = 1"""
+SQL["chain_group_representative"] = f"""{F_SQL}, {CHAINS_SQL} SELECT doc, object, ids, score, count(*) OVER (PARTITION BY doc, coalesce(trigger, '-'), coalesce(action, '-'), coalesce(payload, '-')) AS members FROM sc
+  QUALIFY row_number() OVER (PARTITION BY doc, coalesce(trigger, '-'), coalesce(action, '-'), coalesce(payload, '-') ORDER BY score DESC, object NULLS LAST, ids) = 1"""
 
 
 @found("object_chains")
 def _(f: DataFrame) -> DataFrame:
-    return correlate.object_chains(f).drop("roles")
+    return correlate.object_chains(f).select("doc", "object", "trigger", "action", "payload", "ids")
 
 
 @found("chain_score")
 def _(f: DataFrame) -> DataFrame:
-    return correlate.score_chain(correlate.object_chains(f)).select("doc", "object", "score", "reasons")
+    return correlate.score_chain(correlate.object_chains(f)).select("doc", "object", "ids", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @found("chain_templates")
@@ -412,7 +417,7 @@ def _(f: DataFrame) -> DataFrame:
 
 @found("chain_group_representative")
 def _(f: DataFrame) -> DataFrame:
-    return correlate.group_chains(correlate.score_chain(correlate.object_chains(f))).select("doc", "object", "score", "members")
+    return correlate.group_chains(correlate.score_chain(correlate.object_chains(f))).select("doc", "object", "ids", "score", "members")
 
 
 @found("chain_stages", """SELECT doc, string_agg(stage, ',' ORDER BY stage_rank) AS stages, string_agg(stage, ',' ORDER BY stage_rank) FILTER (sure) AS confirmed, count_if(sure) / 5.0::DOUBLE AS completeness
@@ -435,12 +440,20 @@ def _(f: DataFrame) -> DataFrame:
     return correlate.finding_criticality(members).withColumn("criticality", F.round("criticality", 6))
 
 
-@found("font_js_correlation", """SELECT a.doc, fonts, scripts FROM (SELECT doc, string_agg(id, ',' ORDER BY id) fonts FROM (SELECT doc, id FROM f WHERE kind LIKE 'font.%' AND sev >= 3 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY id) <= 5) GROUP BY doc) a
-  JOIN (SELECT doc, string_agg(id, ',' ORDER BY id) scripts FROM (SELECT doc, id FROM f WHERE surface = 'javascript' AND NOT (kind LIKE 'font.%') AND sev >= 3 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY id) <= 5) GROUP BY doc) b ON a.doc = b.doc""")
+FONT_HIGH, SCRIPT_HIGH = "kind LIKE 'font.%' AND sev >= 3", "contains(kind, 'js_') AND sev >= 3"
+
+
+@found("font_js_correlation", " JOIN ".join(f"(SELECT doc, string_agg(id, ', ' ORDER BY seq) AS {name} FROM (SELECT doc, id, seq FROM f WHERE {holds} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY seq) <= 5) GROUP BY doc) {name[0]}" for name, holds in (("fonts", FONT_HIGH), ("scripts", SCRIPT_HIGH))).join(["SELECT f.doc, fonts, scripts FROM ", " ON f.doc = s.doc"]))
 def _(f: DataFrame) -> DataFrame:
     return correlate.font_js(f)
 
 
+@found("font_severity_with_scripts", """SELECT f.id, CASE WHEN js AND kind LIKE 'font.%' AND severity = 'medium' THEN 'high' ELSE severity END AS severity, js AND kind LIKE 'font.%' AND severity = 'medium' AS raised
+  FROM f JOIN (SELECT doc, bool_or(contains(kind, 'js_') AND (contains(kind, 'obfusc') OR contains(kind, 'polymorphic'))) AS js FROM f GROUP BY doc) USING (doc)""")
+def _(f: DataFrame) -> DataFrame:
+    return correlate.raise_fonts(f).select("id", "severity", F.col("escalation").isNotNull().alias("raised"))
+
+
 @found("context_recalibration", f"""SELECT id, {b._list(SEVERITIES)}[greatest(sev, least(sev + CASE WHEN js AND launch THEN 2 WHEN js OR launch THEN 1 ELSE 0 END, 4)) + 1] AS severity FROM f
   JOIN (SELECT doc, bool_or(kind IN ('js_present', 'js_polymorphic', 'js_obfuscation_deep')) js, bool_or(kind = 'launch_action_present') launch FROM f GROUP BY doc) USING (doc) WHERE kind IN ('xref_conflict', 'incremental_update_chain', 'object_id_shadowing', 'objstm_density_high')""")
 def _(f: DataFrame) -> DataFrame:
@@ -898,11 +911,11 @@ def _(f: DataFrame) -> DataFrame:
     return context.structure_with(f, "image.", ["xref_conflict", "ocg_present"])
 
 
-@found("declared_filter_escalation", f"""SELECT id, {b._list(SEVERITIES)}[CASE WHEN js OR dec THEN greatest(sev, CASE WHEN js AND dec THEN 4 ELSE 3 END) ELSE sev END + 1] AS severity, {b._list(CONFIDENCES)}[CASE WHEN js OR dec THEN least(conf, CASE WHEN js AND dec THEN 0 ELSE 1 END) ELSE conf END + 1] AS confidence
-  FROM f JOIN (SELECT doc, bool_or(kind = 'js_polymorphic') js, bool_or(kind = 'decoder_risk_present') dec FROM f GROUP BY doc) USING (doc) WHERE kind = 'filter_chain_unusual'""")
+@found("declared_filter_escalation", f"""SELECT id, {b._list(SEVERITIES)}[CASE WHEN hit THEN greatest(sev, CASE WHEN js AND dec THEN 4 ELSE 3 END) ELSE sev END + 1] AS severity, {b._list(CONFIDENCES)}[CASE WHEN hit THEN least(conf, CASE WHEN js AND dec THEN 0 ELSE 1 END) ELSE conf END + 1] AS confidence
+  FROM (SELECT *, kind = 'filter_chain_unusual' AND (js OR dec) AS hit FROM f JOIN (SELECT doc, bool_or(kind = 'js_polymorphic') js, bool_or(kind = 'decoder_risk_present') dec FROM f GROUP BY doc) USING (doc))""")
 def _(f: DataFrame) -> DataFrame:
     e = context.escalate_declared_filters(f, "filter_chain_unusual", ["js_polymorphic"], ["decoder_risk_present"])
-    return e.filter("kind = 'filter_chain_unusual'").select("id", "severity", "confidence")
+    return e.select("id", "severity", "confidence")
 
 
 @found("orphan_payload_context", """SELECT a.doc, a.id AS orphan, string_agg(DISTINCT b.id, ',' ORDER BY b.id) AS payloads FROM (SELECT doc, id, unnest(objects) o FROM f WHERE kind = 'xref_conflict') a
@@ -911,7 +924,7 @@ def _(f: DataFrame) -> DataFrame:
     return context.orphan_payload_context(f, ["xref_conflict"])
 
 
-SQL["chain_to_finding_enrichment"] = f"""{F_SQL}, {CHAINS_SQL}, m AS (SELECT DISTINCT ch.doc, ch.object AS chain, f.id, f.objects, f.stage, f.stage_rank FROM ch, unnest(string_split(ch.ids, ',')) u(i) JOIN f ON f.id = u.i AND f.doc = ch.doc),
+SQL["chain_to_finding_enrichment"] = f"""{F_SQL}, {CHAINS_SQL}, m AS (SELECT DISTINCT ch.doc, coalesce(ch.object, ch.ids) AS chain, f.id, f.objects, f.stage, f.stage_rank FROM ch, unnest(string_split(ch.ids, ',')) u(i) JOIN f ON f.id = u.i AND f.doc = ch.doc),
   s AS (SELECT doc, chain, string_agg(stage, ',' ORDER BY stage_rank) AS stages FROM (SELECT DISTINCT doc, chain, stage, stage_rank FROM m) GROUP BY ALL), o AS (SELECT doc, chain, coalesce(string_agg(o, ',' ORDER BY o) FILTER (n > 1), '') AS shared, count(*) AS objects FROM (SELECT doc, chain, o, count(*) AS n FROM (SELECT doc, chain, unnest(objects) o FROM m) GROUP BY ALL) GROUP BY ALL)
   SELECT doc, chain, count(*) AS findings, any_value(stages) AS stages, any_value(shared) AS shared, any_value(o.objects) AS objects FROM m JOIN s USING (doc, chain) JOIN o USING (doc, chain) GROUP BY doc, chain"""
 
