@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import decontam, minhash, mixing, quality, sharding
-from corpuscle.session import read_table, stash
+from corpuscle.session import read_table, small_batches, stash
 
 ORACLE_SQL = None
 SHARDS = 16
@@ -32,6 +32,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier does not reject (learnt as in its query), each judged by its own text."""
+    small_batches(spark)
     train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = quality.learnt(docs, read_table(spark, sf_dir, "labels"), train)
     return docs.filter(quality.quality_of(model, F.col("text")) >= 0.5)
@@ -42,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with one id and text one is kept; rows without id are kept.
     """
+    small_batches(spark)
     found = minhash.near_duplicates(docs, words=5, percent=80)
     rest = without(docs, found.filter("not kept"))
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
@@ -52,6 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; rows without id are kept."""
+    small_batches(spark)
     return without(docs, decontam.leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
