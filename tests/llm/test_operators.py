@@ -148,6 +148,35 @@ def test_differencing_balances():
     assert sharding.differencing([], 3) == [] and sharding.differencing([5, 5, 5], 3) in ([0, 1, 2], [2, 1, 0], [1, 0, 2], [0, 2, 1], [1, 2, 0], [2, 0, 1])
 
 
+def plain_differencing(sizes, shards):
+    """Loads by the method told plainly: the two lists of loads of largest spread are added, the one's largest to the other's smallest, until one is left."""
+    lists = [([0] * (shards - 1) + [s], -i) for i, s in enumerate(sizes)]
+    serial = len(sizes)
+    while len(lists) > 1:
+        lists.sort(key=lambda x: (x[0][-1] - x[0][0], x[1]))
+        (a, _), (b, _) = lists.pop(), lists.pop()
+        joined = sorted(x + y for x, y in zip(a, reversed(b), strict=True))
+        lists.append(([x - joined[0] for x in joined], -serial))
+        serial += 1
+    return lists[0][0]
+
+
+def test_differencing_against_a_plain_one_and_the_optimum():
+    rng = random.Random(51)
+    for _ in range(60):
+        shards, sizes = rng.randrange(2, 6), [rng.choice([rng.randrange(1, 9), rng.randrange(1, 10_000)]) for _ in range(rng.randrange(1, 40))]
+        placed, loads = sharding.differencing(sizes, shards), [0] * shards
+        for size, shard in zip(sizes, placed, strict=True):
+            loads[shard] += size
+        assert [x - min(loads) for x in sorted(loads)] == plain_differencing(sizes, shards)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 40) for _ in range(rng.randrange(3, 9))]
+        placed = sharding.differencing(sizes, 2)
+        best = min(abs(sum(sizes) - 2 * sum(s for i, s in enumerate(sizes) if mask >> i & 1)) for mask in range(1 << len(sizes)))
+        got = abs(sum(s if p else -s for s, p in zip(sizes, placed, strict=True)))
+        assert best <= got <= max(sizes)
+
+
 def test_shards(spark):
     rng = random.Random(4)
     docs = odd_docs(spark, [(i, sentence(rng, 1 + i % 50), "en", "s", 1) for i in range(20, 900)] + [(i, "hot copy of one text", "en", "s", 1) for i in range(1000, 1100)])

@@ -70,7 +70,7 @@ def test_run_gives_the_same(spark):
 
 
 def test_every_query_is_there():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_stages_without_rows(spark):
@@ -85,3 +85,23 @@ def test_nulls_pass_the_quality_stage(spark):
     out = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, DATA).collect()}
     assert None in out
     assert quality.statistics(None).shape == quality.statistics("").shape
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated ids, long and empty texts and columns named like the stages' own: all columns come back, and no row is lost but by the stage's own rule."""
+    long = " ".join(f"word{i}" for i in range(9000))
+    item = read_table(spark, DATA, "benchmark").orderBy("item_id").first().text
+    rows = [(None, "a text without id, said plainly and in full.", "en", "s", 1), (None, None, None, None, None), (-1, None, "en", "s", None), (-2, "", None, None, 0), (-3, "the same row again and again here.", "en", "s", 1), (-3, "the same row again and again here.", "en", "s", 1), (-3, "another text under that very id.", "en", None, 1), (-4, long, "en", "s", 1), (-5, long + " tail", "en", "s", 1), (-6, f"before {item} after", "en", "s", 1), (None, f"before {item} after", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("id", "size", "shard", "bucket", "gone", "kept", "h", "count", "tokens", "component", "score", "g", "bin")})
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    every = sorted(((r[0], r[1]) for r in rows), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns, name
+    twice = (-3, "the same row again and again here.")
+    near = told(corpus_pipeline.drop_near_duplicates(spark, docs, DATA))
+    assert near == sorted([x for i, x in enumerate(every) if x not in ((-4, long),) and not (x == twice and every.index(x) != i)], key=str)
+    assert told(corpus_pipeline.drop_leaks(spark, docs, DATA)) == [x for x in every if x[0] != -6]
+    sharded = corpus_pipeline.shard(spark, docs, DATA).collect()
+    assert len(sharded) == len(rows) and {r.shard for r in sharded} <= set(range(16)) and len({(r.shard, r.slot) for r in sharded}) == len(rows)
+    mixed = told(corpus_pipeline.mix_sources(spark, docs, DATA))
+    assert set(mixed) <= set(every) and mixed
