@@ -90,22 +90,27 @@ def object_context(findings: DataFrame) -> DataFrame:
     return per.withColumn("similar", F.count("*").over(Window.partitionBy("doc", "kinds")) - 1)
 
 
-def link_findings_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id and the findings that its edges come from, either way."""
-    ends = edges.filter("finding_id is not null").select(F.explode(F.array("src", "dst")).alias("node_id"), "finding_id").distinct()
-    return nodes.select("node_id").join(ends, "node_id").groupBy("node_id").agg(F.array_sort(F.collect_set("finding_id")).alias("findings"))
-
-
-def event_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Event nodes with the targets they execute, the outcomes they reach and their findings."""
-    events = nodes.filter("node_kind = 'event'").select("node_id", "event_type")
-    targets = edges.join(nodes.select(F.col("node_id").alias("dst"), F.col("node_kind").alias("to_kind")), "dst")
-    picked = targets.groupBy(F.col("src").alias("node_id")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("to_kind") == "object", F.col("dst")))).alias("executes"),
-        F.array_sort(F.collect_set(F.when(F.col("to_kind") == "outcome", F.col("dst")))).alias("outcomes"),
-        F.array_sort(F.collect_set("finding_id")).alias("findings"),
-    )
-    return events.join(picked, "node_id", "left")
+def link_findings_events(nodes: DataFrame, edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """g, node_id and the findings that its edges come from, either way."""
+    ends = edges.filter("finding_id is not null").select(*g, F.explode(F.array("src", "dst")).alias("node_id"), "finding_id").distinct()
+    return nodes.select(*g, "node_id").join(ends, [*g, "node_id"]).groupBy(*g, "node_id").agg(F.array_sort(F.collect_set("finding_id")).alias("findings"))
+
+
+def event_records(nodes: DataFrame, edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Event nodes with the objects that they execute, the outcomes they produce, their findings either way, and event_key, initiation and branch_index: of their outgoing edges the first by seq that names each.
+
+    Edges have kind (``executes``, ``produces_outcome`` or other), seq, finding_id and these three.
+    """
+    events = nodes.filter("node_kind = 'event'").select(*g, "node_id", "event_type")
+    outcomes = nodes.filter("node_kind = 'outcome'").select(*g, F.col("node_id").alias("dst"), F.lit(True).alias("is_outcome"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    kinds = F.col("kind")
+    out = edges.join(outcomes, [*g, "dst"], "left").groupBy(*g, F.col("src").alias("node_id")).agg(
+        F.array_sort(F.collect_set(F.when(kinds == "executes", F.col("dst")))).alias("executes"),
+        F.array_sort(F.collect_set(F.when((kinds == "produces_outcome") & F.col("is_outcome"), F.col("dst")))).alias("outcomes"),
+        first("event_key"), first("initiation"), first("branch_index"),
+    )
+    return events.join(out, [*g, "node_id"], "left").join(link_findings_events(events, edges, g), [*g, "node_id"], "left")
 
 
 def ordered_stages(df: DataFrame, *keys: str) -> DataFrame:
@@ -132,9 +137,9 @@ def scan_plan(days: DataFrame, seen: DataFrame, n: int | None = None, seed: int
 
 
 def sample_unique(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """One row (its smallest path) a content hash, of these n by seeded hash order, listed by path."""
+    """One row (its smallest path) a content hash, of these n in the order of the md5 of ``seed:hash``, listed by path."""
     unique = df.groupBy("hash").agg(F.min("path").alias("path"))
-    return unique.orderBy(F.xxhash64(F.lit(seed), "hash"), "hash").limit(n).orderBy("path")
+    return unique.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "hash")), "hash").limit(n).orderBy("path")
 
 
 def duplicate_hashes(df: DataFrame, n: int = 12) -> DataFrame:

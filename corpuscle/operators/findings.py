@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.ranks import numbered
 from corpuscle.schemas import confidence_rank, severity_name, severity_rank
 from corpuscle.session import stash
 
@@ -111,7 +112,9 @@ def numbered_by_severity(df: DataFrame) -> DataFrame:
 
 
 def sort_findings(df: DataFrame) -> DataFrame:
-    return df.orderBy("kind", F.array_join(canonical_objects(F.col("objects")), "|"))
+    """Every row with its place, from 0, in the order of kind, canonical objects and id, numbered block by block."""
+    keyed = df.withColumn("__objects", F.array_join(canonical_objects(F.col("objects")), "|"))
+    return numbered(keyed, (), ("kind", "__objects", "id")).drop("__objects")
 
 
 def canonical_objects(objects: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.operators.ranks import first_rows, joined_on, numbered
+from corpuscle.schemas import severity_rank
 from corpuscle.session import stash
 
 
@@ -239,32 +240,56 @@ def limit_graph(nodes: DataFrame, edges: DataFrame, most: int, most_edges: int |
     return kept, inside, totals.filter("dropped_nodes > 0 or dropped_edges > 0").select(*g, "nodes", "edges", "dropped_nodes", "dropped_edges", label.alias("label"))
 
 
-def merge_outcomes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Outcome nodes equal on type, target and source become the smallest of them; edges follow."""
+def merge_outcomes(nodes: DataFrame, edges: DataFrame, order: str = "node_id", g: tuple[str, ...] = ("doc",)) -> tuple[DataFrame, DataFrame]:
+    """Outcome nodes of a graph equal on type, target and source become the first of them by ``order``; edges follow.
+
+    The survivor has the highest confidence, the worst severity and the evidence of all.
+    """
+    keys = ("outcome_type", "target", "source_obj")
     outcomes = nodes.filter("node_kind = 'outcome'")
-    keys = ["outcome_type", "target", "source_obj"]
-    survivor = F.min("node_id").over(Window.partitionBy(*keys))
-    mapped = outcomes.withColumn("survivor", survivor)
-    merged = mapped.groupBy(F.col("survivor").alias("node_id"), *keys).agg(F.max("confidence_score").alias("confidence_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
-    back = mapped.select("node_id", "survivor")
-    a = edges.join(back.withColumnRenamed("node_id", "src").withColumnRenamed("survivor", "src2"), "src", "left")
-    b = a.join(back.withColumnRenamed("node_id", "dst").withColumnRenamed("survivor", "dst2"), "dst", "left")
-    return merged, b.withColumns({"src": F.coalesce("src2", "src"), "dst": F.coalesce("dst2", "dst")}).drop("src2", "dst2").distinct()
+    rank = severity_rank(F.col("severity"))
+    merged = outcomes.groupBy(*g, *keys).agg(
+        F.min_by("node_id", order).alias("node_id"), F.max("confidence_score").alias("confidence_score"), F.max_by("severity", rank).alias("severity"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")
+    )
+    merged = stash(merged, "merged_outcomes")
+    back = joined_on(outcomes.select(*g, *keys, F.col("node_id").alias("old")), merged.select(*g, *keys, F.col("node_id").alias("new")), (*g, *keys)).select(*g, "old", "new").filter("old <> new")
+    at = lambda side: back.select(*g, F.col("old").alias(side), F.col("new").alias(f"{side}_new"))
+    moved = edges.join(at("src"), [*g, "src"], "left").join(at("dst"), [*g, "dst"], "left")
+    return merged, moved.select(*[F.coalesce(f"{c}_new", c).alias(c) if c in ("src", "dst") else F.col(c) for c in edges.columns]).distinct()
+
 
+def dedup_edges(edges: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
+    return edges.dropDuplicates([*g, "src", "dst", "kind", "provenance", "metadata"])
 
-def dedup_edges(edges: DataFrame) -> DataFrame:
-    return edges.dropDuplicates(["src", "dst", "kind", "provenance", "metadata"])
 
+def summarise_edges(chains: DataFrame, level: str = "events") -> DataFrame:
+    """Of a chain's edges (array) only the suspicious ones and those that weigh at least max(0.25, 0.4 of its risk) at level ``events``, none at ``minimal``, all at ``full``; with how many there were and are."""
+    kept = {"minimal": F.slice("edges", 1, 0), "full": F.col("edges"), "events": F.filter("edges", lambda e: F.coalesce(e["suspicious"], F.lit(False)) | (F.coalesce(e["weight"], F.lit(0.0)) >= F.greatest(F.lit(0.25), F.coalesce("risk", F.lit(0.0)) * 0.4)))}[level]
+    return chains.withColumn("original", F.size("edges")).withColumn("edges", kept).withColumn("kept", F.size("edges"))
 
-def summarise_edges(chains: DataFrame) -> DataFrame:
-    """Only the edges of a chain that are suspicious or weigh at least max(0.25, 0.4 of its risk)."""
-    return chains.withColumn("edges", F.filter("edges", lambda e: e["suspicious"] | (e["weight"] >= F.greatest(F.lit(0.25), F.col("risk") * 0.4))))
 
+#: What a finding on a path adds to its risk.
+PATH_WEIGHT = {4: 0.2, 3: 0.15, 2: 0.08, 1: 0.03}
 
-def path_risk(paths: DataFrame, findings: DataFrame, g: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """Risk of a path from its flags, the findings on its nodes and its length, at most 1."""
-    on = paths.select(*g, "path_id", F.explode("path").alias("object")).distinct()
-    met = on.join(findings.select(*g, "id", F.explode("objects").alias("object")), [*g, "object"]).groupBy(*g, "path_id").agg(F.count_distinct("id").alias("findings"))
-    base = F.when(F.col("automatic"), 0.3).otherwise(0.0) + F.when(F.col("script"), 0.3).otherwise(0.0) + F.when(F.col("external"), 0.2).otherwise(0.0)
-    risk = F.least(F.lit(1.0), base + F.least(F.lit(0.3), F.coalesce("findings", F.lit(0)) * 0.1) + F.when(F.size("path") > 3, 0.1).otherwise(0.0))
-    return paths.join(met, [*g, "path_id"], "left").withColumn("risk", risk)
+
+def path_risk(paths: DataFrame, findings: DataFrame) -> DataFrame:
+    """Adds risk and pattern to paths (doc, path_id, automatic, script, external, steps of node, type, key, suspicious and kinds).
+
+    Risk counts the flags, the findings of the document whose kinds a node names (summed by kind before they meet
+    the paths), suspicious edges and length, at most 1.
+    """
+    rank = severity_rank(F.col("severity"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in PATH_WEIGHT.items() for x in kv])[rank], F.lit(0.0))
+    by_kind = findings.groupBy("doc", "kind").agg(F.sum(weight).alias("w"))
+    named = paths.select("doc", "path_id", F.explode("steps").alias("s")).select("doc", "path_id", F.explode("s.kinds").alias("kind"))
+    met = named.join(by_kind, ["doc", "kind"]).groupBy("doc", "path_id").agg(F.sum("w").alias("__w"))
+    loud = F.size(F.filter("steps", lambda s: F.coalesce(s["suspicious"], F.lit(False))))
+    flags = F.when(F.col("automatic"), 0.3).otherwise(0.0) + F.when(F.col("script"), 0.4).otherwise(0.0) + F.when(F.col("external"), 0.3).otherwise(0.0)
+    risk = F.least(F.lit(1.0), flags + F.coalesce("__w", F.lit(0.0)) + loud * 0.1 + F.greatest(F.size("steps") - 2, F.lit(0)) * 0.05)
+    typed = lambda *names: F.exists("steps", lambda s: s["type"].isin(*names))
+    opened, script, outward = F.exists("steps", lambda s: F.coalesce(s["key"] == "/OpenAction", F.lit(False))), typed("JavaScript"), typed("URI", "Launch")
+    pattern = (
+        F.when(opened & script & outward, "automatic_js_with_external_action").when(opened & script, "automatic_js_trigger").when(~opened & script & outward, "js_to_external_resource").when(opened & ~script & outward, "automatic_external_action")
+        .when(F.col("automatic") & F.col("script"), "automatic_js_chain").when(F.col("automatic"), "automatic_action_chain").when(F.col("script") & F.col("external"), "js_external_chain")
+    )
+    return paths.join(met, ["doc", "path_id"], "left").withColumns({"risk": risk, "pattern": pattern}).drop("__w")

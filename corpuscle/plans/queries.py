@@ -242,45 +242,6 @@ HALF = "CAST(ts AS DATE) < DATE '2024-01-15'"
 SIDE = """SELECT doc, kind || '::' || list_aggregate(list_sort(list_distinct(objects)), 'string_agg', '|') || '::action.target=' || regexp_extract(target, '^([^?#]*)', 1) || '::' || off fp, severity, confidence, conf, sev, seq FROM f WHERE"""
 
 
-def event_graph(f: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (events, the objects they execute, outcomes) and the edges that findings give."""
-    event, object_, outcome = (F.concat_ws(":", "doc", c) for c in ("title", F.element_at("objects", 1), F.element_at("meta", "action.target")))
-    node = lambda c, kind: f.select(c.alias("node_id"), F.lit(kind).alias("node_kind"), F.when(F.lit(kind == "event"), F.col("title")).alias("event_type")).distinct()
-    edge = lambda dst: f.select(event.alias("src"), dst.alias("dst"), F.col("id").alias("finding_id"))
-    return node(event, "event").unionByName(node(object_, "object")).unionByName(node(outcome, "outcome")), edge(object_).unionByName(edge(outcome))
-
-
-@found("finding_to_event_link", """SELECT node_id, string_agg(id, ',' ORDER BY id) AS findings
-  FROM (SELECT doc || ':' || unnest([title, objects[1], target]) AS node_id, id FROM f) GROUP BY node_id""")
-def _(f: DataFrame) -> DataFrame:
-    return compare.link_findings_events(*event_graph(f)).withColumn("findings", joined("findings"))
-
-
-@found("event_record_projection", """SELECT doc || ':' || title AS node_id, title AS event_type, string_agg(DISTINCT doc || ':' || objects[1], ',' ORDER BY doc || ':' || objects[1]) AS executes,
-  string_agg(DISTINCT doc || ':' || target, ',' ORDER BY doc || ':' || target) AS outcomes, string_agg(DISTINCT id, ',' ORDER BY id) AS findings FROM f GROUP BY doc, title""")
-def _(f: DataFrame) -> DataFrame:
-    return compare.event_records(*event_graph(f)).withColumns({c: joined(c) for c in ("executes", "outcomes", "findings")})
-
-
-OUTCOME_SQL = "oc AS (SELECT id, 'o' || seq AS node_id, title AS outcome_type, target, objects[1] AS source_obj, CAST(n % 6 AS INTEGER) AS confidence_score, CAST(off AS VARCHAR) AS ev FROM f)"
-
-
-def merged_outcomes(f: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An outcome node and an edge to it from every finding, merged."""
-    fields = [F.col("title").alias("outcome_type"), F.element_at("meta", "action.target").alias("target"), F.element_at("objects", 1).alias("source_obj")]
-    node = F.concat(F.lit("o"), "seq")
-    score = (F.col("seq") % 6).cast("int").alias("confidence_score")
-    nodes = f.select(node.alias("node_id"), F.lit("outcome").alias("node_kind"), *fields, score, F.transform("evidence", lambda e: e["offset"].cast("string")).alias("evidence"))
-    return graph.merge_outcomes(nodes, f.select(F.col("id").alias("src"), node.alias("dst")))
-
-
-QUERIES["merge_duplicate_outcomes"] = lambda spark, sf_dir: merged_outcomes(b.findings(spark, sf_dir))[0].withColumn("evidence", joined("evidence"))
-SQL["merge_duplicate_outcomes"] = f"""WITH {b.FINDINGS_SQL}, {OUTCOME_SQL} SELECT min(node_id) AS node_id, outcome_type, target, source_obj, max(confidence_score) AS confidence_score, string_agg(DISTINCT ev, ',' ORDER BY ev) AS evidence
-  FROM oc GROUP BY outcome_type, target, source_obj"""
-QUERIES["merged_outcome_edges"] = lambda spark, sf_dir: merged_outcomes(b.findings(spark, sf_dir))[1]
-SQL["merged_outcome_edges"] = f"WITH {b.FINDINGS_SQL}, {OUTCOME_SQL} SELECT id AS src, min(node_id) OVER (PARTITION BY outcome_type, target, source_obj) AS dst FROM oc"
-
-
 @found("findings_diff", f"""SELECT doc, fp AS fingerprint, status FROM (SELECT coalesce(a.doc, c.doc) AS doc, coalesce(a.fp, c.fp) AS fp, CASE WHEN a.doc IS NULL THEN 'new' WHEN c.doc IS NULL THEN 'removed' WHEN a.severity <> c.severity OR a.confidence <> c.confidence THEN 'changed' END status
   FROM (SELECT * FROM ({SIDE} {HALF}) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) a FULL JOIN (SELECT * FROM ({SIDE} NOT ({HALF})) QUALIFY row_number() OVER (PARTITION BY doc, fp ORDER BY conf, sev DESC, seq) = 1) c
   ON a.doc = c.doc AND a.fp = c.fp) WHERE status IS NOT NULL""")
@@ -648,23 +609,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.duplicate_hashes(_copies(spark, sf_dir))
 
 
-@query("uniform_sample_unique")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.sample_unique(_copies(spark, sf_dir), 100, 7)
-
-
 @found("kind_set_delta", """SELECT o AS object, CASE sum(s) WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'both' END AS side FROM (SELECT DISTINCT unnest(objects) || kind AS o, 1 AS s FROM f WHERE doc < '5' UNION ALL SELECT DISTINCT unnest(objects) || kind, 2 FROM f WHERE doc >= '5') GROUP BY o""")
 def _(f: DataFrame) -> DataFrame:
     keyed = lambda d: d.select(F.explode("objects").alias("o"), "kind").select(F.concat("o", "kind").alias("object"))
     return compare.set_delta(keyed(f.filter("doc < '5'")), keyed(f.filter("doc >= '5'")), "object")
 
 
-@query("dedup_edges", f"WITH {b.TRANSITIONS_SQL} SELECT doc, src, dst, count(DISTINCT edge_type) AS kinds FROM te GROUP BY ALL")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.transitions(spark, sf_dir).withColumns({"kind": F.col("edge_type"), "provenance": F.col("doc"), "metadata": F.lit("")})
-    return graph.dedup_edges(e).groupBy("doc", "src", "dst").agg(F.count("*").alias("kinds"))
-
-
 @query("upsert_by_key", "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM customer")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("old").alias("state"))
@@ -1000,11 +950,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules().profile(read_table(spark, sf_dir, "pages"))
 
 
-@found("findings_csv_rows", "SELECT id, kind, list_aggregate(objects, 'string_agg', '|') AS objects, CAST(1 AS INTEGER) AS evidence_count, coalesce(impact, '-') AS impact FROM f")
-def _(f: DataFrame) -> DataFrame:
-    return writers.findings_csv(f).select("id", "kind", "objects", "evidence_count", F.coalesce("impact", F.lit("-")).alias("impact"))
-
-
 @found("findings_jsonl_round_trip", "SELECT doc, id, severity, off AS offset, page FROM f")
 def _(f: DataFrame) -> DataFrame:
     good, _skipped = readers.parse_findings(writers.findings_jsonl(f.drop("ts")))
@@ -1223,4 +1168,4 @@ def _(f: DataFrame) -> DataFrame:
 SQL = {name: whole(sql) for name, sql in SQL.items()}
 
 
-from corpuscle.plans import bridges, graphs, linked  # noqa: E402, F401  (they add their queries)
+from corpuscle.plans import bridges, formats, graphs, linked  # noqa: E402, F401  (they add their queries)
