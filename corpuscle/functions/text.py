@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.rules import any_of, has, inputs
@@ -15,21 +19,25 @@ HTML_MARKERS = ["<script", "<iframe", "javascript:", "<svg", "onerror=", "onload
 STAGING, UPDATING, PERSISTING = ["download", "fetch", "payload", "stage", "loader"], ["update", "upgrade", "patch"], ["startup", "autorun", "registry", "schedule", "cron"]
 
 
-def _entropy(text: str | None) -> float:
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        return 0.0
-    share = np.bincount(data)
-    share = share[share > 0] / len(data)
-    return float(-(share * np.log2(share)).sum()) + 0.0
+def entropies(texts: pa.StringArray) -> np.ndarray:
+    """Shannon entropy of the UTF-8 bytes of each text, from one count over the buffer of them all."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    sizes = np.diff(ends)
+    counts = np.bincount(np.repeat(np.arange(len(sizes)) << 8, sizes) + data, minlength=len(sizes) << 8).reshape(-1, 256)
+    share = counts / np.maximum(sizes, 1)[:, None]
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1) + 0.0
 
 
-def byte_entropy(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
-    """keys, entropy: Shannon entropy over UTF-8 bytes, counted in Arrow batches; nothing is exploded."""
+def byte_entropy(df: DataFrame, text_col: str, *keys: str, rows: int = 512) -> DataFrame:
+    """keys, entropy: Shannon entropy over UTF-8 bytes, ``rows`` texts counted at once; nothing is exploded."""
 
     @F.pandas_udf("double")
-    def entropy(texts: pd.Series) -> pd.Series:
-        return pd.Series([_entropy(t) for t in texts], dtype="float64")
+    def entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = [entropies(pa.array(texts.iloc[lo : lo + rows], pa.large_string())) for lo in range(0, len(texts), rows)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return df.select(*keys, entropy(F.col(text_col)).alias("entropy"))
 
@@ -121,11 +129,19 @@ def normalise_records(c: Column) -> Column:
 
 
 def assemble_fragments(df: DataFrame, key: str, order: str, text: str, *needles: str) -> DataFrame:
-    """Owners whose fragments show a needle only when joined in order: key, joined."""
-    t = lambda c: any_of(*needles).column(inputs(c))
-    parts = F.array_sort(F.collect_list(F.struct(order, text)))
-    joined = df.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x[text]), "").alias("joined"), F.bool_or(t(F.col(text))).alias("alone"))
-    return joined.filter(~F.col("alone") & t(F.col("joined"))).select(key, "joined")
+    """Owners whose fragments show a needle only when joined in order: key, the place of the fragment that completes one, and the needle.
+
+    A needle over borders ends in a fragment's head, after what the fragments before it end with; a window carries
+    these tails (one character less than the longest needle, however short the fragments), so no owner's text is put together.
+    """
+    most = max(map(len, needles)) - 1
+    held = df.select(F.col(key).alias("__key"), F.col(order).alias("__at"), F.coalesce(F.col(text), F.lit("")).alias("__t")).filter("__t <> ''")
+    before = Window.partitionBy("__key").orderBy("__at").rowsBetween(-max(most, 1), -1)
+    tail = F.right(F.array_join(F.collect_list(F.right("__t", F.lit(most))).over(before), ""), F.lit(most))
+    seen = lambda c: F.array_compact(F.array(*[F.when(has(n).column(inputs(c)), F.lit(n)) for n in needles]))
+    alone = held.filter(any_of(*needles).column(inputs(F.col("__t")))).select("__key").distinct()
+    over = held.withColumn("__tail", tail).select("__key", "__at", F.explode(F.array_except(seen(F.concat("__tail", F.left("__t", F.lit(most)))), seen(F.col("__tail")))).alias("needle"))
+    return over.join(alone, "__key", "left_anti").select(F.col("__key").alias(key), F.col("__at").alias("at"), "needle")
 
 
 def humanize(c: Column, labels: dict[str, str] | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.ranks import numbered
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "mc_cid", "mc_eid", "_ga", "ref", "referer"]
@@ -243,10 +245,16 @@ def extract_intents(findings: DataFrame, bare_domains: bool = False, undo: bool
     return urls.filter(good).groupBy("doc", "url").agg(F.min("seq").alias("seq")).select("doc", "url", extract_domain(F.col("url")).alias("domain"))
 
 
-def campaigns(intents: DataFrame, least: int = 2) -> DataFrame:
-    """Domains that occur in several documents, with the sorted documents."""
-    out = intents.filter("domain is not null").groupBy("domain").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    return out.filter(F.size("docs") >= least).select(F.concat(F.lit("campaign:"), F.col("domain")).alias("id"), "domain", "docs")
+def campaigns(intents: DataFrame, least: int = 2, size: int = 1000) -> DataFrame:
+    """Domains that occur in ``least`` documents or more, with their sorted documents in pages of ``size``: id, domain, page (from 0), docs.
+
+    Documents are numbered block by block, so no row or task holds all documents of a domain.
+    """
+    pairs = intents.filter("domain is not null and doc is not null").select("domain", "doc").distinct()
+    often = pairs.groupBy("domain").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("domain")
+    placed = numbered(pairs.join(often, "domain", "left_semi"), ("domain",), ("doc",), "place")
+    paged = placed.groupBy("domain", F.floor(F.col("place") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    return paged.select(F.concat(F.lit("campaign:"), F.col("domain")).alias("id"), "domain", "page", "docs")
 
 
 def c2_domains(intents: DataFrame, distinct: bool = True) -> DataFrame:

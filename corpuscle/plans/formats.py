@@ -207,3 +207,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["merge_duplicate_outcomes"] = OUTCOME_SQL + " SELECT * FROM mo"
 SQL["merged_outcome_edges"] = OUTCOME_SQL + " SELECT oc.doc, oc.id AS src, mo.node_id AS dst FROM oc JOIN mo ON mo.doc = oc.doc AND mo.outcome_type = oc.outcome_type AND mo.target = oc.target AND mo.source_obj IS NOT DISTINCT FROM oc.source_obj"
+
+
+NEEDLES = [".En", ".Th", ".D", "n.S"]
+
+
+@query("fragment_assembly", f"""WITH c AS (SELECT conv_id, turn, text, right(coalesce(lag(text) OVER w, ''), 2) AS tail FROM conversations WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), alone AS (SELECT DISTINCT conv_id FROM conversations WHERE {" OR ".join(f"contains(text, '{n}')" for n in NEEDLES)})
+  SELECT conv_id, turn AS at, needle FROM c, (SELECT unnest({NEEDLES}) AS needle) WHERE contains(tail || left(text, 2), needle) AND NOT contains(tail, needle) AND conv_id NOT IN (SELECT conv_id FROM alone)""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.assemble_fragments(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", *NEEDLES)

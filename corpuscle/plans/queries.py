@@ -62,12 +62,13 @@ def found(name: str, sql: str | None = None):
 joined = lambda c: F.array_join(c, ",")
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
-@query("campaigns", f"""SELECT 'campaign:' || domain AS id, domain, string_agg(doc, ',' ORDER BY doc) AS docs FROM (
-  SELECT DISTINCT CAST(page_id AS VARCHAR) AS doc, nullif(regexp_extract(trim(url), '^(?:https?://)?([^/:]*)', 1), '') AS domain FROM pages) WHERE domain IS NOT NULL GROUP BY domain HAVING count(*) >= 2""")
+@query("campaigns", f"""SELECT 'campaign:' || domain AS id, domain, CAST(place // 1000 AS INTEGER) AS page, string_agg(doc, ',' ORDER BY doc) AS docs FROM (
+  SELECT *, row_number() OVER (PARTITION BY domain ORDER BY doc) - 1 AS place, count(*) OVER (PARTITION BY domain) AS n FROM (
+    SELECT DISTINCT CAST(page_id AS VARCHAR) AS doc, nullif(regexp_extract(trim(url), '^(?:https?://)?([^/:]*)', 1), '') AS domain FROM pages) WHERE domain IS NOT NULL) WHERE n >= 2 GROUP BY ALL""")
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     intents = pages.select(F.col("page_id").cast("string").alias("doc"), "url", urls.extract_domain(F.col("url")).alias("domain"))
-    return urls.campaigns(intents).select("id", "domain", joined("docs").alias("docs"))
+    return urls.campaigns(intents).select("id", "domain", "page", joined("docs").alias("docs"))
 
 
 # ---- selections and predicates
@@ -123,7 +124,7 @@ def _(f: DataFrame) -> DataFrame:
 
 @found("c2_and_campaign_domains", """SELECT regexp_extract(target, '^(?:https?://)?([^/:]*)', 1) AS domain, count(DISTINCT doc) AS docs FROM f GROUP BY 1 HAVING count(DISTINCT doc) >= 2""")
 def _(f: DataFrame) -> DataFrame:
-    return urls.campaigns(urls.extract_intents(f)).select("domain", F.size("docs").cast("long").alias("docs"))
+    return urls.campaigns(urls.extract_intents(f), size=40).groupBy("domain").agg(F.sum(F.size("docs")).alias("docs"))
 
 
 # ---- aggregations

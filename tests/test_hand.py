@@ -161,7 +161,9 @@ def test_entropy_both_ways(spark):
 
 def test_fragments(spark):
     df = spark.createDataFrame([("a", 1, "ev"), ("a", 2, "al("), ("b", 1, "eval("), ("b", 2, "x")], "o string, n int, t string")
-    assert [r.o for r in text.assemble_fragments(df, "o", "n", "t", "eval(").collect()] == ["a"]
+    assert [tuple(r) for r in text.assemble_fragments(df, "o", "n", "t", "eval(").collect()] == [("a", 2, "eval(")]
+    short = spark.createDataFrame([("c", i, ch) for i, ch in enumerate("xeval(y")] + [("d", 1, "e"), ("d", 2, None), ("d", 3, ""), ("d", 4, "val"), ("d", 5, "(eva"), ("d", 6, "l")], "o string, n int, t string")
+    assert {tuple(r) for r in text.assemble_fragments(short, "o", "n", "t", "eval(", "al(e").collect()} == {("c", 5, "eval("), ("d", 5, "eval("), ("d", 5, "al(e")}
 
 
 def graph_edges(spark, pairs):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.functions import urls
 from corpuscle.operators import alignment, composites, cycles, graph, intervals, ranks
 from corpuscle.session import stash_path
 from corpuscle.streaming import jobs
@@ -70,6 +71,12 @@ def test_exact_percentiles(spark):
         assert got[n] == (len(vs), [sorted(vs)[int(np.floor(s * (len(vs) - 1) + 0.5))] for s in shares])
 
 
+def test_campaigns_come_in_pages(spark):
+    rows = [(f"d{i:03}", "big.com") for i in range(95)] + [(f"d{i}", "small.org") for i in (1, 2)] + [("d1", "one.net"), ("d1", "small.org"), (None, "one.net"), ("d2", None)]
+    got = {(r.domain, r.page): r.docs for r in urls.campaigns(spark.createDataFrame(rows, "doc string, domain string"), size=40).collect()}
+    assert got == {("big.com", k): [f"d{i:03}" for i in range(40 * k, min(40 * k + 40, 95))] for k in range(3)} | {("small.org", 0): ["d1", "d2"]}
+
+
 # ---- searches and paths
 
 
