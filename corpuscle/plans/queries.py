@@ -622,10 +622,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.upsert(old, old.filter("run_id % 5 = 0").withColumn("state", F.lit("new")), "run_id")
 
 
-@query("two_pass_triage", r"SELECT doc_id, CASE WHEN n_chars > 2000 THEN CAST(strlen(text) AS BIGINT) ELSE n_chars END AS result, CASE WHEN n_chars > 2000 THEN 'deep' ELSE 'not_selected' END AS reason FROM documents")
+@query("two_pass_triage", r"SELECT doc_id, coalesce(CASE WHEN n_chars > 2000 AND contains(text, '.') AND NOT contains(text, '#') THEN CAST(strlen(text) AS BIGINT) END, n_chars) AS result, CASE WHEN n_chars > 2000 THEN CASE WHEN contains(text, '.') AND NOT contains(text, '#') THEN 'deep' ELSE 'deep_failed' END ELSE 'not_selected' END AS reason FROM documents")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts get a deep look, which fails (is null) on texts without sentences or with junk marks."""
     d = read_table(spark, sf_dir, "documents")
-    out = compare.two_pass(d, F.col("n_chars"), F.col("n_chars") > 2000, F.octet_length("text").cast("long"))
+    deep = F.when(F.contains("text", F.lit(".")) & ~F.contains("text", F.lit("#")), F.octet_length("text").cast("long"))
+    out = compare.two_pass(d, F.col("n_chars"), F.col("n_chars") > 2000, deep)
     return out.select("doc_id", "result", "reason")
 
 
@@ -781,6 +783,20 @@ def _(f: DataFrame) -> DataFrame:
     return trends.new_kinds(f.withColumn("date", F.col("ts").cast("date")))
 
 
+@found("new_kinds_since", "SELECT DISTINCT doc || ':' || kind AS kind FROM f WHERE ts >= '2024-01-15' AND doc || ':' || kind NOT IN (SELECT doc || ':' || kind FROM f WHERE ts < '2024-01-15')")
+def _(f: DataFrame) -> DataFrame:
+    """Kinds of each document that its first half doesn't show."""
+    named = f.select("ts", F.concat_ws(":", "doc", "kind").alias("kind"))
+    early = F.col("ts") < "2024-01-15"
+    return trends.new_kinds_since(named.filter(~early), named.filter(early))
+
+
+@query("isotonic_calibration", "SELECT doc_id, round(CASE WHEN x <= 0.1 THEN 0.02 WHEN x <= 0.4 THEN 0.02 + (x - 0.1) * (0.3 - 0.02) / (0.4 - 0.1) WHEN x <= 0.7 THEN 0.3 + (x - 0.4) * (0.9 - 0.3) / (0.7 - 0.4) ELSE 0.9 END, 6) AS p FROM (SELECT doc_id, least(n_chars, 5000) / 5000.0::DOUBLE AS x FROM documents)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").withColumn("x", F.least("n_chars", F.lit(5000)) / 5000.0)
+    return d.select("doc_id", r6(features.isotonic(F.col("x"), [(0.1, 0.02), (0.4, 0.3), (0.7, 0.9)]), "p"))
+
+
 @found("temporal_signals", """, v AS (SELECT doc, CAST(ceil(day(ts) / 7.0) AS INTEGER) AS version, kind, max(sev) AS rank FROM f GROUP BY ALL), s AS (SELECT doc, version, count_if(version = first) AS new, count_if(version = first AND rank >= 3 AND version > start) AS new_high FROM (SELECT *, min(version) OVER (PARTITION BY doc, kind) AS first, min(version) OVER (PARTITION BY doc) AS start FROM v) GROUP BY ALL)
   SELECT s.doc, s.version, new, new_high, (SELECT count(*) FROM v a WHERE a.doc = s.doc AND a.version = s.version - 1 AND NOT EXISTS (SELECT 1 FROM v c WHERE c.doc = a.doc AND c.version = s.version AND c.kind = a.kind)) AS removed FROM s""")
 def _(f: DataFrame) -> DataFrame:
@@ -794,12 +810,15 @@ def _(f: DataFrame) -> DataFrame:
     return trends.temporal_risk(v).withColumn("change", F.round("change", 6))
 
 
-@found("revision_timeline", """, v AS (SELECT doc, objects[1] AS obj, CAST(ceil(day(ts) / 10.0) AS INTEGER) AS revision, max(severity) AS fp, bool_or(k % 2 = 0) AS pg FROM f GROUP BY ALL), t AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'added' WHEN lag(fp) OVER w <> fp THEN 'modified' END AS change FROM v WINDOW w AS (PARTITION BY doc, obj ORDER BY revision))
-  SELECT doc, revision, count_if(change = 'added') AS added, count_if(change = 'modified') AS modified, count_if(change IS NOT NULL AND pg) AS pages FROM t GROUP BY ALL""")
+@found("revision_timeline", """, v AS (SELECT doc, objects[1] AS obj, CAST(ceil(day(ts) / 10.0) AS INTEGER) AS revision, max(severity) AS fp, bool_or(k % 2 = 0) AS pg, bool_or(k % 7 = 0) AS an, bool_or(k % 31 = 0) AS ca, bool_or(k % 13 = 0) AS ac FROM f GROUP BY ALL), t AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'added' WHEN lag(fp) OVER w <> fp THEN 'modified' END AS change FROM v WINDOW w AS (PARTITION BY doc, obj ORDER BY revision)),
+    c AS (SELECT doc, revision, count_if(change = 'added') AS added, count_if(change = 'modified') AS modified, count_if(change IS NOT NULL AND pg) AS pages, count_if(change IS NOT NULL AND an) AS annotations, count_if(change IS NOT NULL AND ca) AS catalogs, count_if(change IS NOT NULL AND ac) AS actions FROM t GROUP BY ALL)
+  SELECT *, CAST(CASE WHEN revision > 1 THEN CASE WHEN catalogs > 0 THEN 3 ELSE 0 END + CASE WHEN actions > 0 THEN 2 ELSE 0 END + CASE WHEN pages > 0 THEN 1 ELSE 0 END + CASE WHEN annotations > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc ORDER BY revision DESC) <= 2""")
 def _(f: DataFrame) -> DataFrame:
-    v = f.groupBy("doc", F.get("objects", F.lit(0)).alias("obj"), F.ceil(F.dayofmonth("ts") / 10).cast("int").alias("revision")).agg(F.max("severity").alias("fingerprint"), F.bool_or(F.col("action_type").isNotNull()).alias("is_page"))
-    v = v.withColumns({"is_annotation": F.lit(False), "is_catalog": F.lit(False), "has_action": F.lit(False)})
-    return trends.revision_timeline(v).select("doc", "revision", "added", "modified", "pages")
+    """The last two revisions of each document; flags by the number in an event's properties."""
+    k = F.round(F.col("meta")["js.obfuscation_score"].cast("double") * 100).cast("int")
+    some = {"is_page": 2, "is_annotation": 7, "is_catalog": 31, "has_action": 13}
+    v = f.groupBy("doc", F.get("objects", F.lit(0)).alias("obj"), F.ceil(F.dayofmonth("ts") / 10).cast("int").alias("revision")).agg(F.max("severity").alias("fingerprint"), *[F.bool_or(k % m == 0).alias(n) for n, m in some.items()])
+    return trends.revision_timeline(v, 2)
 
 
 @query("run_summary", """SELECT f.date, files, bytes, runtime_ms, errors, findings, high, per_file FROM (SELECT CAST(ts AS DATE) AS date, count(DISTINCT user_id) AS files, CAST(count(*) * 10 AS BIGINT) AS bytes, count(*) AS runtime_ms, count_if(event_type = 'error') AS errors, count(*) AS findings, count_if(value >= 100 AND value < 200) AS high, round_even(count(*) / count(DISTINCT user_id), 2) AS per_file FROM events GROUP BY 1) f""")
@@ -836,12 +855,28 @@ def _(f: DataFrame) -> DataFrame:
 # ---- profiles, escalations and enrichments
 
 
-@found("risk_profiles", """SELECT doc, CASE WHEN uris > 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS uri_risk, round(least(1.0::DOUBLE, xref * 0.3::DOUBLE), 6) AS structural_risk, round(least(1.0::DOUBLE, fonts * 0.1::DOUBLE), 6) AS content_risk FROM (
-  SELECT doc, count_if(surface IN ('actions', 'forms') AND (contains(kind, 'uri') OR contains(kind, 'launch'))) uris, count_if(surface IN ('file_structure', 'xref_trailer', 'object_streams', 'streams_filters') AND contains(kind, 'xref')) xref,
-  count_if((surface = 'content_phishing' OR contains(kind, 'content') OR contains(kind, 'text')) AND contains(kind, 'font')) fonts FROM f GROUP BY doc)""")
+RISK_KINDS = ["uri_suspicious", "uri_phishing_link", "xref_invalid", "objstm_malformed", "encryption_present", "suspicious_producer_metadata", "creator_signature_invalid", "text_anomaly_content", "hidden_text_layer", "content_font_mismatch", "content_phishing_keyword", "content_overlapping", "crypto_weak_cipher", "crypto_certificate_selfsigned", "crypto_signature_anomaly", "other_kind"]
+
+
+def _risk_findings(f: DataFrame) -> DataFrame:
+    """The findings with kinds and metadata that the five profiles count."""
+    kind = F.element_at(F.array(*map(F.lit, RISK_KINDS)), (F.col("seq") % len(RISK_KINDS) + 1).cast("int"))
+    surface = F.when(F.startswith(kind, F.lit("uri")), "actions").when(F.startswith(kind, F.lit("xref")), "file_structure").when(F.startswith(kind, F.lit("objstm")), "object_streams").otherwise("metadata")
+    third = F.col("seq") % 3
+    more = F.map_from_arrays(F.array(*map(F.lit, ["uri.domain", "uri.scheme", "keyword", "encryption.algorithm"])), F.array(F.when(third == 0, "x.example"), F.when(third == 1, "ftp").otherwise("https"), F.when(third == 0, "verify"), F.when(third == 2, "RC4-40").otherwise("AES")))
+    return f.withColumns({"kind": kind, "surface": surface, "meta": more})
+
+
+@found("risk_profiles", f""", r AS (SELECT doc, {b._list(RISK_KINDS)}[n % {len(RISK_KINDS)} + 1] AS kind, n % 3 AS t FROM f), c AS (SELECT doc, count_if(kind LIKE 'uri%') AS uris, count_if(kind IN ('uri_suspicious', 'uri_phishing_link') AND t = 0) AS domains, count_if(kind LIKE 'uri%' AND t = 1) AS schemes, count_if(kind = 'uri_phishing_link') AS phishing,
+    count_if(kind IN ('xref_invalid', 'objstm_malformed')) AS violations, count_if(kind = 'xref_invalid') AS xref, count_if(kind = 'objstm_malformed') AS objstm, bool_or(kind = 'encryption_present') AS enc, count_if(kind = 'suspicious_producer_metadata') AS producers, count_if(kind = 'creator_signature_invalid') AS signatures,
+    count_if(kind IN ('text_anomaly_content', 'hidden_text_layer')) AS texts, count_if(kind = 'content_font_mismatch') AS fonts, count_if(kind = 'content_phishing_keyword' AND t = 0) AS keywords, bool_or(kind = 'hidden_text_layer') AS hid, bool_or(kind = 'content_overlapping') AS lap,
+    count_if(kind IN ('encryption_present', 'crypto_weak_cipher', 'crypto_certificate_selfsigned', 'crypto_signature_anomaly') AND t = 2) AS weak, count_if(kind = 'crypto_certificate_selfsigned') AS certs, count_if(kind = 'crypto_signature_anomaly') AS anomalies FROM r GROUP BY doc)
+  SELECT doc, round(CASE WHEN uris > 0 THEN least(1.0::DOUBLE, domains * 0.3::DOUBLE + schemes * 0.2::DOUBLE + phishing * 0.4::DOUBLE + 0.1::DOUBLE) ELSE 0 END, 6) AS uri_risk, round(least(1.0::DOUBLE, violations * 0.2::DOUBLE + xref * 0.3::DOUBLE + objstm * 0.2::DOUBLE + CASE WHEN enc THEN 0.1::DOUBLE ELSE 0 END), 6) AS structural_risk,
+    round(least(1.0::DOUBLE, producers * 0.3::DOUBLE + signatures * 0.4::DOUBLE), 6) AS supply_chain_risk, round(least(1.0::DOUBLE, texts * 0.1::DOUBLE + fonts * 0.1::DOUBLE + keywords * 0.3::DOUBLE + CASE WHEN hid THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN lap THEN 0.1::DOUBLE ELSE 0 END), 6) AS content_risk,
+    round(least(1.0::DOUBLE, weak * 0.4::DOUBLE + certs * 0.2::DOUBLE + anomalies * 0.3::DOUBLE), 6) AS crypto_risk FROM c""")
 def _(f: DataFrame) -> DataFrame:
-    p = context.risk_profiles(f)
-    return p.select("doc", r6(F.col("uri_risk"), "uri_risk"), r6(F.col("structural_risk"), "structural_risk"), r6(F.col("content_risk"), "content_risk"))
+    p = context.risk_profiles(_risk_findings(f))
+    return p.select("doc", *[F.round(c, 6).alias(c) for c in p.columns if c != "doc"])
 
 
 @found("meta_scalar_typing", "SELECT id, CAST(page AS DOUBLE) AS number, has_eval AS flag, hash AS text FROM f")
@@ -957,10 +992,17 @@ def _(f: DataFrame) -> DataFrame:
     return good.select("doc", "id", "severity", F.get("evidence", F.lit(0))["offset"].alias("offset"), F.col("meta")["page.number"].alias("page"))
 
 
-@found("sarif_results", "SELECT kind AS rule, CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM f GROUP BY ALL")
+@found("sarif_results", """SELECT kind AS rule, CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, description AS message, off AS start, CAST(10 AS BIGINT) AS length, count(*) AS n FROM f GROUP BY ALL""")
+def _(f: DataFrame) -> DataFrame:
+    r = F.from_json("value", "ruleId string, level string, message string, locations array<struct<byteOffset:bigint,byteLength:bigint>>").alias("r")
+    rows = writers.sarif_rows(f)[1].select(r).select(F.col("r.ruleId").alias("rule"), "r.level", "r.message", F.explode("r.locations").alias("at"))
+    return rows.groupBy("rule", "level", "message", F.col("at.byteOffset").alias("start"), F.col("at.byteLength").alias("length")).agg(F.count("*").alias("n"))
+
+
+@found("sarif_rules", "SELECT kind AS id, arg_min(title, struct_pack(d := doc, s := seq)) AS name, arg_min(description, struct_pack(d := doc, s := seq)) AS description FROM f GROUP BY kind")
 def _(f: DataFrame) -> DataFrame:
-    _rules_, results = writers.sarif_rows(f)
-    return results.select(F.get_json_object("value", "$.ruleId").alias("rule"), F.get_json_object("value", "$.level").alias("level")).groupBy("rule", "level").agg(F.count("*").alias("n"))
+    r = F.from_json("value", "id string, name string, shortDescription string").alias("r")
+    return writers.sarif_rows(f)[0].select(r).select("r.id", "r.name", F.col("r.shortDescription").alias("description"))
 
 
 @query("batch_result_envelope", "SELECT url AS path, CASE WHEN page_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_id % 10 = 0 THEN 'QUERY_ERROR' END AS error_code, CASE WHEN page_id % 10 = 0 THEN NULL ELSE CAST(strlen(html) AS INTEGER) END AS result FROM pages")
