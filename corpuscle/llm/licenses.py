@@ -247,7 +247,7 @@ NOTICES = [
     ("artistic", "artistic", "the artistic license or the gnu general public license", 3, 0.95),
     ("perl", "artistic", "under the same terms as perl itself", 3, 0.95),
     ("intent", "artistic", "the intent of this document is to state the conditions under which a package may be copied", 3, 1.0),
-    ("perl", "artistic", "www perlfoundation org artistic license 2 0", 3, 1.0),
+    ("perlfoundation", "artistic", "www perlfoundation org artistic license 2 0", 3, 1.0),
     # creative commons and data
     ("appropriate", "cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", 3, 1.0),
     ("adapt", "cc-by", "adapt remix transform and build upon the material for any purpose even commercially", 3, 1.0),
@@ -297,6 +297,132 @@ NOTICES = [
     ("reproduced", "all-rights-reserved", "no part of this (?:publication|book|work) may be reproduced", 2, 0.8),
     ("trademarks", "trademark-notice", "(?:are|is a) (?:registered )?trademarks? of", 1, 0.4),
     ("evaluation", "proprietary", "for evaluation purposes only", 2, 0.6),
+    # gnu, clause by clause
+    ("hope", "gpl", "this program is distributed in the hope that it will be useful but without any warranty", 3, 0.95),
+    ("merchantability", "gpl", "without even the implied warranty of merchantability or fitness for a particular purpose", 2, 0.7),
+    ("copy", "gpl", "you should have received a copy of the gnu general public license along with this program", 3, 1.0),
+    ("received", "lgpl", "you should have received a copy of the gnu lesser general public license along with this library", 3, 1.0),
+    ("received", "agpl", "you should have received a copy of the gnu affero general public license", 3, 1.0),
+    ("franklin", "gpl", "free software foundation inc 51 franklin st(?:reet)? fifth floor boston", 3, 0.9),
+    ("temple", "gpl", "free software foundation inc 59 temple place", 3, 0.9),
+    ("freedom", "gpl", "guarantee your freedom to share and change", 3, 0.95),
+    ("conveying", "gpl", "basic permissions all rights granted under this license|conveying (?:verbatim copies|modified source versions|non source forms)", 3, 0.9),
+    ("installation", "gpl", "installation information for a user product means any methods procedures authorization keys", 3, 1.0),
+    ("corresponding", "gpl", "accompany it with the complete corresponding machine readable source code", 3, 0.95),
+    ("combined", "lgpl", "you may convey a combined work under terms of your choice", 3, 1.0),
+    ("library", "lgpl", "a work that uses the library", 3, 0.8),
+    ("remotely", "agpl", "users interacting with it remotely through a computer network", 3, 1.0),
+    ("linking", "gpl-exception", "linking this library statically or dynamically with other modules is making a combined work", 3, 0.95),
+    ("classpath", "gpl-exception", "classpath exception", 2, 0.9),
+    ("bison", "gpl-exception", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 3, 1.0),
+    ("runtime", "gpl-exception", "gcc runtime library exception", 3, 1.0),
+    # artistic, perl and their kin
+    ("perl", "artistic", "under the same terms as perl(?: itself)?", 3, 0.95),
+    ("artistic", "artistic", "semblance of artistic control over the development of the package", 3, 1.0),
+    ("freely", "artistic", "make your modifications freely available such as by posting said modifications to usenet", 3, 1.0),
+    ("bsdl", "ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl", 3, 1.0),
+    # fonts
+    ("reserved", "ofl", "reserved font name", 3, 0.9),
+    ("bundled", "ofl", "may be bundled redistributed and or sold with any software provided that each copy contains the above copyright notice", 3, 1.0),
+    ("bitstream", "bitstream-vera", "bitstream vera is a trademark of bitstream", 3, 1.0),
+    ("ubuntu", "ubuntu-font", "ubuntu font licen[cs]e", 3, 1.0),
+    ("freetype", "ftl", "portions of this software are copyright(?: [^ ]+){1,4} the freetype project", 3, 1.0),
+    ("freetype", "ftl", "the freetype project licen[cs]e", 3, 1.0),
+    # images, compression and other libraries
+    ("png", "libpng", "the png reference library is supplied as is", 3, 1.0),
+    ("jpeg", "ijg", "this software is based in part on the work of the independent jpeg group", 3, 1.0),
+    ("independent", "ijg", "the independent jpeg group s software", 2, 0.8),
+    ("silicon", "libtiff", "the names of sam leffler and silicon graphics may not be used", 3, 1.0),
+    ("leffler", "libtiff", "copyright c(?: [^ ]+){1,4} sam leffler", 3, 0.9),
+    ("zip", "info-zip", "info zip licen[cs]e|this is version(?: [^ ]+){1,6} of the info zip licen[cs]e", 3, 1.0),
+    ("plainly", "zlib", "altered source versions must be plainly marked as such and must not be misrepresented", 3, 1.0),
+    ("haxx", "curl", "curl haxx se docs copyright|curl se docs copyright", 3, 1.0),
+    ("stenberg", "curl", "copyright(?: c)?(?: [^ ]+){1,4} daniel stenberg", 3, 0.9),
+    ("expat", "mit", "copyright(?: c)?(?: [^ ]+){1,4} expat maintainers", 3, 0.9),
+    ("icu", "icu", "icu licen[cs]e icu 1 8 1 and later", 3, 1.0),
+    ("unicode", "unicode", "unicode inc licen[cs]e agreement data files and software", 3, 1.0),
+    ("unicode", "unicode", "distributed under the terms of use in (?:http|https) www unicode org copyright html", 3, 1.0),
+    ("disclaims", "public-domain", "disclaims copyright to this (?:source code|software|work)", 3, 1.0),
+    ("blessing", "blessing", "in place of a legal notice here is a blessing", 3, 1.0),
+    ("sleepycat", "sleepycat", "sleepycat software inc|the sleepycat licen[cs]e", 3, 0.9),
+    ("berkeley", "bsd", "this product includes software developed by the university of california berkeley and its contributors", 3, 1.0),
+    ("regents", "bsd", "copyright c(?: [^ ]+){1,6} the regents of the university of california", 3, 0.9),
+    ("netbsd", "bsd", "this code is derived from software contributed to the netbsd foundation", 3, 1.0),
+    ("openbsd", "isc", "permission to use copy modify and distribute this software(?: [^ ]+){1,4} openbsd", 2, 0.7),
+    ("ssl", "ssleay", "this package is an ssl implementation written by eric young", 3, 1.0),
+    # permissive odds and ends
+    ("beerware", "beerware", "the beerware licen[cs]e", 3, 1.0),
+    ("beer", "beerware", "the beer ware licen[cs]e", 3, 1.0),
+    ("oak", "blue-oak", "blue oak model licen[cs]e", 3, 1.0),
+    ("contributor", "blue-oak", "each contributor licenses you to do everything with this software", 3, 1.0),
+    ("instrument", "fair", "usage of the works is permitted provided that this instrument is retained with the works", 3, 1.0),
+    ("usage", "fair", "usage of the works is permitted", 2, 0.8),
+    ("miros", "miros", "the miros licence", 3, 1.0),
+    ("ntp", "ntp", "permission to use copy modify and distribute this software and its documentation for any purpose(?: [^ ]+){1,6} ntp", 2, 0.7),
+    ("ncsa", "ncsa", "university of illinois ncsa open source licen[cs]e", 3, 1.0),
+    ("illinois", "ncsa", "neither the names of(?: [^ ]+){1,6} university of illinois", 3, 0.9),
+    ("w3c", "w3c", "w3c software(?: notice)?(?: and)?(?: document)? licen[cs]e", 3, 1.0),
+    ("consortium", "w3c", "copyright c(?: [^ ]+){1,4} world wide web consortium", 3, 0.9),
+    ("vim", "vim", "vim is charityware you can use and copy it as much as you like", 3, 1.0),
+    ("charityware", "vim", "charityware", 2, 0.8),
+    ("cern", "cern-ohl", "cern open hardware licen[cs]e", 3, 1.0),
+    ("solderpad", "solderpad", "solderpad hardware licen[cs]e", 3, 1.0),
+    ("mulan", "mulan-psl", "mulan psl v2|mulan permissive software licen[cs]e", 3, 1.0),
+    ("zope", "zpl", "zope public licen[cs]e", 3, 1.0),
+    ("academic", "afl", "academic free licen[cs]e", 3, 1.0),
+    ("open", "osl", "licensed under the open software licen[cs]e", 3, 1.0),
+    ("educational", "ecl", "educational community licen[cs]e", 3, 1.0),
+    ("latex", "lppl", "this work may be distributed and or modified under the conditions of the latex project public licen[cs]e", 3, 1.0),
+    ("maintenance", "lppl", "this work has the lppl maintenance status", 3, 1.0),
+    # makers' licences
+    ("microsoft", "ms-pl", "microsoft public licen[cs]e", 3, 1.0),
+    ("microsoft", "ms-rl", "microsoft reciprocal licen[cs]e", 3, 1.0),
+    ("microsoft", "proprietary", "microsoft software licen[cs]e terms", 3, 0.9),
+    ("oracle", "proprietary", "oracle binary code licen[cs]e agreement", 3, 1.0),
+    ("universal", "upl", "the universal permissive licen[cs]e upl", 3, 1.0),
+    ("ibm", "ipl", "ibm public licen[cs]e", 3, 1.0),
+    ("netscape", "npl", "netscape public licen[cs]e", 3, 1.0),
+    ("nokia", "nokia", "nokia open source licen[cs]e", 3, 1.0),
+    ("nvidia", "proprietary", "nvidia software licen[cs]e agreement|nvidia end user licen[cs]e agreement", 3, 1.0),
+    ("intel", "intel", "intel simplified software licen[cs]e|intel open source licen[cs]e", 3, 1.0),
+    ("apple", "apsl", "apple public source licen[cs]e", 3, 1.0),
+    ("sgi", "sgi-b", "sgi free software licen[cs]e b", 3, 1.0),
+    ("trolltech", "qpl", "q public licen[cs]e|trolltech", 2, 0.8),
+    ("sybase", "sybase", "sybase open watcom public licen[cs]e", 3, 1.0),
+    ("realnetworks", "rpsl", "realnetworks public source licen[cs]e", 3, 1.0),
+    ("lucent", "lpl", "lucent public licen[cs]e", 3, 1.0),
+    ("nasa", "nasa", "nasa open source agreement", 3, 1.0),
+    # europe
+    ("european", "eupl", "licensed under the eupl(?: [^ ]+){1,12} european commission|european union public licen[cs]e", 3, 1.0),
+    ("eupl", "eupl", "licensed under the eupl", 3, 1.0),
+    ("cecill", "cecill", "this software is governed by the cecill(?: [bc])? licen[cs]e", 3, 1.0),
+    ("french", "cecill", "governed by the cecill(?: [bc])? licen[cs]e under french law", 3, 1.0),
+    # works, data and models
+    ("attribution", "cc-by-sa", "creative commons attribution share ?alike", 3, 1.0),
+    ("noncommercial", "cc-by-nc", "creative commons attribution noncommercial", 3, 1.0),
+    ("commercial", "cc-by-nc", "creative commons attribution non commercial", 3, 1.0),
+    ("noderivs", "cc-by-nd", "creative commons attribution noderivs", 3, 1.0),
+    ("derivs", "cc-by-nd", "creative commons attribution no derivs", 3, 1.0),
+    ("noderivatives", "cc-by-nd", "creative commons attribution noderivatives", 3, 1.0),
+    ("creativecommons", "cc", "to view a copy of this licen[cs]e visit (?:http|https) creativecommons org licenses", 3, 0.9),
+    ("waived", "cc0", "has waived all copyright and related or neighboring rights to", 3, 1.0),
+    ("odbl", "odbl", "open database licen[cs]e odbl|made available under the open database licen[cs]e", 3, 1.0),
+    ("database", "odbl", "any rights in individual contents of the database are licensed under the database contents licen[cs]e", 3, 1.0),
+    ("dedication", "pddl", "public domain dedication and licen[cs]e", 3, 1.0),
+    ("cdla", "cdla", "community data licen[cs]e agreement|cdla (?:permissive|sharing)", 3, 1.0),
+    ("community", "cdla", "community data licen[cs]e agreement", 3, 1.0),
+    ("government", "ogl", "contains public sector information licensed under the open government licen[cs]e", 3, 1.0),
+    ("openrail", "rail", "openrail m licen[cs]e|creativeml openrail", 3, 1.0),
+    ("responsible", "rail", "responsible ai licen[cs]e", 3, 1.0),
+    ("llama", "llama", "llama(?: [0-9]+)?(?: [0-9]+)? community licen[cs]e(?: agreement)?", 3, 1.0),
+    ("commons", "commons-clause", "commons clause licen[cs]e condition", 3, 1.0),
+    ("sell", "commons-clause", "the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell the software", 3, 1.0),
+    ("hippocratic", "hippocratic", "hippocratic licen[cs]e", 3, 1.0),
+    ("prosperity", "prosperity", "the prosperity public licen[cs]e", 3, 1.0),
+    ("parity", "parity", "the parity public licen[cs]e", 3, 1.0),
+    ("confluent", "confluent", "confluent community licen[cs]e", 3, 1.0),
+    ("timescale", "timescale", "timescale licen[cs]e agreement", 3, 1.0),
+    ("redis", "rsal", "redis source available licen[cs]e", 3, 1.0),
 ]
 
 
