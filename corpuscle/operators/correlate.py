@@ -249,13 +249,6 @@ def escalate(findings: DataFrame, target: Column, flags: dict[str, Column], leve
     return met.withColumns({"severity": F.when(changed, severity_name(new)).otherwise(F.col("severity")), "escalation": F.when(changed, F.concat(F.lit(f"{reason}: "), F.col("severity")))}).drop(*flags)
 
 
-def recalibrate(findings: DataFrame) -> DataFrame:
-    """Structural rows go up one level where the document also runs scripts, two where it also launches."""
-    flags = {"__js": _kinds(SCRIPTS), "__launch": F.col("kind") == "launch_action_present"}
-    step = F.when(F.col("__js") & F.col("__launch"), 2).when(F.col("__js") | F.col("__launch"), 1).otherwise(0)
-    return escalate(findings, _kinds(STRUCTURAL), flags, F.least(severity_rank(F.col("severity")) + step, F.lit(4)), "context")
-
-
 def noisy_buckets(findings: DataFrame, noisy: list[str]) -> DataFrame:
     """doc, id, bucket of ambiguous kinds: correlated_high_risk, correlated or likely_noise by shared risky objects and scripts."""
     risky = findings.filter(severity_rank(F.col("severity")) >= 3).filter(~_kinds(noisy))

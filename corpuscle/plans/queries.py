@@ -416,12 +416,6 @@ def _(f: DataFrame) -> DataFrame:
     return correlate.raise_fonts(f).select("id", "severity", F.col("escalation").isNotNull().alias("raised"))
 
 
-@found("context_recalibration", f"""SELECT id, {b._list(SEVERITIES)}[greatest(sev, least(sev + CASE WHEN js AND launch THEN 2 WHEN js OR launch THEN 1 ELSE 0 END, 4)) + 1] AS severity FROM f
-  JOIN (SELECT doc, bool_or(kind IN ('js_present', 'js_polymorphic', 'js_obfuscation_deep')) js, bool_or(kind = 'launch_action_present') launch FROM f GROUP BY doc) USING (doc) WHERE kind IN ('xref_conflict', 'incremental_update_chain', 'object_id_shadowing', 'objstm_density_high')""")
-def _(f: DataFrame) -> DataFrame:
-    return correlate.recalibrate(f).filter(F.col("kind").isin(correlate.STRUCTURAL)).select("id", "severity")
-
-
 @found("noisy_class_bucket", """SELECT f.doc, f.id, CASE WHEN near AND js THEN 'correlated_high_risk' WHEN near OR js THEN 'correlated' ELSE 'likely_noise' END AS bucket FROM (
   SELECT doc, id, EXISTS (SELECT 1 FROM f g WHERE g.doc = f.doc AND g.sev >= 3 AND g.kind NOT IN ('content_stream_anomaly', 'image.decode_skipped') AND list_has_any(g.objects, f.objects)) near FROM f WHERE kind IN ('content_stream_anomaly', 'image.decode_skipped')) f
   JOIN (SELECT doc, bool_or(kind IN ('js_present', 'js_polymorphic', 'js_obfuscation_deep')) js FROM f GROUP BY doc) d ON f.doc = d.doc""")
