@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 from corpuscle.operators.compare import shares_object
 from corpuscle.schemas import confidence_rank, severity_name, severity_rank
 
-META = F.col
 KIND = "kind"
 #: Kinds by what they stand for.
-ACTIONS = ["open_action_present", "aa_present", "aa_event_present", "launch_action_present", "submitform_present", "gotor_present", "action_chain_complex", "annotation_action_chain", "uri_content_analysis"]
 TRIGGERS = ["action_automatic_trigger", "open_action_present", "action_hidden_trigger", "aa_present", "aa_event_present"]
 SCRIPTS = ["js_present", "js_polymorphic", "js_obfuscation_deep"]
-EVASION = ["xref_conflict", "incremental_update_chain", "object_id_shadowing", "shadow_object_payload_divergence", "parse_disagreement", "xref_phantom_entries", "structural_evasion_composite", "object_reference_cycle", "object_reference_depth_high"]
 STRUCTURAL = ["xref_conflict", "incremental_update_chain", "object_id_shadowing", "objstm_density_high"]
-EXTERNAL = ["resource.external_reference_high_risk_scheme", "resource.external_reference_obfuscated", "passive_credential_leak_risk"]
 DECODE_PRESSURE = ["decoder_risk_present", "decompression_ratio_suspicious", "huge_image_dimensions"]
 PAYLOADS = ["embedded_file_present", "js_present", "launch_embedded_file"]
 
