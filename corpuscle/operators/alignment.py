@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.operators.graph import meetings
+from corpuscle.session import stash
 
 #: Kinds of signals and of outcomes, stages that make any finding an outcome, and outcome types of high risk.
 SIGNALS = ["content_stream_anomaly", "content_stream_gstate_abuse", "content_stream_marked_evasion", "content_stream_resource_name_obfuscation"]
@@ -33,7 +34,8 @@ def classes(findings: DataFrame, at: DataFrame, side: str) -> DataFrame:
     """Findings of one kind and one set of nodes count as their first by seq: doc, id, kind, seq and nodes, named after the side."""
     sets = at.groupBy("doc", "id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     met = findings.select("doc", "id", "kind", "seq").join(sets, ["doc", "id"])
-    return met.groupBy("doc", F.col("kind").alias(f"{side}_kind"), F.col("nodes").alias(f"{side}_nodes")).agg(F.min_by("id", "seq").alias(f"{side}_id"), F.min("seq").alias(f"{side}_seq"))
+    grouped = met.groupBy("doc", F.col("kind").alias(f"{side}_kind"), F.col("nodes").alias(f"{side}_nodes"))
+    return stash(grouped.agg(F.min_by("id", "seq").alias(f"{side}_id"), F.min("seq").alias(f"{side}_seq")), f"classes_{side}")
 
 
 def told(pairs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...]
     step = edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next"))
     if undirected:
         step = step.union(edges.select(*g, "dst", "src"))
-    step = step.distinct()
+    step = stash(step.distinct(), "steps")
     known = seeds.select(*g, F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).distinct()
     frontier = known
     for hop in range(1, depth + 1):
@@ -36,7 +36,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...]
 
 def nearest(edges: DataFrame, seeds: DataFrame, depth: int, g: tuple[str, ...] = ("doc",), cut_every: int = 4) -> DataFrame:
     """g, node, hops: the fewest hops from any seed, up to ``depth``; a node is carried once, however many seeds reach it."""
-    step = edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    step = stash(edges.select(*g, F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "steps")
     known = seeds.select(*g, "node").distinct().withColumn("hops", F.lit(0))
     frontier = known
     for hop in range(1, depth + 1):
