@@ -222,7 +222,7 @@ def test_composites_by_hand(spark):
     assert got == {("d", "form_html_to_pdfjs_form", ""): ("f1", "f2", "high", "strong"), ("d", "form_html_to_pdfjs_form", "1"): ("f1", "f3", "medium", "strong")}
     assert {(r.doc, r.link, r.confidence, r.a, r.b) for r in composites.embedded_relationships(f).collect()} == {("d", "hash", "strong", "f5", "f6"), ("d", "object", "probable", "f5", "f7")}
     assert {(r.doc, r.kind, r.severity, r.confidence) for r in composites.document_composites(f).collect()} == {
-        ("d", "composite.resource_external_with_trigger_surface", "high", "strong"), ("e", "composite.resource_external_with_trigger_surface", "medium", "probable"),
+        ("d", "composite.resource_external_with_trigger_surface", "high", "strong"), ("d", "composite.multi_stage_chain", "high", "strong"), ("e", "composite.resource_external_with_trigger_surface", "medium", "probable"),
         ("e", "composite.resource_overrides_with_decoder_pressure", "high", "probable"), ("g", "composite.decode_amplification_chain", "high", "strong"),
     }
     assert {(r.doc, r.confidence, r.sources) for r in composites.hidden_layer(f).collect()} == {("d", "probable", "f6,f7,f10"), ("e", "strong", "f3,f4")}
