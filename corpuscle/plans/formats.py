@@ -47,9 +47,10 @@ def _(f: DataFrame) -> DataFrame:
 
 @found("intents_jsonl_round_trip", "SELECT DISTINCT doc AS path, target AS url FROM f")
 def _(f: DataFrame) -> DataFrame:
+    """Every line is this query's own, so the reader's limit on lines from outside does not hold."""
     path = stash_path(f.sparkSession, "intents")
     writers.intents_jsonl(urls.extract_intents(f)).write.text(path)
-    return readers.read_intents(f.sparkSession, path)[0]
+    return readers.read_intents(f.sparkSession, path, None)[0]
 
 
 @query("intents_rejected", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'empty_url' WHEN page_id % 4 = 1 THEN 'url_too_long' WHEN page_id % 4 = 2 THEN 'not_printable' ELSE 'line_too_long' END AS reason FROM pages")

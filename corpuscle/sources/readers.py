@@ -49,8 +49,8 @@ def read_findings(spark: SparkSession, path: str, strict: bool = False) -> tuple
     return parse_findings(spark.read.text(path), strict)
 
 
-def parse_intents(lines: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(path, url) of JSON lines, and rejected lines with a reason; more than ``most`` good lines are an error."""
+def parse_intents(lines: DataFrame, most: int | None = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(path, url) of JSON lines, and rejected lines with a reason; more than ``most`` good lines are an error (none: any number, for lines that are one's own)."""
     raw = lines.filter(F.trim("value") != "").select("value", F.from_json("value", "path string, url string").alias("j"))
     url = F.col("j.url")
     reason = (
@@ -58,10 +58,10 @@ def parse_intents(lines: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, D
     )
     marked = raw.select(F.coalesce("j.path", F.lit("unknown")).alias("path"), url.alias("url"), reason.alias("reason"))
     good = marked.filter("reason is null").select("path", "url")
-    if good.limit(most + 1).count() > most:
+    if most is not None and good.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} intents")
     return good, marked.filter("reason is not null")
 
 
-def read_intents(spark: SparkSession, path: str, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def read_intents(spark: SparkSession, path: str, most: int | None = 1_000_000) -> tuple[DataFrame, DataFrame]:
     return parse_intents(spark.read.text(path), most)
